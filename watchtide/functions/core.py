@@ -7,9 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 
+def sql_literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
 def literal_map(mapping: dict) -> Column:
     """A small fixed dict as a literal map column (plan constant, never shuffled)."""
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    return F.expr("map(" + ", ".join(sql_literal(x) for pair in mapping.items() for x in pair) + ")")
 
 
 def lookup(mapping: dict, key: Column) -> Column:
@@ -25,6 +31,16 @@ def first_match(pairs: list[tuple[Column, Column]], default: Column) -> Column:
     return out
 
 
+def fence(c: Column) -> Column:
+    """Compute an expensive column exactly once per row.
+
+    Catalyst copies a column's whole definition into every filter it pushes below the projection.  For
+    a column that combines hundreds of expressions this means evaluating all of them twice and plans
+    that take minutes to build; a non-deterministic guard keeps such filters above the projection.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def any_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds) if conds else F.lit(False)
 

@@ -17,11 +17,11 @@ from watchtide.schema import CANONICAL
 
 def field(*names: str, type: str = "string", of: str = "body") -> Column:
     """First present payload value among ``names``; dotted keys are literal, ``a/b`` descends."""
-    def get(name: str) -> Column:
-        path = "$" + "".join(p if p.startswith("[") else f"['{p}']" for p in name.split("/"))
-        return F.try_variant_get(F.col(of), path, type)
-    got = [blank_to_null(get(n)) if type == "string" else get(n) for n in names]
-    return got[0] if len(got) == 1 else F.coalesce(*got)
+    def get(name: str) -> str:
+        path = "$" + "".join(p if p.startswith("[") else f"[\"{p}\"]" for p in name.split("/"))
+        value = f"try_variant_get({of}, '{path}', '{type}')"
+        return f"nullif({value}, '')" if type == "string" else value
+    return F.expr(f"coalesce({', '.join(get(n) for n in names)})")
 
 
 def parse_time(text: Column, fallback: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from watchtide import fixed
-from watchtide.functions.core import all_of, any_of, compact, lookup
+from watchtide.functions.core import all_of, any_of, compact, fence, lookup
 
 # --- fixed values: field vocabulary and the shipped rules ---------------------------------------
 FIELD_ALIASES = {
@@ -294,7 +294,7 @@ def gate(events: DataFrame, rules: list[dict], mode: str = "service", evidence:
         out = out.withColumn(name, compact(*structs)).drop("_blocks")
         names.append(name)
     merged = F.concat(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0])
-    return out.withColumn("matches", merged).drop(*names)
+    return out.withColumn("matches", fence(merged)).drop(*names)
 
 
 def catalog(spark, rules: list[dict]) -> DataFrame:

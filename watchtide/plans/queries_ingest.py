@@ -90,7 +90,7 @@ SELECT 'ingestion' AS service, 'ingest' AS stage, status AS outcome, count(*) AS
 UNION ALL SELECT 'normalization', 'normalize', 'normalized', (SELECT count(*) FROM base)""")
 def ingest_stage_counters(spark, sf):
     routed = ingest.route(ingest_envelopes(spark, sf)).withColumnRenamed("status", "outcome")
-    norm = normalize.normalize(spread(tel.envelopes(spark, sf))).select(
+    norm = normalize.normalize(tel.envelopes(spark, sf)).select(
         F.when(F.col("error").isNull(), "normalized").otherwise("error").alias("outcome"))
     return ingest.stage_counters(("ingestion", "ingest", routed), ("normalization", "normalize", norm))
 
@@ -190,7 +190,7 @@ SELECT event_id AS record_id, source AS canonical_source,
  CASE WHEN {_KIND} = 8 THEN given_technique ELSE '' END AS mitre_techniques
 FROM canon""")
 def normalize_evaluator_flatten(spark, sf):
-    env = spread(tel.envelopes(spark, sf)).withColumnRenamed("event_id", "record_id").withColumn("raw", F.col("payload"))
+    env = tel.envelopes(spark, sf).withColumnRenamed("event_id", "record_id").withColumn("raw", F.col("payload"))
     flat = flatten.flatten(env, ["record_id"])
     return flat.select("record_id", ingest.resolve_source(F.col("source")).alias("canonical_source"), "event_id", "host", "image", "sha256",
                        "dns_query", F.col("dns_query_length").cast("bigint").alias("dns_query_length"), "zeek_log_type", "mfa_used", "attachment_name", "alert_category",

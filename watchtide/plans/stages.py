@@ -8,11 +8,11 @@ from watchtide import fixed
 from watchtide.functions.core import micros
 from watchtide.operators import cluster, enrich, graph_build, graph_query, normalize, rules, scoring, windows
 from watchtide.plans import telemetry as tel
-from watchtide.session import cut_lineage, spread
+from watchtide.session import cut_lineage
 
 
 def normalized(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize.split_errors(normalize.normalize(spread(tel.envelopes(spark, sf))))[0]
+    return normalize.split_errors(normalize.normalize(tel.envelopes(spark, sf)))[0]
 
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from watchtide.functions.core import fence
+from watchtide.session import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
@@ -167,10 +170,12 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         inner = ", ".join(f"{frag} AS `{name}`" for name, frag in fields.items())
         return f"to_json(struct({inner}))"
     payload = _pick({i: obj(p) for i, p in PAYLOADS.items()})
-    return event_rows(spark, sf_dir).selectExpr(
+    rows = spread(event_rows(spark, sf_dir)).selectExpr(
         "concat('evt-', event_id) AS event_id", "concat('t', user_id % 3) AS tenant_id",
         f"{RAW_SOURCE} AS source", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\") AS timestamp",
         "ts AS received_at", f"{payload} AS payload")
+    # stands for a stored column, which filters would not recompute either
+    return rows.withColumn("payload", fence(F.col("payload")))
 
 
 def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
