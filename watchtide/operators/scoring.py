@@ -114,7 +114,8 @@ def ensemble_score(rule: Column, heuristic_: Column, graph: Column, intel: Colum
     total = (weights["rule"] * rule + weights["heuristic"] * heuristic_ + weights["graph"] * graph
              + weights["intel"] * intel + weights["ml"] * ml)
     damped = F.when(benign & (intel < 0.1), F.least(total * 0.45, F.lit(0.35))).otherwise(total)
-    return F.round(F.least(damped, F.lit(1.0)), 4)
+    # a weighted sum of rounded scores often ends on a tie, so round by plain arithmetic on the double
+    return F.floor(F.least(damped, F.lit(1.0)) * 10000 + 0.5) / 10000.0
 
 
 def calibrate(score: Column) -> Column:

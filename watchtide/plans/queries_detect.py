@@ -295,7 +295,7 @@ def score_neighborhood_mean(spark, sf):
 
 
 _ENS = """raw AS (SELECT event_id, 0.35::DOUBLE * crit + 0.15::DOUBLE * (k % 3 / 3::DOUBLE) + 0.2::DOUBLE * rarity + 0.15::DOUBLE * (nintel / 4::DOUBLE) + 0.15::DOUBLE * (nev / 30::DOUBLE) AS total, nintel / 4::DOUBLE AS intel, user_id % 2 = 0 AS benign FROM f),
-ens AS (SELECT event_id, round(least(CASE WHEN benign AND intel < 0.1 THEN least(total * 0.45::DOUBLE, 0.35::DOUBLE) ELSE total END, 1::DOUBLE), 4) AS ensemble_score FROM raw),
+ens AS (SELECT event_id, floor(least(CASE WHEN benign AND intel < 0.1 THEN least(total * 0.45::DOUBLE, 0.35::DOUBLE) ELSE total END, 1::DOUBLE) * 10000 + 0.5::DOUBLE) / 10000::DOUBLE AS ensemble_score FROM raw),
 cal AS (SELECT *, round(1 / (1 + exp(-6::DOUBLE * (ensemble_score - 0.5::DOUBLE))), 4) AS calibrated_score FROM ens)"""
 
 
@@ -373,7 +373,7 @@ s0 AS (SELECT h.*, f.node_id, f.degree, f.rare, f.path, td.nt, tc.ne, round(coal
 s1 AS (SELECT *, round(0.4::DOUBLE * degn + 0.3::DOUBLE * rare + 0.3::DOUBLE * pathn, 4) AS graph_score, [crit, degn, rare, pathn, least(len(intel) / 3::DOUBLE, 1::DOUBLE), least(nt / 5::DOUBLE, 1::DOUBLE), least(ne / 20::DOUBLE, 1::DOUBLE)] AS v FROM s0),
 s2 AS (SELECT *, round(1 / (1 + exp(-(({_Z}) + ({_ZN}) + -1.2::DOUBLE))), 4) AS ml_score FROM s1),
 s3 AS (SELECT *, 0.35::DOUBLE * rule_score + 0.15::DOUBLE * heuristic_score + 0.2::DOUBLE * graph_score + 0.15::DOUBLE * intel_score + 0.15::DOUBLE * ml_score AS total_score FROM s2),
-s4 AS (SELECT *, round(least(CASE WHEN damped AND intel_score < 0.1 THEN least(total_score * 0.45::DOUBLE, 0.35::DOUBLE) ELSE total_score END, 1::DOUBLE), 4) AS ensemble_score FROM s3),
+s4 AS (SELECT *, floor(least(CASE WHEN damped AND intel_score < 0.1 THEN least(total_score * 0.45::DOUBLE, 0.35::DOUBLE) ELSE total_score END, 1::DOUBLE) * 10000 + 0.5::DOUBLE) / 10000::DOUBLE AS ensemble_score FROM s3),
 scored AS (SELECT *, round(1 / (1 + exp(-6::DOUBLE * (ensemble_score - 0.5::DOUBLE))), 4) AS calibrated_score FROM s4)"""
 
 
