@@ -72,6 +72,12 @@ def sorted_union(*arrays: Column) -> Column:
     return F.array_sort(F.array_distinct(merged))
 
 
+def round_plain(c: Column, digits: int) -> Column:
+    """Round half up by arithmetic on the double, so ties fall the same way in every engine."""
+    scale = float(10 ** digits)
+    return F.floor(c * scale + 0.5) / scale
+
+
 def micros(ts: Column) -> Column:
     """Epoch microseconds; the integer time axis used by all window operators."""
     return F.unix_micros(ts.cast("timestamp"))

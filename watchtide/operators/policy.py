@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from watchtide import fixed
-from watchtide.functions.core import first_match, literal_map, lookup
+from watchtide.functions.core import first_match, literal_map, lookup, round_plain
 
 DIM = 3 + len(fixed.OBJECTIVES)
 
@@ -165,7 +165,7 @@ def recommend(cases: DataFrame, solved: DataFrame) -> DataFrame:
         F.when(F.col("action_class") == F.col("_primary"), F.col("_title")).otherwise(
             F.initcap(F.regexp_replace("action_class", "_", " "))).alias("title"),
         "risk_if_executed", F.lit(True).alias("dry_run_default"),
-        F.round(F.least(0.5 + 0.5 * risk, F.lit(0.99)), 3).alias("confidence"),
+        round_plain(F.least(0.5 + 0.5 * risk, F.lit(0.99)), 3).alias("confidence"),
         F.when(F.col("disruptive"), F.lit("pending")).otherwise(F.lit("auto_applied_dry_run")).alias("status"), "scores")
 
 

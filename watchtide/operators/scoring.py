@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from watchtide import fixed
-from watchtide.functions.core import compact, contains_any, joined, literal_map, lookup, one_row, sorted_union
+from watchtide.functions.core import compact, contains_any, joined, literal_map, lookup, one_row, round_plain, sorted_union
 
 
 def heuristic_text() -> Column:
@@ -115,7 +115,7 @@ def ensemble_score(rule: Column, heuristic_: Column, graph: Column, intel: Colum
              + weights["intel"] * intel + weights["ml"] * ml)
     damped = F.when(benign & (intel < 0.1), F.least(total * 0.45, F.lit(0.35))).otherwise(total)
     # a weighted sum of rounded scores often ends on a tie, so round by plain arithmetic on the double
-    return F.floor(F.least(damped, F.lit(1.0)) * 10000 + 0.5) / 10000.0
+    return round_plain(F.least(damped, F.lit(1.0)), 4)
 
 
 def calibrate(score: Column) -> Column:

@@ -106,11 +106,11 @@ def graph_stats(spark, sf):
     return graph_query.graph_stats(graph_query.degrees(edges), edges)
 
 
-@query("graph_adjacency", f"WITH {_SP} SELECT node, count(*) AS neighbors, sum(cnt) AS events FROM (SELECT src_id AS node, cnt FROM spe UNION ALL SELECT dst_id, cnt FROM spe) GROUP BY 1")
+@query("graph_adjacency", f"WITH {_SP} SELECT node, count(*) AS neighbors, CAST(sum(cnt) AS BIGINT) AS events FROM (SELECT src_id AS node, cnt FROM spe UNION ALL SELECT dst_id, cnt FROM spe) GROUP BY 1")
 def graph_adjacency(spark, sf):
     edges = _supply_edges(spark, sf)
     adj = graph_query.adjacency(edges).join(edges.select("edge_id", "cnt"), "edge_id")
-    return adj.groupBy("node").agg(F.count("*").alias("neighbors"), F.sum("cnt").cast("decimal(38,0)").alias("events"))
+    return adj.groupBy("node").agg(F.count("*").alias("neighbors"), F.sum("cnt").alias("events"))
 
 
 @query("graph_degree_as_of", f"""WITH {_SP}, inc AS (SELECT src_id AS node_id, first_us FROM spe UNION ALL SELECT dst_id, first_us FROM spe),

@@ -46,7 +46,7 @@ def alert_rows(spark: SparkSession, sf: str) -> DataFrame:
     return tel.event_rows(spark, sf).where("value >= 30").selectExpr(
         "concat('a', event_id) AS alert_id", "concat('t', user_id % 3) AS tenant_id", "unix_micros(ts) AS ts_us",
         "concat('Alert ', event_type) AS title", "event_type",
-        "least(value / 200.0D, 1.0D) AS score_raw", "k", "user_id", "event_id",
+        "least(value / 250.0D, 1.0D) AS score_raw", "k", "user_id", "event_id",
         "array(concat('H', k % 40), concat('U', user_id % 60), concat('T', event_type)) AS items").selectExpr(
         "*", "round(score_raw, 4) AS calibrated_score").withColumn("severity", scoring.severity_of(F.col("calibrated_score"))).withColumn(
         "technique_ids", F.array("event_type")).withColumn("tags", F.array(F.concat(F.lit("s"), F.col("k") % 7)))
