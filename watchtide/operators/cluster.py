@@ -7,6 +7,7 @@ streams sorted alerts through a small open-cluster state, without loading a grou
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -165,6 +166,20 @@ class OpenClusters:
         self.by_item: dict[str, set[str]] = {}
         self.order = 0
 
+    def to_json(self) -> str:
+        return json.dumps({"order": self.order, "clusters": {c: [v[0], v[1], sorted(v[2])] for c, v in self.clusters.items()}})
+
+    @classmethod
+    def from_json(cls, doc: str, threshold: float, window: int) -> OpenClusters:
+        data = json.loads(doc)
+        out = cls(threshold, window)
+        out.order = data["order"]
+        for cid, (order, last, items) in data["clusters"].items():
+            out.clusters[cid] = [order, last, set(items)]
+            for item in items:
+                out.by_item.setdefault(item, set()).add(cid)
+        return out
+
     def assign(self, alert_id: str, t: int, items: list[str]) -> str:
         for cid in [c for c, v in self.clusters.items() if t - v[1] > self.window]:
             for item in self.clusters.pop(cid)[2]:

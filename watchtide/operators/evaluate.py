@@ -124,14 +124,14 @@ def dedup_quality(assigned: DataFrame, cluster: str, truth: str) -> DataFrame:
     def pairs(c: str) -> Column:
         return F.sum(F.col(c).cast("decimal(38,0)") * (F.col(c) - 1) / 2)
     cell = assigned.groupBy(cluster, truth).agg(F.count("*").alias("n"))
-    both = cell.agg(pairs("n").alias("both"))
+    both = cell.agg(pairs("n").alias("joint_pairs"))
     same_cluster = cell.groupBy(cluster).agg(F.sum("n").alias("n")).agg(pairs("n").alias("clustered"))
     same_truth = cell.groupBy(truth).agg(F.sum("n").alias("n")).agg(pairs("n").alias("true_pairs"))
     out = one_row(both, same_cluster, same_truth)
     return out.select(
-        F.col("both").cast("long").alias("both"), F.col("clustered").cast("long").alias("clustered"), F.col("true_pairs").cast("long").alias("true_pairs"),
-        F.round(F.try_divide(F.col("both").cast("double"), F.col("clustered").cast("double")), 4).alias("precision"),
-        F.round(F.try_divide(F.col("both").cast("double"), F.col("true_pairs").cast("double")), 4).alias("recall"))
+        F.col("joint_pairs").cast("long").alias("joint_pairs"), F.col("clustered").cast("long").alias("clustered"), F.col("true_pairs").cast("long").alias("true_pairs"),
+        F.round(F.try_divide(F.col("joint_pairs").cast("double"), F.col("clustered").cast("double")), 4).alias("precision"),
+        F.round(F.try_divide(F.col("joint_pairs").cast("double"), F.col("true_pairs").cast("double")), 4).alias("recall"))
 
 
 REQUIRED = ["summary", "likely_objective", "containment_recommendation", "confidence_explanation"]

@@ -209,9 +209,9 @@ def eval_escalation_precision(spark, sf):
     return evaluate.escalation_precision(cs, v)
 
 
-@query("eval_dedup_quality", f"""WITH {_AL}, {_CL}, g AS (SELECT cluster_id, user_id % 20 AS truth, count(*) AS n FROM cl GROUP BY 1, 2), b AS (SELECT sum(n * (n - 1) / 2) AS both FROM g),
+@query("eval_dedup_quality", f"""WITH {_AL}, {_CL}, g AS (SELECT cluster_id, user_id % 20 AS truth, count(*) AS n FROM cl GROUP BY 1, 2), b AS (SELECT sum(n * (n - 1) / 2) AS joint_pairs FROM g),
 c AS (SELECT sum(n * (n - 1) / 2) AS clustered FROM (SELECT cluster_id, sum(n) AS n FROM g GROUP BY 1)), t AS (SELECT sum(n * (n - 1) / 2) AS true_pairs FROM (SELECT truth, sum(n) AS n FROM g GROUP BY 1))
-SELECT CAST(both AS BIGINT) AS both, CAST(clustered AS BIGINT) AS clustered, CAST(true_pairs AS BIGINT) AS true_pairs, round(both / clustered::DOUBLE, 4) AS precision, round(both / true_pairs::DOUBLE, 4) AS recall FROM b, c, t""")
+SELECT CAST(joint_pairs AS BIGINT) AS joint_pairs, CAST(clustered AS BIGINT) AS clustered, CAST(true_pairs AS BIGINT) AS true_pairs, round(joint_pairs / clustered::DOUBLE, 4) AS precision, round(joint_pairs / true_pairs::DOUBLE, 4) AS recall FROM b, c, t""")
 def eval_dedup_quality(spark, sf):
     rows = _clustered(spark, sf).withColumn("truth", F.col("user_id") % 20)
     return evaluate.dedup_quality(rows, "cluster_id", "truth")

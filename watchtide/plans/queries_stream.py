@@ -1 +1,108 @@
+"""Streaming twins: the same computations as Structured Streaming queries over the events file.
 
+Each run drives an ``availableNow`` stream into tables below the checkpoint folder and returns the
+table.  Results must equal the batch query, so they share its oracle.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from watchtide.functions.core import joined, micros
+from watchtide.operators import enrich, rules
+from watchtide.plans import stages, telemetry as tel
+from watchtide.plans.queries_detect import _LIGHT, _over, sql_edges
+from watchtide.plans.registry import query
+from watchtide.session import checkpoint_root
+from watchtide.sources import sinks
+from watchtide.streaming import flows
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a file stream with the columns of :func:`telemetry.event_rows`."""
+    schema = tel.read(spark, sf, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
+                      F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+def _drive(spark, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    root = _folder(spark, name)
+    flows.run_now(df, f"{root}/out", f"{root}/checkpoint", mode=mode)
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("stream_dedup", "SELECT concat('d', event_id % 2000) AS event_id, count(*) > 0 AS seen FROM events GROUP BY 1")
+def stream_dedup(spark, sf):
+    """Ids repeat five times; the stream keeps one row per id."""
+    rows = _stream(spark, sf).selectExpr("concat('d', event_id % 2000) AS event_id", "concat('t', user_id % 3) AS tenant_id", "'sysmon' AS source",
+                                         "cast(ts AS string) AS timestamp", "ts AS received_at", "'{\"EventID\":1}' AS payload")
+    out = _drive(spark, flows.ingest_stream(rows, "60 days"), "dedup")
+    return out.groupBy("event_id").agg((F.count("*") == 1).alias("seen"))
+
+
+@query("stream_arrival_status", "SELECT concat('d', event_id % 2000) AS event_id, 1 AS accepted, count(*) - 1 AS duplicates FROM events GROUP BY 1")
+def stream_arrival_status(spark, sf):
+    rows = _stream(spark, sf).selectExpr("concat('d', event_id % 2000) AS event_id", "'t0' AS tenant_id", "'sysmon' AS source",
+                                         "cast(ts AS string) AS timestamp", "ts AS received_at", "'{\"EventID\":1}' AS payload")
+    out = _drive(spark, flows.label_arrivals(rows), "arrivals")
+    return out.groupBy("event_id").agg(F.count_if(F.col("status") == "accepted").alias("accepted"), F.count_if(F.col("status") == "duplicate").alias("duplicates"))
+
+
+@query("stream_event_rate", "SELECT epoch_us(time_bucket(INTERVAL 5 MINUTES, ts)) AS window_us, event_type, count(*) AS events FROM events GROUP BY 1, 2")
+def stream_event_rate(spark, sf):
+    out = _drive(spark, flows.rate_stream(_stream(spark, sf), "event_type"), "rate", "update")
+    latest = sinks.latest_by_key(out.select("window_start", "event_type", "batch_id", "events"), ["window_start", "event_type"], "batch_id")
+    return latest.select(micros(F.col("window_start")).alias("window_us"), "event_type", "events")
+
+
+@query("stream_correlation", f"""WITH e AS ({_LIGHT}) SELECT event_id, window_value, window_value >= 5 AS correlated FROM (SELECT *, count(*) {_over('tenant_id, event_type', 3600)} AS window_value FROM e)""")
+def stream_correlation(spark, sf):
+    rows = _stream(spark, sf).selectExpr("event_id", "unix_micros(ts) AS ts_us", "concat('t', user_id % 3) AS tenant_id", "event_type")
+    rule = {"id": "c1", "correlation": {"type": "threshold", "group_by": ["tenant_id", "event_type"], "min_count": 5, "window_seconds": 3600}}
+    root = _folder(spark, "correlation")
+    flows.correlate_stream(rows, rule, root, f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/result").select("event_id", "window_value", "correlated")
+
+
+def _stream_envelopes(spark, sf) -> DataFrame:
+    """Batch envelopes written once as a topic folder, then read back as a stream."""
+    topic = _folder(spark, "topic")
+    tel.envelopes(spark, sf).write.parquet(topic)
+    return sinks.topic_source(spark, topic, spark.read.parquet(topic).schema)
+
+
+@query("stream_detect", f"WITH {stages.sql_enriched()}, {stages.sql_gated()} SELECT event_id, array_to_string(rule_ids, ',') AS rule_ids, array_to_string(techs, ',') AS techniques FROM gat WHERE len(rule_ids) > 0")
+def stream_detect(spark, sf):
+    single = [r for r in rules.shipped_rules() if not r.get("correlation")]
+    hits = flows.detect_stream(_stream_envelopes(spark, sf), enrich.latest_indicators(tel.indicators(spark, sf)),
+                               tel.host_assets(spark, sf), tel.user_assets(spark, sf), single)
+    out = _drive(spark, hits.select("event_id", "matches", "technique_ids"), "detect").where(F.size("matches") > 0)
+    return out.select("event_id", joined(F.col("matches.rule_id")).alias("rule_ids"), joined(F.col("technique_ids")).alias("techniques"))
+
+
+@query("stream_graph", f"WITH {stages.sql_enriched()}, {stages.sql_entities()}, {sql_edges()} SELECT edge_id, cnt, first_us, last_us, sources FROM edge")
+def stream_graph(spark, sf):
+    """Graph deltas written per micro-batch and merged by key on read."""
+    events = flows.detect_stream(_stream_envelopes(spark, sf), enrich.latest_indicators(tel.indicators(spark, sf)),
+                                 tel.host_assets(spark, sf), tel.user_assets(spark, sf), [])
+    root = _folder(spark, "graph")
+    flows.run_now(events.drop("enrichment", "provenance", "matches"), root, f"{root}/checkpoint", sinks.graph_sink(root))
+    _, edges = sinks.graph_tables(spark, root)
+    return edges.select("edge_id", F.col("count").alias("cnt"), micros(F.col("first_seen")).alias("first_us"), micros(F.col("last_seen")).alias("last_us"),
+                        joined(F.col("sources")).alias("sources"))
+
+
+@query("stream_greedy_clusters")
+def stream_greedy_clusters(spark, sf):
+    """Greedy clustering with keyed state; the tests compare it with the batch operator."""
+    rows = _stream(spark, sf).where("value >= 30").selectExpr(
+        "concat('t', user_id % 3) AS tenant_id", "concat('a', event_id) AS alert_id", "unix_micros(ts) AS t",
+        "array(concat('H', k % 40), concat('U', user_id % 60), concat('T', event_type)) AS items")
+    return _drive(spark, flows.cluster_stream(rows), "greedy").select("tenant_id", "alert_id", "cluster_id")

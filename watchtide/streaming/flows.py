@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from watchtide import fixed
 from watchtide.operators import enrich as enrich_ops, ingest, normalize as norm, rules as rule_ops, windows
 from watchtide.operators.cluster import WINDOW, OpenClusters
 from watchtide.sources.sinks import each_batch, save_batch
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def dedup(envelopes: DataFrame, ttl: str = "7 days") -> DataFrame:
     """First arrival per event id within the time to live; later copies vanish."""
@@ -31,32 +29,25 @@ def ingest_stream(envelopes: DataFrame, ttl: str = "7 days") -> DataFrame:
         "topic", F.when(F.col("status") == "accepted", F.lit(ingest.RAW_TOPIC)).otherwise(F.lit(ingest.DEAD_LETTER_TOPIC)))
 
 
-class SeenKeys(StatefulProcessor):
-    """Labels every arrival accepted or duplicate; keys expire after the time to live."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            pdf = pdf.sort_values("received_at", kind="stable")
-            n = self.seen.get()[0] if self.seen.exists() else 0
+def label_arrivals(envelopes: DataFrame, ttl_days: int = 7) -> DataFrame:
+    """Every arrival with its status; state is one counter per event id and expires after the time to live."""
+    rows = ingest.with_event_id(envelopes).select("event_id", "received_at").withWatermark("received_at", f"{ttl_days} days")
+
+    def label(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        newest = 0
+        for pdf in batches:
+            n = state.get[0] if state.exists else 0
+            state.update((n + len(pdf),))
+            newest = max(newest, int(pdf["received_at"].max().timestamp() * 1000))
             status = ["accepted" if n + i == 0 else "duplicate" for i in range(len(pdf))]
-            self.seen.update((n + len(pdf),))
-            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "status": status})
-
-    def close(self) -> None:
-        pass
+            yield pd.DataFrame({"event_id": [key[0]] * len(pdf), "status": status})
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + ttl_days * 86_400_000)
 
-
-def label_arrivals(envelopes: DataFrame, ttl_days: int = 7) -> DataFrame:
-    """Every arrival with its status; state is one counter per event id."""
-    rows = ingest.with_event_id(envelopes).select("event_id", "received_at")
-    return rows.groupBy("event_id").transformWithStateInPandas(
-        SeenKeys(ttl_days * 86_400_000), "event_id string, status string", "append", "processingTime")
+    return rows.groupBy("event_id").applyInPandasWithState(
+        label, "event_id string, status string", "n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def detect_stream(envelopes: DataFrame, indicators: DataFrame, hosts: DataFrame, users: DataFrame, rules: list[dict]) -> DataFrame:
@@ -97,39 +88,21 @@ def correlate_stream(events: DataFrame, rule: dict, folder: str, checkpoint: str
     return each_batch(events, run, checkpoint)
 
 
-class GreedyClusters(StatefulProcessor):
-    """Open clusters of a tenant as state; idle clusters leave it."""
-
-    def __init__(self, threshold: float, window: int):
-        self.threshold, self.window = threshold, window
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("open", "doc string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        open_ = OpenClusters(self.threshold, self.window)
-        if self.state.exists():
-            doc = json.loads(self.state.get()[0])
-            open_.order = doc["order"]
-            for cid, (order, last, items) in doc["clusters"].items():
-                open_.clusters[cid] = [order, last, set(items)]
-                for item in items:
-                    open_.by_item.setdefault(item, set()).add(cid)
-        for pdf in rows:
-            pdf = pdf.sort_values(["t", "alert_id"])
-            ids = [open_.assign(a, int(t), list(i)) for a, t, i in zip(pdf["alert_id"], pdf["t"], pdf["items"])]
-            yield pd.DataFrame({"tenant_id": [key[0]] * len(ids), "alert_id": pdf["alert_id"].to_numpy(), "cluster_id": ids})
-        self.state.update((json.dumps({"order": open_.order, "clusters": {
-            c: [v[0], v[1], sorted(v[2])] for c, v in open_.clusters.items()}}),))
-
-    def close(self) -> None:
-        pass
-
-
 def cluster_stream(alerts: DataFrame, threshold: float = fixed.OVERLAP_THRESHOLD) -> DataFrame:
-    """Greedy clustering of an alert stream (tenant_id, alert_id, t, items), in arrival order of micro-batches."""
-    return alerts.groupBy("tenant_id").transformWithStateInPandas(
-        GreedyClusters(threshold, WINDOW), "tenant_id string, alert_id string, cluster_id string", "append", "none")
+    """Greedy clustering of an alert stream (tenant_id, alert_id, t, items).
+
+    State per tenant is its open clusters only; idle ones leave it.  Alerts are ordered inside a
+    micro-batch, whose size the source bounds.
+    """
+    def assign(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_ = OpenClusters.from_json(state.get[0], threshold, WINDOW) if state.exists else OpenClusters(threshold, WINDOW)
+        pdf = pd.concat(list(batches)).sort_values(["t", "alert_id"])
+        ids = [open_.assign(a, int(t), list(i)) for a, t, i in zip(pdf["alert_id"], pdf["t"], pdf["items"])]
+        state.update((open_.to_json(),))
+        yield pd.DataFrame({"tenant_id": [key[0]] * len(ids), "alert_id": pdf["alert_id"].to_numpy(), "cluster_id": ids})
+
+    return alerts.groupBy("tenant_id").applyInPandasWithState(
+        assign, "tenant_id string, alert_id string, cluster_id string", "doc string", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_now(df: DataFrame, folder: str, checkpoint: str, write: Callable[[DataFrame, int], None] | None = None,
