@@ -104,7 +104,7 @@ def verify(chain: DataFrame, block: int | None = BLOCK) -> DataFrame:
                        F.min(F.when(F.col("problem").isNotNull(), F.struct("sequence", "problem"))).alias("f"))
     return checked.select(
         F.col("f").isNull().alias("valid"), "events_checked", F.col("f.sequence").alias("first_broken_sequence"),
-        F.coalesce(F.concat_ws(" at sequence=", "f.problem", F.col("f.sequence").cast("string")), F.lit("chain intact")).alias("detail"))
+        F.coalesce(F.concat(F.col("f.problem"), F.lit(" at sequence="), F.col("f.sequence").cast("string")), F.lit("chain intact")).alias("detail"))
 
 
 def query_events(log: DataFrame, since=None, until=None, limit: int = 100, **equals: str) -> DataFrame:

@@ -69,11 +69,11 @@ def route(envelopes: DataFrame, order: list[str] = ["received_at"], validate: bo
 
 def ingest_results(routed: DataFrame) -> DataFrame:
     """Result rows (event id, status, topic, reason, records); equal duplicate results are one row."""
-    first = routed.select("event_id", "status", "topic", "reason", F.lit(1).cast("long").alias("records"))
-    dup = routed.where("duplicates > 0").select(
-        "event_id", F.lit("duplicate").alias("status"), F.lit(None).cast("string").alias("topic"),
-        F.lit("already_ingested").alias("reason"), F.col("duplicates").alias("records"))
-    return first.unionByName(dup)
+    def row(status: Column, topic: Column, reason: Column, records: Column) -> Column:
+        return F.struct(status.alias("status"), topic.alias("topic"), reason.alias("reason"), records.cast("long").alias("records"))
+    first = row(F.col("status"), F.col("topic"), F.col("reason"), F.lit(1))
+    again = row(F.lit("duplicate"), F.lit(None).cast("string"), F.lit("already_ingested"), F.col("duplicates"))
+    return routed.select("event_id", F.inline(F.array_compact(F.array(first, F.when(F.col("duplicates") > 0, again)))))
 
 
 def dead_letters(routed: DataFrame) -> DataFrame:

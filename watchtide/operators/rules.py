@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from watchtide import fixed
@@ -240,9 +239,10 @@ def condition_column(rule: dict, blocks: list[str], flags: str, mode: str) -> Co
     if not words <= {*blocks, "and", "or", "not"} or _WORD.sub("", text).strip("() \t"):
         return fallback
     try:
-        return F.expr(_WORD.sub(lambda m: f"{flags}.`{m[0]}`" if m[0] in blocks else m[0], text))
-    except ParseException:
+        compile(text, "<condition>", "eval")  # names, and / or / not and brackets read the same in both languages
+    except SyntaxError:
         return fallback
+    return F.expr(_WORD.sub(lambda m: f"{flags}.`{m[0]}`" if m[0] in blocks else m[0], text))
 
 
 def matched_evidence(rule: dict, fields: FieldResolver) -> Column:

@@ -8,6 +8,7 @@ from watchtide import fixed
 from watchtide.operators import approvals, audit, policy
 from watchtide.plans import telemetry as tel
 from watchtide.plans.registry import query
+from watchtide.session import cut_lineage
 
 _OBJ = fixed.OBJECTIVES
 _ARM = fixed.ACTIONS
@@ -223,7 +224,7 @@ def audit_append(spark, sf):
 
 def _tampered(spark, sf):
     """The chain with every 997th content edited after hashing."""
-    chain = audit.append_events(_audit_rows(spark, sf).select("sequence", "content"))
+    chain = cut_lineage(audit.append_events(_audit_rows(spark, sf).select("sequence", "content")))
     return chain.withColumn("content", F.when((F.col("level") == 0) & (F.col("sequence") % 997 == 0), F.concat("content", F.lit("!"))).otherwise(F.col("content")))
 
 
