@@ -6,8 +6,9 @@ the bounded technique and tag sets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from watchtide.operators.windows import position_in_time
 from watchtide.schema import severity_name, severity_rank
 
 
@@ -106,8 +107,7 @@ def search_cases(cases: DataFrame, tenant_id: str | None = None, status: str | N
 
 def timeline_view(entries: DataFrame) -> DataFrame:
     """Entries in time order per case, numbered and titled for display."""
-    w = Window.partitionBy("case_id").orderBy("t", "kind", F.col("ref").asc_nulls_first())
-    out = entries.withColumn("position", F.row_number().over(w) - 1)
+    out = position_in_time(entries, ["case_id"], "t", [F.col("kind"), F.col("ref").asc_nulls_first()])
     return out.select(
         F.concat_ws("-tl-", "case_id", F.col("position").cast("string")).alias("event_id"), "case_id", "position", "t",
         F.initcap(F.regexp_replace("kind", "_", " ")).alias("title"), F.col("summary").alias("description"),

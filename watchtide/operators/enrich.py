@@ -17,6 +17,15 @@ from watchtide.functions.core import (
 INTEL_FIELDS = ["src_ip", "dst_ip", "domain", "url", "file_hash"]
 
 
+def _join_key(value: Column, row_id: str = "event_id") -> Column:
+    """Join key that spreads rows without a value over many keys that match nothing.
+
+    Most events lack most fields; as plain nulls they would all meet in one task of a shuffled join.
+    """
+    nothing = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(row_id), F.lit(1009)).cast("string"))
+    return F.coalesce(value, nothing)
+
+
 def resolve_user(user: Column) -> Column:
     name = F.lower(F.trim(F.element_at(F.split(user, r"\\"), -1)))
     return F.when(F.length(user) > 0, F.coalesce(lookup(fixed.USER_ALIASES, name), name))
@@ -55,7 +64,7 @@ def match_indicators(events: DataFrame, indicators: DataFrame, fields: list[str]
     hits = []
     for name in fields:
         side = indicators.select(F.col("ioc_key").alias(f"_k_{name}"), F.col("ioc").alias(f"_i_{name}"))
-        out = out.join(side, F.lower(name) == F.col(f"_k_{name}"), "left")
+        out = out.join(side, _join_key(F.lower(name)) == F.col(f"_k_{name}"), "left")
         hit = F.struct(
             F.col(name).alias("matched_value"), F.col(f"_i_{name}.confidence").alias("confidence"),
             F.col(f"_i_{name}.indicator_id").alias("indicator_id"))
@@ -72,8 +81,8 @@ def add_criticality(events: DataFrame, hosts: DataFrame, users: DataFrame,
     def meta(df: DataFrame, prefix: str) -> DataFrame:
         rest = [c for c in df.columns if c != "name"]
         return df.select(F.col("name").alias(f"_{prefix}"), F.struct(*rest).alias(f"{prefix}_meta"))
-    out = events.join(meta(hosts, "host"), F.col("host") == F.col("_host"), "left")
-    out = out.join(meta(users, "user"), F.lower("user") == F.col("_user"), "left").drop("_host", "_user")
+    out = events.join(meta(hosts, "host"), _join_key(F.col("host")) == F.col("_host"), "left")
+    out = out.join(meta(users, "user"), _join_key(F.lower("user")) == F.col("_user"), "left").drop("_host", "_user")
     def rate(prefix: str, default: float) -> Column:
         known = F.coalesce(F.col(f"{prefix}_meta.criticality"), F.lit(fixed.DEFAULT_CRITICALITY))
         return F.when(F.col(f"{prefix}_meta").isNull(), F.lit(default)).otherwise(known)

@@ -172,6 +172,22 @@ def next_in_time(rows: DataFrame, keys: list[str], t: str, tie: str, value: str,
     return out.withColumn(name, F.coalesce("_next", "_after")["v"]).drop("_b", "_next", "_after")
 
 
+def position_in_time(rows: DataFrame, keys: list[str], t: str, ties: list[Column], name: str = "position",
+                     width: int = 30 * 86_400 * SECOND) -> DataFrame:
+    """Add the zero-based position of each row among its key's rows in (t, ties) order.
+
+    Rows are ranked inside (keys, time slice) and shifted by the key's earlier slices, which are counted
+    as one row per slice; no task sorts a whole hot key.
+    """
+    sliced = rows.withColumn("_b", F.floor(F.col(t) / width).cast("long"))
+    counts = sliced.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(F.col(t), *ties)
+    ranked = sliced.withColumn("_r", F.row_number().over(inside)).join(shift, [*keys, "_b"])
+    return ranked.withColumn(name, F.col("_s") + F.col("_r") - 1).drop("_b", "_s", "_r")
+
+
 def rate_limit(hits: DataFrame, key: str, t: str, order: str, max_requests: int, seconds: int) -> DataFrame:
     """Replay a sliding-window limiter over a request log: allowed, remaining, retry_after seconds.
 

@@ -70,18 +70,21 @@ def correlate_stream(events: DataFrame, rule: dict, folder: str, checkpoint: str
     """Correlate a stream with the batch operator.
 
     Every micro-batch is joined by the tail of earlier rows that its windows can reach, read from the
-    history table in ``folder``.  Hot groups are handled exactly as in batch, and a replayed batch
-    overwrites its own output.
+    history table in ``folder``; the table is partitioned by day, so only the days in reach are read.
+    Hot groups are handled exactly as in batch, and a replayed batch overwrites its own output.
     """
     seconds = int(rule["correlation"].get("window_seconds", 300))
+    day = 86_400 * windows.SECOND
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        save_batch(batch, f"{folder}/history", batch_id)
+        save_batch(batch.withColumn("day", F.floor(F.col(t) / day)), f"{folder}/history", batch_id, ["day"])
         rows = spark.read.parquet(f"{folder}/history")
-        new = rows.where(F.col("batch_id") == batch_id)
-        low = new.agg((F.min(t) - seconds * windows.SECOND).alias("x")).scalar()
-        reach = rows.where((F.col("batch_id") <= batch_id) & (F.col(t) >= low))
+        first = rows.where(F.col("batch_id") == batch_id).agg(F.min(t)).first()[0]
+        if first is None:
+            return
+        low = first - seconds * windows.SECOND
+        reach = rows.where((F.col("batch_id") <= batch_id) & (F.col("day") >= low // day) & (F.col(t) >= low)).drop("day")
         out = windows.correlate(reach, rule, t).where(F.col("batch_id") == batch_id).drop("batch_id")
         save_batch(out, f"{folder}/result", batch_id)
 
