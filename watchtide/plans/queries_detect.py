@@ -82,7 +82,13 @@ def rules_condition(spark, sf):
     return out.select(F.explode("matches.rule_id").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("hits"))
 
 
-@query("rules_catalog")
+_CATALOG = ", ".join(
+    f"('{r['id']}', '{r['title']}', '{r['level']}', '{','.join(r['technique_ids'])}', '{r['detection']['condition']}', {bool(r.get('correlation'))})"
+    for r in rules.shipped_rules())
+
+
+@query("rules_catalog", f"""WITH {_ENR}, {_GAT}, h AS (SELECT rule_id, count(*) AS hits FROM (SELECT unnest(rule_ids) AS rule_id FROM gat) GROUP BY 1)
+SELECT c.*, coalesce(hits, 0) AS hits FROM (VALUES {_CATALOG}) c(rule_id, title, level, technique_ids, condition, correlated) LEFT JOIN h USING (rule_id)""")
 def rules_catalog(spark, sf):
     """Rule list with the number of events each matches."""
     hits = stages.gated(spark, sf).select(F.explode("matches.rule_id").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("hits"))
@@ -400,8 +406,8 @@ def detect_alerts_by_host(spark, sf):
         F.count("*").alias("alerts"), F.max("calibrated_score").alias("top_score"), F.sum(F.size("matches")).alias("hits"))
 
 
-@query("detect_correlated_hits", f"""WITH {_ENR}, {_GAT}, w AS (SELECT event_id, count(DISTINCT host) OVER (PARTITION BY "user" ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW) AS n FROM enr)
-SELECT event_id, array_to_string(CASE WHEN n >= 2 THEN list_append(rule_ids, 'DR-0021') ELSE rule_ids END, ',') AS rule_ids FROM gat JOIN w USING (event_id) WHERE len(rule_ids) > 0 OR n >= 2""")
+@query("detect_correlated_hits", f"""WITH {_ENR}, {_GAT}, w AS (SELECT event_id, count(DISTINCT host) OVER (PARTITION BY "user" ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW) AS seen FROM enr)
+SELECT event_id, array_to_string(CASE WHEN seen >= 2 THEN list_append(rule_ids, 'DR-0021') ELSE rule_ids END, ',') AS rule_ids FROM gat JOIN w USING (event_id) WHERE len(rule_ids) > 0 OR seen >= 2""")
 def detect_correlated_hits(spark, sf):
     """All shipped rules; the correlation rule asks for two hosts, so that the given data can meet it."""
     shipped = [{**r, "correlation": {**r["correlation"], "min_distinct": 2}} if r.get("correlation") else r for r in rules.shipped_rules()]
