@@ -25,18 +25,27 @@ def _running(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def sliding_count(events: DataFrame, keys: list[str], t: str, seconds: int, name: str = "n") -> DataFrame:
-    """Per event: how many events of the same keys lie in [t - seconds, t]."""
+    """Per event: how many events of the same keys lie in [t - seconds, t].
+
+    Each row leaves two marks: its own (+1) and its departure (-1) just after t + seconds, which falls
+    into the next bucket.  Every row a bucket inherits has exactly one departure mark there, so the
+    bucket's opening count is the number of its departure marks.  One scan and one shuffle; departure
+    marks carry no other columns.
+    """
     width = seconds * SECOND
     bucket = F.floor(F.col(t) / width).cast("long")
-    own = events.withColumn("_b", bucket).withColumn("_t", F.col(t)).withColumn("_o", F.lit(1)) \
-        .withColumn("_d", F.lit(1).cast("long")).withColumn("_read", F.lit(True))
-    # what the bucket inherits: everything of the previous bucket, each leaving just after t + width
-    heads = events.groupBy(*keys, (bucket + 1).alias("_b")).agg(F.count("*").alias("_d")).select(
-        *keys, "_b", (F.col("_b") * width).alias("_t"), F.lit(0).alias("_o"), "_d")
-    leaves = events.groupBy(*keys, (bucket + 1).alias("_b"), (F.col(t) + width).alias("_t")).agg(
-        (-F.count("*")).alias("_d")).select(*keys, "_b", "_t", F.lit(2).alias("_o"), "_d")
-    marks = own.unionByName(heads, allowMissingColumns=True).unionByName(leaves, allowMissingColumns=True)
-    return _running(marks, keys, name).where("_read").drop("_b", "_t", "_o", "_d", "_read")
+
+    def mark(read: bool, b: Column, at: Column, order: int, delta: int) -> Column:
+        return F.struct(F.lit(read).alias("read"), b.alias("b"), at.alias("t"), F.lit(order).alias("o"), F.lit(delta).cast("long").alias("d"))
+
+    marks = F.array(mark(True, bucket, F.col(t), 1, 1), mark(False, bucket + 1, F.col(t) + width, 2, -1))
+    rows = events.withColumn("_m", F.explode(marks)).select(
+        *[F.col(c) if c in keys else F.when(F.col("_m.read"), F.col(c)).alias(c) for c in events.columns],
+        F.col("_m.read").alias("_read"), F.col("_m.b").alias("_b"), F.col("_m.t").alias("_t"),
+        F.col("_m.o").alias("_o"), F.col("_m.d").alias("_d"))
+    opening = F.sum(F.when(F.col("_read"), 0).otherwise(1)).over(Window.partitionBy(*keys, "_b"))
+    out = _running(rows.withColumn("_open", opening), keys, name)
+    return out.withColumn(name, F.col(name) + F.col("_open")).where("_read").drop("_b", "_t", "_o", "_d", "_read", "_open")
 
 
 def sliding_distinct(events: DataFrame, keys: list[str], field: str, t: str, seconds: int,
