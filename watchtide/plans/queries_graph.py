@@ -8,7 +8,7 @@ from watchtide import fixed
 from watchtide.functions.core import edge_key, joined, micros
 from watchtide.operators import graph_build, graph_query
 from watchtide.plans import stages, telemetry as tel
-from watchtide.plans.queries_detect import SQL_FEATURES, SQL_PRIMARY, sql_edges
+from watchtide.plans.queries_detect import SQL_FEATURES, sql_edges
 from watchtide.plans.registry import query
 from watchtide.session import cut_lineage
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from watchtide import fixed
 from watchtide.functions.core import micros
-from watchtide.operators import cluster, enrich, graph_build, graph_query, normalize, rules, scoring, windows
+from watchtide.operators import enrich, graph_build, graph_query, normalize, rules, scoring, windows
 from watchtide.plans import telemetry as tel
 from watchtide.session import cut_lineage
 
