@@ -1,7 +1,7 @@
 """Projection of the given tables onto raw telemetry envelopes and reference lists.
 
 The given tables hold no security logs, so each row of ``events`` becomes one raw record of one of
-eleven log sources, chosen by its ``k`` property; fields vary with user, type and value.  The
+ten log sources, chosen by its ``k`` property; fields vary with user, type and value.  The
 fragments below are plain SQL that Spark and the oracle both understand: Spark builds payload JSON
 from them and has to normalize it back, while the oracle reads the same fragments as the expected
 canonical columns.
