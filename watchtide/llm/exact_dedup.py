@@ -84,9 +84,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = rows.join(groups, "sha").select(
         F.col("doc_id").alias("of"), "sha", F.col("keep.doc_id").alias("keep_id")).distinct()
     bodies = texts.withColumn("sha", sha)
-    mine = bodies.join(wanted.withColumnRenamed("sha", "wanted_sha"),
-                       bodies["doc_id"].eqNullSafe(F.col("of")) & (F.col("sha") == F.col("wanted_sha"))).select("doc_id", "keep_id", "sha", "text")
-    theirs = mine.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.any_value("text").alias("other"))
+    mine = common.staged(bodies.join(wanted.withColumnRenamed("sha", "wanted_sha"),
+                       bodies["doc_id"].eqNullSafe(F.col("of")) & (F.col("sha") == F.col("wanted_sha"))).select("doc_id", "keep_id", "sha", "text"), "exact-texts")
+    # one text per group, written so that both sides of the join are plain reads and a hot group can be split
+    theirs = common.staged(mine.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(
+        F.any_value("text").alias("other")), "exact-kept")
     checked = mine.join(theirs, "sha").groupBy("doc_id", "sha").agg(F.min(F.col("text") == F.col("other")).alias("same"))
 
     sure = groups.select(F.col("sha").alias("group_sha"), "keep", "n")
