@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from watchtide.llm import bpe, common, decontaminate, exact_dedup, langid, token_planes, toxicity
+from watchtide.llm import bpe, common, decontaminate, exact_dedup, html_text, langid, token_planes, toxicity, warc
 from watchtide.session import tune
 
 QUERIES: dict = {}
@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_html_text")
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_text.extract(pages, html_text.train(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op3_decontamination")
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -41,6 +48,23 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op5_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+     d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+           1 + ((CAST('0x' || substr(hex, CAST(1 + (i // 8) * 10 AS INT), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31) AS INT), 1)
+           for i in range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.shared_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    captures = warc.captures(spark, path)
+    return captures.select("page_id", "main.payload_bytes", "main.payload_digest", "main.record_type", "refers_to")
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
