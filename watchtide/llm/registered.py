@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from watchtide.llm import bpe, common, decontaminate, exact_dedup, html_text, langid, token_planes, toxicity, warc
+from watchtide.llm import bpe, common, decontaminate, exact_dedup, html_text, langid, ngram_join, token_planes, toxicity, warc
 from watchtide.session import tune
 
 QUERIES: dict = {}
@@ -34,6 +34,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op2_ngram_join")
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 @query("op3_decontamination")
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
