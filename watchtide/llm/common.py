@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from watchtide.session import checkpoint_root
@@ -73,3 +75,27 @@ def rice_decode(blob: bytes, n: int, width: int) -> np.ndarray:
         full[:, 64 - width:] = bits
         gaps |= np.packbits(full, axis=1).view(">u8").reshape(-1).astype(np.uint64)
     return np.cumsum(gaps, dtype=np.uint64)
+
+
+def map_column(df: DataFrame, column: str, added: str, make: Callable[[], Callable[[list], tuple[Sequence[int] | None, list[Sequence]]]],
+               rows: int = 500) -> DataFrame:
+    """``df`` without ``column`` and with the columns ``added``, by a function over lists of its values.
+
+    ``make`` runs once in each task; its function returns, for a list of values, the place in the list that each result
+    row comes from (None: one row for each value) and the added columns.  All other columns pass through untouched.
+    """
+    kept = [c for c in df.columns if c != column]
+    arrow = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    names, kinds = zip(*((x.split()[0], arrow[x.split()[1]]) for x in added.split(", ")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apply = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                places, columns = apply(part.column(column).to_pylist())
+                same = [part.column(c) if places is None else part.column(c).take(pa.array(places, pa.int64())) for c in kept]
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*kept, *names])
+
+    kept_schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != column)
+    return df.mapInArrow(run, kept_schema + added)

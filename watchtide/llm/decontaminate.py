@@ -12,7 +12,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from watchtide.llm import common
@@ -68,7 +67,7 @@ def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
 class Matcher:
     """The automaton over the pieces of some test items (item_id, text), and the checks of its hits."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, size: int = PASSAGE_WORDS):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE, size: int = PASSAGE_WORDS):
         import ahocorasick
         self.rate, self.whole, self.passages = rate, {}, []
         found: dict[str, list[tuple[int, int]]] = {}
@@ -120,7 +119,7 @@ class Matcher:
             found = [(d, low + end) for low, high in spans for d, end in [myers(part, words[low:high])] if d <= budget]
             if found:
                 best.setdefault(item, []).append(min(found))
-        for item, found in sorted(best.items()):
+        for item, found in best.items():
             yield item, len(found), self.totals[item], sum(d for d, _ in found), min(end for _, end in found)
 
 
@@ -135,19 +134,22 @@ def matches(docs: DataFrame, bench: DataFrame, rate: float = RATE, id_col: str =
     size = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     texts = common.texts_of(docs, id_col, text_col)
-    schema = "doc_id long, item_id long, passages_found int, passages int, edits int, end_word int"
 
     def block(number: int) -> DataFrame:
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number) if blocks > 1 else items
-        wanted = docs.sparkSession.sparkContext.broadcast(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in own.collect()))
+        wanted = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()])
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def make():
             matcher = Matcher(wanted.value, rate)
-            for pdf in batches:
-                rows = [(d, *m) for d, t in zip(pdf["doc_id"], pdf["text"]) for m in matcher(t)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "passages_found", "passages", "edits", "end_word"])
 
-        return texts.mapInPandas(run, schema)
+            def run(found: list[str]) -> tuple[list, list]:
+                rows = [(place, *m) for place, text in enumerate(found) for m in matcher(text)]
+                places, *columns = zip(*rows) if rows else ((),) * 6
+                return places, columns
+
+            return run
+
+        return common.map_column(texts, "text", "item_id long, passages_found int, passages int, edits int, end_word int", make)
 
     found = block(0)
     for number in range(1, blocks):

@@ -12,13 +12,13 @@ import html
 import random
 import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from watchtide.llm import common
+
 SAMPLE_PAGES = 400  # pages that the network is fitted on, at most
 COMPOSED = 500  # further training pages, composed from the blocks of the sample
 PATH_SIZE, WORD_SIZE, HIDDEN = 96, 24, 16
@@ -358,16 +358,16 @@ def extract(pages: DataFrame, weights: dict, id_col: str = "page_id", url_col: s
     A page that is null, empty or without main text gives the empty text.  Other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         features = Features()
-        for pdf in batches:
-            for at in range(0, len(pdf), 400):
-                part = pdf.iloc[at:at + 400]
-                found = [blocks(page) for page in part["html"]]
-                chosen = probabilities(weights, [features(f) for f in found])
-                kept = [[b.text for b, x in zip(f, p) if x > 0.5] for f, p in zip(found, chosen)]
-                yield pd.DataFrame({"page_id": part["page_id"].to_numpy(), "url": part["url"].to_numpy(), "text": ["\n".join(k) for k in kept],
-                                    "n_blocks": [len(f) for f in found], "n_kept": [len(k) for k in kept]})
+
+        def run(found: list[str | None]) -> tuple[None, list]:
+            parsed = [blocks(page) for page in found]
+            chosen = probabilities(weights, [features(f) for f in parsed])
+            kept = [[b.text for b, x in zip(f, p) if x > 0.5] for f, p in zip(parsed, chosen)]
+            return None, [["\n".join(k) for k in kept], [len(f) for f in parsed], [len(k) for k in kept]]
+
+        return run
 
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return slim.mapInPandas(run, "page_id long, url string, text string, n_blocks int, n_kept int")
+    return common.map_column(slim, "html", "text string, n_blocks int, n_kept int", make, rows=300)

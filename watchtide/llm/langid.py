@@ -9,11 +9,9 @@ same wherever it stands and each distinct word is computed once per task.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from watchtide.llm import common
@@ -165,29 +163,31 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Only the text is read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         place: dict[bytes, int] = {}
         table = np.zeros((0, len(model.languages) + 1), np.float32)
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at:at + 1000]
-                lists = [words_of(t) if model.languages and LETTER.search(t) else [] for t in part["text"]]
-                if len(place) > KNOWN_WORDS:
-                    place, table = {}, table[:0]
-                new = list(set().union(*lists) - place.keys())
-                if new:
-                    place.update(zip(new, range(len(place), len(place) + len(new))))
-                    table = np.concatenate([table, model.word_sums(new)])
-                pred, score = [], []
-                for words in lists:
-                    if not words:
-                        pred.append("und")
-                        score.append(0.0)
-                        continue
-                    sums = table[np.fromiter(map(place.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
-                    best = int(sums[:-1].argmax())
-                    pred.append(model.languages[best])
-                    score.append(min(1.0, float(sums[best] / sums[-1])))
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang_pred": pred, "score": score})
-
-    return common.texts_of(docs, id_col, text_col).mapInPandas(run, "doc_id long, lang_pred string, score double")
+
+        def run(texts: list[str]) -> tuple[None, list]:
+            nonlocal place, table
+            lists = [words_of(t) if model.languages and LETTER.search(t) else [] for t in texts]
+            if len(place) > KNOWN_WORDS:
+                place, table = {}, table[:0]
+            new = list(set().union(*lists) - place.keys())
+            if new:
+                place.update(zip(new, range(len(place), len(place) + len(new))))
+                table = np.concatenate([table, model.word_sums(new)])
+            pred, score = [], []
+            for words in lists:
+                if not words:
+                    pred.append("und")
+                    score.append(0.0)
+                    continue
+                sums = table[np.fromiter(map(place.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
+                best = int(sums[:-1].argmax())
+                pred.append(model.languages[best])
+                score.append(min(1.0, float(sums[best] / sums[-1])))
+            return None, [pred, score]
+
+        return run
+
+    return common.map_column(common.texts_of(docs, id_col, text_col), "text", "lang_pred string, score double", make)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,17 +50,19 @@ class Words(dict):
         return found
 
 
+def rolling(parts: list[bytes], size: int, words: Words) -> np.ndarray:
+    """64-bit hashes of every run of ``size`` words, in order."""
+    hashes = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
+    total = np.full(max(0, len(parts) - size + 1), size, np.uint64)
+    for i in range(size if len(total) else 0):
+        total = total * _K + hashes[i:len(parts) - size + 1 + i]
+    return _mix(total)
+
+
 def shingles(text: str, words: Words, size: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words than one shingle has are one shingle."""
     parts = text.encode("utf-8", "replace").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
-    n = min(size, len(parts))
-    total = np.full(len(parts) - n + 1, n, np.uint64)
-    for i in range(n):
-        total = total * _K + hashes[i:len(parts) - n + 1 + i]
-    return np.unique(_mix(total))
+    return np.unique(rolling(parts, min(size, len(parts)), words)) if parts else np.zeros(0, np.uint64)
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -109,7 +111,7 @@ def signatures(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def _owned(values: np.ndarray, bits: int, owners: int) -> Iterator[tuple[int, slice, np.ndarray]]:
+def owned(values: np.ndarray, bits: int, owners: int) -> Iterator[tuple[int, slice, np.ndarray]]:
     """Owner, place and offsets inside the owner's range, for sorted values of ``bits`` bits."""
     span = -(-(1 << bits) // owners)
     owner = (values // np.uint64(span)).astype(np.int64)
@@ -124,15 +126,24 @@ def _sets(texts: pd.Series) -> Iterator[np.ndarray]:
         yield shingles(text, words)
 
 
-def frequencies(chunked: DataFrame, bits: int, owners: int) -> DataFrame:
-    """Answers (chunk, owner, classes) to the distinct shingle hashes that the chunks sent, in their order."""
+def frequencies(chunked: DataFrame, bits: int, owners: int, sets: Callable[[pd.Series], Iterator[np.ndarray]] = _sets,
+                copies: int = 1) -> DataFrame:
+    """Answers (chunk, owner, classes) to the distinct hashes that the chunks sent, in their order: the rounded-down
+    logarithm of the number of sets that hold each.  Equal sets of a chunk count up to ``copies`` times.
+    """
     span, shift = -(-(1 << bits) // owners), np.uint64(64 - bits)
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        distinct = {set_id(s): s >> shift for s in _sets(pdf["text"]) if len(s)}
+        seen, lists = {}, []
+        for s in sets(pdf["text"]):
+            if len(s):
+                key = set_id(s)
+                seen[key] = seen.get(key, 0) + 1
+                if seen[key] <= copies:
+                    lists.append(s >> shift)
         rows, chunk = [], int(pdf["chunk"].iloc[0])
-        if distinct:
-            for owner, _, offsets in _owned(np.sort(np.concatenate(list(distinct.values()))), bits, owners):
+        if lists:
+            for owner, _, offsets in owned(np.sort(np.concatenate(lists)), bits, owners):
                 width = common.rice_width(span, len(offsets))
                 rows.append((chunk, owner, len(offsets), width, common.rice_encode(offsets, width)))
         return pd.DataFrame(rows, columns=["chunk", "owner", "n", "width", "blob"])
@@ -148,8 +159,15 @@ def frequencies(chunked: DataFrame, bits: int, owners: int) -> DataFrame:
     return sent.groupBy("owner").applyInPandas(answer, "chunk long, owner int, classes binary")
 
 
+def classes_of(every: np.ndarray, bits: int, owners: int, replies: pd.DataFrame) -> np.ndarray:
+    """The answered classes of a chunk's sorted distinct hashes."""
+    known = dict(zip(replies["owner"], replies["classes"]))
+    parts = [np.frombuffer(zlib.decompress(known[o]), np.uint8) for o, _, _ in owned(every, bits, owners)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
 # one table with three kinds of rows: documents (kind 0), signature blocks (1), texts of indexed sets (2)
-INDEXED = "kind int, doc_id long, set_id long, n int, text string, owner int, width int, blob binary, members binary"
+INDEXED = "kind int, doc_id string, set_id long, n int, text string, owner int, width int, blob binary, members binary"
 
 
 def index(chunked: DataFrame, answers: DataFrame, bits: int, sig_bits: int, owners: int) -> DataFrame:
@@ -159,12 +177,11 @@ def index(chunked: DataFrame, answers: DataFrame, bits: int, sig_bits: int, owne
     def run(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         sets = list(_sets(pdf["text"]))
         ids = [set_id(s) if len(s) else None for s in sets]
-        rows = [(0, None if pd.isna(d) else int(d), i, len(s), None, None, None, None, None) for d, i, s in zip(pdf["doc_id"], ids, sets)]
+        rows = [(0, d, i, len(s), None, None, None, None, None) for d, i, s in zip(pdf["doc_id"], ids, sets)]
         distinct = {i: k for k, i in enumerate(ids) if i is not None}
         if distinct:
             every = np.unique(np.concatenate([sets[k] for k in distinct.values()]) >> shift)
-            known = dict(zip(replies["owner"], replies["classes"]))
-            classes = np.concatenate([np.frombuffer(zlib.decompress(known[o]), np.uint8) for o, _, _ in _owned(every, bits, owners)])
+            classes = classes_of(every, bits, owners, replies)
             texts, sigs, holders = pdf["text"].to_numpy(), [], []
             for i, k in distinct.items():
                 own = np.unique(signatures(sets[k], classes[np.searchsorted(every, sets[k] >> shift)]) >> sig_shift)
@@ -176,12 +193,12 @@ def index(chunked: DataFrame, answers: DataFrame, bits: int, sig_bits: int, owne
                 sigs, holders = np.concatenate(sigs), np.concatenate(holders)
                 order = np.argsort(sigs, kind="stable")
                 sigs, holders = sigs[order], holders[order]
-                for owner, place, offsets in _owned(sigs, sig_bits, owners):
+                for owner, place, offsets in owned(sigs, sig_bits, owners):
                     width, (who, which) = common.rice_width(span, len(offsets)), np.unique(holders[place], return_inverse=True)
                     head = np.array([len(who)], "<i4").tobytes() + np.array([ids[k] for k in who], "<i8").tobytes() + np.array(
                         [len(sets[k]) for k in who], "<i4").tobytes() + which.astype("<u2" if len(who) < 1 << 16 else "<u4").tobytes()
                     rows.append((1, None, None, len(offsets), None, owner, width, common.rice_encode(offsets, width), head))
-        whole = {"kind", "doc_id", "set_id", "n", "owner", "width"}  # pandas would make floats of integers beside nulls
+        whole = {"kind", "set_id", "n", "owner", "width"}  # pandas would make floats of integers beside nulls
         return pd.DataFrame({c: pd.array(v, "Int64") if c in whole else pd.Series(v, dtype=object) for c, v in zip(columns, zip(*rows))})
 
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, INDEXED)
@@ -274,10 +291,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
     chunks = max(common.shuffle_partitions(spark), -(-size // chunk_bytes))
     owners = common.owners_for(spark, size // 6, 1 << 22)
     bits = min(60, max(20, int(np.log2(size + 1)) + 6))  # one in some hundred shingles shares its hash by chance
-    chunked = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text")
+    chunked = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     made = common.staged(index(chunked, frequencies(chunked, bits, owners), bits, min(62, bits + 12), owners), "ngram-index")
 
-    rows = made.where("kind = 0").select("doc_id", "set_id", "n")
+    rows = made.where("kind = 0").select(F.col("doc_id").cast("long").alias("doc_id"), "set_id", "n")
     bodies = made.where("kind = 2").groupBy(F.col("set_id").alias("member")).agg(F.any_value("text").alias("text"))
     bodies = common.staged(bodies, "ngram-bodies")
     grouped = common.staged(groups(made.where("kind = 1").select("owner", "n", "width", "blob", "members")), "ngram-groups")

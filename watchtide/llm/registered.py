@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from watchtide.llm import bpe, common, decontaminate, exact_dedup, html_text, langid, ngram_join, token_planes, toxicity, warc
+from watchtide.llm import bpe, common, decontaminate, exact_dedup, html_text, langid, ngram_join, substring_dedup, token_planes, toxicity, warc
 from watchtide.session import tune
 
 QUERIES: dict = {}
@@ -99,3 +99,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -191,18 +191,16 @@ def _calibrate(lexicon: Lexicon, sample: DataFrame) -> None:
 
 
 def _scored(rows: DataFrame, lexicon: Lexicon, raw: bool = False) -> DataFrame:
-    extra = rows.columns[2:]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         machine = automaton(lexicon)
-        for pdf in batches:
-            score = np.array([raw_score(fold(t), machine) for t in pdf["text"]], float)
-            if not raw:
-                score = 1 / (1 + np.exp(-np.clip(lexicon.slope * score + lexicon.offset, -30, 30)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": score} | {c: pdf[c] for c in extra})
-
-    kept = "".join(f", {c} int" for c in extra)
-    return rows.mapInPandas(run, f"doc_id long, score double{kept}")
+
+        def run(texts: list[str]) -> tuple[None, list]:
+            score = np.array([raw_score(fold(t), machine) for t in texts], float)
+            return None, [score if raw else 1 / (1 + np.exp(-np.clip(lexicon.slope * score + lexicon.offset, -30, 30)))]
+
+        return run
+
+    return common.map_column(rows, "text", "score double", make)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, id_col: str = "doc_id",
