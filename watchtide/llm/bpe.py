@@ -13,9 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-
-from watchtide.llm import common
+from pyspark.sql import DataFrame, functions as F
 
 #: Between a visible character and one space that a visible character follows: every alternative of the pattern that
 #: can match the space begins there, and none that matches the character goes on into white space.
@@ -44,8 +42,13 @@ def pieces(text: str, size: int) -> Iterator[str]:
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, piece_chars: int = 1 << 15, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) per row.  A null or empty text has no ids; special tokens are ordinary text."""
+           text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids array<int>, and the columns ``keep``) per row.
+
+    A null or empty text has no ids; special tokens are ordinary text; an empty table gives an empty result.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    names = ["doc_id", *keep, "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_path, pattern)
@@ -53,30 +56,31 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, piece_chars: int = 1 <
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 lists = []
-                for text in part.column(1).to_pylist():
+                for text in part.column("_text").to_pylist():
                     ids: list[int] = []
                     for piece in pieces(text, piece_chars):
                         ids += enc.encode_ordinary(piece)
                     lists.append(np.array(ids, np.int32))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))],
-                    names=["doc_id", "ids"])
+                    [*(part.column(c) for c in names[:-1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))], names=names)
 
-    return common.texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts.mapInArrow(run, "".join(f"{c} {texts.schema[c].dataType.simpleString()}, " for c in names[:-1]) + "ids array<int>")
 
 
 def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """``encoded`` (doc_id, ids) with ``decoded``, the raw bytes of the ids; they need not be valid UTF-8."""
+    """``encoded``, which has ``ids``, with ``decoded``: the raw bytes of the ids, which need not be valid UTF-8."""
+    names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                lists = part.column(1)
+                lists = part.column("ids")
                 flat, ends = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
                 raw = [enc.decode_bytes(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(raw, pa.binary())], names=[*names, "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in encoded.schema.fields)
+    return encoded.mapInArrow(run, kept + "decoded binary")

@@ -21,6 +21,7 @@ SEGMENT = 32  # longest run of bytes that shares a state; longer words continue
 SAMPLE_DOCS = 4000  # labelled documents the network is fitted on, at most
 WORDS_PER_LANGUAGE = 20_000
 EPOCHS = 3
+NONE = "und"  # what a text without a letter gets
 LETTER = re.compile(r"[^\W\d_]")
 KNOWN_WORDS = 200_000  # words whose sums a task remembers
 
@@ -156,12 +157,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     return fit(sorted((r["text"], r["lang"]) for r in rows))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) per row: the language with the largest mean probability over all byte positions.
-
-    Texts that are null, empty or without a letter, and any text when nothing was learned, give 'und' and score 0.
-    Only the text is read.
-    """
+def labeller(model: Model):
+    """For ``map_column``: a task's function from texts to languages and scores."""
 
     def make():
         place: dict[bytes, int] = {}
@@ -179,7 +176,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             pred, score = [], []
             for words in lists:
                 if not words:
-                    pred.append("und")
+                    pred.append(NONE)
                     score.append(0.0)
                     continue
                 sums = table[np.fromiter(map(place.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
@@ -190,4 +187,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
         return run
 
-    return common.map_column(common.texts_of(docs, id_col, text_col), "text", "lang_pred string, score double", make)
+    return make
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) per row: the language with the largest mean probability over all byte positions.
+
+    Texts that are null, empty or without a letter, and any text when nothing was learned, give 'und' and score 0.
+    Only the text is read.
+    """
+
+    return common.map_column(common.texts_of(docs, id_col, text_col), "text", "lang_pred string, score double", labeller(model))
