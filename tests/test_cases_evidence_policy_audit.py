@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from watchtide import fixed
 from watchtide.functions import text
 from watchtide.operators import approvals, audit, cases, evidence, grounding, metrics, policy
+from watchtide.session import cut_lineage
 
 
 def test_pii_and_injection(spark):
@@ -141,7 +142,7 @@ def test_disruptive_approval_needs_rank(spark):
 
 def test_audit_chain_detects_edit_removal_and_reorder(spark):
     rows = spark.createDataFrame([(i, f'{{"n":{i}}}') for i in range(1, 301)], "sequence long, content string")
-    chain = audit.append_events(rows, levels=3, block=16)
+    chain = audit.append_events(rows, block=16)
     assert audit.verify(chain, 16).first().asDict() == {"valid": True, "events_checked": 300, "first_broken_sequence": None, "detail": "chain intact"}
     edited = chain.withColumn("content", F.when((F.col("level") == 0) & (F.col("sequence") == 77), F.lit("{}")).otherwise(F.col("content")))
     r = audit.verify(edited, 16).first()
@@ -154,6 +155,34 @@ def test_audit_chain_detects_edit_removal_and_reorder(spark):
     assert chain.where("level = 1").count() == 19 and chain.where("level = 2").count() == 2
 
 
+def test_audit_chain_detects_whole_blocks(spark):
+    rows = spark.createDataFrame([(i, f'{{"n":{i}}}') for i in range(1, 257)], "sequence long, content string")
+    chain = cut_lineage(audit.append_events(rows, block=64))
+    good = audit.verify(chain, 64).first()
+    assert good.valid and good.events_checked == 256
+    r = audit.verify(chain.where("NOT (level = 0 AND sequence BETWEEN 65 AND 128)"), 64).first()
+    assert (r.valid, r.first_broken_sequence, r.events_checked) == (False, 65, 64)
+    own = chain.where("level = 0 AND sequence BETWEEN 65 AND 128").select("level", "sequence", F.lit("{}").alias("content"))
+    forged = audit._chain(own, 64).withColumn("segment", F.lit(1)).select(chain.columns)
+    r = audit.verify(chain.where("NOT (level = 0 AND sequence BETWEEN 65 AND 128)").unionByName(forged), 64).first()
+    assert (r.valid, r.first_broken_sequence) == (False, 128) and "block hash" in r.detail
+    assert not audit.verify(chain.where("NOT (level = 0 AND sequence > 200)"), 64).first().valid
+    assert not audit.verify(chain.where("level <> 1"), 64).first().valid
+    assert not audit.verify(chain.where("level <> -1"), 64).first().valid
+    # everything of the last segment gone: only the head kept elsewhere shows it
+    more = spark.createDataFrame([(i, f'{{"n":{i}}}') for i in range(257, 300)], "sequence long, content string")
+    both = cut_lineage(chain.unionByName(audit.append_events(more, 64, audit.last_head(chain))))
+    head = audit.last_head(both)
+    assert head[:2] == (2, 299) and audit.verify(both, 64, head).first().asDict() == {
+        "valid": True, "events_checked": 299, "first_broken_sequence": None, "detail": "chain intact"}
+    assert audit.verify(both.where("segment = 1"), 64).first().valid
+    assert not audit.verify(both.where("segment = 1"), 64, head).first().valid
+    r = audit.verify(both.where("segment = 2"), 64).first()
+    assert not r.valid
+    edited = both.withColumn("content", F.when((F.col("level") == 0) & (F.col("sequence") == 270), F.lit("{}")).otherwise(F.col("content")))
+    assert audit.verify(edited, 64).first().first_broken_sequence == 270
+
+
 def test_linear_chain_written_elsewhere(spark):
     import hashlib
     prev, out = fixed.GENESIS_HASH, []

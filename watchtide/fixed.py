@@ -149,6 +149,8 @@ INJECTION_TOKEN = "[REDACTED_SUSPECTED_INSTRUCTION]"
 EVIDENCE_TEXT_LIMIT = 1500
 EVIDENCE_KINDS = ["case", "alert", "event", "node"]
 MAX_EVIDENCE_ITEMS = 40
+EVENTS_PER_ENTITY = 10
+DIGEST_EDGES = 8
 CITATION_PATTERN = r"\[([A-Za-z0-9_-]+)\]"
 TECHNIQUE_OBJECTIVES = [
     ("T1486", "ransomware_deployment"),

@@ -21,12 +21,16 @@ def neutralize(text: Column) -> Column:
     return text
 
 
-def sanitize(text: Column) -> Column:
-    """Struct (clean, flagged): masked, neutralized and cut text, and whether any pattern was found."""
+def sanitize(text: Column, limit: int | None = None) -> Column:
+    """Struct (clean, flagged, left_out): masked and neutralized text, and whether any pattern was found.
+
+    With ``limit`` the text is cut to so many characters and ``left_out`` counts those behind.
+    """
     masked = redact_pii(text)
     clean = neutralize(masked)
-    return F.struct(F.substring(clean, 1, fixed.EVIDENCE_TEXT_LIMIT).alias("clean"),
-                    F.coalesce(clean != masked, F.lit(False)).alias("flagged"))
+    kept = clean if limit is None else F.substring(clean, 1, limit)
+    return F.struct(kept.alias("clean"), F.coalesce(clean != masked, F.lit(False)).alias("flagged"),
+                    (F.length(clean) - F.length(kept)).alias("left_out"))
 
 
 def sentences(text: Column) -> Column:

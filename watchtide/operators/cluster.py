@@ -24,75 +24,43 @@ def signatures(alerts: DataFrame, t: str = "ts_us") -> DataFrame:
     """Alerts with equal item sets in one window-wide bucket, folded to one row.
 
     ``alerts``: tenant_id, alert_id, t and ``items`` (distinct entity and technique ids).  Equal sets
-    overlap fully, so all alerts of such a row belong together.
+    overlap fully, so all alerts of such a row belong together.  An alert without items overlaps with
+    nothing and gets a signature of its own.
     """
-    items = F.array_sort(F.array_distinct("items"))
+    items = F.array_sort(F.array_distinct(F.coalesce("items", F.array().cast("array<string>"))))
     base = alerts.withColumn("items", items).withColumn("bucket", F.floor(F.col(t) / WINDOW).cast("long"))
-    base = base.withColumn("sig", F.sha2(F.concat_ws("\x1f", F.col("tenant_id"), F.col("bucket").cast("string"), F.concat_ws("\x1f", "items")), 256))
+    base = base.withColumn("sig", F.sha2(F.concat_ws("\x1f", F.col("tenant_id"), F.col("bucket").cast("string"), F.concat_ws("\x1f", "items"),
+        F.when(F.size("items") == 0, F.col("alert_id").cast("string"))), 256))
     return base
 
 
 def overlap_links(sigs: DataFrame, threshold: float = fixed.OVERLAP_THRESHOLD) -> DataFrame:
-    """Links (a, b) between signature rows whose closure equals that of all overlapping alert pairs.
+    """(a, b, jaccard): overlapping signature rows of one bucket, or of two neighboring ones within the window.
 
-    Two item sets reach the threshold exactly when they share ``o`` items with
-    |A| + |B| <= o * (1 + 1/threshold).  Rows are grouped by every o-item subset they hold.  Inside a
-    group and bucket the smallest set overlaps with every set that overlaps with anything, so one link
-    to it is enough; across neighboring buckets each row links to the smallest set it can still reach
-    in time, in both directions.  The number of links is linear in (row, subset), and no list of pairs
-    is ever made.
+    Items are ordered rarest first; two sets that reach the threshold share an item among the first
+    n - ceil(threshold * n) + 1 of each, so only these are joined on.  An item that most alerts carry
+    comes last and is hardly ever a key.  Sizes and times are compared before the items are.
 
     ``sigs``: tenant_id, sig, bucket, items, lo, hi (first and last time).
     """
-    sized = sigs.withColumn("size", F.size("items")).where("size > 0")
-    reach = 1.0 + 1.0 / threshold
-    largest = sized.agg(F.max("size")).first()[0] or 0
-    steps = 1
-    while int(steps * reach + 1e-9) < 2 * largest:
-        steps += 1
-    links = None
-    for shared in range(1, steps + 1):
-        limit = int(shared * reach + 1e-9)
-        lower = int((shared - 1) * reach + 1e-9)
-        # a set of size s needs `shared` common items only with partners that make lower < s + s' <= limit
-        rows = sized.where((F.col("size") >= shared) & (F.col("size") + F.lit(shared) <= limit) & (F.col("size") + largest > lower))
-        keyed = rows.withColumn("key", F.explode(_subsets("items", shared)))
-        part = _group_links(keyed, limit)
-        links = part if links is None else links.unionByName(part)
-    return links.distinct()
-
-
-def _subsets(items: str, n: int) -> Column:
-    """All n-item subsets of an array column as joined strings."""
-    out = F.transform(F.col(items), lambda x, i: F.struct(x.alias("k"), i.alias("i")))
-    for _ in range(n - 1):
-        out = F.flatten(F.transform(out, lambda p: F.transform(
-            F.filter(F.transform(F.col(items), lambda y, j: F.struct(y.alias("k"), j.alias("i"))), lambda q: q["i"] > p["i"]),
-            lambda q: F.struct(F.concat_ws("\x1f", p["k"], q["k"]).alias("k"), q["i"].alias("i")))))
-    return F.transform(out, lambda p: p["k"])
-
-
-def _group_links(keyed: DataFrame, limit: int) -> DataFrame:
-    """Links among rows that share ``key``; see :func:`overlap_links`."""
-    group = ["tenant_id", "key"]
-    me = F.struct("size", "sig")
-    center = keyed.groupBy(*group, "bucket").agg(F.min(me).alias("c"))
-    star = keyed.join(center, [*group, "bucket"]).where(
-        (F.col("size") + F.col("c.size") <= limit) & (F.col("sig") != F.col("c.sig"))).select(
-        F.col("sig").alias("a"), F.col("c.sig").alias("b"))
-    # smallest set of the next bucket that starts no later than one window after my last alert
-    asks = keyed.select(*group, F.col("bucket").alias("slot"), "sig", "size", (F.col("hi") + WINDOW).alias("t"), F.lit(1).alias("o"))
-    gives = keyed.select(*group, (F.col("bucket") - 1).alias("slot"), "sig", "size", F.col("lo").alias("t"), F.lit(0).alias("o"))
-    ahead = Window.partitionBy(*group, "slot").orderBy("t", "o").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    forward = asks.unionByName(gives).withColumn("best", F.min(F.when(F.col("o") == 0, me)).over(ahead))
-    # smallest set of the previous bucket that ends no earlier than one window before my first alert
-    asks = keyed.select(*group, F.col("bucket").alias("slot"), "sig", "size", (F.col("lo") - WINDOW).alias("t"), F.lit(1).alias("o"))
-    gives = keyed.select(*group, (F.col("bucket") + 1).alias("slot"), "sig", "size", F.col("hi").alias("t"), F.lit(0).alias("o"))
-    behind = Window.partitionBy(*group, "slot").orderBy(F.col("t").desc(), "o").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    backward = asks.unionByName(gives).withColumn("best", F.min(F.when(F.col("o") == 0, me)).over(behind))
-    across = forward.unionByName(backward).where(
-        (F.col("o") == 1) & F.col("best").isNotNull() & (F.col("size") + F.col("best.size") <= limit))
-    return star.unionByName(across.select(F.col("sig").alias("a"), F.col("best.sig").alias("b")))
+    sized = sigs.select("tenant_id", "sig", "bucket", "items", "lo", "hi", F.size("items").alias("size")).where("size > 0")
+    each = sized.select("tenant_id", "sig", F.explode("items").alias("item"))
+    ranked = each.join(each.groupBy("tenant_id", "item").agg(F.count("*").alias("n")), ["tenant_id", "item"])
+    order = ranked.groupBy("tenant_id", "sig").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("o"))  # the items of one row
+    keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
+    keyed = sized.join(order, ["tenant_id", "sig"]).withColumn(
+        "key", F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["item"]))).drop("o")
+    early = keyed.withColumn("slot", F.explode(F.array("bucket", F.col("bucket") + 1))).select(
+        "tenant_id", "key", "slot", *[F.col(c).alias(f"{c}_a") for c in ("sig", "bucket", "items", "hi", "size")])
+    late = keyed.select("tenant_id", "key", F.col("bucket").alias("slot"), *[F.col(c).alias(f"{c}_b") for c in ("sig", "items", "lo", "size")])
+    same = (F.col("bucket_a") == F.col("slot")) & (F.col("sig_a") < F.col("sig_b"))
+    next_ = (F.col("bucket_a") < F.col("slot")) & (F.col("lo_b") - F.col("hi_a") <= WINDOW)
+    fits = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9
+    common = F.size(F.array_intersect("items_a", "items_b"))
+    jaccard = common / (F.col("size_a") + F.col("size_b") - common)
+    pairs = early.join(late, ["tenant_id", "key", "slot"]).where((same | next_) & fits)
+    return pairs.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"), jaccard.alias("jaccard")).where(
+        F.col("jaccard") >= threshold).distinct()
 
 
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -45,10 +45,12 @@ def alert_items(case_alerts: DataFrame) -> DataFrame:
                  techniques=F.col("technique_ids"), score=F.col("calibrated_score"))
 
 
-def last_events(case_entities: DataFrame, observations: DataFrame, entities: int = 6, events: int = 10) -> DataFrame:
-    """Newest ``events`` observations of the first ``entities`` entities of each case."""
+def last_events(case_entities: DataFrame, observations: DataFrame, events: int, entities: int | None = None) -> DataFrame:
+    """Newest ``events`` observations of every entity of each case, or of its first ``entities``."""
     w = Window.partitionBy("case_id").orderBy("entity_id")
-    first = case_entities.withColumn("entity_rank", F.row_number().over(w)).where(F.col("entity_rank") <= entities)
+    first = case_entities.withColumn("entity_rank", F.row_number().over(w))
+    if entities is not None:
+        first = first.where(F.col("entity_rank") <= entities)
     recent = Window.partitionBy("node_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
     last = observations.withColumn("event_rank", F.row_number().over(recent)).where(F.col("event_rank") <= events)
     return first.join(last, first["entity_id"] == last["node_id"]).drop("node_id")
@@ -70,8 +72,8 @@ def node_items(digests: DataFrame) -> DataFrame:
     return _item(digests.where("digest <> ''"), "node", summary, F.lit("graph_builder"), payload, F.col("entity_id"))
 
 
-def neighborhood_digest(edges: DataFrame, first: int = 8, suffix: int = 8) -> DataFrame:
-    """Per node ``type->suffix of the other end`` of its first edges, and its edge count.
+def neighborhood_digest(edges: DataFrame, first: int) -> DataFrame:
+    """Per node ``type->other end`` of its ``first`` edges, and its whole edge count.
 
     ``row_number <= first`` is applied inside each task before the shuffle, so hubs stay cheap.
     """
@@ -80,7 +82,7 @@ def neighborhood_digest(edges: DataFrame, first: int = 8, suffix: int = 8) -> Da
     counts = adj.groupBy("node").agg(F.count("*").alias("edge_count"))
     w = Window.partitionBy("node").orderBy("edge_id", "other")
     top = adj.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= first)
-    label = F.concat(F.col("edge_type"), F.lit("->"), F.substring("other", -suffix, suffix))
+    label = F.concat(F.col("edge_type"), F.lit("->"), F.col("other"))
     text = top.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("_r", label.alias("s")))).alias("l"))
     return text.select(F.col("node").alias("entity_id"), joined(F.transform("l", lambda x: x["s"]), ", ").alias("digest")).join(
         counts.withColumnRenamed("node", "entity_id"), "entity_id")
@@ -94,15 +96,19 @@ def finish_items(*parts: DataFrame) -> DataFrame:
     out = out.withColumn("s", sanitize(F.col("summary")))
     out = out.withColumn("summary", F.col("s.clean")).withColumn("flagged", F.col("s.flagged")).drop("s")
     return out.withColumn("evidence_id", F.concat(
-        F.col("kind"), F.lit("-"), stable_hash(F.concat("summary", F.substring("payload", 1, 200)))))
+        F.col("kind"), F.lit("-"), stable_hash(F.concat("summary", "payload"))))
 
 
-def rank_items(items: DataFrame, limit: int = fixed.MAX_EVIDENCE_ITEMS) -> DataFrame:
-    """First ``limit`` items per case by kind, then position."""
+def rank_items(items: DataFrame, limit: int | None = None) -> DataFrame:
+    """Items per case by kind, then position; with ``limit`` the first ones, and how many the case left out."""
     kind = F.array_position(F.array(*[F.lit(k) for k in fixed.EVIDENCE_KINDS]), F.col("kind"))
     prio = F.when(kind > 0, kind - 1).otherwise(F.lit(9))
     w = Window.partitionBy("case_id").orderBy(prio, "pos", "evidence_id")
-    return items.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    ranked = items.withColumn("rank", F.row_number().over(w))
+    if limit is None:
+        return ranked
+    sizes = items.groupBy("case_id").agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("left_out"))
+    return ranked.where(F.col("rank") <= limit).join(sizes, "case_id")
 
 
 def injection_flags(items: DataFrame) -> DataFrame:
@@ -120,12 +126,15 @@ def likely_objective(techniques: Column, score: Column, has_alerts: Column) -> C
     return F.when(~has_alerts, F.lit("insufficient_evidence")).otherwise(first_match(pairs, rest))
 
 
-def template_report(ranked: DataFrame) -> DataFrame:
-    """Grounded report per case from its ranked evidence (at most the rank limit, so groups are small)."""
+def template_report(ranked: DataFrame, quotes: int = 3) -> DataFrame:
+    """Grounded report per case from its ranked evidence.
+
+    It quotes the case, the first ``quotes`` alerts and as many events; all items are counted in it.
+    """
     is_ = lambda k: F.col("kind") == k
     kind_rank = Window.partitionBy("case_id", "kind").orderBy("rank")
     rows = ranked.withColumn("kr", F.row_number().over(kind_rank))
-    quoted = any_of([is_("case") & (F.col("kr") <= 1), (is_("alert") | is_("event")) & (F.col("kr") <= 3)])
+    quoted = any_of([is_("case") & (F.col("kr") <= 1), (is_("alert") | is_("event")) & (F.col("kr") <= quotes)])
     cite = F.concat(F.col("summary"), F.lit(" ["), F.col("evidence_id"), F.lit("]"))
     tech = rows.select("case_id", "rank", "evidence_id", F.posexplode("technique_ids").alias("p", "technique_id")).groupBy(
         "case_id", "technique_id").agg(F.min_by(F.struct("rank", "p", "evidence_id"), F.struct("rank", "p")).alias("m"))
@@ -140,7 +149,7 @@ def template_report(ranked: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(is_("alert"), F.col("score"))), F.lit(0.0)).alias("top_score"),
         F.min(F.when(is_("event"), F.struct("rank", "evidence_id"))).alias("e1"),
         F.min(F.when(is_("node"), F.struct("rank", "evidence_id"))).alias("n1"),
-        ordered(F.when(is_("alert") & (F.col("kr") <= 3), F.struct("rank", F.col("evidence_id").alias("v")))).alias("alert_refs"))
+        ordered(F.when(is_("alert") & (F.col("kr") <= quotes), F.struct("rank", F.col("evidence_id").alias("v")))).alias("alert_refs"))
     out = base.join(mapping, "case_id", "left")
     techniques = F.coalesce(F.transform("attack_mapping", lambda m: m["technique_id"]), F.array().cast("array<string>"))
     asks = F.array_compact(F.array(

@@ -100,40 +100,55 @@ def edge_rows(events: DataFrame) -> DataFrame:
     ).withColumn("edge_id", edge_key(F.col("src_id"), F.col("edge_type"), F.col("dst_id")))
 
 
-def _upsert(rows: DataFrame, key: list[str], props: str) -> DataFrame:
+# names of the properties that nodes and edges can have
+NODE_PROPERTIES = ["display_name", "process_id", "host", "email_from", "email_to", "cloud_account"]
+EDGE_PROPERTIES = ["logon_type", "command_line", "dst_port"]
+
+
+def _latest_values(names: list[str], value, order) -> tuple[Column, Column]:
+    """Maps (properties, property_seen): of each name the latest value that was given and its order."""
+    seen = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.max(order(n)) for n in names]))
+    last = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.max_by(value(n), order(n)) for n in names]))
+    return F.map_filter(last, lambda k, v: v.isNotNull()), F.map_filter(seen, lambda k, v: v.isNotNull())
+
+
+def _upsert(rows: DataFrame, key: list[str], props: str, names: list[str]) -> DataFrame:
     order = F.struct("ts", "event_id")
+    merged, seen = _latest_values(names, lambda n: F.col(props)[n], lambda n: F.when(F.col(props)[n].isNotNull(), order))
     return rows.groupBy(*key).agg(
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("count"),
         F.min_by("source_confidence", order).alias("confidence"),
         F.array_sort(F.collect_set("source")).alias("sources"),
-        F.max_by(F.col(props), order).alias("properties"))
+        merged.alias("properties"), seen.alias("property_seen"))
 
 
 def upsert_nodes(rows: DataFrame) -> DataFrame:
-    """Current node table: first/last seen, count, first confidence, source set, latest properties."""
-    return _upsert(rows, ["node_id", "node_type", "tenant_id"], "properties").withColumn("labels", F.array("node_type"))
+    """Current node table: first/last seen, count, first confidence, source set, latest value of each property."""
+    return _upsert(rows, ["node_id", "node_type", "tenant_id"], "properties", NODE_PROPERTIES).withColumn("labels", F.array("node_type"))
 
 
 def upsert_edges(rows: DataFrame) -> DataFrame:
-    return _upsert(rows, ["edge_id", "src_id", "edge_type", "dst_id", "tenant_id"], "edge_props")
+    return _upsert(rows, ["edge_id", "src_id", "edge_type", "dst_id", "tenant_id"], "edge_props", EDGE_PROPERTIES)
 
 
 def merge_upserts(current: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
     """Combine two upserted tables of the same kind (used by the streaming sink)."""
     both = current.withColumn("_new", F.lit(0)).unionByName(delta.withColumn("_new", F.lit(1)))
     rest = [c for c in current.columns if c not in {
-        *key, "first_seen", "last_seen", "count", "confidence", "sources", "properties"}]
+        *key, "first_seen", "last_seen", "count", "confidence", "sources", "properties", "property_seen"}]
+    names = EDGE_PROPERTIES if "edge_id" in current.columns else NODE_PROPERTIES
+    merged, seen = _latest_values(names, lambda n: F.col("properties")[n], lambda n: F.col("property_seen")[n])
     out = both.groupBy(*key).agg(
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("count").alias("count"),
         F.min_by("confidence", F.struct("first_seen", "_new")).alias("confidence"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
-        F.max_by("properties", F.struct("last_seen", "_new")).alias("properties"),
+        merged.alias("properties"), seen.alias("property_seen"),
         *[F.first(c).alias(c) for c in rest])
     return out.select(*current.columns)
 
 
-def recent_observations(rows: DataFrame, key: str, limit: int = fixed.MAX_OBSERVATIONS) -> DataFrame:
-    """Latest observations per node or edge.
+def recent_observations(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """Latest ``limit`` observations per node or edge; ``rows`` itself is the whole history.
 
     ``row_number <= limit`` lets Spark keep only ``limit`` rows per key in each task before the
     shuffle, so a hub never sends its whole history anywhere.
@@ -142,7 +157,7 @@ def recent_observations(rows: DataFrame, key: str, limit: int = fixed.MAX_OBSERV
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def observation_lists(rows: DataFrame, key: str, limit: int = fixed.MAX_OBSERVATIONS) -> DataFrame:
+def observation_lists(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """Per key the latest observations, oldest first."""
     recent = recent_observations(rows, key, limit)
     return recent.groupBy(key).agg(F.reverse(F.transform(

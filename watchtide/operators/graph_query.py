@@ -66,10 +66,10 @@ def hop_distances(edges: DataFrame, origins: DataFrame, depth: int) -> DataFrame
     return state
 
 
-def neighborhood(edges: DataFrame, roots: DataFrame, depth: int = 1, limit: int | None = 100) -> tuple[DataFrame, DataFrame]:
+def neighborhood(edges: DataFrame, roots: DataFrame, depth: int = 1, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges within ``depth`` hops of each root, each stored edge once.
 
-    ``limit`` keeps the first edges per root by (hop, edge id); None returns all of them.
+    All of them, or with ``limit`` the first edges per root by (hop, edge id).
     """
     state = hop_distances(edges, roots, depth)
     nodes = state.select(F.col("origin").alias("root"), F.col("node").alias("node_id"), "dist")
@@ -140,42 +140,64 @@ def indicator_node(value: Column, tenant: Column) -> Column:
     return entity_id(kind, value, tenant)
 
 
-def entity_timeline(node_obs: DataFrame, edge_obs: DataFrame, limit: int = 200) -> DataFrame:
-    """Recent observations of each node and of the edges at it, newest ``limit`` per node."""
+def entity_timeline(node_obs: DataFrame, edge_obs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Observations of each node and of the edges at it; with ``limit`` the newest ones, ranked."""
     cols = ["ts", "event_id", "event_type", "source", "severity"]
     none = F.lit(None).cast("string")
     own = node_obs.select("node_id", *cols, none.alias("edge_id"))
     at = edge_obs.select(F.explode(F.array_distinct(F.array("src_id", "dst_id"))).alias("node_id"), *cols, "edge_id")
+    if limit is None:
+        return own.unionByName(at)
     w = Window.partitionBy("node_id").orderBy(F.col("ts").desc(), F.col("event_id").desc(), F.col("edge_id").desc_nulls_last())
     return own.unionByName(at).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def incident_rarity(edges: DataFrame, limit: int = 50) -> DataFrame:
-    """Per node: mean rarity over its first ``limit`` edges and the nodes that neighborhood holds."""
-    rows = adjacency(edges.select("edge_id", "edge_type", "src_id", "dst_id")).join(
-        edges.select("edge_id", "first_seen"), "edge_id")
-    w = Window.partitionBy("node").orderBy("first_seen", "edge_id")
-    first = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)
-    return first.join(edge_rarity(edges).select("edge_type", "rare_edge_score"), "edge_type").groupBy(
-        F.col("node").alias("node_id")).agg(
-        F.round(F.avg("rare_edge_score"), 3).alias("rare_edge_score"),
-        (F.count_distinct(F.when(F.col("other") != F.col("node"), F.col("other"))) + 1).alias("neighbor_count"))
+def incident_rarity(edges: DataFrame, adj: DataFrame | None = None) -> DataFrame:
+    """Per node: mean rarity over all its edges and the number of nodes in its neighborhood, itself included."""
+    by_type = (adjacency(edges) if adj is None else adj).groupBy("node", "edge_type", "other").agg(F.count("*").alias("n"))
+    scored = by_type.join(edge_rarity(edges).select("edge_type", "rare_edge_score"), "edge_type")
+    # scores have three decimals: the mean is rounded in whole thousandths, half up, whatever the order of the sum
+    thousandths = F.round(F.col("rare_edge_score") * 1000).cast("long")
+    ends = scored.groupBy("node", "other").agg(F.sum(thousandths * F.col("n")).alias("s"), F.sum("n").alias("n"))
+    return ends.groupBy(F.col("node").alias("node_id")).agg(
+        (F.expr("(2 * sum(s) + sum(n)) div (2 * sum(n))") / 1000.0).alias("rare_edge_score"),
+        (F.count_if(F.col("other") != F.col("node")) + 1).alias("neighbor_count"))
 
 
 def snapshot_features(events: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
     """Add graph features of each event's primary entity, as the finished graph shows them.
 
-    ``path_length`` is filled for events with intel matches; it is the distance to the nearest node
-    that any event's matched indicator points at.
+    ``path_length`` is filled for events with intel matches: the distance from the primary entity to
+    the nearest node that one of the event's own indicators points at, within ``max_depth``.
     """
+    edges = cut_lineage(edges.select("edge_id", "edge_type", "src_id", "dst_id"))
+    adj = cut_lineage(adjacency(edges))
     keyed = events.withColumn("node_id", primary_entity())
-    bad = events.select("tenant_id", F.explode("intel_matches").alias("v")).distinct().select(
-        indicator_node(F.col("v"), F.col("tenant_id")).alias("node_id")).distinct()
-    out = keyed.join(degrees(edges), "node_id", "left").join(incident_rarity(edges), "node_id", "left")
-    out = out.join(distance_to_bad(edges, bad, max_depth), "node_id", "left")
+    # one row per node, so that the hot ones are joined once
+    facts = degrees(edges).join(incident_rarity(edges, adj), "node_id", "left")
+    wanted = keyed.where("node_id IS NOT NULL").select("event_id", "node_id", "tenant_id", F.explode("intel_matches").alias("v")).select(
+        "event_id", F.col("node_id").alias("src"), indicator_node(F.col("v"), F.col("tenant_id")).alias("dst")).distinct()
+    lengths = path_lengths(adj, wanted.select("src", "dst").distinct(), max_depth)
+    own = wanted.join(lengths, ["src", "dst"]).groupBy("event_id").agg(F.min("length").alias("path_length"))
+    out = keyed.join(facts, "node_id", "left").join(own, "event_id", "left")
     return (out.withColumn("degree", F.coalesce("degree", F.lit(0)))
-            .withColumn("rare_edge_score", F.coalesce("rare_edge_score", F.lit(0.5)))
-            .withColumn("path_length", F.when(F.size("intel_matches") > 0, F.col("path_length"))))
+            .withColumn("rare_edge_score", F.coalesce("rare_edge_score", F.lit(0.5))))
+
+
+def path_lengths(adj: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
+    """(src, dst, length) of the pairs that are connected within ``max_depth`` undirected hops.
+
+    Both ends search half the depth and meet in the middle; only distances are kept.
+    """
+    links = cut_lineage(adj.select("node", "other").where("node <> other").distinct())
+    sides = []
+    for end, depth in (("src", (max_depth + 1) // 2), ("dst", max_depth // 2)):
+        state = pairs.select(F.col(end).alias("origin"), F.col(end).alias("node"), F.lit(0).alias("dist")).distinct()
+        for hop in range(1, depth + 1):
+            state = _spread(state, links, hop)
+        sides.append(state.select(F.col("origin").alias(end), "node", F.col("dist").alias(f"to_{end}")))
+    met = pairs.join(sides[0], "src").join(sides[1], ["dst", "node"])
+    return met.groupBy("src", "dst").agg(F.min(F.col("to_src") + F.col("to_dst")).alias("length"))
 
 
 def degree_as_of(reads: DataFrame, edges: DataFrame, t: str = "ts_us", width: int = DAY) -> DataFrame:
@@ -199,10 +221,15 @@ def degree_as_of(reads: DataFrame, edges: DataFrame, t: str = "ts_us", width: in
 
 
 def case_subgraph(case_entities: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 1,
-                  per_case: int = 10, limit: int | None = 100) -> tuple[DataFrame, DataFrame]:
-    """Union of the neighborhoods of each case's first ``per_case`` entities, without repeats."""
-    w = Window.partitionBy("case_id").orderBy("entity_id")
-    first = case_entities.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_case).drop("_r")
+                  per_case: int | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Union of the neighborhoods of each case's entities, without repeats.
+
+    ``per_case`` keeps the first entities of a case, ``limit`` the first edges of an entity.
+    """
+    first = case_entities
+    if per_case is not None:
+        w = Window.partitionBy("case_id").orderBy("entity_id")
+        first = first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_case).drop("_r")
     roots = first.select(F.col("entity_id").alias("node_id")).distinct()
     near, at = neighborhood(edges, roots, depth, limit)
     display = F.coalesce(F.try_element_at("properties", F.lit("display_name")), F.try_element_at("properties", F.lit("name")), F.col("node_id"))

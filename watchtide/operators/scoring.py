@@ -39,7 +39,7 @@ def heuristic(events: DataFrame, text: Column | None = None) -> DataFrame:
         F.when(critical, F.lit("high_criticality_asset")),
         F.when(native, F.concat(F.lit("native_severity_"), c("severity"))),
         F.when(intel > 0, F.lit("threat_intel_corroboration")),
-        F.when(damped, F.concat(F.lit("benign_admin_context:"), joined(F.slice("_benign", 1, 3)))),
+        F.when(damped, F.concat(F.lit("benign_admin_context:"), joined(F.col("_benign")))),
     )
     out = events.withColumn("_text", heuristic_text() if text is None else text).withColumn("_benign", benign)
     return (out.withColumn("heuristic_score", F.round(F.least(score, F.lit(1.0)), 3))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from watchtide import fixed
 from watchtide.functions.core import micros
 from watchtide.operators import (
     cases, cluster, detect, enrich, evidence, graph_build, grounding, ingest, metrics, normalize, policy)
@@ -30,12 +31,12 @@ def run(envelopes: DataFrame, indicators: DataFrame, hosts: DataFrame, users: Da
     case_rows = cases.cases_from_alerts(clustered)
     links = cases.case_alert_links(clustered)
     entities = cases.case_entity_links(clustered)
-    observations = graph_build.recent_observations(graph_build.node_rows(enriched), "node_id").drop("rank")
+    observations = graph_build.node_rows(enriched)
     edges = graph_build.upsert_edges(graph_build.edge_rows(enriched))
-    digests = entities.join(evidence.neighborhood_digest(edges), "entity_id")
+    digests = entities.join(evidence.neighborhood_digest(edges, first=fixed.DIGEST_EDGES), "entity_id")
     found = evidence.finish_items(
         evidence.case_items(case_rows), evidence.alert_items(cases.alerts_of_case(links, clustered.drop("cluster_id"))),
-        evidence.event_items(evidence.last_events(entities, observations)), evidence.node_items(digests))
+        evidence.event_items(evidence.last_events(entities, observations, events=fixed.EVENTS_PER_ENTITY)), evidence.node_items(digests))
     ranked = cut_lineage(evidence.rank_items(found))
     reports = grounding.assemble_reports(
         grounding.validate_reports(evidence.template_report(ranked), ranked.select("case_id", "evidence_id")), links)

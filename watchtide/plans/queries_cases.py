@@ -49,6 +49,23 @@ def cluster_overlap_degree(spark, sf):
         F.count("*").alias("n"), F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")).withColumn("items", joined(F.col("items")))
 
 
+@query("cluster_overlap_links", f"""WITH {_AL}, sig AS (SELECT tenant_id, floor(ts_us / {cluster.WINDOW})::BIGINT AS bucket, items, min(ts_us) AS lo, max(ts_us) AS hi FROM (SELECT * REPLACE (list_sort(items) AS items) FROM al) GROUP BY 1, 2, 3),
+x AS (SELECT *, array_to_string(items, ',') AS s FROM sig)
+SELECT least(x.s, y.s) AS low, greatest(x.s, y.s) AS high, x.tenant_id, x.bucket AS bucket_a, y.bucket AS bucket_b, round({_JAC}, 6) AS jaccard FROM x JOIN x y ON x.tenant_id = y.tenant_id
+ AND ((x.bucket = y.bucket AND x.s < y.s) OR (x.bucket + 1 = y.bucket AND y.lo - x.hi <= {cluster.WINDOW})) WHERE {_JAC} >= {fixed.OVERLAP_THRESHOLD}""")
+def cluster_overlap_links(spark, sf):
+    """Overlapping item sets with their Jaccard value."""
+    tagged = cluster.signatures(_alerts(spark, sf))
+    sigs = tagged.groupBy("tenant_id", "sig", "bucket").agg(
+        F.first("items").alias("items"), F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
+    named = sigs.select("sig", "tenant_id", "bucket", joined(F.col("items")).alias("s"))
+    links = cluster.overlap_links(sigs).join(named.toDF("a", "tenant_id", "bucket_a", "s_a"), "a").join(
+        named.drop("tenant_id").toDF("b", "bucket_b", "s_b"), "b")
+    return links.select(F.least("s_a", "s_b").alias("low"), F.greatest("s_a", "s_b").alias("high"), "tenant_id",
+                        F.least("bucket_a", "bucket_b").alias("bucket_a"), F.greatest("bucket_a", "bucket_b").alias("bucket_b"),
+                        F.round("jaccard", 6).alias("jaccard"))
+
+
 @query("cluster_greedy")
 def cluster_greedy(spark, sf):
     """Order-dependent clustering; checked against a replay in the tests."""
@@ -213,7 +230,7 @@ def _sql_clean(column: str) -> str:
 
 
 @query("evidence_injection", f"""WITH c AS (SELECT conv_id, turn, {_TURN} AS body FROM conversations)
-SELECT conv_id, turn, md5(substr({_sql_clean('body')}, 1, 1500)) AS clean, {_sql_clean('body')} <> {_MASK.replace('(text,', '(body,')} AS flagged FROM c""")
+SELECT conv_id, turn, md5({_sql_clean('body')}) AS clean, {_sql_clean('body')} <> {_MASK.replace('(text,', '(body,')} AS flagged FROM c""")
 def evidence_injection(spark, sf):
     rows = tel.read(spark, sf, "conversations").selectExpr("conv_id", "turn", f"{_TURN} AS body").withColumn("s", text.sanitize(F.col("body")))
     return rows.select("conv_id", "turn", F.md5("s.clean").alias("clean"), F.col("s.flagged").alias("flagged"))
@@ -236,13 +253,13 @@ def _evidence_items(spark, sf):
     obs = tel.event_rows(spark, sf).select("event_id", "event_type", "ts", F.lit("edr").alias("source"), F.lit("low").alias("severity"),
                                            F.explode(F.array(F.concat(F.lit("H"), F.col("k") % 40), F.concat(F.lit("U"), F.col("user_id") % 60))).alias("node_id"))
     obs = obs.withColumn("event_id", F.lpad(F.col("event_id").cast("string"), 9, "0"))
-    last = evidence.last_events(ents, obs)
+    last = evidence.last_events(ents, obs, events=10)
     return evidence.finish_items(evidence.case_items(cs), evidence.alert_items(al), evidence.event_items(last))
 
 
 _ITEMS = f"""{_CASE},
 en AS (SELECT DISTINCT concat('case-', cluster_id) AS case_id, unnest(items[1:2]) AS entity_id FROM cl),
-er AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY entity_id) AS entity_rank FROM en) WHERE entity_rank <= 6),
+er AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY entity_id) AS entity_rank FROM en)),
 ob AS (SELECT lpad(CAST(event_id AS VARCHAR), 9, '0') AS event_id, event_type, ts, unnest([concat('H', CAST(json_extract_string(props, '$.k') AS INT) % 40), concat('U', user_id % 60)]) AS node_id FROM events),
 orr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, event_id DESC) AS event_rank FROM ob) WHERE event_rank <= 10),
 it AS (SELECT case_id, 0 AS prio, 'case' AS kind, case_id AS pos, NULL AS ref FROM cs
@@ -255,7 +272,7 @@ def evidence_items(spark, sf):
     return _evidence_items(spark, sf).groupBy("case_id", "kind").agg(F.count("*").alias("items"), F.count_distinct("pos").alias("positions"))
 
 
-@query("evidence_rank", f"WITH {_ITEMS} SELECT case_id, kind, pos, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY prio, pos) AS rank FROM it) WHERE rank <= {fixed.MAX_EVIDENCE_ITEMS}")
+@query("evidence_rank", f"WITH {_ITEMS} SELECT case_id, kind, pos, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY prio, pos) AS rank FROM it)")
 def evidence_rank(spark, sf):
     return evidence.rank_items(_evidence_items(spark, sf)).select("case_id", "kind", "pos", "rank")
 
@@ -266,7 +283,7 @@ def evidence_last_events(spark, sf):
     ents = rows.select(cases.case_id(F.col("cluster_id")).alias("case_id"), F.explode(F.slice("items", 1, 2)).alias("entity_id")).distinct()
     obs = tel.event_rows(spark, sf).select(F.lpad(F.col("event_id").cast("string"), 9, "0").alias("event_id"), "ts",
                                            F.explode(F.array(F.concat(F.lit("H"), F.col("k") % 40), F.concat(F.lit("U"), F.col("user_id") % 60))).alias("node_id"))
-    return evidence.last_events(ents, obs).select("case_id", "entity_id", "event_id", "event_rank")
+    return evidence.last_events(ents, obs, events=10).select("case_id", "entity_id", "event_id", "event_rank")
 
 
 _NA = """nadj AS (SELECT concat('n', n_nationkey) AS node, concat('region-', n_regionkey) AS other, concat('n', n_nationkey, '|part_of|region-', n_regionkey) AS edge_id, 'part_of' AS edge_type FROM nation
@@ -276,12 +293,12 @@ _NA = """nadj AS (SELECT concat('n', n_nationkey) AS node, concat('region-', n_r
 
 
 @query("evidence_neighborhood_digest", f"""WITH {_NA}, r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY edge_id, other) AS rn, count(*) OVER (PARTITION BY node) AS edge_count FROM nadj)
-SELECT node AS entity_id, string_agg(concat(edge_type, '->', right(other, 8)), ', ' ORDER BY rn) AS digest, max(edge_count) AS edge_count FROM r WHERE rn <= 8 GROUP BY 1""")
+SELECT node AS entity_id, string_agg(concat(edge_type, '->', other), ', ' ORDER BY rn) AS digest, max(edge_count) AS edge_count FROM r WHERE rn <= 8 GROUP BY 1""")
 def evidence_neighborhood_digest(spark, sf):
     a = tel.read(spark, sf, "nation").selectExpr("concat('n', n_nationkey) AS src_id", "'part_of' AS edge_type", "concat('region-', n_regionkey) AS dst_id")
     b = tel.read(spark, sf, "customer").selectExpr("concat('customer', c_custkey) AS src_id", "'lives_in' AS edge_type", "concat('n', c_nationkey) AS dst_id")
     edges = a.unionByName(b).withColumn("edge_id", F.concat_ws("|", "src_id", "edge_type", "dst_id"))
-    return evidence.neighborhood_digest(edges)
+    return evidence.neighborhood_digest(edges, first=8)
 
 
 @query("evidence_objective", "WITH t AS (SELECT event_id, [x FOR x IN [CASE WHEN event_type = 'signup' THEN 'T1059.001' END, CASE WHEN user_id % 3 = 0 THEN 'T1566.002' END, CASE WHEN event_id % 7 = 0 THEN 'T1486' END, CASE WHEN event_id % 5 = 0 THEN 'T9999' END] IF x IS NOT NULL] AS techs, round(least(value / 250.0::DOUBLE, 1.0::DOUBLE), 4) AS score, event_id % 11 > 0 AS has_alerts FROM events), "
@@ -295,9 +312,9 @@ def evidence_objective(spark, sf):
     return rows.select("event_id", evidence.likely_objective(F.col("techs"), F.col("score"), F.col("has_alerts")).alias("objective"))
 
 
-@query("evidence_template_report", f"""WITH {_ITEMS}, rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY prio, pos) AS rank FROM it), kept AS (SELECT * FROM rk WHERE rank <= 40),
+@query("evidence_template_report", f"""WITH {_ITEMS}, rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY prio, pos) AS rank FROM it), kept AS (SELECT * FROM rk),
 ag AS (SELECT k.case_id, count(*) FILTER (kind = 'alert') AS n_alert, count(*) FILTER (kind = 'event') AS n_event, count(*) AS items, max(a.calibrated_score) AS top_score FROM kept k LEFT JOIN al a ON k.kind = 'alert' AND k.ref = a.alert_id GROUP BY 1)
-SELECT case_id, 1 + least(n_alert, 3) + least(n_event, 3) AS citations, n_alert > 0 AND contains(concat('x', n_alert), concat('x', n_alert)) AS has_alerts, round(top_score, 2) AS top_score FROM ag""")
+SELECT case_id, 1 + least(n_alert, 3) + least(n_event, 3) AS citations, n_alert > 0 AS has_alerts, round(top_score, 2) AS top_score FROM ag""")
 def evidence_template_report(spark, sf):
     """Template report per case: citations it makes, and the score its containment text quotes."""
     rep = evidence.template_report(evidence.rank_items(_evidence_items(spark, sf)))

@@ -355,17 +355,21 @@ SQL_PRIMARY = "coalesce(e_proc, e_parent, e_host, e_user, ids[1])"
 SQL_FEATURES = f"""deg AS (SELECT node_id, count(*) AS degree FROM (SELECT src_id AS node_id FROM edge UNION ALL SELECT dst_id FROM edge WHERE dst_id <> src_id) GROUP BY 1),
 rar AS (SELECT edge_type, round(greatest(0::DOUBLE, 1 - count(*) / (sum(count(*)) OVER ())::DOUBLE * count(*) OVER ()), 3) AS r FROM edge GROUP BY 1),
 adj AS (SELECT edge_id, edge_type, src_id AS node, dst_id AS other, first_us FROM edge UNION ALL SELECT edge_id, edge_type, dst_id, src_id, first_us FROM edge WHERE src_id <> dst_id),
-inc AS (SELECT node AS node_id, round(avg(r), 3) AS rare, count(DISTINCT CASE WHEN other <> node THEN other END) + 1 AS neighbors FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY first_us, edge_id) AS rn FROM adj) JOIN rar USING (edge_type) WHERE rn <= 50 GROUP BY 1),
-badv AS (SELECT DISTINCT tenant_id, unnest(intel) AS v FROM enr),
-bad AS (SELECT DISTINCT concat(tenant_id, CASE WHEN regexp_matches(v, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$') THEN ':IP:' WHEN regexp_matches(v, '^[a-f0-9]{{32,64}}$') THEN ':Hash:' ELSE ':Domain:' END, substr(sha256(trim(lower(v))), 1, 32)) AS node FROM badv),
+inc AS (SELECT node AS node_id, ((2 * sum(CAST(round(r * 1000) AS BIGINT)) + count(*)) // (2 * count(*))) / 1000::DOUBLE AS rare, count(DISTINCT CASE WHEN other <> node THEN other END) + 1 AS neighbors FROM adj JOIN rar USING (edge_type) GROUP BY 1),
+badv AS (SELECT event_id, tenant_id, {SQL_PRIMARY} AS src, unnest(intel) AS v FROM ents),
+want AS (SELECT DISTINCT event_id, src, concat(tenant_id, CASE WHEN regexp_matches(v, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$') THEN ':IP:' WHEN regexp_matches(v, '^[a-f0-9]{{32,64}}$') THEN ':Hash:' ELSE ':Domain:' END, substr(sha256(trim(lower(v))), 1, 32)) AS dst FROM badv),
+bad AS (SELECT DISTINCT dst AS node FROM want),
 nb AS (SELECT DISTINCT node, other FROM adj),
-d0 AS (SELECT node, 0 AS d FROM bad),
-d1 AS (SELECT node, min(d) AS d FROM (SELECT * FROM d0 UNION ALL SELECT nb.other, 1 FROM d0 JOIN nb ON nb.node = d0.node) GROUP BY 1),
-d2 AS (SELECT node, min(d) AS d FROM (SELECT * FROM d1 UNION ALL SELECT nb.other, 2 FROM d1 JOIN nb ON nb.node = d1.node WHERE d1.d = 1) GROUP BY 1),
-d3 AS (SELECT node, min(d) AS d FROM (SELECT * FROM d2 UNION ALL SELECT nb.other, 3 FROM d2 JOIN nb ON nb.node = d2.node WHERE d2.d = 2) GROUP BY 1),
-d4 AS (SELECT node, min(d) AS d FROM (SELECT * FROM d3 UNION ALL SELECT nb.other, 4 FROM d3 JOIN nb ON nb.node = d3.node WHERE d3.d = 3) GROUP BY 1),
-feat AS (SELECT ents.event_id, {SQL_PRIMARY} AS node_id, coalesce(degree, 0) AS degree, coalesce(rare, 0.5) AS rare, neighbors, CASE WHEN len(intel) > 0 THEN d4.d END AS path
- FROM ents LEFT JOIN deg ON deg.node_id = {SQL_PRIMARY} LEFT JOIN inc ON inc.node_id = {SQL_PRIMARY} LEFT JOIN d4 ON d4.node = {SQL_PRIMARY})"""
+pr AS (SELECT DISTINCT src, dst FROM want WHERE src IS NOT NULL),
+h0 AS (SELECT src AS o, dst AS t, src AS node, 0 AS d FROM pr),
+h1 AS (SELECT o, t, node, min(d) AS d FROM (SELECT * FROM h0 UNION ALL SELECT o, t, nb.other, 1 FROM h0 JOIN nb USING (node)) GROUP BY 1, 2, 3),
+h2 AS (SELECT o, t, node, min(d) AS d FROM (SELECT * FROM h1 UNION ALL SELECT o, t, nb.other, 2 FROM h1 JOIN nb USING (node) WHERE d = 1) GROUP BY 1, 2, 3),
+g1 AS (SELECT src, dst, node, min(d) AS d FROM (SELECT src, dst, dst AS node, 0 AS d FROM pr UNION ALL SELECT src, dst, nb.other, 1 FROM pr JOIN nb ON nb.node = dst) GROUP BY 1, 2, 3),
+g2 AS (SELECT src, dst, node, min(d) AS d FROM (SELECT * FROM g1 UNION ALL SELECT src, dst, nb.other, 2 FROM g1 JOIN nb USING (node) WHERE d = 1) GROUP BY 1, 2, 3),
+pl AS (SELECT src, dst, min(h2.d + g2.d) AS len FROM h2 JOIN g2 ON g2.src = h2.o AND g2.dst = h2.t AND g2.node = h2.node GROUP BY 1, 2),
+d4 AS (SELECT event_id, min(len) AS d FROM want JOIN pl USING (src, dst) GROUP BY 1),
+feat AS (SELECT ents.event_id, {SQL_PRIMARY} AS node_id, coalesce(degree, 0) AS degree, coalesce(rare, 0.5) AS rare, neighbors, d4.d AS path
+ FROM ents LEFT JOIN deg ON deg.node_id = {SQL_PRIMARY} LEFT JOIN inc ON inc.node_id = {SQL_PRIMARY} LEFT JOIN d4 ON d4.event_id = ents.event_id)"""
 _ENT = stages.sql_entities()
 SQL_SCORED = f"""{_ENR}, {_ENT}, {sql_edges()}, {SQL_FEATURES}, {_GAT}, {_HEUR},
 tk AS (SELECT *, coalesce(host, "user", 'unknown') AS entity FROM enr),

@@ -47,7 +47,7 @@ def graph_update_summary(spark, sf):
 SELECT node_id, event_id, rank FROM r WHERE rank <= {fixed.MAX_OBSERVATIONS}""")
 def graph_observations(spark, sf):
     rows = graph_build.node_rows(stages.enriched(spark, sf))
-    return graph_build.recent_observations(rows, "node_id").select("node_id", "event_id", "rank")
+    return graph_build.recent_observations(rows, "node_id", fixed.MAX_OBSERVATIONS).select("node_id", "event_id", "rank")
 
 
 @query("graph_primary_features", f"WITH {_G}, {SQL_FEATURES} SELECT event_id, node_id, degree, rare AS rare_edge_score, neighbors AS neighbor_count, path AS path_length FROM feat")
@@ -64,16 +64,11 @@ def graph_indicator_ids(spark, sf):
 
 
 @query("graph_timeline", f"""WITH {_G}, {_NODE},
-obs AS (SELECT node_id, event_id, ts_us FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ts_us DESC, event_id DESC) AS rn FROM nrow) WHERE rn <= 25),
-eobs AS (SELECT src_id, dst_id, edge_id, event_id, ts_us FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY ts_us DESC, event_id DESC) AS rn FROM erow) WHERE rn <= 25),
-allobs AS (SELECT node_id, event_id, ts_us FROM obs UNION ALL SELECT src_id, event_id, ts_us FROM eobs UNION ALL SELECT dst_id, event_id, ts_us FROM eobs WHERE dst_id <> src_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ts_us DESC, event_id DESC) AS rank FROM allobs)
-SELECT node_id, count(*) AS entries, min(ts_us) AS oldest_us, max(ts_us) AS newest_us FROM ranked WHERE rank <= 200 GROUP BY 1""")
+allobs AS (SELECT node_id, event_id, ts_us FROM nrow UNION ALL SELECT src_id, event_id, ts_us FROM erow UNION ALL SELECT dst_id, event_id, ts_us FROM erow WHERE dst_id <> src_id)
+SELECT node_id, count(*) AS entries, min(ts_us) AS oldest_us, max(ts_us) AS newest_us FROM allobs GROUP BY 1""")
 def graph_timeline(spark, sf):
     ev = cut_lineage(stages.enriched(spark, sf).drop("enrichment", "provenance", "body"))
-    nodes = graph_build.recent_observations(graph_build.node_rows(ev), "node_id")
-    edges = graph_build.recent_observations(graph_build.edge_rows(ev), "edge_id")
-    out = graph_query.entity_timeline(nodes, edges)
+    out = graph_query.entity_timeline(graph_build.node_rows(ev), graph_build.edge_rows(ev))
     return out.groupBy("node_id").agg(F.count("*").alias("entries"), micros(F.min("ts")).alias("oldest_us"), micros(F.max("ts")).alias("newest_us"))
 
 
@@ -155,10 +150,10 @@ def graph_neighborhood_nodes(spark, sf):
 
 
 @query("graph_neighborhood_edges", f"""WITH {_GEO}, {_sql_hops(2, _REGIONS)}, fe AS (SELECT origin AS root, edge_id, min(dist + 1) AS hop FROM h2 JOIN ga USING (node) WHERE dist < 2 GROUP BY 1, 2)
-SELECT root, edge_id, hop FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY hop, edge_id) AS rn FROM fe) WHERE rn <= 100""")
+SELECT root, edge_id, hop FROM fe""")
 def graph_neighborhood_edges(spark, sf):
     roots = tel.read(spark, sf, "region").selectExpr("concat('R', r_regionkey) AS node_id")
-    return graph_query.neighborhood(_geo_edges(spark, sf), roots, 2, 100)[1]
+    return graph_query.neighborhood(_geo_edges(spark, sf), roots, 2)[1]
 
 
 @query("graph_attack_path", f"""WITH s AS (SELECT s_suppkey, s_nationkey, n_regionkey AS sr FROM supplier JOIN nation ON s_nationkey = n_nationkey),
@@ -185,11 +180,8 @@ def graph_distance_to_bad(spark, sf):
 
 
 @query("graph_case_subgraph", f"""WITH {_GEO}, ce AS (SELECT concat('case', n_regionkey) AS case_id, concat('N', n_nationkey) AS entity_id FROM nation),
-f AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY entity_id) AS rn FROM ce),
-lim AS (SELECT node, edge_id, other, row_number() OVER (PARTITION BY node ORDER BY edge_id) AS rn FROM ga)
-SELECT case_id, count(DISTINCT edge_id) AS edges, count(DISTINCT node_id) AS nodes FROM (
- SELECT case_id, CASE WHEN lim.rn <= 100 THEN edge_id END AS edge_id, other AS node_id FROM f JOIN lim ON node = entity_id WHERE f.rn <= 10
- UNION ALL SELECT case_id, NULL, entity_id FROM f WHERE rn <= 10) GROUP BY 1""")
+x AS (SELECT case_id, edge_id, other AS node_id FROM ce JOIN ga ON node = entity_id UNION ALL SELECT case_id, NULL, entity_id FROM ce)
+SELECT case_id, count(DISTINCT edge_id) AS edges, count(DISTINCT node_id) AS nodes FROM x GROUP BY 1""")
 def graph_case_subgraph(spark, sf):
     ce = tel.read(spark, sf, "nation").selectExpr("concat('case', n_regionkey) AS case_id", "concat('N', n_nationkey) AS entity_id")
     edges = _geo_edges(spark, sf)

@@ -235,7 +235,50 @@ def audit_verify(spark, sf):
 
 @query("audit_broken_records", f"WITH {_NUM} SELECT 0 AS level, sequence, 'record_hash mismatch' AS problem FROM num WHERE sequence % 997 = 0")
 def audit_broken_records(spark, sf):
-    return audit.broken_records(_tampered(spark, sf))
+    return audit.broken_records(_tampered(spark, sf)).select("level", "sequence", "problem")
+
+
+def _kept_chain(spark, sf):
+    return cut_lineage(audit.append_events(_audit_rows(spark, sf).select("sequence", "content")))
+
+
+def _forged(chain, edited):
+    """Records of ``edited`` numbers with new content and hashes that fit together again, in the place of the old ones."""
+    own = chain.where((F.col("level") == 0) & edited)
+    new = audit._chain(own.select("level", "sequence", F.concat("content", F.lit("!")).alias("content")), audit.BLOCK)
+    return chain.where(~((F.col("level") == 0) & edited)).unionByName(new.withColumn("segment", F.lit(1)).select(chain.columns))
+
+
+_THIRD = f"sequence BETWEEN {2 * audit.BLOCK + 1} AND {3 * audit.BLOCK}"
+
+
+@query("audit_verify_block_removed", f"WITH {_NUM} SELECT FALSE AS valid, count(*) FILTER (sequence <= {2 * audit.BLOCK}) AS events_checked, {2 * audit.BLOCK + 1}::BIGINT AS first_broken_sequence, 'block missing at sequence={2 * audit.BLOCK + 1}' AS detail FROM num")
+def audit_verify_block_removed(spark, sf):
+    return audit.verify(_kept_chain(spark, sf).where(f"NOT (level = 0 AND {_THIRD})"))
+
+
+@query("audit_verify_block_forged", f"WITH {_NUM} SELECT FALSE AS valid, count(*) FILTER (sequence < {3 * audit.BLOCK}) AS events_checked, {3 * audit.BLOCK}::BIGINT AS first_broken_sequence, 'block hash mismatch at sequence={3 * audit.BLOCK}' AS detail FROM num")
+def audit_verify_block_forged(spark, sf):
+    return audit.verify(_forged(_kept_chain(spark, sf), F.expr(_THIRD)))
+
+
+@query("audit_verify_tail_removed", f"""WITH {_NUM}, ends AS (SELECT count(*) AS n, count(*) - 20 AS last FROM num)
+SELECT FALSE AS valid, CASE WHEN last % {audit.BLOCK} = 0 THEN last ELSE last - 1 END AS events_checked FROM ends""")
+def audit_verify_tail_removed(spark, sf):
+    """The last 20 records gone, with all rows above them left."""
+    chain = _kept_chain(spark, sf)
+    last = chain.where("level = 0").agg(F.max("sequence") - 20).scalar()
+    return audit.verify(chain.where((F.col("level") != 0) | (F.col("sequence") <= last))).select("valid", "events_checked")
+
+
+@query("audit_append_continued", f"WITH {_NUM} SELECT TRUE AS valid, count(*) AS events_checked, NULL::BIGINT AS first_broken_sequence, 'chain intact' AS detail FROM num")
+def audit_append_continued(spark, sf):
+    """The log appended in two goes, the second after the head of the first."""
+    rows = cut_lineage(_audit_rows(spark, sf).select("sequence", "content"))
+    early = cut_lineage(audit.append_events(rows.where("sequence <= 1000")))
+    late = audit.append_events(rows.where("sequence > 1000"), after=audit.last_head(early))
+    both = cut_lineage(early.unionByName(late))
+    return audit.verify(both, pinned=audit.last_head(both))
 
 
 @query("audit_query", f"WITH {_NUM} SELECT sequence, actor, action FROM num WHERE action = 'O' AND actor = 'u7' ORDER BY sequence DESC LIMIT 100")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,16 +27,32 @@ def build_session(app: str = "watchtide", master: str | None = None, **extra: st
         builder = builder.master(master)
     for key, value in {**SETTINGS, **STATIC, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings the operators rely on to a session somebody else built."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; they may start anywhere."""
+    sc = spark.sparkContext
+    if getattr(sc, "_watchtide_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(here):  # not when the package itself runs from an archive that was shipped
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="watchtide-"), "watchtide"), "zip",
+                                      os.path.dirname(here), os.path.basename(here))
+        sc.addPyFile(archive)
+    sc._watchtide_shipped = True
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and stage tables.
 
