@@ -127,7 +127,7 @@ def test_token_files_awkward(spark):
 def test_word_ids_equal_whole_text_ids(library):
     encode = token_planes.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(8)
-    alphabet = ["a", "the", " ", " ", "\n", "\t", "'s", "9", "é", "　", " ", "\r", "!!", "<|endoftext|>", "\x1e", "\x85"]
+    alphabet = ["a", "the", " ", " ", "\n", "\t", "'s", "9", "é", "　", " ", "\r", "!!", "<|endoftext|>", "\x1e", "\x85", "Ünï", "×", "_", "&&&", "don't", "²", "ª", "ß,"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 25))) for _ in range(1500)]
     want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert encode(texts) == want

@@ -85,4 +85,5 @@ def test_linked_sets_share_a_signature(monkeypatch, frequent):
 
 def test_star_centres():
     n = np.array([3, 4, 4, 5, 6, 7, 10, 2, 9])
-    assert ngram_join.stars(n, np.array([0, 7])).tolist() == [0, 0, 0, 3, 3, 5, 6, 7, 8]
+    shared = np.array([0, 4, 4, 1, 6, 7, 10, 2, 9])
+    assert ngram_join.stars(n, shared, np.array([0, 7])).tolist() == [1, 1, 1, 4, 4, 5, 6, 7, 8]

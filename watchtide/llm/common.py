@@ -47,6 +47,19 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
                               F.lit("")).cast("binary")) % 4 == 2
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    values = np.sort(values)
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return values[starts], np.diff(np.r_[starts, len(values)])
+
+
 # Golomb coding of sorted integers, with a power of two as divisor: quotients in unary, remainders in fixed width.
 
 def rice_width(span: int, n: int) -> int:

@@ -6,8 +6,10 @@
 2. A prefix is extended until its signatures cannot all be lost within the budget: a shingle of a rare class is a
    signature by itself, one of a frequent class only with another of its bucket (c such shingles in a bucket survive
    c - 2 losses).  Buckets are as many as the size band of the sets needs, so signatures stay linear in the set.
-3. Owners group equal signatures.  In each group every set is verified against the group's centre; groups whose sets
-   are then still in different components are compared across components.  No other pair can be a link that matters.
+3. Owners group equal signatures.  In each group every set is verified against the group's centre; where sets are then
+   still in different components, those outside the commonest one are compared with all others of the group.  A pair
+   is left out only if sizes, shingles that no other set has, bitmaps of the sets or their differences from a common
+   centre rule a link out.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ from __future__ import annotations
 import zlib
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from watchtide.llm import common
 from watchtide.operators.cluster import components
@@ -27,6 +31,8 @@ from watchtide.operators.cluster import components
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4  # similarity of at least 3/4
 FREQUENT = 6  # shingles in 2 ** FREQUENT or more sets are indexed in pairs
+BITS = 1024  # of a set's bitmap
+DIFFERENCE = 128  # shingles by which a set may differ from its centre to have them listed
 CHUNK_BYTES = 8 << 20  # text of a chunk, about
 KNOWN_WORDS = 300_000
 
@@ -62,7 +68,7 @@ def rolling(parts: list[bytes], size: int, words: Words) -> np.ndarray:
 def shingles(text: str, words: Words, size: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words than one shingle has are one shingle."""
     parts = text.encode("utf-8", "replace").lower().split()
-    return np.unique(rolling(parts, min(size, len(parts)), words)) if parts else np.zeros(0, np.uint64)
+    return common.distinct(rolling(parts, min(size, len(parts)), words)) if parts else np.zeros(0, np.uint64)
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -108,7 +114,14 @@ def signatures(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
                     break
                 a, b = own[:-lag][same], own[lag:][same]
                 found.append(_mix(np.minimum(a, b) * _K + np.maximum(a, b) * _LINE[0] + np.uint64(table + 2)))
-    return np.unique(np.concatenate(found))
+    return common.distinct(np.concatenate(found))
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """BITS bits as longs, one of which each shingle sets."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(tokens >> np.uint64(20)) % np.uint64(BITS)] = 1
+    return np.packbits(bits).view(np.int64)
 
 
 def owned(values: np.ndarray, bits: int, owners: int) -> Iterator[tuple[int, slice, np.ndarray]]:
@@ -150,10 +163,10 @@ def frequencies(chunked: DataFrame, bits: int, owners: int, sets: Callable[[pd.S
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         lists = [common.rice_decode(b, n, w) for b, n, w in zip(pdf["blob"], pdf["n"], pdf["width"])]
-        every, times = np.unique(np.concatenate(lists), return_counts=True)
+        every, times = common.counted(np.concatenate(lists))
         classes = np.log2(times).astype(np.uint8)
         return pd.DataFrame({"chunk": pdf["chunk"], "owner": pdf["owner"],
-                             "classes": [zlib.compress(classes[np.searchsorted(every, np.unique(x))].tobytes(), 1) for x in lists]})
+                             "classes": [zlib.compress(classes[np.searchsorted(every, common.distinct(x))].tobytes(), 1) for x in lists]})
 
     sent = chunked.groupBy("chunk").applyInPandas(send, "chunk long, owner int, n int, width int, blob binary")
     return sent.groupBy("owner").applyInPandas(answer, "chunk long, owner int, classes binary")
@@ -167,26 +180,29 @@ def classes_of(every: np.ndarray, bits: int, owners: int, replies: pd.DataFrame)
 
 
 # one table with three kinds of rows: documents (kind 0), signature blocks (1), texts of indexed sets (2)
-INDEXED = "kind int, doc_id string, set_id long, n int, text string, owner int, width int, blob binary, members binary"
+INDEXED = "kind int, doc_id string, set_id long, n int, text string, owner int, width int, blob binary, members binary, bits array<long>"
 
 
 def index(chunked: DataFrame, answers: DataFrame, bits: int, sig_bits: int, owners: int) -> DataFrame:
     span, shift, sig_shift = -(-(1 << sig_bits) // owners), np.uint64(64 - bits), np.uint64(64 - sig_bits)
     columns = [c.split()[0] for c in INDEXED.split(", ")]
+    blank = (None,) * 6
 
     def run(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         sets = list(_sets(pdf["text"]))
         ids = [set_id(s) if len(s) else None for s in sets]
-        rows = [(0, d, i, len(s), None, None, None, None, None) for d, i, s in zip(pdf["doc_id"], ids, sets)]
+        rows = [(0, d, i, len(s), *blank[:6]) for d, i, s in zip(pdf["doc_id"], ids, sets)]
         distinct = {i: k for k, i in enumerate(ids) if i is not None}
         if distinct:
-            every = np.unique(np.concatenate([sets[k] for k in distinct.values()]) >> shift)
+            every = common.distinct(np.concatenate([sets[k] for k in distinct.values()]) >> shift)
             classes = classes_of(every, bits, owners, replies)
-            texts, sigs, holders = pdf["text"].to_numpy(), [], []
+            texts, sigs, holders, shared = pdf["text"].to_numpy(), [], [], {}
             for i, k in distinct.items():
-                own = np.unique(signatures(sets[k], classes[np.searchsorted(every, sets[k] >> shift)]) >> sig_shift)
+                of_set = classes[np.searchsorted(every, sets[k] >> shift)]
+                own = common.distinct(signatures(sets[k], of_set) >> sig_shift)
                 if len(own):
-                    rows.append((2, None, i, len(sets[k]), texts[k], None, None, None, None))
+                    shared[k] = int(np.count_nonzero(of_set))
+                    rows.append((2, None, i, len(sets[k]), texts[k], *blank[:4], bitmap(sets[k])))
                     sigs.append(own)
                     holders.append(np.full(len(own), k))
             if sigs:
@@ -196,64 +212,88 @@ def index(chunked: DataFrame, answers: DataFrame, bits: int, sig_bits: int, owne
                 for owner, place, offsets in owned(sigs, sig_bits, owners):
                     width, (who, which) = common.rice_width(span, len(offsets)), np.unique(holders[place], return_inverse=True)
                     head = np.array([len(who)], "<i4").tobytes() + np.array([ids[k] for k in who], "<i8").tobytes() + np.array(
-                        [len(sets[k]) for k in who], "<i4").tobytes() + which.astype("<u2" if len(who) < 1 << 16 else "<u4").tobytes()
-                    rows.append((1, None, None, len(offsets), None, owner, width, common.rice_encode(offsets, width), head))
+                        [(len(sets[k]), shared[k]) for k in who], "<i4").tobytes() + which.astype("<u2" if len(who) < 1 << 16 else "<u4").tobytes()
+                    rows.append((1, None, None, len(offsets), None, owner, width, common.rice_encode(offsets, width), head, None))
         whole = {"kind", "set_id", "n", "owner", "width"}  # pandas would make floats of integers beside nulls
         return pd.DataFrame({c: pd.array(v, "Int64") if c in whole else pd.Series(v, dtype=object) for c, v in zip(columns, zip(*rows))})
 
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, INDEXED)
 
 
-def stars(n: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def stars(n: np.ndarray, shared: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Place of the centre of each row, for rows sorted by set size inside groups that begin at ``starts``.
 
-    The first row of a group is the centre of all that are small enough to be linked with it, the first of the rest
-    the next centre, and so on.
+    A group is cut into stretches of sizes that linked sets may have.  The centre of a stretch is the set with the
+    largest share of shingles that other sets have as well: of near copies that is the one with the fewest changes.
     """
-    centre = np.repeat(starts, np.diff([*starts, len(n)]))
+    first = np.repeat(starts, np.diff([*starts, len(n)]))
     while True:
-        beyond = NUMERATOR * n > DENOMINATOR * n[centre]
+        beyond = NUMERATOR * n > DENOMINATOR * n[first]
         if not beyond.any():
-            return centre
-        rows = np.flatnonzero(beyond)  # the ends of their groups, where the next centre is the first of them
-        new = np.r_[True, (np.diff(rows) > 1) | (centre[rows][1:] != centre[rows][:-1])]
-        centre[rows] = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+            break
+        rows = np.flatnonzero(beyond)  # the ends of their groups, where the next stretch begins at the first of them
+        new = np.r_[True, (np.diff(rows) > 1) | (first[rows][1:] != first[rows][:-1])]
+        first[rows] = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+    order = np.lexsort((np.arange(len(n)), -shared / np.maximum(n, 1), first))
+    opens = np.flatnonzero(np.r_[True, first[order][1:] != first[order][:-1]]) if len(n) else starts
+    return np.repeat(order[opens], np.diff([*opens, len(n)]))  # stretches lie in order, one after the other
 
 
 def groups(blocks: DataFrame) -> DataFrame:
-    """(gid, member, n, centre): distinct groups of two or more sets with an equal signature."""
+    """(gid, member, n, shared, centre): distinct groups of two or more sets with an equal signature."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sigs, members, sizes = [], [], []
         for count, width, blob, head in zip(pdf["n"], pdf["width"], pdf["blob"], pdf["members"]):
             m = int(np.frombuffer(head, "<i4", 1)[0])
-            which = np.frombuffer(head, "<u2" if m < 1 << 16 else "<u4", count, 4 + 12 * m)
+            which = np.frombuffer(head, "<u2" if m < 1 << 16 else "<u4", count, 4 + 16 * m)
             sigs.append(common.rice_decode(blob, int(count), int(width)))
             members.append(np.frombuffer(head, "<i8", m, 4)[which])
-            sizes.append(np.frombuffer(head, "<i4", m, 4 + 8 * m)[which])
-        sig, member, n = np.concatenate(sigs), np.concatenate(members), np.concatenate(sizes)
-        order = np.lexsort((member, n, sig))
-        sig, member, n = sig[order], member[order], n[order]
+            sizes.append(np.frombuffer(head, "<i4", 2 * m, 4 + 8 * m).reshape(-1, 2)[which])
+        sig, member, size = np.concatenate(sigs), np.concatenate(members), np.concatenate(sizes)
+        order = np.lexsort((member, size[:, 0], sig))
+        sig, member, size = sig[order], member[order], size[order]
         keep = np.r_[True, (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])]  # copies in several chunks
-        sig, member, n = sig[keep], member[keep], n[keep]
+        sig, member, size = sig[keep], member[keep], size[keep]
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        size = np.diff([*starts, len(sig)])
-        gid = np.add.reduceat(_mix(member.view(np.uint64)), starts) + size.astype(np.uint64)
+        times = np.diff([*starts, len(sig)])
+        gid = np.add.reduceat(_mix(member.view(np.uint64)), starts) + times.astype(np.uint64)
         chosen = np.zeros(len(starts), bool)
         chosen[np.unique(gid, return_index=True)[1]] = True
-        chosen &= size > 1
-        rows = np.repeat(chosen, size)
-        member, n, size, gid = member[rows], n[rows], size[chosen], gid[chosen]
-        if not len(size):
-            return pd.DataFrame({"gid": [], "member": [], "n": [], "centre": []}).astype("int64")
-        centre = member[stars(n.astype(np.int64), np.r_[0, np.cumsum(size)[:-1]])]
-        return pd.DataFrame({"gid": np.repeat(gid.view(np.int64), size), "member": member, "n": n, "centre": centre})
+        chosen &= times > 1
+        rows = np.repeat(chosen, times)
+        member, n, shared, times, gid = member[rows], size[rows, 0].astype(np.int64), size[rows, 1].astype(np.int64), times[chosen], gid[chosen]
+        if not len(times):
+            return pd.DataFrame({"gid": [], "member": [], "n": [], "shared": [], "centre": []}).astype("int64")
+        centre = member[stars(n, shared, np.r_[0, np.cumsum(times)[:-1]])]
+        return pd.DataFrame({"gid": np.repeat(gid.view(np.int64), times), "member": member, "n": n, "shared": shared, "centre": centre})
+
+    # equal sets in several chunks may differ in ``shared`` where hashes of one chunk only are counted there
+    found = blocks.groupBy("owner").applyInPandas(run, "gid long, member long, n int, shared int, centre long")
+    return found.groupBy("gid", "member").agg(F.max("n").alias("n"), F.max("shared").alias("shared"), F.min("centre").alias("centre"))
+
 
-    return blocks.groupBy("owner").applyInPandas(run, "gid long, member long, n int, centre long").distinct()
+def may_link(n_a: str, shared_a: str, n_b: str, shared_b: str) -> Column:
+    """Whether sizes, and shingles that any other set has, allow a link: 7 common >= 3 (n_a + n_b)."""
+    whole = NUMERATOR + DENOMINATOR
+    return (DENOMINATOR * F.least(n_a, n_b) >= NUMERATOR * F.greatest(n_a, n_b)) & (
+        whole * F.least(shared_a, shared_b) >= NUMERATOR * (F.col(n_a) + F.col(n_b)))
+
+
+def may_overlap(n_a: str, bits_a: str, n_b: str, bits_b: str) -> Column:
+    """Whether the bitmaps allow a link: a bit that only one of two sets has stands for a shingle that only it has."""
+    room = F.floor((NUMERATOR * (F.col(n_a) + F.col(n_b)) + NUMERATOR + DENOMINATOR - 1) / (NUMERATOR + DENOMINATOR))  # least overlap
+
+    def only(x: str, y: str) -> Column:
+        return reduce(add, (F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(BITS // 64)))
+    return (only(bits_a, bits_b) <= F.col(n_a) - room) & (only(bits_b, bits_a) <= F.col(n_b) - room)
 
 
 def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets are linked."""
+    """The pairs (a, b) of set ids with ``linked``, and how b differs from a: hashes of ``lost`` and ``new`` shingles.
+
+    Differences of more than DIFFERENCE shingles are left null.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, known = Words(), OrderedDict()
@@ -266,17 +306,43 @@ def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
                 known[key] = found = shingles(text, words)
             return found
 
+        def short(x: np.ndarray) -> np.ndarray:
+            return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
         for pdf in batches:
-            hit = []
+            rows = []
             for a, b, text_a, text_b in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"]):
                 x, y = tokens(a, text_a), tokens(b, text_b)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
-            yield pdf.loc[np.array(hit, bool), ["a", "b"]]
+                lost, new = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                both = len(x) - len(lost)
+                near = len(lost) + len(new) <= DIFFERENCE
+                rows.append((a, b, DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both), short(lost) if near else None, short(new) if near else None))
+            yield pd.DataFrame(rows, columns=["a", "b", "linked", "lost", "new"])
 
     left = bodies.select(F.col("member").alias("a"), F.col("text").alias("text_a"))
     right = bodies.select(F.col("member").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(
+        run, "a long, b long, linked boolean, lost array<int>, new array<int>")
+
+
+def differences(tried: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(of, ctr, n_ctr, lost, new): how each set differs from the centre that most sets were verified against."""
+    often = tried.groupBy("a").agg(F.count("*").alias("k"))
+    none = F.array().cast("array<int>")
+    rows = tried.where("lost IS NOT NULL").select("a", "b", "lost", "new").unionByName(
+        often.select("a", F.col("a").alias("b"), none.alias("lost"), none.alias("new")))
+    best = rows.join(often, "a").groupBy("b").agg(F.max_by(F.struct("a", "lost", "new"), F.struct("k", "a")).alias("m"))
+    return best.select(F.col("b").alias("of"), F.col("m.a").alias("ctr"), "m.lost", "m.new").join(
+        sizes.select(F.col("a").alias("ctr"), F.col("n_a").alias("n_ctr")), "ctr")
+
+
+def may_differ() -> Column:
+    """Whether the differences of x and y from one centre allow a link: common = centre - (lost by either) + (new in both).
+
+    Hashes that meet by chance make the left side larger, never smaller.
+    """
+    common_ = F.col("n_ctr_x") - F.size(F.array_union("lost_x", "lost_y")) + F.size(F.array_intersect("new_x", "new_y"))
+    return F.when(F.col("ctr_x") == F.col("ctr_y"), (NUMERATOR + DENOMINATOR) * common_ >= NUMERATOR * (F.col("n_x") + F.col("n_y"))).otherwise(True)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -295,25 +361,34 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
     made = common.staged(index(chunked, frequencies(chunked, bits, owners), bits, min(62, bits + 12), owners), "ngram-index")
 
     rows = made.where("kind = 0").select(F.col("doc_id").cast("long").alias("doc_id"), "set_id", "n")
-    bodies = made.where("kind = 2").groupBy(F.col("set_id").alias("member")).agg(F.any_value("text").alias("text"))
+    bodies = made.where("kind = 2").groupBy(F.col("set_id").alias("member")).agg(
+        F.any_value("text").alias("text"), F.any_value("bits").alias("bits"))
     bodies = common.staged(bodies, "ngram-bodies")
     grouped = common.staged(groups(made.where("kind = 1").select("owner", "n", "width", "blob", "members")), "ngram-groups")
 
-    tried = grouped.where("member <> centre").select(F.col("centre").alias("a"), F.col("member").alias("b")).distinct()
-    links = common.staged(verify(tried, bodies), "ngram-links")
+    of_centre = grouped.select(F.col("member").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a")).distinct()
+    tried = grouped.where("member <> centre").select(F.col("centre").alias("a"), F.col("member").alias("b"), "n", "shared").distinct()
+    tried = common.staged(tried.join(of_centre, "a").where(may_link("n_a", "shared_a", "n", "shared")).select("a", "b"), "ngram-pairs")
+    verified = common.staged(verify(tried, bodies), "ngram-verified")
+    links = verified.where("linked").select("a", "b")
     nodes = grouped.select(F.col("member").alias("id"))
     found = common.staged(components(nodes, links), "ngram-components")
 
-    # groups that hold sets of different components: all pairs across these
-    placed = grouped.join(found, F.col("member") == F.col("id")).select("gid", "member", "n", "component")
-    mixed = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gid")
-    placed = placed.join(mixed, "gid")
-    one = placed.select("gid", F.col("member").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-    two = placed.select("gid", F.col("member").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-    near = (F.col("of_a") < F.col("of_b")) & (DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b"))
-    across = one.join(two, "gid").where(near).select("a", "b").distinct()
+    # groups that still hold different components: the sets outside the commonest one against all others
+    placed = grouped.join(found, F.col("member") == F.col("id")).select("gid", "member", "n", "shared", "component")
+    counts = placed.groupBy("gid", "component").agg(F.count("*").alias("k"))
+    most = counts.groupBy("gid").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    placed = placed.join(most.select("gid", F.col("most.component").alias("common")), "gid").join(bodies.select("member", "bits"), "member")
+    placed = placed.join(differences(verified, of_centre), F.col("member") == F.col("of"), "left").drop("of")
+    names = [c for c in placed.columns if c != "gid"]
+    one = placed.where("component <> common").select("gid", *[F.col(c).alias(f"{c}_x") for c in names])
+    two = placed.select("gid", *[F.col(c).alias(f"{c}_y") for c in names])
+    across = one.join(two, "gid").where(
+        (F.col("component_x") != F.col("component_y")) & may_link("n_x", "shared_x", "n_y", "shared_y")
+        & may_overlap("n_x", "bits_x", "n_y", "bits_y") & may_differ())
+    across = across.select(F.least("member_x", "member_y").alias("a"), F.greatest("member_x", "member_y").alias("b")).distinct()
     both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = common.staged(verify(across.join(both_ways, ["a", "b"], "left_anti"), bodies), "ngram-links")
+    more = common.staged(verify(across.join(both_ways, ["a", "b"], "left_anti"), bodies).where("linked").select("a", "b"), "ngram-links")
     if more.limit(1).count():
         found = components(nodes, more.unionByName(found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))))
 

@@ -36,7 +36,7 @@ _NARROW = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans
 def windows(texts: pd.Series, size: int) -> Iterator[np.ndarray]:
     words = Words()
     for text in texts:
-        yield np.unique(rolling(text.encode("utf-8", "replace").split(), size, words))
+        yield common.distinct(rolling(text.encode("utf-8", "replace").split(), size, words))
 
 
 def recurring(chunked: DataFrame, bits: int, owners: int, size: int) -> DataFrame:
@@ -48,7 +48,7 @@ def recurring(chunked: DataFrame, bits: int, owners: int, size: int) -> DataFram
 
     def run(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         held = [s >> shift for s in windows(pdf["text"], size)]
-        every = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        every = common.distinct(np.concatenate(held)) if held else np.zeros(0, np.uint64)
         classes = classes_of(every, bits, owners, replies)
         again = [bool(len(h)) and bool((classes[np.searchsorted(every, h)] > 0).any()) for h in held]
         parts = [b"" if x else t.encode("utf-8", "replace").split() for t, x in zip(pdf["text"], again)]

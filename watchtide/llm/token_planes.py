@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,9 +25,35 @@ MARK = "\x1eTPL1"
 BLOCK_IDS = 1 << 16
 FILE_BYTES = 24 << 20  # text behind one file, about
 LEVEL = 3
-KNOWN_WORDS = 400_000  # words whose ids a task remembers
+KNOWN_WORDS = 450_000  # words in a generation of those whose ids a worker remembers
 _DOUBLE = re.compile(r"\s\s")
-_SPACE = re.compile(r"\s")
+
+
+#: Words that the split pattern cuts exactly where letters and marks meet: no digits, no apostrophe, no other script.
+_RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Memory(dict):
+    """Ids by word, computed on first sight; the words of the last two generations are remembered."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.older = compute, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KNOWN_WORDS:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(word)
+        self[word] = found = self.compute(word) if found is None else found
+        return found
 
 
 class Encoder:
@@ -34,49 +61,54 @@ class Encoder:
 
     The split pattern never goes from a visible character on into white space.  Where a text has no two white space
     characters in a row, its lines and its words with the space before them therefore have the same ids alone as in
-    the text, and each distinct word is encoded once.  Any other text is encoded in one piece.
+    the text, and each distinct word is encoded once; in words of Latin letters and marks the runs of either kind are
+    pieces of the pattern, which go to the library's model as they are.  Any other text is encoded in one piece.
     """
 
+    letters = _byte_letters()
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.pieces = Memory(self._piece)
+        self.first = Memory(self._word)
+        self.inner = Memory(lambda word: self._word(word, " "))
+        self.newline = self._whole(["\n"])[0]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str], before: str) -> list[tuple[str, bytes]]:
-        """Ids of ``before`` + word for each word, many words to one call, with line ends between them."""
-        found = []
-        odd = [w for w in words if not w or _SPACE.search(w)]
-        found += zip(odd, self._ids([before + w for w in odd]))
-        if odd:
-            words = list(set(words) - set(odd))
-        line = self.library.encode("\n", add_special_tokens=False).ids[0]
-        for at in range(0, len(words), 500):
-            some = words[at:at + 500]
-            ids = np.array(self.library.encode("".join(f"\n{before}{w}" for w in some), add_special_tokens=False).ids, "<u4")
-            found += zip(some, (x[1:].tobytes() for x in np.split(ids, np.flatnonzero(ids == line)[1:])))
-        return found
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii():  # visible ASCII characters stand for themselves
+            written = piece.replace(" ", self.letters[0x20])
+        else:
+            written = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _word(self, word: str, before: str = "") -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.pieces[before + word]
+        runs = _RUNS.findall(word)
+        if runs and "".join(runs) == word:
+            runs[0] = before + runs[0]
+            return b"".join(map(self.pieces.__getitem__, runs))
+        return self._whole([before + word])[0]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.first) + len(self.inner) > KNOWN_WORDS:
-            self.first, self.inner = {}, {}
-        whole = [i for i, t in enumerate(texts) if _DOUBLE.search(t)]
-        odd = set(whole)
-        split = [None if i in odd else [line.split(" ") for line in t.split("\n")] for i, t in enumerate(texts)]
-        heads = {line[0] for doc in split if doc for line in doc} - self.first.keys()
-        inner = set().union(*(line[1:] for doc in split if doc for line in doc)) - self.inner.keys()
-        self.first.update(self._words(list(heads), ""))
-        self.inner.update(self._words(list(inner), " "))
-        newline, get = self._ids(["\n"])[0], self.inner.__getitem__
-        out = [b"" if doc is None else newline.join(self.first[line[0]] + b"".join(map(get, line[1:])) for line in doc) for doc in split]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids
+        first, inner, newline, out = self.first.__getitem__, self.inner.__getitem__, self.newline, []
+        for text in texts:
+            if _DOUBLE.search(text):
+                out += self._whole([text])
+                continue
+            lines = []
+            for line in text.split("\n"):
+                head, *rest = line.split(" ")
+                lines.append(first(head) + b"".join(map(inner, rest)))
+            out.append(newline.join(lines))
         return out
 
 
