@@ -57,12 +57,26 @@ class Words(dict):
 
 
 def rolling(parts: list[bytes], size: int, words: Words) -> np.ndarray:
-    """64-bit hashes of every run of ``size`` words, in order."""
-    hashes = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
-    total = np.full(max(0, len(parts) - size + 1), size, np.uint64)
-    for i in range(size if len(total) else 0):
-        total = total * _K + hashes[i:len(parts) - size + 1 + i]
-    return _mix(total)
+    """64-bit hashes of every run of ``size`` words, in order, put together from runs of powers of two."""
+    n = len(parts) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    run, length = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts)), 1
+    total, done, left = None, 0, size
+    while left:
+        if left & 1:
+            piece = run[done:done + n]
+            total = piece.copy() if total is None else total * _power(length) + piece
+            done += length
+        left >>= 1
+        if left:
+            run = run[:-length] * _power(length) + run[length:]
+            length *= 2
+    return _mix(total + np.uint64(size) * _LINE[1])
+
+
+def _power(length: int) -> np.uint64:
+    return np.uint64(pow(int(_K), length, 1 << 64))
 
 
 def shingles(text: str, words: Words, size: int = WORDS) -> np.ndarray:

@@ -1,13 +1,14 @@
 """Removal of passages that occurred in a document with a smaller id, by repeated-phrase automata.
 
 1. Chunks of documents learn from the owners of the window hashes which windows of 13 words occur in more than one
-   document; documents without any are done.
-2. Among the rest, owners name the smallest document of each window.  Consecutive windows of a document with the same
+   document.  Only the stretches of words that such windows cover go on.
+2. Owners name the smallest document of each of these windows.  Consecutive windows of a document with the same
    smallest document are a claim on a passage of that source, cut into overlapping phrases of bounded length.
 3. The claims are dealt to shards by source, a source with many claimants over several.  A shard compiles its phrases,
    as sequences of word numbers, into an Aho-Corasick automaton, confirms them by streaming the sources, and streams
    the claiming documents to locate every occurrence.  A phrase that its source does not hold in one piece (the source
    has its windows at different places) is tried again window by window.
+4. The documents meet the spans that were found, and lose these words.
 
 So hashes only propose; what is removed was found word by word in both documents.
 """
@@ -30,8 +31,6 @@ PHRASE = 64  # words of a phrase, at most; consecutive phrases share WINDOW - 1
 SHARD_BYTES = 2 << 20  # text of the claiming documents of a shard, about
 NO_ID = np.iinfo(np.int64).max  # a null id counts as larger than every other
 
-_NARROW = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,past:int>>"
-
 
 def windows(texts: pd.Series, size: int) -> Iterator[np.ndarray]:
     words = Words()
@@ -40,91 +39,116 @@ def windows(texts: pd.Series, size: int) -> Iterator[np.ndarray]:
 
 
 def recurring(chunked: DataFrame, bits: int, owners: int, size: int) -> DataFrame:
-    """The documents with a window that another document may hold as well ('text'), and the results of all others."""
-    shift = np.uint64(64 - bits)
+    """(chunk, uid, key, starts, lengths, body, hashes) of each document with windows that another may hold as well.
+
+    ``starts`` and ``lengths`` are the stretches of words that such windows cover, ``body`` their words, one stretch
+    per line, and ``hashes`` the hashes of their windows in order.
+    """
+    shift, wide = np.uint64(64 - bits), np.uint64((1 << 22) - 1)
 
     def sets(texts: pd.Series) -> Iterator[np.ndarray]:
         return windows(texts, size)
 
     def run(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        held = [s >> shift for s in windows(pdf["text"], size)]
-        every = common.distinct(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-        classes = classes_of(every, bits, owners, replies)
-        again = [bool(len(h)) and bool((classes[np.searchsorted(every, h)] > 0).any()) for h in held]
-        parts = [b"" if x else t.encode("utf-8", "replace").split() for t, x in zip(pdf["text"], again)]
-        return pd.DataFrame({
-            "rid": pdf["rid"], "doc_id": pdf["doc_id"], "text": [t if x else None for t, x in zip(pdf["text"], again)],
-            "n_words": pd.array([None if x else len(p) for p, x in zip(parts, again)], "Int64"),
-            "sha": [None if x else hashlib.sha256(b" ".join(p)).hexdigest() for p, x in zip(parts, again)]})
-
-    answers = frequencies(chunked, bits, owners, sets, copies=2)
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
-        run, "rid long, doc_id string, text string, n_words long, sha string")
-
-
-def claims(chunked: DataFrame, bits: int, owners: int, size: int) -> DataFrame:
-    """(source, rid, key, runs, n_bytes): ``runs`` holds first and last window of each run that claims ``source``."""
+        words, rows = Words(), []
+        split = [t.encode("utf-8", "replace").split() for t in pdf["text"]]
+        held = [rolling(parts, size, words) for parts in split]
+        every = common.distinct(np.concatenate(held) >> shift) if held else np.zeros(0, np.uint64)
+        again = every[classes_of(every, bits, owners, replies) > 0]
+        table = np.zeros(1 << 22, bool)  # most windows are told apart by a look into this
+        table[(again & wide).astype(np.int64)] = True
+        for uid, key, parts, own in zip(pdf["uid"], pdf["key"], split, held):
+            short = own >> shift
+            at = np.flatnonzero(table[(short & wide).astype(np.int64)])
+            if len(at):
+                at = at[again[np.minimum(np.searchsorted(again, short[at]), len(again) - 1)] == short[at]]
+            if not len(at):
+                continue
+            opens = np.flatnonzero(np.r_[True, np.diff(at) >= size])  # windows that overlap or touch share a stretch
+            starts, ends = at[opens], at[np.r_[opens[1:], len(at)] - 1] + size
+            body = b"\n".join(b" ".join(parts[a:b]) for a, b in zip(starts, ends))
+            hashes = np.concatenate([own[a:b - size + 1] for a, b in zip(starts, ends)])
+            rows.append((uid, key, starts.astype("<i4").tobytes(), (ends - starts).astype("<i4").tobytes(), body, hashes.astype("<u8").tobytes()))
+        out = pd.DataFrame(rows, columns=["uid", "key", "starts", "lengths", "body", "hashes"])
+        return out.assign(chunk=int(pdf["chunk"].iloc[0]) if len(pdf) else 0)
+
+    answers = frequencies(chunked.select("chunk", "uid", "key", "text"), bits, owners, sets, copies=2)
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, STRETCHES)
+
+
+STRETCHES = "chunk long, uid long, key long, starts binary, lengths binary, body binary, hashes binary"
+
+
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids that repeat a lot: the distinct ones and their places."""
+    who, which = np.unique(ids, return_inverse=True)
+    return zlib.compress(np.array([len(who)], "<i8").tobytes() + who.astype("<i8").tobytes() + which.astype("<u2" if len(who) < 1 << 16 else "<u4").tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    raw = zlib.decompress(blob)
+    m = int(np.frombuffer(raw, "<i8", 1)[0])
+    return np.frombuffer(raw, "<i8", m, 8)[np.frombuffer(raw, "<u2" if m < 1 << 16 else "<u4", offset=8 + 8 * m)]
+
+
+def _least(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes and the smallest id of each."""
+    order = np.lexsort((ids, hashes))
+    hashes, ids = hashes[order], ids[order]
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
+    return hashes[first], ids[first]
+
+
+def claims(stretches: DataFrame, bits: int, owners: int, size: int) -> DataFrame:
+    """(source, uid, key, runs, n_bytes): ``runs`` holds first and last window of each run that claims ``source``,
+    counted in words over the document's stretches with one place between them.
+    """
     span, shift = -(-(1 << bits) // owners), np.uint64(64 - bits)
+    slim = stretches.select("chunk", "uid", "key", "lengths", "hashes", F.octet_length("body").alias("n_bytes"))
 
-    def least(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Window hashes in order of each document, the distinct ones, and the smallest id of the chunk for each."""
-        words, keys = Words(), pdf["key"].to_numpy(np.int64)
-        held = [rolling(t.encode("utf-8", "replace").split(), size, words) >> shift for t in pdf["text"]]
-        flat = np.concatenate(held) if held else np.zeros(0, np.uint64)
-        ids = np.repeat(keys, [len(h) for h in held])
-        order = np.lexsort((ids, flat))
-        every, first = np.unique(flat[order], return_index=True)
-        return held, every, ids[order][first]
+    def own(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        held = [np.frombuffer(h, "<u8") >> shift for h in pdf["hashes"]]
+        return held, *_least(np.concatenate(held), np.repeat(pdf["key"].to_numpy(np.int64), [len(h) for h in held]))
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, every, ids = least(pdf)
+        _, every, ids = own(pdf)
         rows, chunk = [], int(pdf["chunk"].iloc[0])
         for owner, place, offsets in owned(every, bits, owners):
-            width, (who, which) = common.rice_width(span, len(offsets)), np.unique(ids[place], return_inverse=True)
-            rows.append((chunk, owner, len(offsets), width, common.rice_encode(offsets, width), zlib.compress(
-                np.array([len(who)], "<i8").tobytes() + who.astype("<i8").tobytes() + which.astype("<u2" if len(who) < 1 << 16 else "<u4").tobytes(), 1)))
+            width = common.rice_width(span, len(offsets))
+            rows.append((chunk, owner, len(offsets), width, common.rice_encode(offsets, width), _packed(ids[place])))
         return pd.DataFrame(rows, columns=["chunk", "owner", "n", "width", "blob", "ids"])
 
-    def table(blob: bytes) -> np.ndarray:
-        raw = zlib.decompress(blob)
-        m = int(np.frombuffer(raw, "<i8", 1)[0])
-        return np.frombuffer(raw, "<i8", m, 8)[np.frombuffer(raw, "<u2" if m < 1 << 16 else "<u4", offset=8 + 8 * m)]
-
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         lists = [common.rice_decode(b, n, w) for b, n, w in zip(pdf["blob"], pdf["n"], pdf["width"])]
-        flat, ids = np.concatenate(lists), np.concatenate([table(b) for b in pdf["ids"]])
-        order = np.lexsort((ids, flat))
-        every, first = np.unique(flat[order], return_index=True)
-        smallest, out = ids[order][first], []
-        for x in lists:
-            who, which = np.unique(smallest[np.searchsorted(every, x)], return_inverse=True)
-            out.append(zlib.compress(np.array([len(who)], "<i8").tobytes() + who.astype("<i8").tobytes()
-                                     + which.astype("<u2" if len(who) < 1 << 16 else "<u4").tobytes(), 1))
-        return pd.DataFrame({"chunk": pdf["chunk"], "owner": pdf["owner"], "ids": out})
+        every, smallest = _least(np.concatenate(lists), np.concatenate([_unpacked(b) for b in pdf["ids"]]))
+        return pd.DataFrame({"chunk": pdf["chunk"], "owner": pdf["owner"], "ids": [_packed(smallest[np.searchsorted(every, x)]) for x in lists]})
 
     def claim(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        held, every, _ = least(pdf)
+        columns = ["source", "uid", "key", "runs", "n_bytes"]
+        if pdf.empty:
+            return pd.DataFrame(columns=columns).astype({c: "int64" for c in columns if c != "runs"})
+        held, every, _ = own(pdf)
         known = dict(zip(replies["owner"], replies["ids"]))
-        parts = [table(known[o]) for o, _, _ in owned(every, bits, owners)]
-        smallest = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        smallest = np.concatenate([_unpacked(known[o]) for o, _, _ in owned(every, bits, owners)])
         rows = []
-        for rid, key, text, own in zip(pdf["rid"], pdf["key"], pdf["text"], held):
-            if not len(own):
-                continue
-            source = smallest[np.searchsorted(every, own)]
+        for uid, key, lengths, n_bytes, hashes in zip(pdf["uid"], pdf["key"], pdf["lengths"], pdf["n_bytes"], held):
+            source = smallest[np.searchsorted(every, hashes)]
             source = np.where(source < key, source, NO_ID)
-            starts = np.flatnonzero(np.r_[True, source[1:] != source[:-1]])
-            ends = np.r_[starts[1:], len(source)] - 1
-            of = source[starts]
+            counts = np.frombuffer(lengths, "<i4").astype(np.int64) - size + 1
+            stretch = np.repeat(np.arange(len(counts)), counts)
+            place = np.arange(len(hashes)) + stretch * size  # a stretch has size - 1 more words than windows, and one place follows
+            new = np.r_[True, (source[1:] != source[:-1]) | (stretch[1:] != stretch[:-1])]
+            starts = np.flatnonzero(new)
+            ends, of = np.r_[starts[1:], len(source)] - 1, source[starts]
+            runs = np.stack([place[starts], place[ends]], axis=1).astype("<i4")
             for s in np.unique(of[of < NO_ID]):
-                runs = np.stack([starts[of == s], ends[of == s]], axis=1).astype("<i4")
-                rows.append((int(s), rid, key, runs.tobytes(), len(text)))
-        return pd.DataFrame(rows, columns=["source", "rid", "key", "runs", "n_bytes"])
+                rows.append((int(s), uid, key, runs[of == s].tobytes(), n_bytes))
+        return pd.DataFrame(rows, columns=columns)
 
-    sent = chunked.groupBy("chunk").applyInPandas(send, "chunk long, owner int, n int, width int, blob binary, ids binary")
+    sent = slim.groupBy("chunk").applyInPandas(send, "chunk long, owner int, n int, width int, blob binary, ids binary")
     answers = sent.groupBy("owner").applyInPandas(answer, "chunk long, owner int, ids binary")
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
-        claim, "source long, rid long, key long, runs binary, n_bytes long")
+    return slim.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
+        claim, "source long, uid long, key long, runs binary, n_bytes long")
 
 
 class Automaton:
@@ -167,45 +191,54 @@ def phrases_of(numbers: tuple, runs: np.ndarray, size: int) -> Iterator[tuple]:
 
 
 def search(claiming: pd.DataFrame, sources: pd.DataFrame, size: int) -> pd.DataFrame:
-    """(rid, spans): the covered words of each claiming document of a shard, as first and one past the last."""
+    """(uid, spans): the covered words of each claiming document of a shard, as first and one past the last."""
     numbers: dict[bytes, int] = {}
 
-    def numbered(text: str) -> tuple:
-        return tuple(numbers.setdefault(w, len(numbers)) for w in text.encode("utf-8", "replace").split())
+    def numbered(body: bytes) -> tuple:
+        """Word numbers from 1, with a 0 between stretches."""
+        out: list[int] = []
+        for line in body.split(b"\n"):
+            out += [numbers.setdefault(w, len(numbers) + 1) for w in line.split(b" ")]
+            out.append(0)
+        return tuple(out[:-1])
 
-    docs: dict[int, tuple[int, tuple]] = {}
+    docs: dict[int, tuple] = {}
     runs: list[tuple[int, np.ndarray]] = []
-    for rid, key, text, own in zip(claiming["rid"], claiming["key"], claiming["text"], claiming["runs"]):
-        if rid not in docs:
-            docs[rid] = (key, numbered(text))
-        runs.append((rid, np.frombuffer(own, "<i4").reshape(-1, 2)))
-    known = [(key, numbered(text)) for key, text in zip(sources["source"], sources["body"])]
-    long = Automaton({p for rid, own in runs for p in phrases_of(docs[rid][1], own, size)})
+    for uid, key, body, starts, lengths, own in zip(*(claiming[c] for c in ("uid", "key", "body", "starts", "lengths", "runs"))):
+        if uid not in docs:
+            docs[uid] = key, numbered(body), np.frombuffer(starts, "<i4"), np.frombuffer(lengths, "<i4")
+        runs.append((uid, np.frombuffer(own, "<i4").reshape(-1, 2)))
+    known = [(key, numbered(body)) for key, body in zip(sources["source"], sources["body"])]
+    long = Automaton({p for uid, own in runs for p in phrases_of(docs[uid][1], own, size)})
     for key, text in known:
         long.confirm(key, text)
-    marks = {rid: np.zeros(len(text) + 1, np.int64) for rid, (_, text) in docs.items()}
-    for rid, (key, text) in docs.items():
-        long.locate(key, text, marks[rid])
-    covered = {rid: np.cumsum(m[:-1]) > 0 for rid, m in marks.items()}
+    marks = {uid: np.zeros(len(doc[1]) + 1, np.int64) for uid, doc in docs.items()}
+    for uid, doc in docs.items():
+        long.locate(doc[0], doc[1], marks[uid])
+    covered = {uid: np.cumsum(m[:-1]) > 0 for uid, m in marks.items()}
 
-    def missed(rid: int, own: np.ndarray) -> Iterator[tuple]:
-        text, cover = docs[rid][1], covered[rid]
+    def missed(uid: int, own: np.ndarray) -> Iterator[tuple]:
+        text, cover = docs[uid][1], covered[uid]
         for first, last in own.tolist():
             if not cover[first:last + size].all():
                 for at in range(first, last + 1):
                     if not cover[at:at + size].all():
                         yield text[at:at + size]
 
-    short = Automaton({w for rid, own in runs for w in missed(rid, own)})
+    short = Automaton({w for uid, own in runs for w in missed(uid, own)})
     for key, text in known:
         short.confirm(key, text)
     out = []
-    for rid, (key, text) in docs.items():
-        short.locate(key, text, marks[rid])
-        edges = np.flatnonzero(np.diff((np.cumsum(marks[rid][:-1]) > 0).astype(np.int8), prepend=0, append=0)).astype("<i4")
+    for uid, (key, text, starts, lengths) in docs.items():
+        short.locate(key, text, marks[uid])
+        edges = np.flatnonzero(np.diff((np.cumsum(marks[uid][:-1]) > 0).astype(np.int8), prepend=0, append=0))
         if len(edges):
-            out.append((rid, edges.tobytes()))
-    return pd.DataFrame(out, columns=["rid", "spans"])
+            offsets = np.cumsum(np.r_[0, lengths[:-1] + 1])  # where each stretch begins in ``text``
+            first, past = edges[::2], edges[1::2]
+            of = np.searchsorted(offsets, first, side="right") - 1
+            move = starts[of] - offsets[of]
+            out.append((uid, np.stack([first + move, past + move], axis=1).astype("<i4").tobytes()))
+    return pd.DataFrame(out, columns=["uid", "spans"])
 
 
 def dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES,
@@ -219,64 +252,61 @@ def dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     texts = common.texts_of(docs, id_col, text_col)
+    texts = texts.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
     total = texts.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     chunks = max(common.shuffle_partitions(spark), -(-total // chunk_bytes))
     owners = common.owners_for(spark, total // 6, 1 << 22)
     bits = min(60, max(20, int(np.log2(total + 1)) + 5))
-    chunked = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), F.monotonically_increasing_id().alias("rid"),
-                           F.col("doc_id").cast("string").alias("doc_id"), "text")
-    first = common.staged(recurring(chunked, bits, owners, size), "substring-first")
-    first = first.withColumn("doc_id", F.col("doc_id").cast("long"))
-
-    open_docs = first.where("text IS NOT NULL").select("rid", "doc_id", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("key"), "text")
-    left = open_docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    chunks = max(common.shuffle_partitions(spark), -(-left // chunk_bytes))
-    again = open_docs.select(F.pmod(F.xxhash64("rid"), F.lit(chunks)).alias("chunk"), "rid", "key", "text")
-    claimed = common.staged(claims(again, min(62, bits + 8), owners, size), "substring-claims")
+    key = F.coalesce("doc_id", F.lit(int(NO_ID)))
+    chunked = texts.select(F.pmod("uid", F.lit(chunks)).alias("chunk"), "uid", key.alias("key"), "text")
+    stretches = common.staged(recurring(chunked, bits, owners, size), "substring-stretches")
+    left = stretches.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    claimed = common.staged(claims(stretches, min(62, bits + 8), owners, size), "substring-claims")
 
     # a source's claims go to one shard, or over several where they are many
     shards = max(common.shuffle_partitions(spark), -(-left // shard_bytes))
     sums = claimed.groupBy("source").agg(F.sum("n_bytes").alias("bytes"))
     salts = F.ceil(F.col("bytes") / shard_bytes).cast("long")
     placed = claimed.join(sums, "source").select(
-        "source", "rid", "key", "runs", F.when(salts > 1, F.xxhash64("source", F.pmod(F.xxhash64("rid"), salts))).otherwise(
+        "source", "uid", "runs", F.when(salts > 1, F.xxhash64("source", F.pmod(F.xxhash64("uid"), salts))).otherwise(
             F.pmod(F.xxhash64("source"), F.lit(shards))).alias("shard"))
     placed = common.staged(placed, "substring-placed")
-    bodies = open_docs.select("rid", "text")
-    claiming = placed.join(bodies, "rid").select("shard", "rid", "key", "runs", "text")
-    # repeated rows with the source's id: every text under that id may hold the passage
+    bodies = stretches.select("uid", "key", "starts", "lengths", "body").dropDuplicates(["uid"])  # repeated rows are alike
+    claiming = placed.distinct().join(bodies, "uid").select("shard", "uid", "key", "runs", "starts", "lengths", "body")
+    # every text under the source's id may hold the passage
     wanted = placed.select("shard", "source").distinct()
-    sources = wanted.join(open_docs.select(F.col("key").alias("source"), "text"), "source").select(
-        F.col("shard").alias("at"), "source", F.col("text").alias("body"))
+    sources = wanted.join(stretches.select(F.col("key").alias("source"), "body"), "source").select(
+        F.col("shard").alias("at"), "source", F.col("body").alias("body"))
 
     def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         return search(one, two, size)
 
-    spans = claiming.groupBy("shard").cogroup(sources.groupBy("at")).applyInPandas(run, "rid long, spans binary")
-    spans = spans.groupBy("rid").agg(F.collect_list("spans").alias("spans"))  # one entry for each shard a document claims in
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for doc, text, found in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
-            words = text.encode("utf-8", "replace").split()
-            cover = np.zeros(len(words) + 1, np.int64)
-            for blob in found if found is not None else ():
-                edges = np.frombuffer(blob, "<i4")
-                np.add.at(cover, edges[::2], 1)
-                np.add.at(cover, edges[1::2], -1)
-            gone = np.cumsum(cover[:-1]) > 0
-            edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
-            kept = [w for w, g in zip(words, gone.tolist()) if not g]
-            rows.append((doc, len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(),
-                         [{"first": a, "past": b} for a, b in zip(edges[::2], edges[1::2])]))
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield finish(pdf)
-
-    named = open_docs.select("rid", F.col("doc_id").cast("string").alias("doc_id"), "text")
-    cut = named.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInPandas(each, _NARROW.replace("doc_id long", "doc_id string"))
-    none = F.array().cast("array<struct<first:int,past:int>>")
-    done = first.where("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), none.alias("spans"))
-    return done.unionByName(cut.withColumn("doc_id", F.col("doc_id").cast("long")))
+    spans = claiming.groupBy("shard").cogroup(sources.groupBy("at")).applyInPandas(run, "uid long, spans binary")
+    spans = common.staged(spans.groupBy("uid").agg(F.collect_list("spans").alias("spans")), "substring-spans")  # one for each shard
+
+    def make():
+        def cut(rows: list[dict]) -> tuple[None, list]:
+            n_words, n_removed, sha, kept_spans = [], [], [], []
+            for row in rows:
+                words = row["text"].encode("utf-8", "replace").split()
+                n_words.append(len(words))
+                ranges: list[list[int]] = []
+                for first, past in sorted(x for blob in row["spans"] or () for x in np.frombuffer(blob, "<i4").reshape(-1, 2).tolist()):
+                    if ranges and first <= ranges[-1][1]:
+                        ranges[-1][1] = max(ranges[-1][1], past)
+                    else:
+                        ranges.append([first, past])
+                for first, past in reversed(ranges):
+                    del words[first:past]
+                n_removed.append(n_words[-1] - len(words))
+                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                kept_spans.append(";".join(f"{a}-{b}" for a, b in ranges))
+            return None, [n_words, n_removed, sha, kept_spans]
+        return cut
+
+    found = texts.join(spans.select(F.col("uid").alias("of"), "spans"), F.col("uid") == F.col("of"), "left")
+    found = found.select("doc_id", F.struct("text", "spans").alias("row"))
+    out = common.map_column(found, "row", "n_words long, n_removed long, kept_sha256 string, cut string", make)
+    ranges = F.filter(F.split("cut", ";"), lambda x: x != "")
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", F.transform(ranges, lambda x: F.struct(
+        F.split(x, "-")[0].cast("int").alias("first"), F.split(x, "-")[1].cast("int").alias("past"))).alias("spans"))
