@@ -68,20 +68,28 @@ def threshold_metrics(scored: DataFrame, thresholds: list[float], score: str = "
                        F.round(f1, 4).alias("f1"), F.round(F.when(F.col("neg") > 0, F.col("fp") / F.col("neg")).otherwise(0.0), 4).alias("fpr"))
 
 
-def curve_points(scored: DataFrame, score: str = "score", label: str = "label", decimals: int = 4) -> DataFrame:
+def curve_points(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Cumulative true and false positives per distinct score, highest first.
 
-    Scores are rounded, so at most 10**decimals + 1 grouped rows reach the single ordered window.
+    Counts run inside score ranges of a ten-thousandth and start from the sums of the ranges above, so
+    the single ordered window sees one row per range.
     """
-    by_score = scored.groupBy(F.round(score, decimals).alias("s")).agg(
+    by_score = scored.groupBy(F.col(score).alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    w = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return by_score.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
-
-
-def auc(scored: DataFrame, score: str = "score", label: str = "label", decimals: int = 4) -> DataFrame:
+    by_score = by_score.withColumn("_g", F.floor(F.col("s") * 10_000))
+    above = Window.orderBy(F.col("_g").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    heads = by_score.groupBy("_g").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n")).select(
+        "_g", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy("_g").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    running = by_score.withColumn("tp", F.sum("p").over(inside)).withColumn("fp", F.sum("n").over(inside))
+    heads = heads.withColumnRenamed("_g", "_h")
+    return running.join(heads, F.col("_g").eqNullSafe(F.col("_h"))).select(
+        "s", "p", "n", (F.col("tp") + F.col("_p")).alias("tp"), (F.col("fp") + F.col("_n")).alias("fp"))
+
+
+def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """ROC-AUC (trapezoid) and PR-AUC (average precision)."""
-    pts = curve_points(scored, score, label, decimals)
+    pts = curve_points(scored, score, label)
     roc = (F.sum(F.col("n") * ((F.col("tp") - F.col("p")) + F.col("tp")) / 2.0)) / (F.sum("p") * F.sum("n"))
     ap = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("p")
     return pts.agg(F.round(roc, 4).alias("roc_auc"), F.round(ap, 4).alias("pr_auc"))

@@ -13,7 +13,7 @@ from watchtide.plans.registry import query
 from watchtide.session import spread
 
 _AL = f"""al0 AS (SELECT concat('a', event_id) AS alert_id, concat('t', user_id % 3) AS tenant_id, epoch_us(ts) AS ts_us, concat('Alert ', event_type) AS title, event_type, event_id,
- round(least(value / 250.0::DOUBLE, 1.0::DOUBLE), 4) AS calibrated_score, user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE value >= 30),
+ round(least(value / 250.0::DOUBLE, 1.0::DOUBLE), 4) AS calibrated_score, user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
 al AS (SELECT *, [concat('H', k % 40), concat('U', user_id % 60), concat('T', event_type)] AS items, {stages.SQL_SEVERITY.format('calibrated_score')} AS severity FROM al0)"""
 
 # overlapping alert pairs within the cluster window, closed transitively by repeated label passing

@@ -287,14 +287,22 @@ def score_neighborhood_self(spark, sf):
     return _features(spark, sf).withColumn("v", _vector()).select("event_id", scoring.neighborhood_score(F.col("v")).alias("ml_score"))
 
 
-@query("score_neighborhood_mean", """WITH v AS (SELECT vec_id, embedding FROM embeddings), e AS (SELECT vec_id AS src, (vec_id * 7 + 3) % 400 AS dst FROM embeddings),
+def _every_seventh(first: int):
+    chosen = F.filter("embedding", lambda x, i: i % 7 == first)
+    return F.aggregate(chosen, F.lit(0.0), lambda total, x: total + x.cast("double"))
+
+
+@query("score_neighborhood_mean", """WITH v AS (SELECT vec_id, [list_sum([CAST(x AS DOUBLE) FOR x, i IN embedding IF i % 7 = f % 7]) FOR f IN [1, 2, 3, 4, 5, 6, 7]] AS embedding FROM embeddings), e AS (SELECT vec_id AS src, (vec_id * 7 + 3) % (SELECT count(*) FROM embeddings) AS dst FROM embeddings),
 adj AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)),
 n AS (SELECT src AS vec_id, """ + ", ".join(f"avg(embedding[{i}]::DOUBLE) AS n{i}" for i in range(1, 8)) + """ FROM adj JOIN v ON adj.dst = v.vec_id GROUP BY 1)
 SELECT v.vec_id, round(1 / (1 + exp(-(""" + " + ".join(f"{w}::DOUBLE * embedding[{i + 1}]::DOUBLE" for i, w in enumerate(fixed.SELF_WEIGHTS)) + " + " + " + ".join(
     f"{w}::DOUBLE * coalesce(n{i + 1}, embedding[{i + 1}]::DOUBLE * 0.6)" for i, w in enumerate(fixed.NEIGHBOR_WEIGHTS)) + " - 1.2))), 4) AS score FROM v LEFT JOIN n USING (vec_id)")
 def score_neighborhood_mean(spark, sf):
-    vec = tel.read(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 7).cast("array<double>").alias("v"))
-    edges = vec.select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + 3) % 400).alias("dst"))
+    vec = tel.read(spark, sf, "embeddings").select("vec_id", F.array(*[
+        # every component counts: feature f is the sum of the components f, f + 7, f + 14, ...
+        _every_seventh(f) for f in range(7)]).alias("v"))
+    n = vec.count()
+    edges = vec.select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + 3) % n).alias("dst"))
     means = scoring.neighbor_means(edges, vec.withColumnRenamed("vec_id", "id"), 7)
     out = vec.join(means, vec["vec_id"] == means["id"], "left")
     return out.select("vec_id", scoring.neighborhood_score(F.col("v"), F.col("n")).alias("score"))

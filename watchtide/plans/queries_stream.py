@@ -102,7 +102,7 @@ def stream_graph(spark, sf):
 @query("stream_greedy_clusters")
 def stream_greedy_clusters(spark, sf):
     """Greedy clustering with keyed state; the tests compare it with the batch operator."""
-    rows = _stream(spark, sf).where("value >= 30").selectExpr(
+    rows = _stream(spark, sf).selectExpr(
         "concat('t', user_id % 3) AS tenant_id", "concat('a', event_id) AS alert_id", "unix_micros(ts) AS t",
         "array(concat('H', k % 40), concat('U', user_id % 60), concat('T', event_type)) AS items")
     return _drive(spark, flows.cluster_stream(rows), "greedy").select("tenant_id", "alert_id", "cluster_id")

@@ -43,7 +43,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 def alert_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Alerts straight from the events table: a light stand-in with bounded item sets for clustering."""
-    return tel.event_rows(spark, sf).where("value >= 30").selectExpr(
+    return tel.event_rows(spark, sf).selectExpr(
         "concat('a', event_id) AS alert_id", "concat('t', user_id % 3) AS tenant_id", "unix_micros(ts) AS ts_us",
         "concat('Alert ', event_type) AS title", "event_type",
         "least(value / 250.0D, 1.0D) AS score_raw", "k", "user_id", "event_id",
@@ -81,10 +81,10 @@ base AS ({tel.sql_base()}),
 canon0 AS ({tel.sql_canon()}),
 canon AS (SELECT * REPLACE (upper(host) AS host, lower("user") AS "user"), lower(concat_ws(' ', event_type, command_line, file_path, email_subject, url)) AS hay FROM canon0),
 ioc AS (SELECT lower(value) AS ioc_key, arg_max(confidence, load_order) AS conf, arg_max(indicator_id, load_order) AS ind FROM (
-  SELECT CASE WHEN p_partkey % 2 = 0 THEN concat('DOM', p_partkey % 97, '.example') ELSE concat('203.0.113.', p_partkey % 120) END AS value,
-  (50 + p_partkey % 50) / 100.0::DOUBLE AS confidence, concat('ioc-', p_partkey) AS indicator_id, p_partkey AS load_order FROM part WHERE p_partkey % 5 = 0) GROUP BY 1),
-ha AS (SELECT concat('WKS', p_partkey) AS name, (p_partkey % 10) / 10.0::DOUBLE AS criticality FROM part WHERE p_partkey < 30),
-ua AS (SELECT concat('user', c_custkey) AS name, (c_custkey % 10) / 10.0::DOUBLE AS criticality FROM customer WHERE c_custkey % 2 = 0),
+  SELECT CASE WHEN p_partkey % 5 > 0 THEN concat('unseen', p_partkey, '.example') WHEN p_partkey % 2 = 0 THEN concat('DOM', p_partkey % 97, '.example') ELSE concat('203.0.113.', p_partkey % 120) END AS value,
+  (50 + p_partkey % 50) / 100.0::DOUBLE AS confidence, concat('ioc-', p_partkey) AS indicator_id, p_partkey AS load_order FROM part) GROUP BY 1),
+ha AS (SELECT concat('WKS', p_partkey) AS name, (p_partkey % 10) / 10.0::DOUBLE AS criticality FROM part),
+ua AS (SELECT concat('user', c_custkey) AS name, (c_custkey % 10) / 10.0::DOUBLE AS criticality FROM customer),
 enr0 AS (SELECT c.*, list_sort(list_distinct({sql_compact(tags)})) AS techs,
   round(greatest(coalesce(ha.criticality, 0.3), coalesce(ua.criticality, 0.3)), 3)::DOUBLE AS crit, {hits}
   FROM canon c LEFT JOIN ha ON c.host = ha.name LEFT JOIN ua ON c."user" = ua.name {joins}),

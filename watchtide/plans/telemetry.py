@@ -179,21 +179,22 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threat indicators: one third of the domains and some addresses, from ``part``."""
-    return read(spark, sf_dir, "part").where("p_partkey % 5 = 0").selectExpr(
-        "CASE WHEN p_partkey % 2 = 0 THEN concat('DOM', p_partkey % 97, '.example') "
+    """Threat indicators, one for each part; those of every fifth part name domains and addresses of the telemetry."""
+    return read(spark, sf_dir, "part").selectExpr(
+        "CASE WHEN p_partkey % 5 > 0 THEN concat('unseen', p_partkey, '.example') "
+        "WHEN p_partkey % 2 = 0 THEN concat('DOM', p_partkey % 97, '.example') "
         "ELSE concat('203.0.113.', p_partkey % 120) END AS value",
         "(50 + p_partkey % 50) / 100.0D AS confidence", "concat('ioc-', p_partkey) AS indicator_id",
         "p_partkey AS load_order")
 
 
 def host_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").where("p_partkey < 30").selectExpr(
+    return read(spark, sf_dir, "part").selectExpr(
         "concat('WKS', p_partkey) AS name", "(p_partkey % 10) / 10.0D AS criticality", "p_brand AS role")
 
 
 def user_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr(
+    return read(spark, sf_dir, "customer").selectExpr(
         "concat('user', c_custkey) AS name", "(c_custkey % 10) / 10.0D AS criticality", "c_mktsegment AS role")
 
 
