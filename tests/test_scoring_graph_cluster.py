@@ -124,7 +124,7 @@ def test_upsert_keeps_first_confidence_and_latest_properties(spark):
 
 def test_only_latest_observations_are_kept(spark):
     rows = spark.createDataFrame([("n", i, f"e{i:03d}", "x", "edr", "low") for i in range(60)], "node_id string, ts int, event_id string, event_type string, source string, severity string")
-    obs = graph_build.observation_lists(rows, "node_id").first().observations
+    obs = graph_build.observation_lists(rows, "node_id", 25).first().observations
     assert [o.ts for o in obs] == list(range(35, 60))
 
 
@@ -195,3 +195,47 @@ def test_components_of_a_long_chain(spark):
     nodes = spark.createDataFrame([(f"{i:04d}",) for i in range(302)], "id string")
     got = {r.id: r.component for r in cluster.components(cut_lineage(nodes), links).collect()}
     assert got == {**{f"{i:04d}": "0000" for i in range(301)}, "0301": "0301"}
+
+
+def test_upserts_merge_properties_key_by_key(spark):
+    rows = spark.createDataFrame(
+        [("n", "Process", "t", {"display_name": "a", "process_id": "7"}, 1, "e1"), ("n", "Process", "t", {"display_name": "b", "host": "H"}, 2, "e2"),
+         ("n", "Process", "t", {"host": "old"}, 0, "e0")],
+        "node_id string, node_type string, tenant_id string, properties map<string,string>, ts int, event_id string").withColumn(
+        "source", F.lit("s")).withColumn("source_confidence", F.col("ts") / 10)
+    whole = graph_build.upsert_nodes(rows).first()
+    assert whole.properties == {"display_name": "b", "process_id": "7", "host": "H"} and whole.confidence == 0.0
+    parts = [graph_build.upsert_nodes(rows.where(w)) for w in ("ts = 2", "ts = 0", "ts = 1")]
+    deltas = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    merged = graph_build.merge_upserts(deltas.limit(0), deltas, ["node_id"]).first()
+    assert merged.properties == whole.properties and merged["count"] == 3
+
+
+def test_path_length_is_to_the_own_indicator(spark):
+    near = [("u1", "h1"), ("h1", "bad1"), ("u2", "h2")]
+    adj = graph_query.adjacency(edges_frame(spark, near))
+    pairs = spark.createDataFrame([("u1", "bad1"), ("u2", "bad1"), ("bad1", "bad1")], "src string, dst string")
+    got = {(r.src, r.dst): r.length for r in graph_query.path_lengths(adj, pairs, 4).collect()}
+    assert got == {("u1", "bad1"): 2, ("bad1", "bad1"): 0}
+
+
+def test_alerts_without_items_stay_alone(spark):
+    rows = spark.createDataFrame([("t", "a1", 0, []), ("t", "a2", 1, []), ("t", "a3", 2, ["x"]), ("t", "a4", 3, ["x"])],
+                                 "tenant_id string, alert_id string, ts_us long, items array<string>")
+    got = {r.alert_id: r.cluster_id for r in cluster.overlap_components(rows).collect()}
+    assert got == {"a1": "a1", "a2": "a2", "a3": "a3", "a4": "a3"}
+
+
+def test_overlap_links_of_many_items_against_all_pairs(spark):
+    rng = random.Random(9)
+    rows = [("t", f"s{i}", 0, sorted(rng.sample([f"i{k}" for k in range(60)], rng.randrange(15, 26)) + ["everywhere"]), 0, 0) for i in range(60)]
+    sigs = spark.createDataFrame(rows, "tenant_id string, sig string, bucket long, items array<string>, lo long, hi long")
+    for threshold in (0.15, 0.3, 0.5):
+        got = {(r.a, r.b): r.jaccard for r in cluster.overlap_links(sigs, threshold).collect()}
+        want = {}
+        for a in rows:
+            for b in rows:
+                x, y = set(a[3]), set(b[3])
+                if a[1] < b[1] and len(x & y) / len(x | y) >= threshold:
+                    want[a[1], b[1]] = pytest.approx(len(x & y) / len(x | y))
+        assert got == want

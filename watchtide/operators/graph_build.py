@@ -100,51 +100,53 @@ def edge_rows(events: DataFrame) -> DataFrame:
     ).withColumn("edge_id", edge_key(F.col("src_id"), F.col("edge_type"), F.col("dst_id")))
 
 
-# names of the properties that nodes and edges can have
-NODE_PROPERTIES = ["display_name", "process_id", "host", "email_from", "email_to", "cloud_account"]
-EDGE_PROPERTIES = ["logon_type", "command_line", "dst_port"]
+def _fold_properties(rows: DataFrame, key: list[str], entries: Column, at: Column, whole: dict[str, Column], merge: dict) -> DataFrame:
+    """Aggregate ``rows`` per key, with the latest value of each property, in one pass over the rows.
 
-
-def _latest_values(names: list[str], value, order) -> tuple[Column, Column]:
-    """Maps (properties, property_seen): of each name the latest value that was given and its order."""
-    seen = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.max(order(n)) for n in names]))
-    last = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.max_by(value(n), order(n)) for n in names]))
-    return F.map_filter(last, lambda k, v: v.isNotNull()), F.map_filter(seen, lambda k, v: v.isNotNull())
+    ``entries`` is an array of (name, latest), where ``latest`` is (at, value); ``whole`` are the aggregates of the
+    rows themselves and ``merge`` how their partial results combine.  Rows are combined per (key, name) first, where
+    a null name stands for the row as such, and the few results per key afterwards.
+    """
+    self = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.struct(at.alias("at"), F.lit(None).cast("string").alias("value")).alias("latest")))
+    each = rows.withColumn("_p", F.explode(F.concat(self, entries))).withColumn("_name", F.col("_p.name"))
+    parts = each.groupBy(*key, "_name").agg(F.max("_p.latest").alias("_latest"), *[c.alias(n) for n, c in whole.items()])
+    own = F.col("_name").isNull()
+    named = F.when(~own, F.struct(F.col("_name").alias("n"), F.col("_latest").alias("l")))
+    out = parts.groupBy(*key).agg(F.array_sort(F.collect_list(named)).alias("_pairs"), *[f(F.when(own, F.col(n))).alias(n) for n, f in merge.items()])
+    return out.withColumn("properties", F.map_from_entries(F.transform("_pairs", lambda x: F.struct(x["n"], x["l"]["value"])))).withColumn(
+        "property_seen", F.map_from_entries(F.transform("_pairs", lambda x: F.struct(x["n"], x["l"]["at"])))).drop("_pairs")
 
 
-def _upsert(rows: DataFrame, key: list[str], props: str, names: list[str]) -> DataFrame:
+def _upsert(rows: DataFrame, key: list[str], props: str) -> DataFrame:
     order = F.struct("ts", "event_id")
-    merged, seen = _latest_values(names, lambda n: F.col(props)[n], lambda n: F.when(F.col(props)[n].isNotNull(), order))
-    return rows.groupBy(*key).agg(
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("count"),
-        F.min_by("source_confidence", order).alias("confidence"),
-        F.array_sort(F.collect_set("source")).alias("sources"),
-        merged.alias("properties"), seen.alias("property_seen"))
+    entries = F.transform(F.map_entries(F.coalesce(props, F.create_map().cast("map<string,string>"))), lambda e: F.struct(
+        e["key"].alias("name"), F.struct(order.alias("at"), e["value"].alias("value")).alias("latest")))
+    whole = {"first_seen": F.min("ts"), "last_seen": F.max("ts"), "count": F.count("*"), "confidence": F.min_by("source_confidence", order),
+             "sources": F.array_sort(F.collect_set("source"))}
+    return _fold_properties(rows, key, entries, order, whole, {n: F.max for n in whole})
 
 
 def upsert_nodes(rows: DataFrame) -> DataFrame:
     """Current node table: first/last seen, count, first confidence, source set, latest value of each property."""
-    return _upsert(rows, ["node_id", "node_type", "tenant_id"], "properties", NODE_PROPERTIES).withColumn("labels", F.array("node_type"))
+    return _upsert(rows, ["node_id", "node_type", "tenant_id"], "properties").withColumn("labels", F.array("node_type"))
 
 
 def upsert_edges(rows: DataFrame) -> DataFrame:
-    return _upsert(rows, ["edge_id", "src_id", "edge_type", "dst_id", "tenant_id"], "edge_props", EDGE_PROPERTIES)
+    return _upsert(rows, ["edge_id", "src_id", "edge_type", "dst_id", "tenant_id"], "edge_props")
 
 
 def merge_upserts(current: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
     """Combine two upserted tables of the same kind (used by the streaming sink)."""
-    both = current.withColumn("_new", F.lit(0)).unionByName(delta.withColumn("_new", F.lit(1)))
+    both = current.unionByName(delta)
     rest = [c for c in current.columns if c not in {
         *key, "first_seen", "last_seen", "count", "confidence", "sources", "properties", "property_seen"}]
-    names = EDGE_PROPERTIES if "edge_id" in current.columns else NODE_PROPERTIES
-    merged, seen = _latest_values(names, lambda n: F.col("properties")[n], lambda n: F.col("property_seen")[n])
-    out = both.groupBy(*key).agg(
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("count").alias("count"),
-        F.min_by("confidence", F.struct("first_seen", "_new")).alias("confidence"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
-        merged.alias("properties"), seen.alias("property_seen"),
-        *[F.first(c).alias(c) for c in rest])
-    return out.select(*current.columns)
+    entries = F.transform(F.map_entries("properties"), lambda e: F.struct(
+        e["key"].alias("name"), F.struct(F.col("property_seen")[e["key"]].alias("at"), e["value"].alias("value")).alias("latest")))
+    nothing = F.lit(None).cast(current.schema["property_seen"].dataType.valueType)
+    whole = {"first_seen": F.min("first_seen"), "last_seen": F.max("last_seen"), "count": F.sum("count"),
+             "confidence": F.min_by("confidence", "first_seen"),
+             "sources": F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))), **{c: F.first(c) for c in rest}}
+    return _fold_properties(both, key, entries, nothing, whole, {n: F.max for n in whole}).select(*current.columns)
 
 
 def recent_observations(rows: DataFrame, key: str, limit: int) -> DataFrame:
