@@ -17,7 +17,7 @@ from __future__ import annotations
 import zlib
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import add
 
 import numpy as np
@@ -34,7 +34,7 @@ FREQUENT = 6  # shingles in 2 ** FREQUENT or more sets are indexed in pairs
 BITS = 1024  # of a set's bitmap
 DIFFERENCE = 128  # shingles by which a set may differ from its centre to have them listed
 CHUNK_BYTES = 8 << 20  # text of a chunk, about
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 500_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _LINE = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -56,6 +56,12 @@ class Words(dict):
         return found
 
 
+@lru_cache(maxsize=1)
+def worker_words() -> Words:
+    """The word hashes of this Python worker, kept from task to task."""
+    return Words()
+
+
 def rolling(parts: list[bytes], size: int, words: Words) -> np.ndarray:
     """64-bit hashes of every run of ``size`` words, in order, put together from runs of powers of two."""
     n = len(parts) - size + 1
@@ -72,7 +78,7 @@ def rolling(parts: list[bytes], size: int, words: Words) -> np.ndarray:
         if left:
             run = run[:-length] * _power(length) + run[length:]
             length *= 2
-    return _mix(total + np.uint64(size) * _LINE[1])
+    return _mix(total + np.uint64(size * int(_LINE[1]) % (1 << 64)))
 
 
 def _power(length: int) -> np.uint64:
@@ -148,7 +154,7 @@ def owned(values: np.ndarray, bits: int, owners: int) -> Iterator[tuple[int, sli
 
 
 def _sets(texts: pd.Series) -> Iterator[np.ndarray]:
-    words = Words()
+    words = worker_words()
     for text in texts:
         yield shingles(text, words)
 
@@ -310,7 +316,7 @@ def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, known = Words(), OrderedDict()
+        words, known = worker_words(), OrderedDict()
 
         def tokens(key: int, text: str) -> np.ndarray:
             found = known.get(key)

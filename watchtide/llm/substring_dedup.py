@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from watchtide.llm import common
-from watchtide.llm.ngram_join import CHUNK_BYTES, Words, classes_of, frequencies, owned, rolling
+from watchtide.llm.ngram_join import CHUNK_BYTES, classes_of, frequencies, owned, rolling, worker_words
 
 WINDOW = 13  # words
 PHRASE = 64  # words of a phrase, at most; consecutive phrases share WINDOW - 1 words
@@ -33,7 +33,7 @@ NO_ID = np.iinfo(np.int64).max  # a null id counts as larger than every other
 
 
 def windows(texts: pd.Series, size: int) -> Iterator[np.ndarray]:
-    words = Words()
+    words = worker_words()
     for text in texts:
         yield common.distinct(rolling(text.encode("utf-8", "replace").split(), size, words))
 
@@ -50,7 +50,7 @@ def recurring(chunked: DataFrame, bits: int, owners: int, size: int) -> DataFram
         return windows(texts, size)
 
     def run(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        words, rows = Words(), []
+        words, rows = worker_words(), []
         split = [t.encode("utf-8", "replace").split() for t in pdf["text"]]
         held = [rolling(parts, size, words) for parts in split]
         every = common.distinct(np.concatenate(held) >> shift) if held else np.zeros(0, np.uint64)
