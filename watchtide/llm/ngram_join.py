@@ -32,7 +32,7 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4  # similarity of at least 3/4
 FREQUENT = 6  # shingles in 2 ** FREQUENT or more sets are indexed in pairs
 BITS = 1024  # of a set's bitmap
-DIFFERENCE = 128  # shingles by which a set may differ from its centre to have them listed
+DIFFERENCE = 512  # shingles by which a set may differ from its centre to have them listed
 CHUNK_BYTES = 8 << 20  # text of a chunk, about
 KNOWN_WORDS = 500_000
 
@@ -404,7 +404,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
     one = placed.where("component <> common").select("gid", *[F.col(c).alias(f"{c}_x") for c in names])
     two = placed.select("gid", *[F.col(c).alias(f"{c}_y") for c in names])
     across = one.join(two, "gid").where(
-        (F.col("component_x") != F.col("component_y")) & may_link("n_x", "shared_x", "n_y", "shared_y")
+        (F.col("component_x") != F.col("component_y"))
+        & ((F.col("component_y") == F.col("common_y")) | (F.col("member_x") < F.col("member_y")))  # two outsiders meet once
+        & may_link("n_x", "shared_x", "n_y", "shared_y")
         & may_overlap("n_x", "bits_x", "n_y", "bits_y") & may_differ())
     across = across.select(F.least("member_x", "member_y").alias("a"), F.greatest("member_x", "member_y").alias("b")).distinct()
     both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
