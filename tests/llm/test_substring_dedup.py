@@ -3,10 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm.cases import corpus, frame, prose
-from watchtide.llm import substring_dedup
+from watchtide.llm import ngram_join, substring_dedup
 
 
 def brute(texts, ids=None, size=13):
@@ -68,3 +69,20 @@ def test_awkward_rows(spark):
     got = substring_dedup.dedup(frame(spark, texts, ids)).collect()
     assert sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in got) == [
         (-1, 0, 0), (-1, 21, 20), (4, 20, 0), (4, 20, 0), (7, 0, 0), (9, 20, 20)]
+
+
+@pytest.mark.parametrize("partitions", ["4", "1"])
+def test_smaller_source_with_a_like_hash(spark, partitions):
+    """A window whose hash begins like that of another one, in a smaller document that holds nothing of the passage."""
+    words = prose(random.Random(4), 200_000, 5000).split()
+    hashes = ngram_join.rolling([w.encode() for w in words], 13, ngram_join.Words()) >> np.uint64(64 - 28)
+    order = np.argsort(hashes, kind="stable")
+    a, b = next((a, b) for a, b in zip(order, order[1:]) if hashes[a] == hashes[b] and abs(a - b) > 13)
+    texts = [" ".join(words[a:a + 13]), "before it " + " ".join(words[b:b + 13]), " ".join(words[b:b + 13]) + " after it"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = rows(substring_dedup.dedup(frame(spark, texts)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute(texts) and got[2][2] == 13

@@ -99,15 +99,19 @@ def _least(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return hashes[first], ids[first]
 
 
-def claims(stretches: DataFrame, bits: int, owners: int, size: int) -> DataFrame:
+def claims(stretches: DataFrame, owners: int, size: int) -> DataFrame:
     """(source, uid, key, runs, n_bytes): ``runs`` holds first and last window of each run that claims ``source``,
     counted in words over the document's stretches with one place between them.
+
+    Each window names one source, so all 64 bits of its hash go: a source that only shares some of them would displace
+    the true one.
     """
-    span, shift = -(-(1 << bits) // owners), np.uint64(64 - bits)
+    owners = max(2, owners)  # the range of a single one would not fit into 64 bits
+    bits, span = 64, -(-(1 << 64) // owners)
     slim = stretches.select("chunk", "uid", "key", "lengths", "hashes", F.octet_length("body").alias("n_bytes"))
 
     def own(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        held = [np.frombuffer(h, "<u8") >> shift for h in pdf["hashes"]]
+        held = [np.frombuffer(h, "<u8") for h in pdf["hashes"]]
         return held, *_least(np.concatenate(held), np.repeat(pdf["key"].to_numpy(np.int64), [len(h) for h in held]))
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -261,7 +265,7 @@ def dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col:
     chunked = texts.select(F.pmod("uid", F.lit(chunks)).alias("chunk"), "uid", key.alias("key"), "text")
     stretches = common.staged(recurring(chunked, bits, owners, size), "substring-stretches")
     left = stretches.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    claimed = common.staged(claims(stretches, min(62, bits + 8), owners, size), "substring-claims")
+    claimed = common.staged(claims(stretches, owners, size), "substring-claims")
 
     # a source's claims go to one shard, or over several where they are many
     shards = max(common.shuffle_partitions(spark), -(-left // shard_bytes))
