@@ -1,6 +1,6 @@
 """A corpus through five operators, each stage on all that the one before it kept.
 
-language ID (documents whose language cannot be told go) -> exact dedup (of equal texts the largest doc_id stays) ->
+language ID (documents without a letter go) -> exact dedup (of equal texts the largest doc_id stays) ->
 n-gram Jaccard join (of linked documents the smallest doc_id stays) -> benchmark decontamination (documents that hold a
 passage of a test item go) -> byte-level BPE (the ids, with their digests).
 """
@@ -25,10 +25,15 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with a language of the model; one without a letter has none.  A low score alone rejects nothing."""
+    """Every document with a language of the model; one without a letter has none.  A low score alone rejects nothing.
+
+    Where no label was there to learn from, every document with a letter stays.
+    """
     known = docs.select(*COLUMNS)
-    passed = known.withColumn("read", F.coalesce("text", F.lit("")))
-    found = common.map_column(passed, "read", "lang_pred string, score double", langid.labeller(langid.train(known)))
+    passed, model = known.withColumn("read", F.coalesce("text", F.lit(""))), langid.train(known)
+    if not model.languages:
+        return common.map_column(passed, "read", "letters int", langid.letters).where("letters > 0").select(*COLUMNS)
+    found = common.map_column(passed, "read", "lang_pred string, score double", langid.labeller(model))
     return found.where(F.col("lang_pred") != langid.NONE).select(*COLUMNS)
 
 

@@ -10,7 +10,7 @@ import corpus_pipeline
 from tests.llm.cases import corpus, frame, prose
 from tests.llm.test_exact_and_tokens import edit_distance_anywhere
 from tests.llm.test_ngram_join import brute as linked
-from watchtide.llm import bpe, decontaminate, langid
+from watchtide.llm import bpe, common, decontaminate, langid
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +52,11 @@ def test_repeated_and_null_rows(spark, folder):
     docs = frame(spark, ["one text", "one text", None, "", "one text", "other words"], [3, 3, None, 4, 2, None])
     left = corpus_pipeline.drop_equal_texts(spark, docs, folder[0]).collect()
     assert sorted((r["doc_id"] or -1, r["text"]) for r in left) == [(-1, "other words"), (3, "one text"), (4, "")]
+
+
+def test_nothing_to_learn_languages_from(spark, folder):
+    texts, held = [None, "", "12 -- 7", "some words", "\u6f22\u5b57", "9 \u00e9"], [5, 7, 15, 17, 20, 22]
+    assert frame(spark, texts, held).where(common.held_out()).count() == len(texts)
+    for docs in (frame(spark, texts, lang=None), frame(spark, texts, held)):  # no label, labels in the held-out quarter only
+        left = corpus_pipeline.identify_language(spark, docs, folder[0]).collect()
+        assert sorted(r["text"] for r in left) == sorted(texts[3:])

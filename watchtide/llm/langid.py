@@ -190,6 +190,15 @@ def labeller(model: Model):
     return make
 
 
+def letters():
+    """For ``map_column``: a task's function from texts to 1 for those with a letter and 0 for the others."""
+
+    def run(texts: list[str]) -> tuple[None, list]:
+        return None, [[int(LETTER.search(t) is not None) for t in texts]]
+
+    return run
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) per row: the language with the largest mean probability over all byte positions.
 
