@@ -16,12 +16,16 @@ from watchtide.session import tune
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-# From here on ids are taken as unique: rows that share an id share its fate.
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The documents whose id is (left_semi) or is not (left_anti) among ``ids``; a null id counts as a value."""
-    other = ids.select(F.col(ids.columns[0]).alias("other_id")).distinct()
-    return docs.join(other, docs["doc_id"].eqNullSafe(F.col("other_id")), how).select(*COLUMNS)
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose id and text are not among (doc_id, text_sha256) of ``gone``; a null id counts as a value."""
+    other = gone.select(F.col("doc_id").alias("other_id"), F.col("text_sha256").alias("other_sha")).distinct()
+    keyed = _keyed(docs)
+    same = keyed["doc_id"].eqNullSafe(F.col("other_id")) & (keyed["text_sha256"] == F.col("other_sha"))
+    return keyed.join(other, same, "left_anti").select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,14 +57,20 @@ def drop_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, that with the smallest id; documents linked with nothing all stay."""
-    gone = ngram_join.join(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _only(docs, gone, "left_anti")
+    """One document of each group of linked ones, that with the smallest id; documents linked with nothing all stay.
+
+    A null id counts as larger than every other; of several texts under the smallest id the one with the smallest
+    digest stays.
+    """
+    found = ngram_join.join(docs, digests=True)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_sha256") == F.col("component_sha256"))
+    return _without(docs, found.where(~first))
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that holds no passage of a test item."""
-    return _only(docs, decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "left_anti")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontaminate.matches(_keyed(docs), items, keep=("text_sha256",)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,17 @@ def test_nothing_to_learn_languages_from(spark, folder):
     for docs in (frame(spark, texts, lang=None), frame(spark, texts, held)):  # no label, labels in the held-out quarter only
         left = corpus_pipeline.identify_language(spark, docs, folder[0]).collect()
         assert sorted(r["text"] for r in left) == sorted(texts[3:])
+
+
+def test_rows_that_share_an_id_have_their_own_fate(spark, folder):
+    rng = random.Random(9)
+    base, clean = prose(rng, 60, 4000), [prose(rng, 40, 4000) for _ in range(3)]
+    near = [f"{base} {w}" for w in ("one", "two", "three")]
+    leak = f"{prose(rng, 20, 4000)} {folder[2][0]} {prose(rng, 10, 4000)}"
+    for shared in (None, 1, 5):
+        docs = frame(spark, [*near, *clean, leak], [shared, shared, 3, shared, shared, 4, shared])
+        left = {r["text"] for r in corpus_pipeline.drop_near_copies(spark, docs, folder[0]).collect()}
+        same = near[:2] if shared == 1 else near[2:]  # where the smallest id is repeated, one text of it stays
+        assert left - set(near) == {*clean, leak} and len(left & set(near)) == 1 and left & set(near) <= set(same)
+        left = [r["text"] for r in corpus_pipeline.drop_benchmark_text(spark, docs, folder[0]).collect()]
+        assert sorted(left) == sorted([*near, *clean])

@@ -124,8 +124,10 @@ class Matcher:
 
 
 def matches(docs: DataFrame, bench: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text",
-            item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, passages_found, passages, edits, end_word): documents that hold a passage of a test item.
+            item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES,
+            keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns ``keep``, item_id, passages_found, passages, edits, end_word): documents that hold a passage
+    of a test item.
 
     Null and empty texts and items match nothing.  Items are looked for in blocks of bounded size, one pass over the
     documents for each; repeated items are all reported, repeated rows give repeated results.
@@ -133,7 +135,7 @@ def matches(docs: DataFrame, bench: DataFrame, rate: float = RATE, id_col: str =
     items = bench.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    texts = common.texts_of(docs, id_col, text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
 
     def block(number: int) -> DataFrame:
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number) if blocks > 1 else items
@@ -149,7 +151,7 @@ def matches(docs: DataFrame, bench: DataFrame, rate: float = RATE, id_col: str =
 
             return run
 
-        return common.map_column(texts, "text", "item_id long, passages_found int, passages int, edits int, end_word int", make)
+        return common.map_column(texts, "_text", "item_id long, passages_found int, passages int, edits int, end_word int", make)
 
     found = block(0)
     for number in range(1, blocks):

@@ -199,7 +199,7 @@ def classes_of(every: np.ndarray, bits: int, owners: int, replies: pd.DataFrame)
     return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
 
-# one table with three kinds of rows: documents (kind 0), signature blocks (1), texts of indexed sets (2)
+# one table with three kinds of rows: documents (kind 0, the digest as text if asked for), signature blocks (1), texts of indexed sets (2)
 INDEXED = "kind int, doc_id string, set_id long, n int, text string, owner int, width int, blob binary, members binary, bits array<long>"
 
 
@@ -211,7 +211,8 @@ def index(chunked: DataFrame, answers: DataFrame, bits: int, sig_bits: int, owne
     def run(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         sets = list(_sets(pdf["text"]))
         ids = [set_id(s) if len(s) else None for s in sets]
-        rows = [(0, d, i, len(s), *blank[:6]) for d, i, s in zip(pdf["doc_id"], ids, sets)]
+        digests = pdf["sha"] if "sha" in pdf else [None] * len(pdf)
+        rows = [(0, d, i, len(s), sha, *blank[:5]) for d, i, s, sha in zip(pdf["doc_id"], ids, sets, digests)]
         distinct = {i: k for k, i in enumerate(ids) if i is not None}
         if distinct:
             every = common.distinct(np.concatenate([sets[k] for k in distinct.values()]) >> shift)
@@ -365,9 +366,13 @@ def may_differ() -> Column:
     return F.when(F.col("ctr_x") == F.col("ctr_y"), (NUMERATOR + DENOMINATOR) * common_ >= NUMERATOR * (F.col("n_x") + F.col("n_y"))).otherwise(True)
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES,
+         digests: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: the smallest id reachable over links of similarity 3/4 or more.
 
+    With ``digests`` also (text_sha256, component_sha256): the row's own digest, and the smallest one among the texts of
+    the component that have the id ``component_id``.
+
     Null, empty and blank texts have no shingles and are linked with nothing; equal sets are linked.  A null id never
     names a component that has another id.  An empty table gives an empty result.  Other columns are ignored.
     """
@@ -377,10 +382,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
     chunks = max(common.shuffle_partitions(spark), -(-size // chunk_bytes))
     owners = common.owners_for(spark, size // 6, 1 << 22)
     bits = min(60, max(20, int(np.log2(size + 1)) + 6))  # one in some hundred shingles shares its hash by chance
-    chunked = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    chunked = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("string").alias("doc_id"), "text",
+                           *([F.sha2("text", 256).alias("sha")] if digests else []))
     made = common.staged(index(chunked, frequencies(chunked, bits, owners), bits, min(62, bits + 12), owners), "ngram-index")
 
-    rows = made.where("kind = 0").select(F.col("doc_id").cast("long").alias("doc_id"), "set_id", "n")
+    rows = made.where("kind = 0").select(F.col("doc_id").cast("long").alias("doc_id"), "set_id", "n", F.col("text").alias("sha"))
     bodies = made.where("kind = 2").groupBy(F.col("set_id").alias("member")).agg(
         F.any_value("text").alias("text"), F.any_value("bits").alias("bits"))
     bodies = common.staged(bodies, "ngram-bodies")
@@ -414,10 +420,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
     if more.limit(1).count():
         found = components(nodes, more.unionByName(found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
-    firsts = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha") if digests else F.col("doc_id")
+    firsts = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(own).alias("first"))
     firsts = firsts.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    names = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = common.staged(firsts.join(names, "component").select(F.col("set_id").alias("of"), "component_id"), "ngram-names")
-    return rows.join(named, F.col("set_id") == F.col("of"), "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    names = firsts.groupBy("component").agg(F.min("first").alias("name"))
+    named = common.staged(firsts.join(names, "component").select(F.col("set_id").alias("of"), "name"), "ngram-names")
+    found = rows.join(named, F.col("set_id") == F.col("of"), "left").withColumn("name", F.when(F.col("set_id").isNull(), own).otherwise(F.col("name")))
+    return found.select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), (F.col("name.doc_id") if digests else F.col("name")).alias("component_id"),
+        *([F.col("sha").alias("text_sha256"), F.col("name.sha").alias("component_sha256")] if digests else []))
