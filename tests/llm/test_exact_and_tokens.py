@@ -159,3 +159,16 @@ def test_safe_pieces_random():
 def test_clashing_columns_are_there(spark):
     assert set(CLASHING) <= set(frame(spark, ["a"]).columns)
     assert frame(spark, ["a"]).select(F.col("sha")).first()[0] == "x"
+
+
+def test_short_items_unspaced_scripts_and_excerpts(spark):
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(60)]
+    items = ["Who wrote it first?", "\u4f60\u597d\u5417\u4eca\u5929", " ".join(words), "\u4eca\u65e5\u306f\u5929\u6c17\u304c\u3044\u3044\u3067\u3059\u306d", "of it"]
+    before, after = prose(rng, 20), prose(rng, 20)
+    texts = [f"{before} who wrote IT, first {after}", f"{before} who wrote it at first {after}", f"\u6211\u8bf4{items[1]}\u3002{after}",
+             f"{before} {' '.join(words[12:48])} {after}", f"{before} {items[3][:3]}\u5929\u6c14{items[3][5:]} {after}", f"{before} of it {after}",
+             f"{before} {' '.join(words[20:32])} {after}"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.matches(frame(spark, texts), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(0, 0), (2, 1), (3, 2), (4, 3)}

@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts are compared as lower-cased words without marks.  A test item is cut into passages of similar length; a passage
-of n words may differ by ``int(rate * n)`` word edits.  It is split into one piece more than that budget, so a text
+Texts are compared as lower-cased words without marks; in scripts without spaces each character is a word.  A test item
+is cut into passages of similar length that overlap by half; a passage of n words may differ by ``int(rate * n)`` word edits.  It is split into one piece more than that budget, so a text
 within the budget holds at least one piece unchanged.  An Aho-Corasick automaton finds the piece hits in one pass over
 a document, and Myers' bit-parallel distance, one bit per word of the passage, decides around each hit.
 """
@@ -18,22 +18,29 @@ from watchtide.llm import common
 
 RATE = 0.2  # word edits allowed per word of a passage
 PASSAGE_WORDS = 32  # aimed length of a passage
-LEAST_WORDS = 8  # a shorter item only matches a document that has no other words
+LEAST_WORDS = 8  # a shorter item is looked for unchanged
+PHRASE_WORDS = 3  # a still shorter one only matches a document that has no other words
 BLOCK_BYTES = 8 << 20  # text of the test items that one pass over the documents looks for
 
 _BREAK = re.compile(r"[\W_]+")
+#: Letters of Thai, Lao, Myanmar, Khmer, kana and Chinese characters, which are written without spaces.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+                       "\uff66-\uff9f\U00020000-\U0003ffff])")
 
 
 def plain(text: str) -> str:
     """Lower-cased words between single spaces, with one at either end; '' without a word."""
-    words = _BREAK.sub(" ", text.lower()).strip()
+    text = text.lower()
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \1 ", text)
+    words = _BREAK.sub(" ", text).strip()
     return f" {words} " if words else ""
 
 
 def passages(words: list[str], size: int = PASSAGE_WORDS) -> list[list[str]]:
-    """``words`` in consecutive parts of nearly equal length, about ``size`` each."""
-    parts = max(1, round(len(words) / size))
-    return [words[len(words) * i // parts: len(words) * (i + 1) // parts] for i in range(parts)]
+    """Parts of ``words`` of nearly equal length, about ``size`` each; each begins in the middle of the one before."""
+    halves = 2 * max(1, round(len(words) / size))
+    return [words[len(words) * i // halves: len(words) * (i + 2) // halves] for i in range(halves - 1)]
 
 
 def pieces(n: int, budget: int) -> list[tuple[int, int]]:
@@ -74,12 +81,12 @@ class Matcher:
         for item, text in items:
             folded = plain(text)
             words = folded.split()
-            if len(words) < LEAST_WORDS:
+            if len(words) < PHRASE_WORDS:
                 if words:
                     self.whole.setdefault(folded, []).append((item, len(words)))
                 continue
             for part in passages(words, size):
-                number, budget = len(self.passages), int(rate * len(part))
+                number, budget = len(self.passages), int(rate * len(part)) if len(words) >= LEAST_WORDS else 0
                 self.passages.append((item, part, budget))
                 for a, b in pieces(len(part), budget):
                     found.setdefault(f" {' '.join(part[a:b])} ", []).append((number, a))
@@ -129,6 +136,9 @@ def matches(docs: DataFrame, bench: DataFrame, rate: float = RATE, id_col: str =
     """(doc_id, the columns ``keep``, item_id, passages_found, passages, edits, end_word): documents that hold a passage
     of a test item.
 
+    Passages overlap, so words and their edits may count in two.  Items of fewer than LEAST_WORDS words are one passage
+    without edits, those of fewer than PHRASE_WORDS match only a document that consists of nothing else; an excerpt
+    that holds no passage of its item within the edits is not found.
     Null and empty texts and items match nothing.  Items are looked for in blocks of bounded size, one pass over the
     documents for each; repeated items are all reported, repeated rows give repeated results.
     """
