@@ -87,3 +87,16 @@ def test_star_centres():
     n = np.array([3, 4, 4, 5, 6, 7, 10, 2, 9])
     shared = np.array([0, 4, 4, 1, 6, 7, 10, 2, 9])
     assert ngram_join.stars(n, shared, np.array([0, 7])).tolist() == [1, 1, 1, 4, 4, 5, 6, 7, 8]
+
+
+def test_new_shingles_with_equal_short_hashes_are_not_listed(spark):
+    """Two shingles of a set whose hashes begin with the same 32 bits would count once among the common ones."""
+    words = prose(random.Random(6), 400_000, 5000).split()
+    hashes = ngram_join.rolling([w.encode() for w in words], 5, ngram_join.Words()) >> np.uint64(32)
+    order = np.argsort(hashes, kind="stable")
+    a, b = next((a, b) for a, b in zip(order, order[1:]) if hashes[a] == hashes[b] and abs(a - b) > 5)
+    twice = " ".join(words[a:a + 5] + words[b:b + 5])
+    bodies = spark.createDataFrame([(1, "a b c d e f g"), (2, twice), (3, "a b c d e f h")], "member long, text string")
+    got = {r["b"]: r for r in ngram_join.verify(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), bodies).collect()}
+    assert got[2]["lost"] is None and got[2]["new"] is None
+    assert len(got[3]["lost"]) == len(got[3]["new"]) == 1

@@ -313,7 +313,8 @@ def may_overlap(n_a: str, bits_a: str, n_b: str, bits_b: str) -> Column:
 def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (a, b) of set ids with ``linked``, and how b differs from a: hashes of ``lost`` and ``new`` shingles.
 
-    Differences of more than DIFFERENCE shingles are left null.
+    Differences of more than DIFFERENCE shingles are left null, and those whose new shingles' shortened hashes are not
+    all distinct: these would count as fewer common shingles than there are.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,8 +337,9 @@ def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
                 x, y = tokens(a, text_a), tokens(b, text_b)
                 lost, new = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
                 both = len(x) - len(lost)
-                near = len(lost) + len(new) <= DIFFERENCE
-                rows.append((a, b, DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both), short(lost) if near else None, short(new) if near else None))
+                some = short(new)
+                near = len(lost) + len(new) <= DIFFERENCE and len(common.distinct(some)) == len(some)
+                rows.append((a, b, DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both), short(lost) if near else None, some if near else None))
             yield pd.DataFrame(rows, columns=["a", "b", "linked", "lost", "new"])
 
     left = bodies.select(F.col("member").alias("a"), F.col("text").alias("text_a"))
@@ -360,7 +362,8 @@ def differences(tried: DataFrame, sizes: DataFrame) -> DataFrame:
 def may_differ() -> Column:
     """Whether the differences of x and y from one centre allow a link: common = centre - (lost by either) + (new in both).
 
-    Hashes that meet by chance make the left side larger, never smaller.
+    Hashes of two sets that meet by chance make the left side larger, never smaller; those of one set's new shingles
+    are distinct.
     """
     common_ = F.col("n_ctr_x") - F.size(F.array_union("lost_x", "lost_y")) + F.size(F.array_intersect("new_x", "new_y"))
     return F.when(F.col("ctr_x") == F.col("ctr_y"), (NUMERATOR + DENOMINATOR) * common_ >= NUMERATOR * (F.col("n_x") + F.col("n_y"))).otherwise(True)
