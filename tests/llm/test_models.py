@@ -171,3 +171,15 @@ def test_warc_round_trip(spark):
     warc.write(pages.where("false"), path)
     assert warc.captures(spark, path).collect() == []
     assert spark.createDataFrame([("da39a3ee5e6b4b0d3255bfef95601890afd80709",)], "h string").select(warc.base32(F.col("h"))).first()[0] == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
+
+
+def test_names_that_begin_like_raw_elements_and_unclosed_ones():
+    def texts(page):
+        return [b.text for b in html_text.blocks(page)]
+    for tag in ("video-js", "title-bar", "math-field", "object-view", "script-x"):
+        assert texts(f"<p>a</p><{tag} id=x>in</{tag}><p>b</p>") == ["a", "in", "b"]
+    for tag in ("svg", "object", "canvas", "audio", "video"):
+        assert texts(f"<p>a</p><{tag} id=x><p>b</p>") == ["a", "b"]
+        assert texts(f"<p>a</p><{tag}>no</{tag}><p>b</p>") == ["a", "b"]
+    for tag in ("script", "style", "title", "textarea"):
+        assert texts(f"<p>a</p><{tag}>no<p>no</p>") == texts(f"<p>a</p><{tag}\n>no") == ["a"]

@@ -29,6 +29,7 @@ CELLS = 60_000  # blocks, with padding, that go through the network at once
 BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre
 search section select summary table tbody td tfoot th thead tr ul""".split())
+RAW_TEXT = "script|style|title|textarea|iframe"  # run to the end of the page where they are not closed
 RAW = "script|style|title|textarea|template|noscript|iframe|svg|object|math|canvas|audio|video"
 VOID = frozenset("hr".split())
 ENDS_P = BLOCKS - {"button", "label", "legend", "option", "optgroup"}
@@ -40,7 +41,7 @@ NOISE = frozenset("""nav menu header footer aside sidebar ad ads advert advertis
 form login search subscribe newsletter comment comments reply replies related share social breadcrumb breadcrumbs pagination widget popup
 modal copyright button select""".split())
 
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""",
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*?(?:/>|>.*?</\1\s*>)|<(?:{RAW_TEXT})(?=[\s/>])[^>]*>.*|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""",
                     re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
