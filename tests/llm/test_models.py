@@ -183,3 +183,13 @@ def test_names_that_begin_like_raw_elements_and_unclosed_ones():
         assert texts(f"<p>a</p><{tag}>no</{tag}><p>b</p>") == ["a", "b"]
     for tag in ("script", "style", "title", "textarea"):
         assert texts(f"<p>a</p><{tag}>no<p>no</p>") == texts(f"<p>a</p><{tag}\n>no") == ["a"]
+
+
+def test_all_exception_phrases_stay(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ENTRIES", 1)
+    rng = random.Random(3)
+    added = ["snorp"] * 40 + ["snorp aisle"] * 12 + ["snorp clinic"] * 12 + [""] * 100
+    docs = frame(spark, [f"{prose(rng, 12)} {a} {prose(rng, 12)}" for a in added])
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(len(added))], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    assert {" snorp aisle ", " snorp clinic "} <= set(lexicon.exceptions)

@@ -171,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
         common_phrases = counts(clean, frozenset(weights), 3, phrases=True)
         if common_phrases:
             bad = counts(toxic, frozenset(weights), 1, phrases=True)
-            lexicon.exceptions = sorted(p for p in common_phrases if p not in bad)[:ENTRIES]
+            lexicon.exceptions = sorted(p for p in common_phrases if p not in bad)  # the sample bounds them
     _calibrate(lexicon, sample)
     return lexicon
 
