@@ -14,25 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from watchtide import fixed
+from watchtide.operators.running import running
+from watchtide.session import cut_lineage
 
 BLOCK = 64
 FIELDS = ["action", "actor", "actor_type", "details", "evidence_refs", "prompt_hash", "resource_id", "resource_type",
           "tenant_id", "timestamp"]
 
 
-def number_records(df: DataFrame, key: str, start: int = 0, width: int = 100_000, name: str = "sequence") -> DataFrame:
-    """Dense 1-based numbers in order of a unique integer column, without one global sort.
-
-    Rows are ranked inside key ranges of ``width`` (so at most ``width`` rows each); only the range
-    counts, one row per range, are summed in order.
-    """
-    ranged = df.withColumn("_g", F.floor(F.col(key) / width).cast("long"))
-    counts = ranged.groupBy("_g").agg(F.count("*").alias("_n"))
-    upto = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_g", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_g").orderBy(key)
-    out = ranged.withColumn("_i", F.row_number().over(inside)).join(offsets, "_g")
-    return out.withColumn(name, F.lit(start) + F.col("_off") + F.col("_i")).drop("_g", "_i", "_off")
+def number_records(df: DataFrame, key: str, start: int = 0, name: str = "sequence") -> DataFrame:
+    """Dense numbers after ``start`` in order of a unique column of any orderable type, dense, sparse or hashed."""
+    return running(df, [], [F.col(key)], number=name).withColumn(name, F.lit(start) + F.col(name))
 
 
 def canonical_record(columns: list[str]) -> Column:
@@ -89,7 +81,7 @@ def append_events(events: DataFrame, block: int = BLOCK, after: tuple[int, int,
         return _chain(base.select(F.lit(0).alias("level"), "sequence", "content"), block).select(
             F.lit(segment).cast("int").alias("segment"), "*").where("false")
     # inside the segment numbers start at 1; the record hashes use the numbers of the whole log
-    level = _chain(base.select(F.lit(0).alias("level"), "sequence", "content"), block, last)
+    level = cut_lineage(_chain(base.select(F.lit(0).alias("level"), "sequence", "content"), block, last))  # read by the next level and the result
     out, left, n = level, count, 0
     while left > 1 or n == 0:
         n, left = n + 1, -(-left // block)

@@ -200,7 +200,7 @@ _CONTENT = "concat('{\"action\":\"', o_orderstatus, '\",\"actor\":\"u', o_custke
 
 def _audit_rows(spark, sf):
     rows = tel.read(spark, sf, "orders").selectExpr("o_orderkey", "o_orderstatus AS action", "concat('u', o_custkey) AS actor", "cast(o_orderkey AS string) AS resource_id", "o_orderdate AS timestamp")
-    return audit.number_records(rows, "o_orderkey", width=5000).withColumn("content", audit.canonical_record(["action", "actor", "resource_id"]))
+    return audit.number_records(rows, "o_orderkey").withColumn("content", audit.canonical_record(["action", "actor", "resource_id"]))
 
 
 _NUM = f"num AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS sequence, {_CONTENT} AS content, o_orderstatus AS action, concat('u', o_custkey) AS actor, CAST(o_orderkey AS VARCHAR) AS resource_id, epoch_us(o_orderdate) AS t FROM orders)"
