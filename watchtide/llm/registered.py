@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from watchtide.llm import bpe, common, decontaminate, exact_dedup, html_text, langid, ngram_join, substring_dedup, token_planes, toxicity, warc
+from watchtide.llm import (bpe, collocations, common, decontaminate, exact_dedup, html_text, langid, mixture, ngram_join, substring_dedup,
+                           token_planes, toxicity, vector_codes, warc)
 from watchtide.session import tune
 
 QUERIES: dict = {}
@@ -104,3 +105,60 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+_NEAREST = """{a} AS (SELECT id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+  SELECT v.id, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x)) AS d FROM v JOIN {b} b ON b.part = v.part AND b.place = v.place
+  GROUP BY v.id, v.part, b.entry) GROUP BY id, part)"""
+_REFINED = """{c} AS (SELECT b.part, b.entry, b.place, coalesce(m.x, b.x) AS x FROM {b} b LEFT JOIN (
+  SELECT v.part, a.entry, v.place, CAST(floor(CAST(sum(v.x) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM v JOIN {a} a ON a.id = v.id AND a.part = v.part
+  GROUP BY v.part, a.entry, v.place) m ON m.part = b.part AND m.entry = b.entry AND m.place = b.place)"""
+
+
+@query("op11_vector_codes", f"""
+WITH kept AS (SELECT vec_id, label, embedding, len(embedding) // 16 AS width, row_number() OVER (ORDER BY vec_id) AS id FROM embeddings
+              WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+ long AS (SELECT id, width, unnest(range(len(embedding))) AS d, unnest(embedding) AS e FROM kept),
+ v AS (SELECT id, d // width AS part, d % width AS place, CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT) AS x FROM long),
+ b0 AS (SELECT part, id - 1 AS entry, place, x FROM v WHERE id <= 64),
+ {_NEAREST.format(a='a1', b='b0')}, {_REFINED.format(c='b1', b='b0', a='a1')},
+ {_NEAREST.format(a='a2', b='b1')}, {_REFINED.format(c='b2', b='b1', a='a2')},
+ {_NEAREST.format(a='a3', b='b2')},
+ coded AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a3 GROUP BY id)
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) FROM b2) AS codebooks_sha256
+FROM coded JOIN kept USING (id)""")
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_collocations", r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ words AS (SELECT lang, [x for x in string_split_regex(piece, '[\x20\x09]+') if x <> ''] AS w FROM pieces),
+ places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+ f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f
+       FROM places CROSS JOIN (VALUES (1), (2), (3)) AS sizes(m) WHERE i + m - 1 <= len(w) GROUP BY 1, 2, 3),
+ n AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+ c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 10),
+ cuts AS (SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS tail
+          FROM c CROSS JOIN (VALUES (1), (2)) AS ks(k) WHERE k < m),
+ scored AS (SELECT cuts.lang, cuts.phrase, a, k, l.f AS l, r.f AS r,
+                   CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+            FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = head JOIN f r ON r.lang = cuts.lang AND r.phrase = tail),
+ best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+ longer AS (SELECT lang, phrase, max(a) AS a FROM (
+   SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM c WHERE m = 3
+   UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM c WHERE m = 3) GROUP BY 1, 2),
+ ranked AS (SELECT best.lang, best.phrase, best.a, l, r, score,
+                   row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, best.a DESC, best.phrase) AS rank
+            FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.phrase = best.phrase
+            WHERE nth = 1 AND (longer.a IS NULL OR 100 * longer.a < 50 * best.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+@query("op13_mixture")
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"))
