@@ -135,10 +135,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_collocations", r"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
- words AS (SELECT lang, [x for x in string_split_regex(piece, '[\x20\x09]+') if x <> ''] AS w FROM pieces),
- places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
- f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f
-       FROM places CROSS JOIN (VALUES (1), (2), (3)) AS sizes(m) WHERE i + m - 1 <= len(w) GROUP BY 1, 2, 3),
+ numbered AS (SELECT row_number() OVER () AS p, lang, [x for x in string_split_regex(piece, '[\x20\x09]+') if x <> ''] AS w FROM pieces),
+ words AS (SELECT p, lang, unnest(range(len(w))) AS i, unnest(w) AS w FROM numbered),
+ places AS (SELECT lang, w AS w1, lead(w, 1) OVER piece AS w2, lead(w, 2) OVER piece AS w3 FROM words WINDOW piece AS (PARTITION BY p ORDER BY i)),
+ f AS (SELECT lang, 1 AS m, w1 AS phrase, count(*) AS f FROM places GROUP BY ALL
+       UNION ALL SELECT lang, 2, concat(w1, ' ', w2), count(*) FROM places WHERE w2 IS NOT NULL GROUP BY ALL
+       UNION ALL SELECT lang, 3, concat(w1, ' ', w2, ' ', w3), count(*) FROM places WHERE w3 IS NOT NULL GROUP BY ALL),
  n AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
  c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 10),
  cuts AS (SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS tail
