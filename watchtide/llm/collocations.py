@@ -3,19 +3,18 @@
 Every word opens one window: the word and the words that lead it, padded where its piece of text ends.  Only these
 longest windows are counted; the count of a shorter phrase is the sum over the windows that begin with it, which one
 ROLLUP yields for all lengths.  Tasks count the windows of a chunk of texts first and send them, packed, to owners by a hash
-of the whole window, so a frequent phrase is one row for each chunk however often it occurs.
+of the whole window, so a frequent phrase is one entry for each chunk however often it occurs.
 """
 
 from __future__ import annotations
 
-import io
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from watchtide.llm import common
@@ -77,7 +76,7 @@ def windows(data: bytes, upto: int, longest: int) -> tuple[pa.Array, list[np.nda
     n = int(np.searchsorted(starts, upto))
     columns = [c[:n] for c in columns]
     places, counts = _grouped(columns, [len(coded.dictionary) + 1] * longest)
-    return coded.dictionary, [c[places] for c in columns], counts
+    return coded.dictionary.cast(pa.binary()), [c[places] for c in columns], counts
 
 
 def stretches(text: bytes, longest: int, size: int = STRETCH_BYTES) -> Iterator[tuple[bytes, int]]:
@@ -93,55 +92,85 @@ def stretches(text: bytes, longest: int, size: int = STRETCH_BYTES) -> Iterator[
         at = end
 
 
-def _packed(words: list[pa.Array], counts: np.ndarray) -> bytes:
-    table = pa.table({**{f"w{i}": w for i, w in enumerate(words, 1)}, "n": counts})
-    out = io.BytesIO()
-    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_table(table)
-    return out.getvalue()
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of the words by code; 0 stands for padding."""
+    return np.array([0, *map(xxhash.xxh64_intdigest, words)], np.uint64)
+
+
+def _dealt(lang: str, words: pa.Array, columns: list[np.ndarray], counts: np.ndarray, by: int, owners: int) -> Iterator[tuple]:
+    """(owner, lang, words, codes): windows by a hash of their first ``by`` words, with a dictionary of their own.
+
+    Codes are dealt out by frequency and stored byte plane by byte plane, so most planes are nearly empty.
+    """
+    hashes = _hashes(words.to_pylist())
+    mixed = np.full(len(counts), xxhash.xxh64_intdigest(lang.encode()), np.uint64)
+    for column in columns[:by]:
+        mixed = (mixed ^ hashes[column]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    owner = ((mixed >> np.uint64(20)) % np.uint64(owners)).astype(np.int64)
+    order = np.argsort(owner, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(owner[order]) > 0])) if len(owner) else []
+    for at, end in zip(starts, [*starts[1:], len(owner)]):
+        rows = order[at:end]
+        used, local, times = np.unique(np.stack([c[rows] for c in columns]), return_inverse=True, return_counts=True)
+        real = used > 0
+        rank = np.zeros(len(used), np.int64)
+        common_first = np.flatnonzero(real)[np.argsort(-times[real], kind="stable")]
+        rank[common_first] = np.arange(1, len(common_first) + 1)
+        cells = np.vstack([rank[local].reshape(len(columns), -1), counts[rows]]).astype("<u8")
+        planes = np.ascontiguousarray(cells.view(np.uint8).reshape(len(columns) + 1, -1, 8).transpose(0, 2, 1))
+        named = b"\n".join(words.take(pa.array(used[common_first] - 1)).to_pylist())  # no word holds a line end
+        yield int(owner[rows[0]]), lang, zstandard.compress(named), zstandard.compress(planes.tobytes())
+
+
+def _united(blobs: list[dict], width: int) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
+    """Dictionary, columns and counts of the windows of several parcels."""
+    lists, cells = [], []
+    for blob in blobs:
+        named = zstandard.decompress(blob["words"])
+        lists.append(named.split(b"\n") if named else [])
+        planes = np.frombuffer(zstandard.decompress(blob["codes"]), np.uint8).reshape(width + 1, 8, -1)
+        cells.append(np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u8")[..., 0].astype(np.int64))
+    coded = pa.array([w for words in lists for w in words], pa.binary()).dictionary_encode()
+    places, at = coded.indices.to_numpy().astype(np.int64) + 1, 0
+    for words, cell in zip(lists, cells):
+        cell[:width] = np.concatenate([[0], places[at:at + len(words)]])[cell[:width]]
+        at += len(words)
+    whole = np.concatenate(cells, axis=1)
+    return coded.dictionary, list(whole[:width]), whole[width]
 
 
 def counted_windows(texts: DataFrame, longest: int, least: int, owners: int) -> DataFrame:
-    """(lang, w1 ... wn, n) of all windows of (lang, text); the last word of windows rarer than ``least`` is padding.
+    """(lang, w1 ... wn, n): the windows of (lang, text), counted and padded from the word that makes them rare.
 
-    Rare windows matter to shorter phrases only, and these are sums over prefixes, so padding changes no count.
+    A window matters to the phrases it begins with.  Where its first m words occur less than ``least`` times, only its
+    first m - 1 words can still matter, so the others become padding and windows fall together; sums over prefixes stay
+    what they are.  One pass for each length m finds that out, at the owners of the first m words.
     """
     names = [f"w{i}" for i in range(1, longest + 1)]
+    parcel = pa.schema([("owner", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("codes", pa.binary())])
+
+    def batch_of(row: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, parcel.types)], schema=parcel)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[bytes]] = {}
         held: dict[str, int] = {}
 
-        def dealt(lang: str, data: bytes, upto: int) -> Iterator[pa.RecordBatch]:
-            dictionary, columns, counts = windows(data, upto, longest)
-            hashes = np.zeros(len(dictionary) + 1, np.uint64)
-            hashes[1:] = [xxhash.xxh64_intdigest(w) for w in dictionary.to_pylist()]
-            mixed = np.full(len(counts), xxhash.xxh64_intdigest(lang.encode()), np.uint64)
-            for c in columns:
-                mixed = (mixed ^ hashes[c]) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(29)
-            owner = ((mixed >> np.uint64(20)) % np.uint64(owners)).astype(np.int64)
-            order = np.argsort(owner, kind="stable")
-            owner = owner[order]
-            cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])), [len(owner)]]) if len(owner) else []
-            dictionary = dictionary.cast(pa.binary())
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                rows = order[a:b]
-                words = [dictionary.take(pa.array(c[rows] - 1, mask=c[rows] == 0)) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array([int(owner[a])], pa.int64()), pa.array([lang]),
-                                                  pa.array([_packed(words, counts[rows])], pa.binary())], names=["owner", "lang", "blob"])
+        def counted(lang: str, data: bytes, upto: int) -> Iterator[pa.RecordBatch]:
+            return map(batch_of, _dealt(lang, *windows(data, upto, longest), longest, owners))
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             data = b"\n".join(waiting.pop(lang))
             del held[lang]
-            yield from dealt(lang, data, len(data))
+            return counted(lang, data, len(data))
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 if len(text) > STRETCH_BYTES:
-                    for part, upto in stretches(text, longest):
-                        yield from dealt(lang, part, upto)
+                    for part, upto in stretches(text, longest, STRETCH_BYTES):
+                        yield from counted(lang, part, upto)
                     continue
                 waiting.setdefault(lang, []).append(text)
                 held[lang] = held.get(lang, 0) + len(text)
@@ -150,25 +179,37 @@ def counted_windows(texts: DataFrame, longest: int, least: int, owners: int) ->
         for lang in list(waiting):
             yield from flush(lang)
 
-    def summed(blobs: pa.Table) -> pa.Table:
-        out = []
-        for lang in blobs.column("lang").unique().to_pylist():
-            mine = blobs.filter(pa.compute.equal(blobs.column("lang"), lang)).column("blob")
-            table = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in mine])
-            coded = [table.column(w).combine_chunks().dictionary_encode() for w in names]
-            columns = [pa.compute.fill_null(pa.compute.add(c.indices, 1), 0).to_numpy() for c in coded]
-            spans = [len(c.dictionary) + 1 for c in coded]
-            places, n = _grouped(columns, spans, table.column("n").to_numpy())
-            columns = [c[places] for c in columns]
-            columns[-1] = np.where(n >= least, columns[-1], 0)
-            places, n = _grouped(columns, spans, n)
-            words = [c.dictionary.take(pa.array(x[places] - 1, mask=x[places] == 0)).cast(pa.string()) for c, x in zip(coded, columns)]
-            out.append(pa.table([pa.array([lang] * len(n), pa.string()), *words, pa.array(n, pa.int64())], names=["lang", *names, "n"]))
-        return pa.concat_tables(out)
-
-    blobs = texts.mapInArrow(count, "owner bigint, lang string, blob binary")
-    schema = "lang string, " + "".join(f"{w} string, " for w in names) + "n bigint"
-    return blobs.groupBy("owner").applyInArrow(summed, schema)
+    def padding(m: int):
+        def run(group: pa.Table) -> pa.Table:
+            by_lang: dict[str, list] = {}
+            for blob in group.to_pylist():
+                by_lang.setdefault(blob["lang"], []).append(blob)
+            out = []
+            for lang, blobs in by_lang.items():
+                words, columns, n = _united(blobs, longest)
+                spans = [len(words) + 1] * longest
+                places, n = _grouped(columns, spans, n)
+                columns = [c[places] for c in columns]  # sorted by the columns, so equal beginnings lie together
+                if len(n):
+                    new = np.any([np.diff(c, prepend=-1) != 0 for c in columns[:m]], axis=0)
+                    rare = (np.add.reduceat(n, np.flatnonzero(new)) < least)[np.cumsum(new) - 1]
+                    columns = [np.where(rare, 0, c) if i >= m - 1 else c for i, c in enumerate(columns)]
+                places, n = _grouped(columns, spans, n)
+                columns = [c[places] for c in columns]
+                if m > 1:
+                    out.append(pa.Table.from_batches(map(batch_of, _dealt(lang, words, columns, n, m - 1, owners)), parcel))
+                else:
+                    taken = [words.take(pa.array(c - 1, mask=c == 0)).cast(pa.string()) for c in columns]
+                    out.append(pa.table([pa.array([lang] * len(n), pa.string()), *taken, pa.array(n, pa.int64())], names=["lang", *names, "n"]))
+            return pa.concat_tables(out)
+        return run
+
+    parcels = texts.mapInArrow(count, "owner bigint, lang string, words binary, codes binary")
+    for m in range(longest, 0, -1):
+        schema = "owner bigint, lang string, words binary, codes binary" if m > 1 else (
+            "lang string, " + "".join(f"{w} string, " for w in names) + "n bigint")
+        parcels = parcels.groupBy("owner").applyInArrow(padding(m), schema)
+    return parcels
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
