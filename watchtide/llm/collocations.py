@@ -22,7 +22,8 @@ from watchtide.llm import common
 LONGEST, SHORTEST, LEAST, TOP, COVERED = 3, 2, 10, 2000, 50
 CHUNK_BYTES = 16 << 20  # text that is counted together in a task
 STRETCH_BYTES = 32 << 20  # longer texts are counted in stretches
-OWNER_BYTES = 16 << 20  # text for each owner
+OWNER_BYTES = 8 << 20  # text for each owner
+SHARES = 16
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE, _END = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -217,7 +218,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, l
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    owners = common.owners_for(docs.sparkSession, size, OWNER_BYTES)
+    owners = max(1, -(-size // OWNER_BYTES))  # by the text alone: parcels are tasks times owners
     names = [f"w{i}" for i in range(1, longest + 1)]
     top = counted_windows(texts, longest, least, owners)
     rolled = top.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled"))
@@ -259,7 +260,9 @@ def mine(docs: DataFrame, longest: int = LONGEST, shortest: int = SHORTEST, leas
         F.max("a").alias("longer"))
     scored = scored.join(longer, ["lang", "phrase"], "left").where(
         F.col("longer").isNull() | (100 * F.col("longer").cast("decimal(20,0)") < covered * F.col("a").cast("decimal(20,0)")))
-    best = Window.partitionBy("lang").orderBy(F.col("cut.score").desc(), F.col("a").desc(), F.col("phrase"))
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    order = [F.col("cut.score").desc(), F.col("a").desc(), F.col("phrase")]
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))  # a common language is ranked in shares first
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang", share).orderBy(*order))).where(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     totals = found.where(F.size("words") == 0).select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
