@@ -94,3 +94,17 @@ def test_empty_graph(spark):
     df = spark.createDataFrame([("a", "b"), ("a", "a")], "src string, dst string")
     assert [tuple(r) for r in landmarks.distances(index, df).collect()] == [("a", "a", 0)]
     assert index.labels.where(F.lit(True)).count() == 0
+
+
+def test_features_as_of_see_only_earlier_edges(spark):
+    from watchtide.operators import graph_query
+    edges = spark.createDataFrame(
+        [("a|x|b", "x", "a", "b", 10), ("a|x|c", "x", "a", "c", 20), ("b|y|d", "y", "b", "d", 30), ("a|y|a", "y", "a", "a", 40), ("c|z|d", "z", "c", "d", 50)],
+        "edge_id string, edge_type string, src_id string, dst_id string, first_us long")
+    entity = "entities array<struct<type:string,id:string,display_name:string,attributes:map<string,string>>>"
+    rows = [(f"e{t}", "t0", [], t, [("Host", "a", "a", {})]) for t in (5, 10, 25, 30, 45)] + [("none", "t0", [], 50, [])]
+    events = spark.createDataFrame(rows, f"event_id string, tenant_id string, intel_matches array<string>, ts_us long, {entity}")
+    got = {r.event_id: (r.degree, r.rare_edge_score, r.neighbor_count, r.path_length) for r in graph_query.features_as_of(events, edges).collect()}
+    # one type only: rarity 0; then x has 2 of 3 edges of two types: 1 - 2 / 3 * 2 < 0; at 45 two x and two y: 1 - 1 / 2 * 2 = 0
+    assert got == {"e5": (0, 0.5, None, None), "e10": (1, 0.0, 2, None), "e25": (2, 0.0, 3, None), "e30": (2, 0.0, 3, None),
+                   "e45": (3, 0.0, 3, None), "none": (0, 0.5, None, None)}

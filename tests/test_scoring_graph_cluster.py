@@ -107,7 +107,7 @@ def test_self_loop_counts_once(spark):
 def test_degree_as_of(spark):
     edges = edges_frame(spark, [("a", "b"), ("a", "c"), ("d", "a")]).withColumn("first_us", F.expr("CASE dst_id WHEN 'b' THEN 5 WHEN 'c' THEN 250 ELSE 1000 END").cast("long"))
     reads = spark.createDataFrame([(0, "a"), (5, "a"), (249, "a"), (250, "a"), (5000, "a"), (10, "zz")], "ts_us long, node_id string")
-    got = {(r.ts_us, r.node_id): r.degree_as_of for r in graph_query.degree_as_of(reads, edges, width=100).collect()}
+    got = {(r.ts_us, r.node_id): r.degree_as_of for r in graph_query.degree_as_of(reads, edges).collect()}
     assert got == {(0, "a"): 0, (5, "a"): 1, (249, "a"): 1, (250, "a"): 2, (5000, "a"): 3, (10, "zz"): 0}
 
 

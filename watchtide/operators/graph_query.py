@@ -1,20 +1,22 @@
 """Graph queries as bounded loops of equi-joins.
 
-Each hop is one join of the frontier with the edge list and one aggregate that keeps the shortest
-distance per node.  A reliable checkpoint after every hop keeps plans short and survives executor
-loss.  State is (origin, node), so it never holds more than the nodes each origin reaches.
+Neighborhoods and distances to known-bad nodes spread hop by hop: one join of the frontier with the edge list and one
+aggregate that keeps the shortest distance per node, checkpointed to keep plans short and survive executor loss.  Paths
+and distances between given nodes come from landmark labels.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from watchtide.functions.core import entity_id
+from watchtide.operators import landmarks
 from watchtide.operators.graph_build import primary_entity
+from watchtide.operators.running import running
 from watchtide.session import cut_lineage
 
-DAY = 86_400_000_000
-
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """Undirected view: every stored edge in both directions, self-loops once."""
@@ -82,43 +84,12 @@ def neighborhood(edges: DataFrame, roots: DataFrame, depth: int = 1, limit: int
     return nodes, found
 
 
-def _half_paths(adj: DataFrame, origins: DataFrame, depth: int) -> DataFrame:
-    """(origin, node, dist, path) with the smallest shortest path per node."""
-    state = origins.select(
-        F.col("node_id").alias("origin"), F.col("node_id").alias("node"), F.lit(0).alias("dist"),
-        F.array().cast("array<string>").alias("path")).distinct()
-    for hop in range(1, depth + 1):
-        ring = state.where(F.col("dist") == hop - 1)
-        reached = ring.join(adj, "node").select(
-            "origin", F.col("other").alias("node"), F.lit(hop).alias("dist"), F.array_append("path", F.col("edge_id")).alias("path"))
-        grown = state.unionByName(reached).groupBy("origin", "node").agg(F.min(F.struct("dist", "path")).alias("m"))
-        state = cut_lineage(grown.select("origin", "node", "m.dist", "m.path"))
-    return state
-
-
 def attack_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 6) -> DataFrame:
-    """Shortest undirected path per (src, dst): found, length (-1 when none) and edge ids in order.
-
-    Both ends search half the depth and meet in the middle.  Nodes with a single neighbor that are no
-    end point of any pair cannot lie inside a path and are left out of the search.
-    """
-    adj = adjacency(edges)
-    ends = pairs.select(F.col("src").alias("node_id")).unionByName(pairs.select(F.col("dst").alias("node_id"))).distinct()
-    inner = adj.select("node", "other").distinct().groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias("node_id"))
-    useful = ends.unionByName(inner).distinct()
-    adj = adj.join(useful, adj["other"] == useful["node_id"], "left_semi")
-    adj = cut_lineage(adj.groupBy("node", "other").agg(F.min("edge_id").alias("edge_id")))
-    near = _half_paths(adj, pairs.select(F.col("src").alias("node_id")), (max_depth + 1) // 2)
-    far = _half_paths(adj, pairs.select(F.col("dst").alias("node_id")), max_depth // 2)
-    a = pairs.select("src", "dst").distinct().join(
-        near.select(F.col("origin").alias("src"), "node", F.col("dist").alias("d1"), F.col("path").alias("p1")), "src")
-    b = far.select(F.col("origin").alias("dst"), "node", F.col("dist").alias("d2"), F.col("path").alias("p2"))
-    best = a.join(b, ["dst", "node"]).groupBy("src", "dst").agg(F.min(F.struct(
-        (F.col("d1") + F.col("d2")).alias("length"), F.concat("p1", F.reverse("p2")).alias("path"))).alias("m"))
-    out = pairs.select("src", "dst").distinct().join(best, ["src", "dst"], "left")
-    return out.select("src", "dst", F.col("m").isNotNull().alias("found"),
-                      F.coalesce("m.length", F.lit(-1)).alias("length"),
-                      F.coalesce("m.path", F.array().cast("array<string>")).alias("path"))
+    """Shortest undirected path per (src, dst): found, length (-1 when none) and edge ids in order."""
+    found = landmarks.paths(landmarks.build(adjacency(edges), max_depth), pairs)
+    out = pairs.select("src", "dst").distinct().join(found, ["src", "dst"], "left")
+    return out.select("src", "dst", F.col("length").isNotNull().alias("found"), F.coalesce("length", F.lit(-1)).alias("length"),
+                      F.coalesce("path", F.array().cast("array<string>")).alias("path"))
 
 
 def distance_to_bad(edges: DataFrame, bad: DataFrame, max_depth: int = 4) -> DataFrame:
@@ -175,8 +146,7 @@ def snapshot_features(events: DataFrame, edges: DataFrame, max_depth: int = 4) -
     keyed = events.withColumn("node_id", primary_entity())
     # one row per node, so that the hot ones are joined once
     facts = degrees(edges).join(incident_rarity(edges, adj), "node_id", "left")
-    wanted = keyed.where("node_id IS NOT NULL").select("event_id", "node_id", "tenant_id", F.explode("intel_matches").alias("v")).select(
-        "event_id", F.col("node_id").alias("src"), indicator_node(F.col("v"), F.col("tenant_id")).alias("dst")).distinct()
+    wanted = indicator_pairs(keyed)
     lengths = path_lengths(adj, wanted.select("src", "dst").distinct(), max_depth)
     own = wanted.join(lengths, ["src", "dst"]).groupBy("event_id").agg(F.min("length").alias("path_length"))
     out = keyed.join(facts, "node_id", "left").join(own, "event_id", "left")
@@ -185,39 +155,71 @@ def snapshot_features(events: DataFrame, edges: DataFrame, max_depth: int = 4) -
 
 
 def path_lengths(adj: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
-    """(src, dst, length) of the pairs that are connected within ``max_depth`` undirected hops.
+    """(src, dst, length) of the pairs that are connected within ``max_depth`` undirected hops."""
+    return landmarks.distances(landmarks.build(adj, max_depth), pairs)
 
-    Both ends search half the depth and meet in the middle; only distances are kept.
-    """
-    links = cut_lineage(adj.select("node", "other").where("node <> other").distinct())
-    sides = []
-    for end, depth in (("src", (max_depth + 1) // 2), ("dst", max_depth // 2)):
-        state = pairs.select(F.col(end).alias("origin"), F.col(end).alias("node"), F.lit(0).alias("dist")).distinct()
-        for hop in range(1, depth + 1):
-            state = _spread(state, links, hop)
-        sides.append(state.select(F.col("origin").alias(end), "node", F.col("dist").alias(f"to_{end}")))
-    met = pairs.join(sides[0], "src").join(sides[1], ["dst", "node"])
-    return met.groupBy("src", "dst").agg(F.min(F.col("to_src") + F.col("to_dst")).alias("length"))
-
-
-def degree_as_of(reads: DataFrame, edges: DataFrame, t: str = "ts_us", width: int = DAY) -> DataFrame:
+
+def degree_as_of(reads: DataFrame, edges: DataFrame, t: str = "ts_us") -> DataFrame:
     """Add ``degree_as_of``: edges first seen at the node up to and including each read's time.
 
-    ``reads`` needs ``node_id`` and ``t``; ``edges`` needs ``first_us``.  Counts run inside
-    (node, day) slices and start from the node's earlier days, which are summed as one row per day.
+    ``reads`` needs ``node_id`` and ``t``; ``edges`` needs ``first_us``.  Both lie on one time line for each node, and
+    the counts run along it; a hub's day is spread over as many slices as its rows need.
     """
     ends = edges.select(F.explode(F.array_distinct(F.array("src_id", "dst_id"))).alias("node_id"), F.col("first_us").alias("_t"))
-    slice_ = F.floor(F.col("_t") / width).cast("long")
-    adds = ends.groupBy("node_id", "_t").agg(F.count("*").alias("_d")).withColumn("_b", slice_).withColumn("_o", F.lit(0))
-    asks = reads.withColumn("_t", F.col(t)).withColumn("_b", slice_).withColumn("_o", F.lit(1)) \
-        .withColumn("_d", F.lit(0).cast("long")).withColumn("_read", F.lit(True))
-    days = adds.select("node_id", "_b", "_d").unionByName(asks.select("node_id", "_b", "_d")).groupBy("node_id", "_b").agg(F.sum("_d").alias("_d"))
-    before = Window.partitionBy("node_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    heads = days.select("node_id", "_b", (F.col("_b") * width).alias("_t"), F.lit(-1).alias("_o"),
-                        F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_d"))
-    rows = asks.unionByName(adds, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True)
-    w = Window.partitionBy("node_id", "_b").orderBy("_t", "_o").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("degree_as_of", F.sum("_d").over(w)).where("_read").drop("_b", "_t", "_o", "_d", "_read")
+    adds = ends.groupBy("node_id", "_t").agg(F.count("*").alias("_d")).withColumn("_o", F.lit(0).cast("long"))
+    # reads after the edges of their time; the hash only spreads reads of one moment
+    asks = reads.withColumn("_t", F.col(t)).withColumn("_o", F.lit(1) + F.pmod(F.xxhash64(*reads.columns), F.lit(1 << 40))).withColumn("_read", F.lit(True))
+    rows = asks.unionByName(adds, allowMissingColumns=True)
+    out = running(rows, ["node_id"], [F.col("_t"), F.col("_o")], {"degree_as_of": F.col("_d")})
+    return out.where("_read").drop("_t", "_o", "_d", "_read")
+
+
+def indicator_pairs(keyed: DataFrame) -> DataFrame:
+    """(event_id, src, dst): primary entity of each event and the nodes its own indicators point at."""
+    return keyed.where("node_id IS NOT NULL").select("event_id", "node_id", "tenant_id", F.explode("intel_matches").alias("v")).select(
+        "event_id", F.col("node_id").alias("src"), indicator_node(F.col("v"), F.col("tenant_id")).alias("dst")).distinct()
+
+
+def features_as_of(events: DataFrame, edges: DataFrame, max_depth: int = 4, t: str = "ts_us") -> DataFrame:
+    """(event_id, node_id, degree, rare_edge_score, neighbor_count, path_length) as the graph was at each event's time.
+
+    ``events`` needs event_id, tenant_id, entities, intel_matches and ``t``; ``edges`` needs ``first_us``, when they were first
+    seen.  An event sees the edges first seen up to and including its own time, so its own edges too.  Counts for each
+    edge type run along the time line of the node and that of the whole graph; a path counts from the time its last edge
+    is there.  Events without an entity get the defaults.
+    """
+    keyed = cut_lineage(events.select("event_id", "tenant_id", "intel_matches", F.col(t).alias("_t"), primary_entity().alias("node_id")))
+    edges = cut_lineage(edges.select("edge_id", "edge_type", "src_id", "dst_id", F.col("first_us").alias("_t")))
+    types = sorted(r[0] for r in edges.select("edge_type").distinct().collect())  # a checked domain of fifteen
+    asks = keyed.select("event_id", "node_id", "_t", F.lit(1).alias("_o"), F.xxhash64("event_id").alias("_h"))
+    ends = adjacency(edges).join(edges.select("edge_id", "_t"), "edge_id").select(F.col("node").alias("node_id"), "other", "edge_type", "_t")
+    near = ends.where("other <> node_id").groupBy("node_id", "other").agg(F.min("_t").alias("_t")).select("node_id", "_t", F.lit(1).alias("near"))
+    at = ends.groupBy("node_id", "edge_type", "_t").agg(F.count("*").alias("n")).select("node_id", "edge_type", "_t", "n", F.lit(0).alias("near"))
+    counts = {f"_n{i}": F.when(F.col("edge_type") == ty, F.col("n")) for i, ty in enumerate(types)}
+    line = at.unionByName(near, allowMissingColumns=True).withColumn("_o", F.lit(0))
+    line = line.unionByName(asks.where("node_id IS NOT NULL"), allowMissingColumns=True)
+    local = running(line, ["node_id"], [F.col("_t"), F.col("_o"), F.col("_h")], {**counts, "neighbors": F.col("near")}).where("_o = 1")
+    whole = edges.groupBy("edge_type", "_t").agg(F.count("*").alias("n")).withColumn("_o", F.lit(0)).unionByName(
+        asks.select("_t", "_o").distinct(), allowMissingColumns=True)
+    world = running(whole, [], [F.col("_t"), F.col("_o"), F.col("edge_type")], {f"_w{i}": c for i, c in enumerate(counts.values())}).where("_o = 1")
+    facts = local.select("event_id", "_t", "neighbors", *counts).join(world.select("_t", *[f"_w{i}" for i in range(len(types))]), "_t")
+
+    def added(cols: list[Column]) -> Column:
+        return functools.reduce(lambda a, b: a + b, cols, F.lit(0).cast("long"))
+    all_, kinds = added([F.col(f"_w{i}") for i in range(len(types))]), added([(F.col(f"_w{i}") > 0).cast("long") for i in range(len(types))])
+    rare = [F.round(F.round(F.greatest(F.lit(0.0), 1.0 - F.col(f"_w{i}") / all_ * kinds), 3) * 1000).cast("long") for i in range(len(types))]
+    degree = added([F.col(c) for c in counts])
+    s = added([F.when(F.col(c) > 0, F.col(c) * r).otherwise(0) for c, r in zip(counts, rare)])
+    facts = facts.select("event_id", degree.alias("degree"), (F.col("neighbors") + 1).alias("neighbor_count"), s.alias("s")).where("degree > 0").select(
+        "event_id", "degree", (F.expr("(2 * s + degree) div (2 * degree)") / 1000.0).alias("rare_edge_score"), "neighbor_count")
+    wanted = cut_lineage(indicator_pairs(keyed).join(keyed.select("event_id", "_t"), "event_id"))
+    index = landmarks.build(adjacency(edges).join(edges.select("edge_id", "_t"), "edge_id"), max_depth, since="_t")
+    ways = landmarks.distances_over_time(index, wanted.select("src", "dst").distinct())
+    own = wanted.join(ways, ["src", "dst"]).where(F.col("since").isNull() | (F.col("since") <= F.col("_t"))).groupBy("event_id").agg(
+        F.min("length").alias("path_length"))
+    out = keyed.select("event_id", "node_id").join(facts, "event_id", "left").join(own, "event_id", "left")
+    return out.select("event_id", "node_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("rare_edge_score", F.lit(0.5)).alias("rare_edge_score"),
+                      "neighbor_count", "path_length")
 
 
 def case_subgraph(case_entities: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 1,

@@ -8,7 +8,7 @@ from watchtide import fixed
 from watchtide.functions.core import edge_key, joined, micros
 from watchtide.operators import graph_build, graph_query
 from watchtide.plans import stages, telemetry as tel
-from watchtide.plans.queries_detect import SQL_FEATURES, sql_edges
+from watchtide.plans.queries_detect import SQL_FEATURES, SQL_PRIMARY, sql_edges
 from watchtide.plans.registry import query
 from watchtide.session import cut_lineage
 
@@ -72,6 +72,39 @@ def graph_timeline(spark, sf):
     return out.groupBy("node_id").agg(F.count("*").alias("entries"), micros(F.min("ts")).alias("oldest_us"), micros(F.max("ts")).alias("newest_us"))
 
 
+# every event sees the edges first seen up to its own time
+_AS_OF = f"""adj AS (SELECT edge_id, edge_type, src_id AS node, dst_id AS other, first_us AS t FROM edge UNION ALL SELECT edge_id, edge_type, dst_id, src_id, first_us FROM edge WHERE src_id <> dst_id),
+ask AS (SELECT event_id, ts_us, {SQL_PRIMARY} AS node FROM ents),
+cum AS (SELECT edge_type, first_us, sum(count(*)) OVER (PARTITION BY edge_type ORDER BY first_us) AS upto FROM edge GROUP BY 1, 2),
+grid AS (SELECT DISTINCT ts_us, edge_type FROM (SELECT DISTINCT ts_us FROM ask) CROSS JOIN (SELECT DISTINCT edge_type FROM edge)),
+tc AS (SELECT ts_us, grid.edge_type, upto FROM grid ASOF JOIN cum ON grid.edge_type = cum.edge_type AND grid.ts_us >= cum.first_us),
+rar AS (SELECT ts_us, edge_type, round(greatest(0::DOUBLE, 1 - upto / (sum(upto) OVER (PARTITION BY ts_us))::DOUBLE * count(*) OVER (PARTITION BY ts_us)), 3) AS r FROM tc),
+inc AS (SELECT event_id, ask.ts_us, edge_type, count(*) AS n FROM ask JOIN adj ON adj.node = ask.node AND adj.t <= ask.ts_us GROUP BY 1, 2, 3),
+mean AS (SELECT event_id, CAST(sum(n) AS BIGINT) AS degree, ((2 * sum(n * CAST(round(r * 1000) AS BIGINT)) + sum(n)) // (2 * sum(n))) / 1000::DOUBLE AS rare FROM inc JOIN rar USING (ts_us, edge_type) GROUP BY 1),
+pair AS (SELECT node, other, min(t) AS t FROM adj GROUP BY 1, 2),
+nbr AS (SELECT event_id, count(*) FILTER (other <> ask.node) + 1 AS neighbors FROM ask JOIN pair ON pair.node = ask.node AND pair.t <= ask.ts_us GROUP BY 1),
+badv AS (SELECT event_id, ts_us, tenant_id, {SQL_PRIMARY} AS src, unnest(intel) AS v FROM ents),
+want AS (SELECT DISTINCT event_id, ts_us, src, concat(tenant_id, CASE WHEN regexp_matches(v, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$') THEN ':IP:' WHEN regexp_matches(v, '^[a-f0-9]{{32,64}}$') THEN ':Hash:' ELSE ':Domain:' END, substr(sha256(trim(lower(v))), 1, 32)) AS dst FROM badv WHERE src IS NOT NULL),
+s0 AS (SELECT DISTINCT src AS o, src AS node, 0 AS d, 0::BIGINT AS t FROM want),
+s1 AS (SELECT o, other AS node, 1 AS d, min(greatest(s0.t, pair.t)) AS t FROM s0 JOIN pair USING (node) GROUP BY 1, 2),
+s2 AS (SELECT o, other AS node, 2 AS d, min(greatest(s1.t, pair.t)) AS t FROM s1 JOIN pair USING (node) GROUP BY 1, 2),
+e0 AS (SELECT DISTINCT dst AS o, dst AS node, 0 AS d, 0::BIGINT AS t FROM want),
+e1 AS (SELECT o, other AS node, 1 AS d, min(greatest(e0.t, pair.t)) AS t FROM e0 JOIN pair USING (node) GROUP BY 1, 2),
+e2 AS (SELECT o, other AS node, 2 AS d, min(greatest(e1.t, pair.t)) AS t FROM e1 JOIN pair USING (node) GROUP BY 1, 2),
+sa AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2), ea AS (SELECT * FROM e0 UNION ALL SELECT * FROM e1 UNION ALL SELECT * FROM e2),
+pr AS (SELECT DISTINCT src, dst FROM want),
+way AS (SELECT src, dst, sa.d + ea.d AS len, min(greatest(sa.t, ea.t)) AS t FROM pr JOIN sa ON sa.o = src JOIN ea ON ea.o = dst AND ea.node = sa.node GROUP BY 1, 2, 3),
+own AS (SELECT event_id, min(len) AS path FROM want JOIN way USING (src, dst) WHERE way.t <= want.ts_us GROUP BY 1)"""
+
+
+@query("graph_features_as_of", f"""WITH {_G}, {_AS_OF} SELECT ask.event_id, ask.node AS node_id, coalesce(degree, 0) AS degree, coalesce(rare, 0.5) AS rare_edge_score,
+ neighbors AS neighbor_count, path AS path_length FROM ask LEFT JOIN mean USING (event_id) LEFT JOIN nbr USING (event_id) LEFT JOIN own USING (event_id)""")
+def graph_features_as_of(spark, sf):
+    ev = cut_lineage(stages.enriched(spark, sf).withColumn("ts_us", micros(F.col("ts"))).drop("enrichment", "provenance", "body"))
+    edges = graph_build.upsert_edges(graph_build.edge_rows(ev)).withColumn("first_us", micros(F.col("first_seen")))
+    return graph_query.features_as_of(ev, edges)
+
+
 # --- supplier / part graph from lineitem: large, with hubs ---------------------------------------
 _SP = ("spe AS (SELECT concat('S', l_suppkey, '|ships_', l_returnflag, '|P', l_partkey) AS edge_id, concat('S', l_suppkey) AS src_id, concat('ships_', l_returnflag) AS edge_type, "
        "concat('P', l_partkey) AS dst_id, count(*) AS cnt, min(epoch_us(l_shipdate)) AS first_us FROM lineitem GROUP BY 1, 2, 3, 4)")
@@ -115,7 +148,7 @@ SELECT l_orderkey, l_linenumber, CAST(upto AS BIGINT) AS degree_as_of FROM rd AS
 def graph_degree_as_of(spark, sf):
     reads = tel.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("P"), F.col("l_partkey")).alias("node_id"),
                                                    micros(F.col("l_shipdate")).alias("ts_us"))
-    return graph_query.degree_as_of(reads, _supply_edges(spark, sf), width=30 * graph_query.DAY).select("l_orderkey", "l_linenumber", "degree_as_of")
+    return graph_query.degree_as_of(reads, _supply_edges(spark, sf)).select("l_orderkey", "l_linenumber", "degree_as_of")
 
 
 # --- geography graph: customer / supplier - nation - region -------------------------------------
