@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from watchtide.operators.audit import number_records
-from watchtide.operators.running import running
+from watchtide.operators.running import as_of, running
 
 
 def rows(spark, n=6000):
@@ -40,3 +40,22 @@ def test_one_hot_group_spreads_over_slices(spark):
     assert len(spread) == 4 and spread["count"].max() < 20000
     got = running(df, ["g"], [F.col("id")], number="n")
     assert got.where(F.col("n") != F.col("id") + 1).count() == 0
+
+
+def test_as_of_takes_the_newest_version_before(spark):
+    import random
+    rnd = random.Random(1)
+    versions = [(rnd.choice(["a", "b", "hot", None]), rnd.randrange(200), rnd.choice([None, "x", "y", "z"])) for _ in range(120)]
+    rows = [(i, rnd.choice(["a", "hot", "hot", "hot", "c", None]), rnd.choice([None, *range(-5, 210)])) for i in range(1500)]
+    v = spark.createDataFrame(versions, "k string, since int, value string")
+    got = as_of(spark.createDataFrame(rows, "id int, k string, t int"), v, ["k"], "t", "since", "value")
+    assert got.columns == ["id", "k", "t", "value"]
+    newest = {}
+    for k, since, value in versions:
+        newest[k, since] = max([newest.get((k, since), None), value], key=lambda x: (x is not None, x or ""))
+    want = {}
+    for i, k, t in rows:
+        before = [s for n, s in newest if n == k and t is not None and s <= t] if k is not None else []
+        want[i] = newest[k, max(before)] if before else None
+    assert {r.id: r.value for r in got.collect()} == want
+    assert as_of(spark.createDataFrame(rows, "id int, k string, t int"), v.where("false"), ["k"], "t", "since", "value").where("value IS NOT NULL").count() == 0

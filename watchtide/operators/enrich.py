@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from watchtide import fixed
 from watchtide.functions.core import (
     any_of, compact, contains_any, entity_id, literal_map, lookup, sorted_union)
+from watchtide.operators.running import as_of
 
 INTEL_FIELDS = ["src_ip", "dst_ip", "domain", "url", "file_hash"]
 
@@ -54,6 +55,29 @@ def latest_indicators(feed: DataFrame, order: str = "load_order") -> DataFrame:
         F.max_by(F.struct(*[c for c in feed.columns if c != order]), order).alias("ioc"))
 
 
+def indicator_versions(feed: DataFrame, since: str, order: str = "load_order") -> DataFrame:
+    """(ioc_key, since, ioc): one row per lower-cased value and time it was loaded; a null confidence takes a value away."""
+    loaded = feed.where("value IS NOT NULL").groupBy(F.lower("value").alias("ioc_key"), F.col(since).alias("since")).agg(
+        F.max_by(F.struct("confidence", "indicator_id"), order).alias("ioc"))
+    return loaded.withColumn("ioc", F.when(F.col("ioc.confidence").isNotNull(), F.col("ioc")))
+
+
+def match_indicators_as_of(events: DataFrame, versions: DataFrame, t: str, fields: list[str] = INTEL_FIELDS) -> DataFrame:
+    """Like :func:`match_indicators`, with the list as it was at each event's time.
+
+    Only (event_id, field, key, time) of the values travel to the versions; what is found comes back as one row per event.
+    """
+    asked = events.select("event_id", F.col(t).alias("at"), F.posexplode(F.array(*fields)).alias("place", "matched_value")).where(
+        F.col("matched_value").isNotNull()).withColumn("ioc_key", F.lower("matched_value"))
+    found = as_of(asked, versions, ["ioc_key"], "at", "since", "ioc").where(F.col("ioc").isNotNull())
+    hits = found.groupBy(F.col("event_id").alias("_of")).agg(F.array_sort(F.collect_list(F.struct(
+        "place", "matched_value", F.col("ioc.confidence").alias("confidence"), F.col("ioc.indicator_id").alias("indicator_id")))).alias("_hits"))
+    out = events.join(hits, F.col("event_id") == F.col("_of"), "left")
+    return out.withColumn("intel_hits", F.transform(F.coalesce("_hits", F.array().cast(hits.schema["_hits"].dataType)), lambda h: F.struct(
+        h["matched_value"].alias("matched_value"), h["confidence"].alias("confidence"), h["indicator_id"].alias("indicator_id")))).withColumn(
+        "intel_matches", F.transform("intel_hits", lambda h: h["matched_value"])).drop("_of", "_hits")
+
+
 def match_indicators(events: DataFrame, indicators: DataFrame, fields: list[str] = INTEL_FIELDS) -> DataFrame:
     """Add ``intel_hits`` (indicator plus matched value, in field order) and ``intel_matches``.
 

@@ -1,4 +1,4 @@
-"""Numbers and running sums over sorted rows, without one task that sees a whole group.
+"""Numbers, running sums and as-of joins over sorted rows, without one task that sees a whole group.
 
 Rows are dealt out by measured quantiles of (group, order), so a slice is of a bounded size however the keys are
 distributed, and a hot group spreads over many slices.  Each slice is summed once; only these totals, one row for each
@@ -44,3 +44,31 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[Column], sums:
     out = out.join(carried, meet)
     numbered = [(F.col("_before") + F.col("_i")).alias(number)] if number else []
     return out.select(*kept, *numbered, *[(F.col(f"_v{i}c") + F.col(f"_v{i}i")).alias(name) for i, name in enumerate(sums)])
+
+
+def as_of(rows: DataFrame, versions: DataFrame, keys: Sequence[str], t: str, since: str, value: str) -> DataFrame:
+    """``rows`` with the ``value`` that the newest version of their key has at time ``t``: since <= t, null before the first.
+
+    Rows and versions lie on one time line for each key.  It is cut into slices of measured size, so a hot key takes
+    many; each slice starts from the last version of the slices before it.  Of versions with equal times the largest
+    value counts; rows with a null key or time get null.  A version may hold null, for a key that was taken away.
+    """
+    kept = rows.columns
+    boxed = versions.where(F.col(since).isNotNull()).groupBy(*keys, F.col(since).alias("_t")).agg(F.max(F.struct(F.col(value).alias("v"))).alias("_v"))
+    asks = rows.withColumns({"_t": F.col(t), "_o": F.lit(1), "_h": F.xxhash64(*kept)})
+    line = asks.unionByName(boxed.withColumns({"_o": F.lit(0), "_h": F.lit(0).cast("long")}), allowMissingColumns=True)
+    order = [F.col("_t"), F.col("_o"), F.col("_h")]
+    line = cut_lineage(line.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_slice", F.spark_partition_id()))
+    last = line.groupBy("_slice", *keys).agg(F.max_by("_v", "_t").alias("_last"))
+    upto = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(F.col("_slice").alias("_s"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                          F.last("_last", ignorenulls=True).over(upto).alias("_before"))
+    inside = Window.partitionBy("_slice", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    meet = F.col("_slice") == F.col("_s")
+    for i, k in enumerate(keys):
+        meet = meet & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = line.withColumn("_now", F.last("_v", ignorenulls=True).over(inside)).where("_o = 1").join(carried, meet)
+    known = F.lit(True)
+    for k in (*keys, t):
+        known = known & F.col(k).isNotNull()
+    return out.select(*kept, F.when(known, F.coalesce("_now", "_before")["v"]).alias(value))

@@ -239,6 +239,27 @@ def enrich_intel(spark, sf):
         F.transform("intel_hits", lambda h: h["confidence"].cast("string")), ",").alias("confidences"))
 
 
+# every part is loaded three times, ten days apart: with changing confidence, and taken away by the last for every third
+_VERSIONS = """ver AS (SELECT lower(CASE WHEN p_partkey % 5 > 0 THEN concat('unseen', p_partkey, '.example') WHEN p_partkey % 2 = 0 THEN concat('DOM', p_partkey % 97, '.example') ELSE concat('203.0.113.', p_partkey % 120) END) AS ioc_key,
+ TIMESTAMP '2024-01-01' + to_days(CAST(10 * v + p_partkey % 7 AS INT)) AS since, CASE WHEN v < 2 OR p_partkey % 3 > 0 THEN (50 + (p_partkey + 13 * v) % 50) / 100.0::DOUBLE END AS confidence, p_partkey AS load_order
+ FROM part, (VALUES (0), (1), (2)) AS vs(v)),
+lst AS (SELECT ioc_key, since, arg_max(coalesce(confidence, -1), load_order) AS conf FROM ver GROUP BY 1, 2)"""
+_AT = " UNION ALL ".join(f"SELECT event_id, ts, {i} AS place, {f} AS v FROM canon WHERE {f} IS NOT NULL" for i, f in enumerate(enrich.INTEL_FIELDS))
+
+
+@query("enrich_list_versions", f"""WITH {_ENR}, {_VERSIONS}, look AS ({_AT}),
+hit AS (SELECT event_id, place, v, conf FROM look ASOF JOIN lst ON lst.ioc_key = lower(look.v) AND look.ts >= lst.since)
+SELECT event_id, string_agg(v, ',' ORDER BY place) AS intel_matches, string_agg(CAST(conf AS VARCHAR), ',' ORDER BY place) AS confidences FROM hit WHERE conf >= 0 GROUP BY 1""")
+def enrich_list_versions(spark, sf):
+    """Each event meets the list as it was at its own time."""
+    feed = tel.indicators(spark, sf).withColumn("v", F.explode(F.array(*map(F.lit, range(3))))).selectExpr(
+        "value", "load_order", "indicator_id", "CAST(TIMESTAMP_NTZ'2024-01-01' + make_interval(0, 0, 0, CAST(10 * v + load_order % 7 AS INT)) AS TIMESTAMP) AS since",
+        "CASE WHEN v < 2 OR load_order % 3 > 0 THEN (50 + (load_order + 13 * v) % 50) / 100.0D END AS confidence")
+    events = stages.normalized(spark, sf)
+    out = enrich.match_indicators_as_of(events, enrich.indicator_versions(feed, "since"), "ts").where(F.size("intel_hits") > 0)
+    return out.select("event_id", joined(F.col("intel_matches")).alias("intel_matches"), joined(F.col("intel_hits.confidence").cast("array<string>")).alias("confidences"))
+
+
 @query("enrich_ioc_lookup", f"WITH {_ENR} SELECT ioc_key, conf AS confidence, ind AS indicator_id FROM ioc")
 def enrich_ioc_lookup(spark, sf):
     return enrich.latest_indicators(tel.indicators(spark, sf)).select("ioc_key", "ioc.confidence", "ioc.indicator_id")

@@ -47,12 +47,28 @@ def stream_dedup(spark, sf):
     return out.groupBy("event_id").agg((F.count("*") == 1).alias("seen"))
 
 
-@query("stream_arrival_status", "SELECT concat('d', event_id % 2000) AS event_id, 1 AS accepted, count(*) - 1 AS duplicates FROM events GROUP BY 1")
+def _shuffled(spark, sf, files: int = 5) -> DataFrame:
+    """The events as a stream of several files, one to a micro-batch; each holds a part of every day, in no order."""
+    topic = _folder(spark, "shuffled")
+    rows = tel.event_rows(spark, sf).select("event_id", "ts", "user_id", "event_type", "value", "k")
+    for i in range(files):
+        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(files)) == i).orderBy(F.xxhash64("event_id", F.lit(1))).coalesce(1).write.mode("append").parquet(topic)
+    return sinks.topic_source(spark, topic, rows.schema, files_per_trigger=1)
+
+
+# acceptance by time, an id again after seven days without one
+_CHAIN = """a AS (SELECT concat('d', event_id % 2000) AS event_id, epoch_us(ts) // 1000 AS at_ms, count(*) AS records FROM events GROUP BY 1, 2),
+acc(event_id, at_ms) AS (SELECT event_id, min(at_ms) FROM a GROUP BY 1
+ UNION ALL SELECT acc.event_id, min(a.at_ms) FROM acc JOIN a ON a.event_id = acc.event_id AND a.at_ms - acc.at_ms > 604800000 GROUP BY acc.event_id, acc.at_ms)"""
+
+
+@query("stream_arrival_status", f"""WITH RECURSIVE {_CHAIN} SELECT a.event_id, a.at_ms, CASE WHEN acc.at_ms IS NULL THEN 0 ELSE 1 END::BIGINT AS accepted,
+ records - CASE WHEN acc.at_ms IS NULL THEN 0 ELSE 1 END AS duplicates FROM a LEFT JOIN acc ON acc.event_id = a.event_id AND acc.at_ms = a.at_ms""")
 def stream_arrival_status(spark, sf):
-    rows = _stream(spark, sf).selectExpr("concat('d', event_id % 2000) AS event_id", "'t0' AS tenant_id", "'sysmon' AS source",
-                                         "cast(ts AS string) AS timestamp", "ts AS received_at", "'{\"EventID\":1}' AS payload")
-    out = _drive(spark, flows.label_arrivals(rows), "arrivals")
-    return out.groupBy("event_id").agg(F.count_if(F.col("status") == "accepted").alias("accepted"), F.count_if(F.col("status") == "duplicate").alias("duplicates"))
+    """Copies days apart, in files of no order: accepted again once the time to live of seven days is over."""
+    rows = _shuffled(spark, sf).selectExpr("concat('d', event_id % 2000) AS event_id", "'t0' AS tenant_id", "'sysmon' AS source",
+                                           "cast(ts AS string) AS timestamp", "ts AS received_at", "'{\"EventID\":1}' AS payload")
+    return flows.arrival_status(_drive(spark, flows.label_arrivals(rows, 7, "32 days"), "arrivals"))
 
 
 @query("stream_event_rate", "SELECT epoch_us(time_bucket(INTERVAL 5 MINUTES, ts)) AS window_us, event_type, count(*) AS events FROM events GROUP BY 1, 2")
@@ -64,18 +80,33 @@ def stream_event_rate(spark, sf):
 
 @query("stream_correlation", f"""WITH e AS ({_LIGHT}) SELECT event_id, window_value, window_value >= 5 AS correlated FROM (SELECT *, count(*) {_over('tenant_id, event_type', 3600)} AS window_value FROM e)""")
 def stream_correlation(spark, sf):
-    rows = _stream(spark, sf).selectExpr("event_id", "unix_micros(ts) AS ts_us", "concat('t', user_id % 3) AS tenant_id", "event_type")
+    """Files of no order: what an earlier batch wrote is corrected by rows that come later."""
+    rows = _shuffled(spark, sf).selectExpr("event_id", "unix_micros(ts) AS ts_us", "concat('t', user_id % 3) AS tenant_id", "event_type")
     rule = {"id": "c1", "correlation": {"type": "threshold", "group_by": ["tenant_id", "event_type"], "min_count": 5, "window_seconds": 3600}}
     root = _folder(spark, "correlation")
-    flows.correlate_stream(rows, rule, root, f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/result").select("event_id", "window_value", "correlated")
+    flows.correlate_stream(rows, rule, root, f"{root}/checkpoint", late_seconds=32 * 86_400).awaitTermination()
+    return flows.correlated(spark, root, ["event_id"]).select("event_id", "window_value", "correlated")
+
+
+@query("stream_correlation_late", f"""WITH b AS (SELECT event_id, ts, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS batch FROM events), w AS (SELECT max(ts) - INTERVAL 10 DAYS AS mark FROM b WHERE batch = 0)
+SELECT event_id FROM b, w WHERE batch = 1 AND ts < mark""")
+def stream_correlation_late(spark, sf):
+    """Rows of the second file that come more than ten days behind the newest of the first: in their own table."""
+    topic = _folder(spark, "late")
+    rows = tel.event_rows(spark, sf).selectExpr("event_id", "unix_micros(ts) AS ts_us", "event_type")
+    for late in (False, True):
+        rows.where((F.col("event_id") % 5 == 0) == late).coalesce(1).write.mode("append").parquet(topic)
+    root = _folder(spark, "correlation")
+    rule = {"id": "c2", "correlation": {"type": "threshold", "group_by": ["event_type"], "min_count": 5, "window_seconds": 3600}}
+    flows.correlate_stream(sinks.topic_source(spark, topic, rows.schema, 1), rule, root, f"{root}/checkpoint", late_seconds=10 * 86_400).awaitTermination()
+    return spark.read.parquet(f"{root}/late").select("event_id")
 
 
 def _stream_envelopes(spark, sf) -> DataFrame:
-    """Batch envelopes written once as a topic folder, then read back as a stream."""
+    """Batch envelopes written once as a topic folder of five files in no order, then read back file by file."""
     topic = _folder(spark, "topic")
-    tel.envelopes(spark, sf).write.parquet(topic)
-    return sinks.topic_source(spark, topic, spark.read.parquet(topic).schema)
+    tel.envelopes(spark, sf).repartition(5, F.xxhash64("event_id")).write.parquet(topic)
+    return sinks.topic_source(spark, topic, spark.read.parquet(topic).schema, files_per_trigger=1)
 
 
 @query("stream_detect", f"WITH {stages.sql_enriched()}, {stages.sql_gated()} SELECT event_id, array_to_string(rule_ids, ',') AS rule_ids, array_to_string(techs, ',') AS techniques FROM gat WHERE len(rule_ids) > 0")
@@ -89,11 +120,11 @@ def stream_detect(spark, sf):
 
 @query("stream_graph", f"WITH {stages.sql_enriched()}, {stages.sql_entities()}, {sql_edges()} SELECT edge_id, cnt, first_us, last_us, sources FROM edge")
 def stream_graph(spark, sf):
-    """Graph deltas written per micro-batch and merged by key on read."""
+    """Graph deltas of five micro-batches; those of every two are merged into a generation, the last is merged on read."""
     events = flows.detect_stream(_stream_envelopes(spark, sf), enrich.latest_indicators(tel.indicators(spark, sf)),
                                  tel.host_assets(spark, sf), tel.user_assets(spark, sf), [])
     root = _folder(spark, "graph")
-    flows.run_now(events.drop("enrichment", "provenance", "matches"), root, f"{root}/checkpoint", sinks.graph_sink(root))
+    flows.run_now(events.drop("enrichment", "provenance", "matches"), root, f"{root}/checkpoint", sinks.graph_sink(root, epoch=2))
     _, edges = sinks.graph_tables(spark, root)
     return edges.select("edge_id", F.col("count").alias("cnt"), micros(F.col("first_seen")).alias("first_us"), micros(F.col("last_seen")).alias("last_us"),
                         joined(F.col("sources")).alias("sources"))
