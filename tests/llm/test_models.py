@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -119,13 +120,95 @@ PAGES = [
 
 
 def test_blocks():
-    found = [(b.path[-1], b.text) for b in html_text.blocks(PAGES[0])]
+    found = [(b.step.text, b.text) for b in html_text.blocks(PAGES[0])]
     assert found == [("li", "Home"), ("li", "News"), ("div ad", "Buy & save now."), ("h1", "Head <1>"), ("p", "Open bold."), ("p", "Two lines é here."),
                      ("p", "Last one."), ("footer", "© me")]
     assert html_text.blocks(None) == html_text.blocks("") == html_text.blocks("<p> <br></p><!-- open") == []
     assert [b.text for b in html_text.blocks("a < b <p>c</div>d<li>e")] == ["a < b", "c", "d", "e"]
 
 
+@pytest.mark.parametrize("piece", ["if (a <b) ", "<a ", "<p x='", "<svg>", "<div>x", "<p '>' ", "<p x='>\"", "</p>", "<script ", "<!-", "<p a=\"'\" b='"])
+def test_broken_markup_takes_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html_text.Features()(html_text.blocks(page)[:1000])
+    assert time.process_time() - began < 4
+
+
+def test_broken_markup_is_text_or_dropped():
+    text = lambda page: [b.text for b in html_text.blocks(page)]
+    assert text("if (a <b) c") == ["if (a <b) c"]
+    assert text("x <p y='never closed") == ["x <p y='never closed"]
+    assert text("a < b <!-- open <p>c</p>") == ["a < b"]
+    assert text("<p>a</p> 1 < 2 <!-- open") == ["a", "1 < 2"]
+    assert text("<svg><p>kept</p>") == ["kept"] and text("<p>a<script>b") == ["a"]
+
+
+def test_stretches_give_what_the_whole_page_gives():
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randrange(1, 40), 300) for _ in range(60)]
+    weights = html_text.fit(PAGES)
+    for _ in range(10):
+        found, _ = html_text._composed(rng, texts)
+        if found:
+            whole = html_text.probabilities(weights, [html_text.Features()(found)])[0]
+            for stretch in (1, 3, 7):
+                assert np.allclose(whole, html_text.long_probabilities(weights, found, html_text.Features(), stretch), atol=1e-5)
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(7)
+    d, h = 5, 3
+    w = {"v": rng.normal(size=2 * h), "c": rng.normal(size=1)}
+    for way in "fb":
+        w |= {"W" + way: rng.normal(size=(d, 4 * h)), "U" + way: rng.normal(size=(h, 4 * h)), "b" + way: rng.normal(size=4 * h)}
+    w = {k: v.astype(np.float64) for k, v in w.items()}
+    x, lengths = rng.normal(size=(2, 4, d)), np.array([4, 2])
+    target = rng.integers(0, 2, (2, 4)).astype(float)
+    mask = np.arange(4)[None, :] < lengths[:, None]
+
+    def loss():
+        p = html_text._forward(w, x, lengths)[0]
+        return -float(((target * np.log(p) + (1 - target) * np.log(1 - p)) * mask).sum() / mask.sum())
+    found = html_text._gradients(w, x, lengths, target)
+    for k, v in w.items():
+        flat = v.reshape(-1)
+        for i in range(0, len(flat), max(1, len(flat) // 5)):
+            old = flat[i]
+            flat[i] = old + 1e-3
+            up = loss()
+            flat[i] = old - 1e-3
+            down = loss()
+            flat[i] = old
+            assert abs((up - down) / 2e-3 - found[k].reshape(-1)[i]) < 2e-3, k
+
+
+#: Pages written by hand, in layouts that the training pages do not have, and their main text.
+HAND = [
+    ("""<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body><div id="topbar"><a href="/">Start</a> <a href="/b">Blog</a></div>
+<nav class="menu main-menu"><a href="/1">One</a><a href="/2">Two</a></nav><main role="main"><article><h1>On keeping bees</h1>
+<p>Bees need water close to the hive, and more of it when the days get long and hot.</p><ul><li>Place a shallow dish nearby.</li>
+<li>Put stones into it, so that none of them drowns.</li></ul><p>Then leave them alone for a while &amp; watch.</p></article></main>
+<aside class="sidebar"><h3>Popular</h3><ul><li><a href="/p">Honey</a></li></ul></aside><footer><p>Copyright 2024</p></footer></body></html>""",
+     ["On keeping bees", "Bees need water close to the hive, and more of it when the days get long and hot.", "Place a shallow dish nearby.",
+      "Put stones into it, so that none of them drowns.", "Then leave them alone for a while & watch."]),
+    ("""<body><header class="site-header"><h2>Daily paper</h2></header><div class="cookie-banner">We use cookies. <button>Fine</button></div>
+<article class="story"><h1>Bridge opens</h1><div class="ad">Buy a car today!</div><p>The bridge over the river was opened on Monday after three years of work.</p>
+<blockquote>It is a good day, said the mayor.</blockquote></article><section class="comments"><h2>Comments</h2><div class="comment"><p>I like the new bridge a lot, it is nice.</p></div></section>
+<div class="newsletter"><form><label>Mail</label><input></form></div></body>""",
+     ["Bridge opens", "The bridge over the river was opened on Monday after three years of work.", "It is a good day, said the mayor."])]
+
+
+def test_hand_written_pages(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, rng.randrange(3, 50), 2000) for _ in range(200)]
+    weights = html_text.fit(PAGES + [html_text.compose(rng, texts).replace("\x02", "").replace("\x03", "") for _ in range(60)])
+    pages = spark.createDataFrame([(i, "u", page) for i, (page, _) in enumerate(HAND)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in html_text.extract(pages, weights).collect()}
+    for i, (_, want) in enumerate(HAND):
+        assert got[i] == want
+
+
 def test_main_text(spark):
     rng = random.Random(5)
     texts = [prose(rng, rng.randrange(1, 60), 3000) for _ in range(300)]

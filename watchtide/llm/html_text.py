@@ -12,6 +12,8 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,8 +43,9 @@ NOISE = frozenset("""nav menu header footer aside sidebar ad ads advert advertis
 form login search subscribe newsletter comment comments reply replies related share social breadcrumb breadcrumbs pagination widget popup
 modal copyright button select""".split())
 
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*?(?:/>|>.*?</\1\s*>)|<(?:{RAW_TEXT})(?=[\s/>])[^>]*>.*|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""",
-                    re.S | re.I)
+_RAW_NAMES, _RAW_TEXT = frozenset(RAW.split("|")), frozenset(RAW_TEXT.split("|"))
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_MARK = re.compile(r"[\"'>]")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -51,9 +54,24 @@ def _bucket(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % size
 
 
+class Step:
+    """An open block element and those around it; what is asked of a path is worked out once for each step."""
+
+    __slots__ = ("above", "text", "depth", "noise", "main", "vector")
+
+    def __init__(self, above: Step | None, text: str):
+        words = text.split(" ")
+        self.above, self.text, self.depth, self.vector = above, text, above.depth + 1 if above else 0, None
+        self.noise = above is not None and (above.noise or any(w in NOISE for w in words))
+        self.main = above is not None and (above.main or any(w in MAIN for w in words))
+
+
+ROOT = Step(None, "")
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    step: Step
     text: str
     linked: float  # share of its characters inside links
 
@@ -75,10 +93,83 @@ def _named(tag: str, attributes: str) -> str:
     return tag + step
 
 
+class _Scanner:
+    """Tags of a page from front to back.  What was looked for in vain is remembered, so that the time is linear."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.mark = (0, -1)  # no quote and no > between these places
+        self.dead: set[int] = set()  # quotes from which no tag ends
+        self.unclosed: dict[str, int] = {}  # raw elements without an end tag behind a place
+        self.last = page.rfind(">")
+
+    def tag_end(self, at: int) -> int:
+        """Place behind the > that ends a tag, quoted ones aside; -1 if there is none."""
+        seen = []
+        while at <= self.last:
+            if not self.mark[0] <= at <= self.mark[1]:
+                found = _MARK.search(self.page, at)
+                self.mark = (at, found.start())
+            quote = self.mark[1]
+            if self.page[quote] == ">":
+                return quote + 1
+            if quote in self.dead:
+                break
+            seen.append(quote)
+            closing = self.page.find(self.page[quote], quote + 1)
+            if closing < 0:
+                break
+            at = closing + 1
+        self.dead.update(seen)
+        return -1
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Place behind the end tag of a raw element; -1 if there is none."""
+        if self.unclosed.get(name, len(self.page)) <= at:
+            return -1
+        found = re.compile(rf"</{name}\s*>", re.I).search(self.page, at)
+        if not found:
+            self.unclosed[name] = at
+            return -1
+        return found.end()
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        """(start, end, closing, tag, attributes) of each tag; comments, raw elements and declarations have no name."""
+        page, at = self.page, self.page.find("<")
+        while at >= 0:
+            if at > self.last:  # only comments may stay open
+                at = page.find("<!--", at)
+                if at < 0:
+                    return
+            end, closing, tag, attributes = -1, page.startswith("/", at + 1), "", ""
+            name = _NAME.match(page, at + 2 if closing else at + 1)
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                end = end + 3 if end >= 0 else len(page)
+            elif name:
+                low = name[0].lower()
+                if not closing and low in _RAW_NAMES:
+                    end = page.find(">", name.end()) + 1
+                    if page[end - 2] != "/" or end - 2 < name.end():
+                        end = self.raw_end(low, end)
+                        if end < 0 and low in _RAW_TEXT:
+                            end = len(page)
+                if end < 0:
+                    end = self.tag_end(name.end())
+                    if end >= 0:
+                        tag, attributes = low, page[name.end():end - 1]
+            if end < 0 and page[at + 1:at + 2] in ("!", "?", "/"):
+                end = page.find(">", at + 1) + 1
+            if end > 0:
+                yield at, end, closing, tag, attributes
+            at = page.find("<", end if end > 0 else at + 1)
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order, with character references decoded and white space collapsed; none without text."""
     found: list[Block] = []
-    path: list[tuple[str, str]] = []
+    path: list[tuple[str, Step]] = []
+    open_tags: Counter = Counter()
     parts: list[str] = []
     links, linked, at, page = 0, 0, 0, page or ""
 
@@ -87,39 +178,42 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append(Block(tuple(step for _, step in path), text, min(1.0, linked / len(text))))
+                found.append(Block(path[-1][1] if path else ROOT, text, min(1.0, linked / len(text))))
         parts, linked = [], 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at:m.start()]
+    def pop() -> str:
+        tag = path.pop()[0]
+        open_tags[tag] -= 1
+        return tag
+
+    for start, end, closing, tag, attributes in _Scanner(page):
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
             linked += len(piece) if links else 0
-        at = m.end()
-        tag = m[3]
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
         if tag not in BLOCKS:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
-                links = 0 if m[2] else 1
+                links = 0 if closing else 1
             continue
         close()
-        if m[2]:
-            for depth in range(len(path) - 1, -1, -1):
-                if path[depth][0] == tag:
-                    del path[depth:]
-                    break
+        if closing:
+            if open_tags[tag]:
+                while pop() != tag:
+                    pass
         else:
             if path and path[-1][0] == "p" and tag in ENDS_P:
-                path.pop()
+                pop()
             ends = SAME_ENDS.get(tag, ())
             while path and path[-1][0] in ends:
-                path.pop()
-            if tag not in VOID and not m[4].endswith("/"):
-                path.append((tag, _named(tag, m[4])))
+                pop()
+            if tag not in VOID and not attributes.endswith("/"):
+                path.append((tag, Step(path[-1][1] if path else ROOT, _named(tag, attributes))))
+                open_tags[tag] += 1
         links = 0
     if at < len(page):
         parts.append(page[at:])
@@ -129,35 +223,29 @@ def blocks(page: str | None) -> list[Block]:
 
 def named_label(block: Block) -> bool | None:
     """What the markup itself says of a block: main text, not main text, or nothing (None)."""
-    words = [w for step in block.path for w in step.split(" ")]
-    if any(w in NOISE for w in words):
-        return False
-    return True if any(w in MAIN for w in words) else None
+    return False if block.step.noise else True if block.step.main else None
 
 
 class Features:
-    """Vectors of blocks; path and word buckets are remembered."""
+    """Vectors of blocks; word buckets are remembered, path vectors are kept at the steps."""
 
     def __init__(self):
-        self.paths: dict[tuple, np.ndarray] = {}
         self.words: dict[str, int] = {}
 
-    def path(self, path: tuple[str, ...]) -> np.ndarray:
-        known = self.paths.get(path)
-        if known is None:
-            known = np.zeros(PATH_SIZE, np.float32)
-            for step in path:
-                for word in step.split(" "):
-                    known[_bucket(word, PATH_SIZE - 1)] = 1
-            if path:
-                known[_bucket("leaf " + path[-1].split(" ")[0], PATH_SIZE - 1)] += 1
-            known[-1] = len(path) / 8
-            if len(self.paths) > 20_000:
-                self.paths.clear()
-            self.paths[path] = known
+    def path(self, step: Step) -> np.ndarray:
+        waiting = []
+        while step.vector is None and step.above is not None:
+            waiting.append(step)
+            step = step.above
+        known = np.zeros(PATH_SIZE, np.float32) if step.vector is None else step.vector
+        for step in reversed(waiting):
+            step.vector = known = known.copy()
+            for word in step.text.split(" "):
+                known[_bucket(word, PATH_SIZE - 1)] = 1
         return known
 
-    def __call__(self, page: list[Block]) -> np.ndarray:
+    def __call__(self, page: list[Block], first: bool = True, last: bool = True) -> np.ndarray:
+        """``page`` may be a stretch of a page; ``first`` and ``last`` say whether it holds the page's ends."""
         out = np.zeros((len(page), PATH_SIZE + WORD_SIZE + 5), np.float32)
         for i, block in enumerate(page):
             words = block.text.split(" ")
@@ -167,9 +255,12 @@ class Features:
                 if w not in self.words:
                     self.words[w] = _bucket(w.lower(), WORD_SIZE)
             counts = np.bincount([self.words[w] for w in words], minlength=WORD_SIZE)
-            out[i, :PATH_SIZE] = self.path(block.path)
+            out[i, :PATH_SIZE] = self.path(block.step)
+            if block.step.depth:
+                out[i, _bucket("leaf " + block.step.text.split(" ")[0], PATH_SIZE - 1)] += 1
+            out[i, PATH_SIZE - 1] = block.step.depth / 8
             out[i, PATH_SIZE:PATH_SIZE + WORD_SIZE] = np.sqrt(counts / len(words))
-            out[i, -5:] = (np.log1p(len(words)) / 4, block.linked, block.text[-1] in ".!?…", i == 0, i == len(page) - 1)
+            out[i, -5:] = (np.log1p(len(words)) / 4, block.linked, block.text[-1] in ".!?…", first and i == 0, last and i == len(page) - 1)
         return out
 
 
@@ -184,11 +275,11 @@ def _turned(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return x[np.arange(len(x))[:, None], at]
 
 
-def _pass(w: dict, way: str, x: np.ndarray, keep: bool):
+def _pass(w: dict, way: str, x: np.ndarray, keep: bool, begin: tuple | None = None):
     """States (B, T, h) of one direction over (B, T, d); padding lies behind the sequence and is never looked at."""
     h = w["U" + way].shape[0]
     inputs = x @ w["W" + way] + w["b" + way]
-    state, cell = np.zeros((2, len(x), h), np.float32)
+    state, cell = begin or np.zeros((2, len(x), h), np.float32)
     out, kept = np.zeros((len(x), x.shape[1], h), np.float32), []
     for t in range(x.shape[1]):
         gates = inputs[:, t] + state @ w["U" + way]
@@ -200,12 +291,12 @@ def _pass(w: dict, way: str, x: np.ndarray, keep: bool):
             kept.append((state, before, i, f, o, g, squashed))
         state = o * squashed
         out[:, t] = state
-    return out, kept
+    return out, kept, (state, cell)
 
 
 def _forward(w: dict, x: np.ndarray, lengths: np.ndarray, keep: bool = False):
-    ahead, kept_f = _pass(w, "f", x, keep)
-    back, kept_b = _pass(w, "b", _turned(x, lengths), keep)
+    ahead, kept_f, _ = _pass(w, "f", x, keep)
+    back, kept_b, _ = _pass(w, "b", _turned(x, lengths), keep)
     both = np.concatenate([ahead, _turned(back, lengths)], axis=2)
     return _sigmoid(both @ w["v"] + w["c"]), both, kept_f, kept_b
 
@@ -254,6 +345,19 @@ def probabilities(w: dict, pages: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def long_probabilities(w: dict, page: list[Block], features: Features, stretch: int = CELLS) -> np.ndarray:
+    """The same for one page of any number of blocks: both directions go over its stretches and hand on their states."""
+    n, h = len(page), w["Uf"].shape[0]
+    score = np.full(n, w["c"][0], np.float32)
+    for way, weight, starts in (("f", w["v"][:h], range(0, n, stretch)), ("b", w["v"][h:], range((n - 1) // stretch * stretch, -1, -stretch))):
+        state = None
+        for at in starts:
+            x = features(page[at:at + stretch], at == 0, at + stretch >= n)[None]
+            out, _, state = _pass(w, way, x if way == "f" else x[:, ::-1], False, state)
+            score[at:at + stretch] += (out[0] if way == "f" else out[0, ::-1]) @ weight
+    return _sigmoid(score)
+
+
 # Layouts of composed training pages.
 _MAIN_SHELLS = ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>',
                 '<div id="main-content"><div class="post">{}</div></div>', '<section class="article-body">{}</section>', '<div class="entry">{}</div>',
@@ -301,7 +405,7 @@ def _composed(rng: random.Random, texts: list[str]) -> tuple[list[Block], np.nda
     found = blocks(page.replace("\x02", "").replace("\x03", ""))
     label = np.zeros(len(found), np.float32)
     for i in range(first, min(upto, len(found))):
-        label[i] = named_label(Block(found[i].path, "", 0)) is not False
+        label[i] = not found[i].step.noise
     return found, label
 
 
@@ -364,7 +468,8 @@ def extract(pages: DataFrame, weights: dict, id_col: str = "page_id", url_col: s
 
         def run(found: list[str | None]) -> tuple[None, list]:
             parsed = [blocks(page) for page in found]
-            chosen = probabilities(weights, [features(f) for f in parsed])
+            short = iter(probabilities(weights, [features(f) for f in parsed if len(f) <= CELLS]))
+            chosen = [next(short) if len(f) <= CELLS else long_probabilities(weights, f, features) for f in parsed]
             kept = [[b.text for b, x in zip(f, p) if x > 0.5] for f, p in zip(parsed, chosen)]
             return None, [["\n".join(k) for k in kept], [len(f) for f in parsed], [len(k) for k in kept]]
 

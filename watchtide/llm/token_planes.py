@@ -17,9 +17,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from watchtide.llm import common
+from watchtide.operators.running import running
 
 MARK = "\x1eTPL1"
 BLOCK_IDS = 1 << 16
@@ -62,7 +63,8 @@ class Encoder:
     The split pattern never goes from a visible character on into white space.  Where a text has no two white space
     characters in a row, its lines and its words with the space before them therefore have the same ids alone as in
     the text, and each distinct word is encoded once; in words of Latin letters and marks the runs of either kind are
-    pieces of the pattern, which go to the library's model as they are.  Any other text is encoded in one piece.
+    pieces of the pattern, which go to the library's model as they are.  Any other text is encoded in one piece, as are
+    texts that hold one of the library's added tokens.
     """
 
     letters = _byte_letters()
@@ -71,7 +73,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_DOUBLE.pattern, *map(re.escape, added)]))
         self.model = self.library.model
         self.pieces = Memory(self._piece)
         self.first = Memory(self._word)
@@ -101,7 +104,7 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         first, inner, newline, out = self.first.__getitem__, self.inner.__getitem__, self.newline, []
         for text in texts:
-            if _DOUBLE.search(text):
+            if self.whole.search(text):
                 out += self._whole([text])
                 continue
             lines = []
@@ -239,13 +242,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                             names=["first", "doc_id", "place", "n_tokens", "ids"])
                         ids, done = [flat[int(starts[ready]) - base:]], ready
 
-    schema = "first long, doc_id long, place long, n_tokens long, ids binary"
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = len(MARK.encode())
+        for batch in batches:
+            firsts, sizes = [], []
+            for content in batch.column(0):
+                blob = content.as_py()
+                if blob:
+                    tail = len(blob) - mark
+                    _, docs, counts = read_index(blob[tail - 4 - struct.unpack_from("<I", blob, tail - 4)[0]:tail - 4])
+                    firsts.append(docs[0])
+                    sizes.append(int(counts.sum(dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(sizes, pa.int64())], names=["of", "size"])
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    rows = files.mapInArrow(run, schema)
-    # ids of all files before: one row for each file
-    before = Window.orderBy(F.col("first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("first").agg(F.sum("n_tokens").alias("size"))
-    bases = sizes.select("first", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    bases = bases.withColumnRenamed("first", "of")
-    return rows.join(F.broadcast(bases), F.col("first").eqNullSafe(F.col("of"))).select(
+    rows = files.mapInArrow(run, "first long, doc_id long, place long, n_tokens long, ids binary")
+    # ids of all files before: one row for each file, from the indexes alone
+    sizes = files.mapInArrow(count, "of long, size long")
+    bases = running(sizes, [], [F.col("of").asc_nulls_first()], {"upto": F.col("size")}).select("of", (F.col("upto") - F.col("size")).alias("base"))
+    return rows.join(bases, F.col("first").eqNullSafe(F.col("of"))).select(
         "doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids")
