@@ -9,11 +9,11 @@ of the whole window, so a frequent phrase is one entry for each chunk however of
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -22,7 +22,7 @@ from watchtide.llm import common
 LONGEST, SHORTEST, LEAST, TOP, COVERED = 3, 2, 10, 2000, 50
 CHUNK_BYTES = 16 << 20  # text that is counted together in a task
 STRETCH_BYTES = 32 << 20  # longer texts are counted in stretches
-OWNER_BYTES = 8 << 20  # text for each owner
+OWNER_BYTES = 16 << 20  # text for each owner
 SHARES = 16
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -93,9 +93,20 @@ def stretches(text: bytes, longest: int, size: int = STRETCH_BYTES) -> Iterator[
         at = end
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    """Hashes of the words by code; 0 stands for padding."""
-    return np.array([0, *map(xxhash.xxh64_intdigest, words)], np.uint64)
+_BASE = 0x9E3779B97F4A7C15  # odd, so its powers can be undone
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64-bit polynomial hashes of the words by code, from the bytes as a whole; 0 stands for padding."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]].astype(np.uint64) + np.uint64(1)
+    offsets -= offsets[0]
+    powers, back = np.ones(len(raw) + 1, np.uint64), np.ones(len(raw) + 1, np.uint64)
+    powers[1:], back[1:] = _BASE, pow(_BASE, -1, 1 << 64)
+    np.cumprod(powers, out=powers)
+    np.cumprod(back, out=back)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * powers[:-1])])
+    return np.concatenate([np.zeros(1, np.uint64), (sums[offsets[1:]] - sums[offsets[:-1]]) * back[offsets[:-1]]])
 
 
 def _dealt(lang: str, words: pa.Array, columns: list[np.ndarray], counts: np.ndarray, by: int, owners: int) -> Iterator[tuple]:
@@ -103,8 +114,8 @@ def _dealt(lang: str, words: pa.Array, columns: list[np.ndarray], counts: np.nda
 
     Codes are dealt out by frequency and stored byte plane by byte plane, so most planes are nearly empty.
     """
-    hashes = _hashes(words.to_pylist())
-    mixed = np.full(len(counts), xxhash.xxh64_intdigest(lang.encode()), np.uint64)
+    hashes = _hashes(words)
+    mixed = np.full(len(counts), zlib.crc32(lang.encode()), np.uint64)
     for column in columns[:by]:
         mixed = (mixed ^ hashes[column]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
