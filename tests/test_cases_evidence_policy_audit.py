@@ -22,6 +22,25 @@ def reports(spark, summary, **kw):
     return spark.createDataFrame([("c1", summary, mapping)], "case_id string, summary string, attack_mapping array<struct<technique_id:string,evidence_id:string>>")
 
 
+def test_reports_keep_their_own_claims(spark):
+    valid = spark.createDataFrame([("c1", "evt-1")], "case_id string, evidence_id string")
+    rows = reports(spark, "Seen on host [evt-1]. No cite at all!").withColumn(
+        "unsupported_claims", F.array(F.lit("z first"), F.lit("a second"), F.lit("Uncited claim flagged: No cite at all!"))).withColumn(
+        "groundedness_score", F.lit(0.9)).withColumn("evidence_cited", F.array(F.lit("made-up")))
+    got = grounding.validate_reports(rows, valid).first()
+    assert got.unsupported_claims == ["z first", "a second", "Uncited claim flagged: No cite at all!"]
+    assert (got.groundedness_score, got.evidence_cited) == (0.5, ["evt-1"])
+
+
+def test_a_case_with_many_events_keeps_their_order(spark):
+    events = spark.range(12_000).select(F.lit("c").alias("case_id"), F.lit("e").alias("entity_id"), F.lit(1).alias("entity_rank"), (F.col("id") + 1).cast("int").alias("event_rank"),
+                                        F.concat(F.lit("v"), "id").alias("event_id"), F.lit("t").alias("event_type"), F.timestamp_seconds(F.lit(100_000) - F.col("id")).alias("ts"),
+                                        F.lit("edr").alias("source"), F.lit("low").alias("severity"))
+    ranked = evidence.rank_items(evidence.finish_items(evidence.event_items(events))).withColumn("at", F.split("pos", "/")[2])
+    got = [r.at for r in ranked.orderBy("rank").select("at").collect()]
+    assert got == [f"v{i}" for i in range(11_999, -1, -1)]
+
+
 def test_grounding(spark):
     valid = spark.createDataFrame([("c1", "evt-1")], "case_id string, evidence_id string")
     good = grounding.validate_reports(reports(spark, "Seen on host [evt-1].", mapping=[("T1", "evt-1"), ("T2", "nope")]), valid).first()
@@ -38,7 +57,7 @@ def test_template_report_is_fully_grounded(spark):
          for k in ("alert", "event", "case") for i in range(5)],
         "case_id string, kind string, pos string, summary string, source string, payload string, t long, technique_ids array<string>, score double")
     ranked = evidence.rank_items(evidence.finish_items(items), 8)
-    rep = evidence.template_report(ranked)
+    rep = evidence.template_report(ranked, quotes=3)
     r = rep.first()
     assert r.likely_objective == "ransomware_deployment" and len(r.attack_mapping) == 1 and r.summary.startswith("case number 0")
     v = grounding.groundedness(grounding.sentence_verdicts(rep, ranked.select("case_id", "evidence_id"))).first()

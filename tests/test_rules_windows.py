@@ -128,3 +128,16 @@ def test_next_in_time(spark):
     rows = [(i, "k", v, t * windows.SECOND) for i, (v, t) in enumerate([("a", 0), ("b", 90_000), ("c", 400_000), ("d", 400_001)])]
     got = {r.id: r.nxt for r in windows.next_in_time(frame(spark, rows), ["k"], "t", "id", "f", "nxt").collect()}
     assert got == {0: "b", 1: "c", 2: "d", 3: None}
+
+
+def test_raw_keys_are_found_in_any_spelling(spark):
+    spellings = ["target_filename", "TargetFilename", "targetfilename", "Target_Filename", "TARGETFILENAME", "_target_file_name_"]
+    rows = [(i, '{"%s": "C:/a.locked", "N": 7, "x": null}' % k) for i, k in enumerate(spellings)]
+    rows += [(90, '{"Target_Filename": null, "targetfilename": "a.locked"}'), (91, '{"target": "a.locked"}'), (92, "[1]"), (93, None),
+             (94, '{"target_filename": "clean", "TargetFilename": "a.locked"}')]
+    df = spark.createDataFrame(rows, "event_id int, raw string").withColumn("body", F.try_parse_json("raw"))
+    rule = {"id": "R", "detection": {"selection": {"target_filename|endswith": ".locked"}, "condition": "selection"}}
+    got = {r.event_id for r in rules.gate(df, [rule]).where(F.size("matches") > 0).collect()}
+    assert got == {0, 1, 2, 3, 4, 5, 90}  # the very key wins over other spellings
+    number = {"id": "N", "detection": {"selection": {"n|gte": 7}}}
+    assert {r.event_id for r in rules.gate(df, [number]).where(F.size("matches") > 0).collect()} == {0, 1, 2, 3, 4, 5}

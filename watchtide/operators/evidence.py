@@ -60,8 +60,9 @@ def event_items(events: DataFrame) -> DataFrame:
     summary = F.concat(F.lit("["), F.col("entity_id"), F.lit("] "), F.coalesce("event_type", F.lit("observation")), F.lit(" at "),
                        _show("ts"), F.lit(" source="), _show("source"), F.lit(" severity="), _show("severity"))
     payload = F.to_json(F.struct("event_id", "event_type", "source", "severity"))
-    pos = F.concat_ws("/", F.lpad(F.col("entity_rank").cast("string"), 4, "0"),
-                      F.lpad((F.lit(9999) - F.col("event_rank")).cast("string"), 4, "0"), "event_id")
+    # as wide as a long can be, so that positions sort as their numbers do
+    pos = F.concat_ws("/", F.lpad(F.col("entity_rank").cast("string"), 18, "0"),
+                      F.lpad((F.lit(10 ** 18 - 1) - F.col("event_rank")).cast("string"), 18, "0"), "event_id")
     return _item(events, "event", summary, F.col("source"), payload, pos, t=F.unix_micros("ts"))
 
 
@@ -126,7 +127,7 @@ def likely_objective(techniques: Column, score: Column, has_alerts: Column) -> C
     return F.when(~has_alerts, F.lit("insufficient_evidence")).otherwise(first_match(pairs, rest))
 
 
-def template_report(ranked: DataFrame, quotes: int = 3) -> DataFrame:
+def template_report(ranked: DataFrame, quotes: int) -> DataFrame:
     """Grounded report per case from its ranked evidence.
 
     It quotes the case, the first ``quotes`` alerts and as many events; all items are counted in it.

@@ -53,13 +53,21 @@ def cited_evidence(reports: DataFrame, valid: DataFrame, key: str = "case_id") -
 def validate_reports(reports: DataFrame, valid: DataFrame, key: str = "case_id") -> DataFrame:
     """Reports with dropped mappings removed, their score, cited ids and unsupported claims.
 
+    Claims that a report already lists as unsupported stay, before those found here; its other results are replaced.
     Lists here are per report and bounded by the report's own text.
     """
+    own = reports.select(key, F.posexplode("unsupported_claims").alias("pos", "claim")).withColumn(
+        "pos", F.col("pos") - (1 << 30)) if "unsupported_claims" in reports.columns else None
+    reports = reports.drop("unsupported_claims", "groundedness_score", "evidence_cited")
     verdicts = sentence_verdicts(reports, valid, key)
     kept, dropped = check_mapping(reports, valid, key)
     lost = dropped.select(key, F.lit(1 << 30).alias("pos"), F.concat(
         F.lit("Dropped technique mapping "), F.col("technique_id"), F.lit(" (no valid evidence citation)")).alias("claim"))
-    claims = unsupported_claims(verdicts, key).unionByName(lost).groupBy(key).agg(F.transform(
+    found = unsupported_claims(verdicts, key).unionByName(lost)
+    if own is not None:
+        first = own.groupBy(key, "claim").agg(F.min("pos").alias("pos"))
+        found = first.unionByName(found.join(first, [key, "claim"], "left_anti"))
+    claims = found.groupBy(key).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "claim"))), lambda x: x["claim"]).alias("unsupported_claims"))
     cited = cited_evidence(reports, valid, key).groupBy(key).agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence_cited"))
     mapped = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("technique_id", "evidence_id"))).alias("attack_mapping"))

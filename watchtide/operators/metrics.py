@@ -76,6 +76,22 @@ def latency_quantiles(samples: DataFrame, value: str, group: list[Column], exact
     return samples.groupBy(*group).agg(*[q(p).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)], F.count("*").alias("n"))
 
 
+def latency_sketches(samples: DataFrame, value: str, group: list[Column], k: int = 400) -> DataFrame:
+    """One KLL sketch and count per group: a few kB, whatever the number of rows, and it can be merged later."""
+    return samples.groupBy(*group).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"), F.count(value).alias("n"))
+
+
+def merge_sketches(sketches: DataFrame, group: list[Column], k: int = 400) -> DataFrame:
+    """Coarser groups from finer ones, without the rows: hours to days, hosts to tenants."""
+    return sketches.groupBy(*group).agg(F.kll_merge_agg_double("sketch", k).alias("sketch"), F.sum("n").alias("n"))
+
+
+def sketch_quantiles(sketches: DataFrame) -> DataFrame:
+    """p50, p95, p99 of each sketch; ranks are off by about 2.3 / k at most, with 99 % certainty."""
+    q = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)]
+    return sketches.select(*[c for c in sketches.columns if c != "sketch"], *q)
+
+
 def stage_throughput(events: DataFrame, stage: str, ts: str = "ts", window: str = "1 minute", seconds: int = 60) -> DataFrame:
     return event_rate(events, stage, ts, window, seconds)
 

@@ -151,13 +151,21 @@ def match_value(actual: Column, expected, modifier: str, kind: str = "string", m
 
 # --- finding the value of a rule field ---------------------------------------------------------
 
-def _spellings(name: str) -> list[str]:
-    """Payload key spellings a rule field may have: as is, PascalCase, camelCase, upper-case ID."""
-    parts = name.split("_")
-    pascal = "".join(p[:1].upper() + p[1:] for p in parts)
-    camel = parts[0] + "".join(p[:1].upper() + p[1:] for p in parts[1:])
-    out = [name, pascal, camel, "".join(parts), re.sub(r"Id$", "ID", pascal), re.sub(r"Ip$", "IP", pascal)]
-    return list(dict.fromkeys(out))
+KEYS = "_raw_keys"
+
+
+def _folded(name: str) -> str:
+    return name.replace("_", "").lower()
+
+
+def folded_keys(body: Column) -> Column:
+    """Top-level entries of a raw payload with folded keys (lower case, no underscores), in order of the keys; no nulls.
+
+    Worked out once per event; a rule field then looks its folded name up.
+    """
+    entries = F.array_sort(F.map_entries(F.from_json(F.to_json(body), "map<string,string>")))
+    return F.transform(F.filter(entries, lambda e: e["value"].isNotNull()), lambda e: F.struct(
+        F.lower(F.replace(e["key"], F.lit("_"), F.lit(""))).alias("key"), e["value"].alias("value")))
 
 
 class FieldResolver:
@@ -178,8 +186,10 @@ class FieldResolver:
         return F.col(name), kind
 
     def _raw(self, name: str) -> Column:
-        got = [F.try_variant_get(F.col(self.body), f"$['{s}']", "string") for s in _spellings(name)]
-        return F.coalesce(*got)
+        """The payload's value under this very key, else under the first key that is the same when folded."""
+        exact = F.try_variant_get(F.col(self.body), f"$['{name}']", "string")
+        keys = F.col(KEYS) if KEYS in self.types else folded_keys(F.col(self.body))
+        return F.coalesce(exact, F.try_element_at(F.filter(keys, lambda e: e["key"] == F.lit(_folded(name))), F.lit(1))["value"])
 
     def resolve(self, name: str) -> tuple[Column, str]:
         name = name.lower()
@@ -268,6 +278,8 @@ def gate(events: DataFrame, rules: list[dict], mode: str = "service", evidence:
     Long rule sets are evaluated in groups of ``group`` so generated code stays compilable.
     """
     out = events
+    if mode == "service" and "body" in events.columns:
+        out = out.withColumn(KEYS, fence(folded_keys(F.col("body"))))
     names = []
     for start in range(0, max(len(rules), 1), group):
         part = rules[start:start + group]
@@ -294,7 +306,7 @@ def gate(events: DataFrame, rules: list[dict], mode: str = "service", evidence:
         out = out.withColumn(name, compact(*structs)).drop("_blocks")
         names.append(name)
     merged = F.concat(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0])
-    return out.withColumn("matches", fence(merged)).drop(*names)
+    return out.withColumn("matches", fence(merged)).drop(*names, KEYS)
 
 
 def catalog(spark, rules: list[dict]) -> DataFrame:

@@ -39,7 +39,7 @@ def run(envelopes: DataFrame, indicators: DataFrame, hosts: DataFrame, users: Da
         evidence.event_items(evidence.last_events(entities, observations, events=fixed.EVENTS_PER_ENTITY)), evidence.node_items(digests))
     ranked = cut_lineage(evidence.rank_items(found))
     reports = grounding.assemble_reports(
-        grounding.validate_reports(evidence.template_report(ranked), ranked.select("case_id", "evidence_id")), links)
+        grounding.validate_reports(evidence.template_report(ranked, quotes=3), ranked.select("case_id", "evidence_id")), links)
 
     event_of = clustered.select(cases.case_id(F.col("cluster_id")).alias("case_id"), "event_id")
     asked = case_rows.select("case_id", "risk_score").join(metrics.case_criticality(event_of, scored), "case_id").join(

@@ -264,7 +264,7 @@ ob AS (SELECT lpad(CAST(event_id AS VARCHAR), 9, '0') AS event_id, event_type, t
 orr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, event_id DESC) AS event_rank FROM ob) WHERE event_rank <= 10),
 it AS (SELECT case_id, 0 AS prio, 'case' AS kind, case_id AS pos, NULL AS ref FROM cs
  UNION ALL SELECT concat('case-', cluster_id), 1, 'alert', alert_id, alert_id FROM cl
- UNION ALL SELECT case_id, 2, 'event', concat(lpad(CAST(entity_rank AS VARCHAR), 4, '0'), '/', lpad(CAST(9999 - event_rank AS VARCHAR), 4, '0'), '/', event_id), event_id FROM er JOIN orr ON entity_id = node_id)"""
+ UNION ALL SELECT case_id, 2, 'event', concat(lpad(CAST(entity_rank AS VARCHAR), 18, '0'), '/', lpad(CAST(999999999999999999 - event_rank AS VARCHAR), 18, '0'), '/', event_id), event_id FROM er JOIN orr ON entity_id = node_id)"""
 
 
 @query("evidence_items", f"WITH {_ITEMS} SELECT case_id, kind, count(*) AS items, count(DISTINCT pos) AS positions FROM it GROUP BY 1, 2")
@@ -317,7 +317,7 @@ ag AS (SELECT k.case_id, count(*) FILTER (kind = 'alert') AS n_alert, count(*) F
 SELECT case_id, 1 + least(n_alert, 3) + least(n_event, 3) AS citations, n_alert > 0 AS has_alerts, round(top_score, 2) AS top_score FROM ag""")
 def evidence_template_report(spark, sf):
     """Template report per case: citations it makes, and the score its containment text quotes."""
-    rep = evidence.template_report(evidence.rank_items(_evidence_items(spark, sf)))
+    rep = evidence.template_report(evidence.rank_items(_evidence_items(spark, sf)), quotes=3)
     score = F.regexp_extract("containment_recommendation", r"risk ([0-9.]+)", 1).cast("double")
     return rep.select("case_id", F.size(F.filter(text.citations(F.col("summary")), lambda c: c.rlike("^(case|alert|event)-[0-9a-f]{32}$"))).cast("long").alias("citations"),
                       F.col("containment_recommendation").contains("alert(s)").alias("has_alerts"), score.alias("top_score"))

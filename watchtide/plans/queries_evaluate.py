@@ -226,6 +226,19 @@ def eval_report_quality(spark, sf):
     return evaluate.report_quality(rows)
 
 
+@query("metrics_latency_rollup", "SELECT event_type, count(*) AS n, TRUE AS p50_in_bound, TRUE AS p95_in_bound, TRUE AS p99_in_bound FROM events GROUP BY 1")
+def metrics_latency_rollup(spark, sf):
+    """Hourly sketches merged to one for each type; the share of rows below each estimate is within 2 % of what was asked."""
+    rows = tel.event_rows(spark, sf).select("event_type", "ts", "value")
+    hours = metrics.latency_sketches(rows, "value", [F.window("ts", "1 hour").alias("w"), F.col("event_type")])
+    whole = metrics.sketch_quantiles(metrics.merge_sketches(hours, [F.col("event_type")]))
+    below = rows.join(whole, "event_type").groupBy("event_type", "n").agg(*[
+        F.count_if((F.col("value") < F.col(q)) & (F.col("value").isNotNull())).alias(f"{q}_under") for q in ("p50", "p95", "p99")],
+        *[F.count_if(F.col("value") <= F.col(q)).alias(f"{q}_upto") for q in ("p50", "p95", "p99")])
+    return below.select("event_type", "n", *[((F.col(f"p{p}_under") / F.col("n") <= p / 100 + 0.02) & (F.col(f"p{p}_upto") / F.col("n") >= p / 100 - 0.02)).alias(
+        f"p{p}_in_bound") for p in (50, 95, 99)])
+
+
 @query("eval_ingest_latency", """SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS window_us, round(quantile_cont(lat, 0.5), 4) AS p50, round(quantile_cont(lat, 0.95), 4) AS p95, round(quantile_cont(lat, 0.99), 4) AS p99, count(*) AS n
 FROM (SELECT ts, CAST(json_extract_string(props, '$.k') AS INT) * 1.5::DOUBLE AS lat FROM events) GROUP BY 1""")
 def eval_ingest_latency(spark, sf):
