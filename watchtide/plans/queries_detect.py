@@ -379,7 +379,7 @@ d4 AS (SELECT event_id, min(len) AS d FROM want JOIN pl USING (src, dst) GROUP B
 feat AS (SELECT ents.event_id, {SQL_PRIMARY} AS node_id, coalesce(degree, 0) AS degree, coalesce(rare, 0.5) AS rare, neighbors, d4.d AS path
  FROM ents LEFT JOIN deg ON deg.node_id = {SQL_PRIMARY} LEFT JOIN inc ON inc.node_id = {SQL_PRIMARY} LEFT JOIN d4 ON d4.event_id = ents.event_id)"""
 _ENT = stages.sql_entities()
-SQL_SCORED = f"""{_ENR}, {_ENT}, {sql_edges()}, {SQL_FEATURES}, {_GAT}, {_HEUR},
+SQL_SCORED = f"""{_ENR}, {_ENT}, {sql_edges()}, {SQL_FEATURES}, {stages.sql_gated(correlated=True)}, {_HEUR},
 tk AS (SELECT *, coalesce(host, "user", 'unknown') AS entity FROM enr),
 tt AS (SELECT entity, ts, unnest(techs) AS tech FROM tk),
 td AS (SELECT tk.event_id, count(DISTINCT tech) AS nt FROM tk LEFT JOIN tt ON tt.entity = tk.entity AND tt.ts BETWEEN tk.ts - INTERVAL 300 SECONDS AND tk.ts GROUP BY 1),

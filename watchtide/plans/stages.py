@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from watchtide import fixed
-from watchtide.functions.core import micros
-from watchtide.operators import enrich, graph_build, graph_query, normalize, rules, scoring, windows
+from watchtide.operators import detect, enrich, graph_build, normalize, rules, scoring
 from watchtide.plans import telemetry as tel
-from watchtide.session import cut_lineage
 
 
 def normalized(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,12 +31,8 @@ def graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Fully scored events: rules, correlation hits, temporal and graph features, ensemble."""
-    ev = cut_lineage(gated(spark, sf).withColumn("ts_us", micros(F.col("ts"))).drop("enrichment", "provenance", "body").withColumn(
-        "body", F.parse_json("raw")))
-    edges = graph_build.upsert_edges(graph_build.edge_rows(ev))
-    out = graph_query.snapshot_features(windows.temporal_features(ev), edges)
-    return scoring.score(out)
+    """Fully scored events: all shipped rules, correlation included, temporal and graph features, ensemble."""
+    return detect.detect(enriched(spark, sf), rules.shipped_rules())[0]
 
 
 def alert_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,10 +140,19 @@ def sql_rules() -> dict[str, str]:
     }
 
 
-def sql_gated() -> str:
-    """Oracle CTE ``gat``: enriched events with matched rules, their severities and techniques."""
+def sql_gated(correlated: bool = False) -> str:
+    """Oracle CTE ``gat``: enriched events with matched rules and their weights; with the correlation rule or without."""
     by_id = {r["id"]: r for r in rules.shipped_rules()}
     preds = sql_rules()
     ids = sql_compact([f"CASE WHEN {p} THEN '{r}' END" for r, p in preds.items()])
     weights = sql_compact([f"CASE WHEN {p} THEN {fixed.SEVERITY_WEIGHT[by_id[r]['level']]}::DOUBLE END" for r, p in preds.items()])
-    return f"gat AS (SELECT *, {ids} AS rule_ids, {weights} AS rule_weights FROM enr)"
+    if not correlated:
+        return f"gat AS (SELECT *, {ids} AS rule_ids, {weights} AS rule_weights FROM enr)"
+    rule, = [r for r in by_id.values() if r.get("correlation")]
+    corr = rule["correlation"]
+    window = (f"count(DISTINCT {corr['distinct_field']}) OVER (PARTITION BY \"{corr['group_by'][0]}\" ORDER BY ts "
+              f"RANGE BETWEEN INTERVAL {corr['window_seconds']} SECONDS PRECEDING AND CURRENT ROW)")
+    hit = f"CASE WHEN seen >= {corr['min_distinct']} THEN list_append({{0}}, {{1}}) ELSE {{0}} END"
+    weight = f"{fixed.SEVERITY_WEIGHT[rule['level']]}::DOUBLE"
+    return (f"gat AS (SELECT * EXCLUDE (ids0, weights0, seen), {hit.format('ids0', _quote(rule['id']))} AS rule_ids, {hit.format('weights0', weight)} AS rule_weights "
+            f"FROM (SELECT *, {ids} AS ids0, {weights} AS weights0, {window} AS seen FROM enr))")
