@@ -407,19 +407,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
     placed = grouped.join(found, F.col("member") == F.col("id")).select("gid", "member", "n", "shared", "component")
     counts = placed.groupBy("gid", "component").agg(F.count("*").alias("k"))
     most = counts.groupBy("gid").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    placed = placed.join(most.select("gid", F.col("most.component").alias("common")), "gid").join(bodies.select("member", "bits"), "member")
-    placed = placed.join(differences(verified, of_centre), F.col("member") == F.col("of"), "left").drop("of")
+    placed = placed.join(most.select("gid", F.col("most.component").alias("common")), "gid")
     names = [c for c in placed.columns if c != "gid"]
     one = placed.where("component <> common").select("gid", *[F.col(c).alias(f"{c}_x") for c in names])
     two = placed.select("gid", *[F.col(c).alias(f"{c}_y") for c in names])
     across = one.join(two, "gid").where(
         (F.col("component_x") != F.col("component_y"))
         & ((F.col("component_y") == F.col("common_y")) | (F.col("member_x") < F.col("member_y")))  # two outsiders meet once
-        & may_link("n_x", "shared_x", "n_y", "shared_y")
-        & may_overlap("n_x", "bits_x", "n_y", "bits_y") & may_differ())
+        & may_link("n_x", "shared_x", "n_y", "shared_y"))
+    # near copies share many groups: a pair is made one before bitmaps and differences are looked at
     across = across.select(F.least("member_x", "member_y").alias("a"), F.greatest("member_x", "member_y").alias("b")).distinct()
     both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = common.staged(verify(across.join(both_ways, ["a", "b"], "left_anti"), bodies).where("linked").select("a", "b"), "ngram-links")
+    across = across.join(both_ways, ["a", "b"], "left_anti")
+    facts = grouped.select("member", "n").distinct().join(bodies.select("member", "bits"), "member")
+    facts = facts.join(differences(verified, of_centre), F.col("member") == F.col("of"), "left").drop("of")
+    for key, mark in (("a", "x"), ("b", "y")):
+        across = across.join(facts.select(*[F.col(c).alias(key if c == "member" else f"{c}_{mark}") for c in facts.columns]), key)
+    across = across.where(may_overlap("n_x", "bits_x", "n_y", "bits_y") & may_differ()).select("a", "b")
+    more = common.staged(verify(across, bodies).where("linked").select("a", "b"), "ngram-links")
     if more.limit(1).count():
         found = components(nodes, more.unionByName(found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
