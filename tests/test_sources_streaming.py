@@ -183,3 +183,12 @@ def test_every_query_has_a_unique_name_and_most_have_an_oracle():
     assert set(o) <= set(q)
     own, own_oracles = registry.load()  # without the optional corpus queries
     assert len(own) - len(own_oracles) <= 12
+
+
+def test_the_latest_catalog_names_a_vulnerability(spark, tmp_path):
+    from watchtide.sources import readers
+    for version, products in (("2024.02", ["new", "newest"]), ("2024.01", ["old"])):
+        found = [{"cve_id": "CVE-1", "product": p} for p in products]
+        (tmp_path / f"{version}.json").write_text(json.dumps({"catalog_version": version, "vulnerabilities": found}))
+    row = readers.exploited_vulnerabilities(spark, str(tmp_path)).collect()
+    assert [(r.cve_id, r.catalog_version, r["product"]) for r in row] == [("CVE-1", "2024.02", "newest")]

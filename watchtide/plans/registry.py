@@ -30,5 +30,5 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     from watchtide.plans import (  # noqa: F401
-        queries_cases, queries_detect, queries_evaluate, queries_graph, queries_ingest, queries_policy, queries_stream)
+        queries_cases, queries_detect, queries_evaluate, queries_graph, queries_ingest, queries_policy, queries_sources, queries_stream)
     return QUERIES, ORACLES

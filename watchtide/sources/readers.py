@@ -88,9 +88,10 @@ def find_indicator(indicators: DataFrame, value: str) -> DataFrame:
 
 
 def exploited_vulnerabilities(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of catalogs, one per id: the last one of the latest catalog version (then of the last file)."""
     feed = spark.read.schema(schema.KEV_FEED).option("multiLine", True).json(path)
-    rows = feed.select("catalog_version", F.posexplode("vulnerabilities").alias("_pos", "v"))
-    return rows.groupBy(F.col("v.cve_id").alias("cve_id")).agg(F.max_by(F.struct("catalog_version", "v"), "_pos").alias("m")).select(
+    rows = feed.select("catalog_version", F.col("_metadata.file_path").alias("_file"), F.posexplode("vulnerabilities").alias("_pos", "v"))
+    return rows.groupBy(F.col("v.cve_id").alias("cve_id")).agg(F.max_by(F.struct("catalog_version", "v"), F.struct("catalog_version", "_file", "_pos")).alias("m")).select(
         "m.catalog_version", "m.v.*")
 
 
