@@ -78,7 +78,26 @@ def _solved(spark, sf):
     return policy.arms(spark, policy.fit(_episodes(spark, sf)))
 
 
-@query("policy_linucb_select")
+# the oracle solves every action's system by elimination: [A | I] becomes [I | inverse], pivot by pivot
+_D = policy.DIM
+_X_LIST = "[" + ", ".join(_X) + "]"
+_SOLVED = f"""{_EP}, known AS (SELECT action_class, reward, {_X_LIST} AS x FROM ep WHERE action_class <> 'unheard_of'),
+cells AS (SELECT action_class, i, j, sum(x[i] * x[j]) + CASE WHEN i = j THEN 1 ELSE 0 END AS v FROM known, range(1, {_D + 1}) r(i), range(1, {_D + 1}) c(j) GROUP BY action_class, i, j),
+lines AS (SELECT action_class, i, list_concat(list(v ORDER BY j), [CASE WHEN k = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR k IN range(1, {_D + 1})]) AS line FROM cells GROUP BY action_class, i),
+steps(action_class, step, m) AS (SELECT action_class, 0, list(line ORDER BY i) FROM lines GROUP BY 1
+ UNION ALL SELECT action_class, step + 1, list_transform(range(1, {_D + 1}), lambda r: list_transform(range(1, {2 * _D + 1}), lambda c:
+  CASE WHEN r = step + 1 THEN m[r][c] / m[r][r] ELSE m[r][c] - m[r][step + 1] / m[step + 1][step + 1] * m[step + 1][c] END)) FROM steps WHERE step < {_D}),
+rewards AS (SELECT action_class, i, sum(reward * x[i]) AS v FROM known, range(1, {_D + 1}) r(i) GROUP BY action_class, i),
+b AS (SELECT action_class, list(v ORDER BY i) AS b FROM rewards GROUP BY 1),
+arms AS (SELECT action_class, [line[{_D + 1}:{2 * _D}] FOR line IN m] AS inv, [list_dot_product(line[{_D + 1}:{2 * _D}], b) FOR line IN m] AS theta FROM steps JOIN b USING (action_class) WHERE step = {_D}),
+allowed(objective, action_class, position) AS (VALUES {', '.join(f"('{o}', '{a}', {i})" for o, *_, allowed in fixed.PLAYBOOKS for i, a in enumerate(allowed))}),
+scored AS (SELECT event_id, risk_score, action_class, reward, objective, armed, position, mean, mean + {fixed.LINUCB_ALPHA} * sqrt(list_dot_product(x, [list_dot_product(line, x) FOR line IN inv])) AS upper
+ FROM (SELECT *, {_X_LIST} AS x FROM ep) e JOIN (SELECT objective, action_class AS armed, position, theta, inv FROM allowed JOIN arms USING (action_class)) USING (objective), LATERAL (SELECT list_dot_product(theta, x) AS mean)),
+bold AS (SELECT event_id, any_value(risk_score) AS risk_score, any_value(objective) AS objective, arg_max(armed, (upper, -position)) AS chosen, max(upper) AS score FROM scored GROUP BY 1),
+greedy AS (SELECT event_id, any_value(action_class) AS action_class, any_value(reward) AS reward, arg_max(armed, (mean, -position)) AS chosen FROM scored GROUP BY 1)"""
+
+
+@query("policy_linucb_select", f"WITH RECURSIVE {_SOLVED} SELECT event_id, chosen, round(score, 6) AS score FROM bold")
 def policy_linucb_select(spark, sf):
     """Greedy choice per episode with its score; the solver is checked against numpy in the tests."""
     scored = policy.score_arms(_episodes(spark, sf), _solved(spark, sf), F.lit(True))
@@ -103,7 +122,11 @@ def policy_recommend(spark, sf):
     return out.select("case_id", "objective", "action_class", "disruptive", "playbook_id", "risk_if_executed", "title", "confidence", "status")
 
 
-@query("policy_recommend_explore")
+_DISRUPTIVE = ", ".join(f"'{a}'" for a in fixed.DISRUPTIVE_ACTIONS)
+
+
+@query("policy_recommend_explore", f"""WITH RECURSIVE {_SOLVED} SELECT event_id AS case_id, objective, chosen AS action_class, CASE WHEN chosen IN ({_DISRUPTIVE}) THEN 'pending' ELSE 'auto_applied_dry_run' END AS status
+FROM bold WHERE risk_score >= 0.25 AND risk_score < 0.55""")
 def policy_recommend_explore(spark, sf):
     rows = _episodes(spark, sf).select(F.col("event_id").alias("case_id"), "risk_score", "asset_criticality", F.col("objective").alias("likely_objective"))
     out = policy.recommend(rows, _solved(spark, sf)).where("risk_score >= 0.25 AND risk_score < 0.55")
@@ -115,12 +138,13 @@ def policy_outcome_status(spark, sf):
     return policy.outcome_status(_episodes(spark, sf)).groupBy("status", "action_class").agg(F.count("*").alias("outcomes"))
 
 
-@query("policy_offline_evaluation")
+@query("policy_offline_evaluation", f"""WITH RECURSIVE {_SOLVED} SELECT count(*) AS episodes, round(count(*) FILTER (chosen = action_class) / count(*), 3) AS match_rate,
+ round(avg(reward) FILTER (chosen = action_class), 3) AS avg_reward_when_policy_matches_log, round(avg(reward), 3) AS avg_reward_baseline_all_logged FROM greedy""")
 def policy_offline_evaluation(spark, sf):
     return policy.evaluate_offline(policy.choose(_episodes(spark, sf), _solved(spark, sf)))
 
 
-@query("policy_action_distribution")
+@query("policy_action_distribution", f"WITH RECURSIVE {_SOLVED} SELECT chosen, count(*) AS episodes FROM greedy GROUP BY 1")
 def policy_action_distribution(spark, sf):
     return policy.action_distribution(policy.choose(_episodes(spark, sf), _solved(spark, sf)))
 
