@@ -141,3 +141,13 @@ def test_raw_keys_are_found_in_any_spelling(spark):
     assert got == {0, 1, 2, 3, 4, 5, 90}  # the very key wins over other spellings
     number = {"id": "N", "detection": {"selection": {"n|gte": 7}}}
     assert {r.event_id for r in rules.gate(df, [number]).where(F.size("matches") > 0).collect()} == {0, 1, 2, 3, 4, 5}
+
+
+def test_values_of_every_hit(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, "a", "b"]), rng.choice([None, "h1", "h2", "h3", "h4"]), rng.randrange(60) * 10 * windows.SECOND) for i in range(120)]
+    events = spark.createDataFrame(rows, "event_id long, user string, host string, ts_us long")
+    spans = windows.value_spans(events, ["user"], "host", "ts_us", 100)
+    assert spans.count() <= len(rows)
+    found = sorted(map(tuple, windows.hit_values(events, spans, ["user"], "host", "ts_us", 100).select("event_id", "host").collect()))
+    assert found == sorted({(i, h) for i, u, _, t in rows for _, v, h, at in rows if h and v == u and t - 100 * windows.SECOND <= at <= t})

@@ -24,18 +24,31 @@ def field(*names: str, type: str = "string", of: str = "body") -> Column:
     return F.expr(f"coalesce({', '.join(get(n) for n in names)})")
 
 
-def parse_time(text: Column, fallback: Column) -> Column:
-    """UTC timestamp; naive text is UTC, unparseable text takes the arrival time."""
+def read_time(text: Column) -> Column:
+    """UTC timestamp of a record's time text, null where no known format reads it; naive text is UTC."""
     bare = F.regexp_replace(text, r"^[A-Za-z]{3}, ", "")
     return F.coalesce(
         F.try_to_timestamp(text),
         F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")),
         F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss z")),
         F.try_to_timestamp(text, F.lit("MM/dd/yyyy HH:mm:ss")),
-        fallback,
     )
 
 
+def parse_time(text: Column, fallback: Column) -> Column:
+    """UTC timestamp; unreadable text takes the arrival time (counted by :func:`time_problems`)."""
+    return F.coalesce(read_time(text), fallback)
+
+
+def time_problems(envelopes: DataFrame) -> DataFrame:
+    """Per resolved source: records, those without a time, and those whose time no format reads (``unreadable``)."""
+    text = F.col("timestamp").cast("string")
+    blank = F.coalesce(F.trim(text) == "", F.lit(True))
+    return envelopes.groupBy(resolve_source(F.col("source")).alias("source")).agg(
+        F.count("*").alias("records"), F.count_if(blank).alias("without_time"),
+        F.count_if(~blank & read_time(text).isNull()).alias("unreadable"))
+
+
 def account_name(user: Column) -> Column:
     """Lower-cased account without its domain prefix."""
     return F.lower(F.element_at(F.split(user, r"\\"), -1))

@@ -147,6 +147,33 @@ def evidence_members(correlated: DataFrame, keys: list[str], t: str, seconds: in
     return rows.where(F.col("next_hit") - F.col(t) <= width)
 
 
+def value_spans(events: DataFrame, keys: list[str], field: str, t: str, seconds: int) -> DataFrame:
+    """(keys, field, present_from, present_until): the windows that hold a value are those that end in one of its spans.
+
+    A span runs from a sighting until one window after the last of those that follow each other within a window.
+    There are never more spans than sightings, whatever the number of windows that hold a value; null values have none.
+    """
+    seen = events.where(F.col(field).isNotNull()).select(*keys, field, t)
+    spans = sessionize(seen, [*keys, field], t, seconds, "present_from")
+    return spans.groupBy(*keys, field, "present_from").agg((F.max(t) + seconds * SECOND).alias("present_until"))
+
+
+def hit_values(hits: DataFrame, spans: DataFrame, keys: list[str], field: str, t: str, seconds: int, hit: str = "event_id") -> DataFrame:
+    """(hit, keys, field): the distinct values in the window of each given hit, one row a value.
+
+    A span lies in as many buckets of the window's width as its sightings touch, so the joined rows are those of the
+    result and its neighbors.  Null keys are a group like any other.
+    """
+    width = seconds * SECOND
+    first, last = (F.floor(F.col(c) / width).cast("long") for c in ("present_from", "present_until"))
+    placed = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(field).alias("_value"), "present_from", "present_until",
+                          F.explode(F.sequence(first, last)).alias("_sb"))
+    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    asked = hits.select(hit, *keys, t, F.floor(F.col(t) / width).cast("long").alias("_b"))
+    out = asked.join(placed, [*cond, F.col("_b") == F.col("_sb"), F.col(t).between(F.col("present_from"), F.col("present_until"))])
+    return out.select(hit, *keys, F.col("_value").alias(field))
+
+
 def temporal_features(events: DataFrame, t: str = "ts_us", seconds: int = fixed.FEATURE_WINDOW_SECONDS) -> DataFrame:
     """Activity of an event's entity (host, else user, else 'unknown') in its trailing window."""
     keyed = events.withColumn("entity", F.coalesce("host", "user", F.lit("unknown")))

@@ -167,6 +167,21 @@ def corr_distinct(spark, sf):
     return out.select("event_id", "window_value", "correlated")
 
 
+@query("corr_value_spans", f"""WITH e AS ({_LIGHT}), g AS (SELECT "user", host, ts_us, CASE WHEN ts_us - lag(ts_us) OVER w <= 3600000000 THEN 0 ELSE 1 END AS brk FROM e WHERE host IS NOT NULL WINDOW w AS (PARTITION BY "user", host ORDER BY ts_us)),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY "user", host ORDER BY ts_us) AS nr FROM g) SELECT "user", host, min(ts_us) AS present_from, max(ts_us) + 3600000000 AS present_until FROM s GROUP BY "user", host, nr""")
+def corr_value_spans(spark, sf):
+    return windows.value_spans(_events(spark, sf), ["user"], "host", "ts_us", 3600)
+
+
+@query("corr_hit_values", f"""WITH e AS ({_LIGHT}), c AS (SELECT DISTINCT a.event_id, a."user", b.host FROM e a JOIN e b ON a."user" IS NOT DISTINCT FROM b."user" AND b.ts_us BETWEEN a.ts_us - 86400000000 AND a.ts_us WHERE b.host IS NOT NULL)
+SELECT event_id, "user", host FROM (SELECT *, count(*) OVER (PARTITION BY event_id) AS n FROM c) WHERE n >= 3""")
+def corr_hit_values(spark, sf):
+    """The distinct hosts of every hit of a rule: three hosts of one user in a day."""
+    events = _events(spark, sf)
+    hits = windows.correlate(events, _distinct_rule(["user"], "host", 3, 86_400)).where("correlated")
+    return windows.hit_values(hits, windows.value_spans(events, ["user"], "host", "ts_us", 86_400), ["user"], "host", "ts_us", 86_400)
+
+
 @query("corr_shipped_rule", f"""WITH {_ENR} SELECT event_id, window_value FROM (
 SELECT event_id, count(DISTINCT host) OVER (PARTITION BY "user" ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW) AS window_value FROM enr) WHERE window_value >= 2""")
 def corr_shipped_rule(spark, sf):

@@ -277,3 +277,12 @@ def enrich_event(spark, sf):
     return stages.enriched(spark, sf).groupBy("tenant_id", "source").agg(
         F.count("*").alias("events"), F.sum(F.size("technique_ids")).alias("techniques"), F.sum(F.size("enrichment.intel_hits")).alias("intel_hits"),
         F.sum(F.col("enrichment.entity_count")).alias("entities"), F.round(F.max("asset_criticality"), 3).alias("max_criticality"))
+
+
+@query("normalize_time_problems", f"""WITH base AS ({tel.sql_base()}) SELECT {tel.SOURCE} AS source, count(*) AS records, count(*) FILTER (event_id % 20 IN (3, 4)) AS without_time, count(*) FILTER (event_id % 20 = 7) AS unreadable FROM base GROUP BY 1""")
+def normalize_time_problems(spark, sf):
+    """Some records lose their time, some get one that no format reads, some other known formats."""
+    number = F.regexp_extract("event_id", r"(\d+)$", 1).cast("long") % 20
+    broken = tel.envelopes(spark, sf).withColumn("timestamp", F.when(number == 3, F.lit(" ")).when(number == 4, F.lit(None)).when(number == 7, F.lit("yesterday, 5-ish"))
+                                                 .when(number == 8, F.lit("Mon, 1 Jan 2024 10:00:00 +0100")).when(number == 9, F.lit("01/31/2024 10:00:00")).otherwise(F.col("timestamp")))
+    return normalize.time_problems(broken)
