@@ -47,7 +47,8 @@ def near_copies(seed, words, copies, edits):
 
 @pytest.mark.parametrize("frequent, texts", [
     (6, corpus(3, 40)), (1, corpus(4, 30)), (2, near_copies(1, 120, 60, 6) + near_copies(2, 30, 40, 3)),
-    (1, near_copies(3, 60, 70, 5) + near_copies(4, 9, 30, 1) + near_copies(5, 400, 12, 20))])
+    (1, near_copies(3, 60, 70, 5) + near_copies(4, 9, 30, 1) + near_copies(5, 400, 12, 20)),
+    (6, near_copies(6, 100, 150, 9) + near_copies(7, 100, 40, 3) + near_copies(8, 160, 100, 14))])
 def test_join_against_all_pairs(spark, monkeypatch, frequent, texts):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame(spark, texts), chunk_bytes=4000).collect()}
@@ -100,3 +101,42 @@ def test_new_shingles_with_equal_short_hashes_are_not_listed(spark):
     got = {r["b"]: r for r in ngram_join.verify(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), bodies).collect()}
     assert got[2]["lost"] is None and got[2]["new"] is None
     assert len(got[3]["lost"]) == len(got[3]["new"]) == 1
+
+
+@pytest.mark.parametrize("seed, size, most", [(1, 60, 14), (2, 140, 30), (3, 24, 8), (4, 7, 4)])
+def test_linked_sets_meet_through_their_differences(spark, seed, size, most):
+    """Sets around two centres; families of them share edits, so that sets not linked with the centre are linked."""
+    rng = random.Random(seed)
+    sets, facts, found = {}, [], []
+
+    def linked(x, y):
+        return 4 * len(x & y) >= 3 * len(x | y)
+    for ctr in (0, 1000):
+        base = {ctr * 1000 + i for i in range(size)}
+        sets[ctr] = (ctr, base)
+        facts.append((ctr, ctr, size, [], []))
+        found.append((ctr, ctr))
+        edits = [(rng.sample(sorted(base), rng.randrange(most)), rng.sample(range(-9999, 0), rng.randrange(most))) for _ in range(6)]
+        for i in range(1, 120):
+            lost, new = rng.choice(edits)
+            lost = set(lost) ^ set(rng.sample(sorted(base), rng.randrange(1 + most // 3)))
+            new = set(rng.sample(new, rng.randrange(len(new) + 1))) | set(rng.sample(range(-9999, 0), rng.randrange(1 + most // 3)))
+            sets[ctr + i] = (ctr, (base - lost) | new)
+            facts.append((ctr + i, ctr, size, sorted(lost), sorted(new)))
+            found.append((ctr + i, ctr if linked(base, sets[ctr + i][1]) else ctr + i))
+    facts.append((5000, None, None, None, None))
+    found.append((5000, 5000))
+    component = dict(found)
+    due = {(a, b) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and component[a] != component[b] and linked(sets[a][1], sets[b][1])}
+    assert due
+    got = ngram_join.through_differences(
+        spark.createDataFrame(facts, "member long, ctr long, n_ctr int, lost array<int>, new array<int>"),
+        spark.createDataFrame(found, "id long, component long"))
+    got = {(r["a"], r["b"]) for r in got.collect()}
+    assert due <= got
+    assert all(sets[a][0] == sets[b][0] and component[a] != component[b] for a, b in got)
+
+
+def test_no_set_without_centre_gives_no_pairs(spark):
+    facts = spark.createDataFrame([], "member long, ctr long, n_ctr int, lost array<int>, new array<int>")
+    assert ngram_join.through_differences(facts, spark.createDataFrame([], "id long, component long")).collect() == []

@@ -6,10 +6,11 @@
 2. A prefix is extended until its signatures cannot all be lost within the budget: a shingle of a rare class is a
    signature by itself, one of a frequent class only with another of its bucket (c such shingles in a bucket survive
    c - 2 losses).  Buckets are as many as the size band of the sets needs, so signatures stay linear in the set.
-3. Owners group equal signatures.  In each group every set is verified against the group's centre; where sets are then
-   still in different components, those outside the commonest one are compared with all others of the group.  A pair
-   is left out only if sizes, shingles that no other set has, bitmaps of the sets or their differences from a common
-   centre rule a link out.
+3. Owners group equal signatures.  In each group every set is verified against the group's centre.  Two sets that are
+   then still in different components and differ from the same centre can only be linked if they share some of these
+   differences, so they meet through an index of differences, again rarest first and prefixes only.  Sets without a
+   common centre meet in their groups, those outside the commonest component with all others.  A pair is left out only
+   if sizes, shingles that no other set has, bitmaps of the sets or their differences rule a link out.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from operator import add
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from watchtide.llm import common
 from watchtide.operators.cluster import components
@@ -313,8 +314,8 @@ def may_overlap(n_a: str, bits_a: str, n_b: str, bits_b: str) -> Column:
 def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (a, b) of set ids with ``linked``, and how b differs from a: hashes of ``lost`` and ``new`` shingles.
 
-    Differences of more than DIFFERENCE shingles are left null, and those whose new shingles' shortened hashes are not
-    all distinct: these would count as fewer common shingles than there are.
+    Differences of more than DIFFERENCE shingles are left null, and those whose lost or new shingles' shortened hashes
+    are not all distinct: these would count as fewer common shingles than there are.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -337,9 +338,9 @@ def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
                 x, y = tokens(a, text_a), tokens(b, text_b)
                 lost, new = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
                 both = len(x) - len(lost)
-                some = short(new)
-                near = len(lost) + len(new) <= DIFFERENCE and len(common.distinct(some)) == len(some)
-                rows.append((a, b, DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both), short(lost) if near else None, some if near else None))
+                gone, some = short(lost), short(new)
+                near = len(lost) + len(new) <= DIFFERENCE and all(len(common.distinct(h)) == len(h) for h in (gone, some))
+                rows.append((a, b, DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both), gone if near else None, some if near else None))
             yield pd.DataFrame(rows, columns=["a", "b", "linked", "lost", "new"])
 
     left = bodies.select(F.col("member").alias("a"), F.col("text").alias("text_a"))
@@ -369,6 +370,44 @@ def may_differ() -> Column:
     return F.when(F.col("ctr_x") == F.col("ctr_y"), (NUMERATOR + DENOMINATOR) * common_ >= NUMERATOR * (F.col("n_x") + F.col("n_y"))).otherwise(True)
 
 
+def through_differences(facts: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that differ from the same centre, lie in different components and may be linked.
+
+    ``facts`` are the sets with how they differ from a centre they were verified against, ``found`` all components.
+    With L lost and N new shingles a set x has weight w(x) = 4 L + 3 N - |c| / 2; it is linked with the centre c where
+    4 L + 3 N <= |c|, and x with y where they share at least (w(x) + w(y)) / 7 differences.  Sets linked with c share
+    its component, so one set of a pair, the outsider, is not linked with c: 4 L + 3 N > |c|.  Hence
+
+    * any set shares more than (4 L + 3 N) / 7 of its differences with an outsider that it is linked with,
+    * an outsider shares at least (4 L + 3 N - |c|) / 7 of its own, and more than none.
+
+    With differences in one order, rarest of the centre first, the two sets meet in the prefixes that these counts leave.
+    """
+    whole = NUMERATOR + DENOMINATOR
+    sets = facts.where("ctr IS NOT NULL").select("member", "ctr", "n_ctr", "lost", "new").join(
+        found.select(F.col("id").alias("member"), "component"), "member").join(
+        found.select(F.col("id").alias("ctr"), F.col("component").alias("of_ctr")), "ctr")
+    sets = sets.withColumn("outside", F.col("component") != F.col("of_ctr"))
+    sets = sets.join(sets.where("outside").select("ctr").distinct(), "ctr", "left_semi")  # centres that all are linked with need no index
+    weight = DENOMINATOR * F.size("lost") + NUMERATOR * F.size("new")
+    tokens = F.concat(F.transform("lost", lambda e: 2 * e.cast("long")), F.transform("new", lambda e: 2 * e.cast("long") + 1))
+    rows = sets.select("ctr", "member", "component", "outside", (F.size("lost") + F.size("new")).alias("size"),
+                       (F.floor(weight / whole) + 1).alias("least"),
+                       F.greatest(F.lit(1), F.ceil((weight - F.col("n_ctr")) / whole)).alias("least_outside"), F.explode(tokens).alias("token"))
+    often = rows.groupBy("ctr", "token").agg(F.count("*").alias("times")).where("times > 1")
+    of_set = Window.partitionBy("member")
+    # differences that no other set has come first: they use up the prefix without being indexed
+    ranked = rows.join(often, ["ctr", "token"]).withColumn(
+        "place", F.col("size") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("times", "token")))
+
+    def prefix(least: str) -> DataFrame:
+        return ranked.where(F.col("place") <= F.col("size") - F.col(least) + 1)
+    x = prefix("least_outside").where("outside").select("ctr", "token", F.col("member").alias("x"), F.col("component").alias("component_x"))
+    y = prefix("least").select("ctr", "token", F.col("member").alias("y"), F.col("component").alias("component_y"))
+    return x.join(y, ["ctr", "token"]).where("component_x <> component_y").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES,
          digests: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: the smallest id reachable over links of similarity 3/4 or more.
@@ -397,30 +436,41 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
 
     of_centre = grouped.select(F.col("member").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a")).distinct()
     tried = grouped.where("member <> centre").select(F.col("centre").alias("a"), F.col("member").alias("b"), "n", "shared").distinct()
-    tried = common.staged(tried.join(of_centre, "a").where(may_link("n_a", "shared_a", "n", "shared")).select("a", "b"), "ngram-pairs")
+    tried = common.staged(tried.join(of_centre, "a").where(may_link("n_a", "shared_a", "n", "shared")).select("a", "b"), "ngram-tried")
+    # sets that cannot be linked with any of their centres: one is looked at all the same, for the differences
+    often = tried.groupBy("a").agg(F.count("*").alias("k"))
+    alone = grouped.where("member <> centre").select("member", "centre").distinct().join(
+        tried.select(F.col("b").alias("member")).distinct(), "member", "left_anti").join(often, F.col("centre") == F.col("a"), "left")
+    alone = alone.groupBy(F.col("member").alias("b")).agg(F.max_by("centre", F.struct(F.coalesce("k", F.lit(0)), "centre")).alias("a"))
+    tried = common.staged(tried.unionByName(alone), "ngram-pairs")
     verified = common.staged(verify(tried, bodies), "ngram-verified")
     links = verified.where("linked").select("a", "b")
     nodes = grouped.select(F.col("member").alias("id"))
     found = common.staged(components(nodes, links), "ngram-components")
 
-    # groups that still hold different components: the sets outside the commonest one against all others
-    placed = grouped.join(found, F.col("member") == F.col("id")).select("gid", "member", "n", "shared", "component")
+    facts = grouped.select("member", "n").distinct().join(bodies.select("member", "bits"), "member")
+    facts = facts.join(differences(verified, of_centre), F.col("member") == F.col("of"), "left").drop("of")
+    facts = common.staged(facts, "ngram-facts")
+    # groups that still hold different components: the sets outside the commonest one against those with another centre
+    placed = grouped.select("gid", "member", "n", "shared").join(found, F.col("member") == F.col("id")).drop("id")
     counts = placed.groupBy("gid", "component").agg(F.count("*").alias("k"))
     most = counts.groupBy("gid").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    placed = placed.join(most.select("gid", F.col("most.component").alias("common")), "gid")
+    placed = placed.join(most.select("gid", F.col("most.component").alias("common")), "gid").join(facts.select("member", "ctr"), "member")
+    centres = placed.groupBy("gid").agg(F.min("ctr").alias("low"), F.max("ctr").alias("high"), F.count("ctr").alias("k"), F.count("*").alias("all"))
+    placed = placed.join(centres.where("low IS NULL OR low < high OR k < all").select("gid"), "gid", "left_semi")
     names = [c for c in placed.columns if c != "gid"]
     one = placed.where("component <> common").select("gid", *[F.col(c).alias(f"{c}_x") for c in names])
     two = placed.select("gid", *[F.col(c).alias(f"{c}_y") for c in names])
     across = one.join(two, "gid").where(
         (F.col("component_x") != F.col("component_y"))
+        & F.coalesce(F.col("ctr_x") != F.col("ctr_y"), F.lit(True))
         & ((F.col("component_y") == F.col("common_y")) | (F.col("member_x") < F.col("member_y")))  # two outsiders meet once
         & may_link("n_x", "shared_x", "n_y", "shared_y"))
     # near copies share many groups: a pair is made one before bitmaps and differences are looked at
-    across = across.select(F.least("member_x", "member_y").alias("a"), F.greatest("member_x", "member_y").alias("b")).distinct()
+    across = across.select(F.least("member_x", "member_y").alias("a"), F.greatest("member_x", "member_y").alias("b")).unionByName(
+        through_differences(facts, found)).distinct()
     both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     across = across.join(both_ways, ["a", "b"], "left_anti")
-    facts = grouped.select("member", "n").distinct().join(bodies.select("member", "bits"), "member")
-    facts = facts.join(differences(verified, of_centre), F.col("member") == F.col("of"), "left").drop("of")
     for key, mark in (("a", "x"), ("b", "y")):
         across = across.join(facts.select(*[F.col(c).alias(key if c == "member" else f"{c}_{mark}") for c in facts.columns]), key)
     across = across.where(may_overlap("n_x", "bits_x", "n_y", "bits_y") & may_differ()).select("a", "b")
