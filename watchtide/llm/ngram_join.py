@@ -387,7 +387,7 @@ def through_differences(facts: DataFrame, found: DataFrame) -> DataFrame:
     sets = facts.where("ctr IS NOT NULL").select("member", "ctr", "n_ctr", "lost", "new").join(
         found.select(F.col("id").alias("member"), "component"), "member").join(
         found.select(F.col("id").alias("ctr"), F.col("component").alias("of_ctr")), "ctr")
-    sets = sets.withColumn("outside", F.col("component") != F.col("of_ctr"))
+    sets = common.staged(sets.withColumn("outside", F.col("component") != F.col("of_ctr")), "ngram-sets")
     sets = sets.join(sets.where("outside").select("ctr").distinct(), "ctr", "left_semi")  # centres that all are linked with need no index
     weight = DENOMINATOR * F.size("lost") + NUMERATOR * F.size("new")
     tokens = F.concat(F.transform("lost", lambda e: 2 * e.cast("long")), F.transform("new", lambda e: 2 * e.cast("long") + 1))
@@ -400,10 +400,12 @@ def through_differences(facts: DataFrame, found: DataFrame) -> DataFrame:
     ranked = rows.join(often, ["ctr", "token"]).withColumn(
         "place", F.col("size") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("times", "token")))
 
-    def prefix(least: str) -> DataFrame:
-        return ranked.where(F.col("place") <= F.col("size") - F.col(least) + 1)
-    x = prefix("least_outside").where("outside").select("ctr", "token", F.col("member").alias("x"), F.col("component").alias("component_x"))
-    y = prefix("least").select("ctr", "token", F.col("member").alias("y"), F.col("component").alias("component_y"))
+    def inside(least: str) -> Column:
+        return F.col("place") <= F.col("size") - F.col(least) + 1
+    ranked = ranked.select("ctr", "token", "member", "component", (F.col("outside") & inside("least_outside")).alias("asks"), inside("least").alias("answers"))
+    ranked = common.staged(ranked.where("asks OR answers"), "ngram-prefixes")
+    x = ranked.where("asks").select("ctr", "token", F.col("member").alias("x"), F.col("component").alias("component_x"))
+    y = ranked.where("answers").select("ctr", "token", F.col("member").alias("y"), F.col("component").alias("component_y"))
     return x.join(y, ["ctr", "token"]).where("component_x <> component_y").select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -452,12 +454,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
     facts = facts.join(differences(verified, of_centre), F.col("member") == F.col("of"), "left").drop("of")
     facts = common.staged(facts, "ngram-facts")
     # groups that still hold different components: the sets outside the commonest one against those with another centre
-    placed = grouped.select("gid", "member", "n", "shared").join(found, F.col("member") == F.col("id")).drop("id")
+    placed = common.staged(grouped.select("gid", "member", "n", "shared").join(found, F.col("member") == F.col("id")).drop("id"), "ngram-placed")
     counts = placed.groupBy("gid", "component").agg(F.count("*").alias("k"))
     most = counts.groupBy("gid").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
     placed = placed.join(most.select("gid", F.col("most.component").alias("common")), "gid").join(facts.select("member", "ctr"), "member")
     centres = placed.groupBy("gid").agg(F.min("ctr").alias("low"), F.max("ctr").alias("high"), F.count("ctr").alias("k"), F.count("*").alias("all"))
     placed = placed.join(centres.where("low IS NULL OR low < high OR k < all").select("gid"), "gid", "left_semi")
+    placed = common.staged(placed, "ngram-mixed")
     names = [c for c in placed.columns if c != "gid"]
     one = placed.where("component <> common").select("gid", *[F.col(c).alias(f"{c}_x") for c in names])
     two = placed.select("gid", *[F.col(c).alias(f"{c}_y") for c in names])
@@ -470,7 +473,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
     across = across.select(F.least("member_x", "member_y").alias("a"), F.greatest("member_x", "member_y").alias("b")).unionByName(
         through_differences(facts, found)).distinct()
     both_ways = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    across = across.join(both_ways, ["a", "b"], "left_anti")
+    across = common.staged(across.join(both_ways, ["a", "b"], "left_anti"), "ngram-across")
     for key, mark in (("a", "x"), ("b", "y")):
         across = across.join(facts.select(*[F.col(c).alias(key if c == "member" else f"{c}_{mark}") for c in facts.columns]), key)
     across = across.where(may_overlap("n_x", "bits_x", "n_y", "bits_y") & may_differ()).select("a", "b")
