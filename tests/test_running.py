@@ -59,3 +59,15 @@ def test_as_of_takes_the_newest_version_before(spark):
         want[i] = newest[k, max(before)] if before else None
     assert {r.id: r.value for r in got.collect()} == want
     assert as_of(spark.createDataFrame(rows, "id int, k string, t int"), v.where("false"), ["k"], "t", "since", "value").where("value IS NOT NULL").count() == 0
+
+
+def test_as_of_carries_a_version_past_the_rows_that_ask(spark):
+    """A slice that ends in asking rows hands its last version on, not the one before."""
+    v = spark.createDataFrame([("k", 0, "a"), ("k", 150, "b"), ("k", 260, None)], "k string, since int, value string")
+    rows = spark.range(1, 400).select("id", F.lit("k").alias("k"), F.col("id").cast("int").alias("t"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # four slices of a hundred rows
+    try:
+        got = {r.id: r.value for r in as_of(rows, v, ["k"], "t", "since", "value").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: "a" if i < 150 else "b" if i < 260 else None for i in range(1, 400)}

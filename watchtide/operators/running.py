@@ -59,7 +59,8 @@ def as_of(rows: DataFrame, versions: DataFrame, keys: Sequence[str], t: str, sin
     line = asks.unionByName(boxed.withColumns({"_o": F.lit(0), "_h": F.lit(0).cast("long")}), allowMissingColumns=True)
     order = [F.col("_t"), F.col("_o"), F.col("_h")]
     line = cut_lineage(line.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_slice", F.spark_partition_id()))
-    last = line.groupBy("_slice", *keys).agg(F.max_by("_v", "_t").alias("_last"))
+    # a row that asks has no version and must not stand for one, however late it is
+    last = line.groupBy("_slice", *keys).agg(F.max_by("_v", F.when(F.col("_o") == 0, F.col("_t"))).alias("_last"))
     upto = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(F.col("_slice").alias("_s"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                           F.last("_last", ignorenulls=True).over(upto).alias("_before"))
