@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchtide.functions.core import joined, micros
+from watchtide.functions.core import joined, micros, round_plain
 from watchtide.operators import evaluate, flatten, metrics, rules
 from watchtide.plans import stages, telemetry as tel
 from watchtide.plans.queries_cases import _AL, _CASE, _CL, _cases, _clustered
@@ -150,8 +150,10 @@ _SL = "sl AS (SELECT doc_id AS alert_id, round(least(n_chars / 8000.0::DOUBLE, 1
 
 
 def _scored_labels(spark, sf):
-    return tel.read(spark, sf, "labels").join(tel.read(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").selectExpr(
-        "doc_id AS alert_id", "round(least(n_chars / 8000.0D, 1.0D), 3) AS score", "quality AS label", "toxic")
+    rows = tel.read(spark, sf, "labels").join(tel.read(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    # n / 8000 often ends on a tie in the fourth digit, so round by plain arithmetic on the double
+    score = round_plain(F.least(F.col("n_chars") / F.lit(8000.0), F.lit(1.0)), 3)
+    return rows.select(F.col("doc_id").alias("alert_id"), score.alias("score"), F.col("quality").alias("label"), "toxic")
 
 
 @query("eval_thresholds", f"""WITH {_SL}, g AS (SELECT unnest([0.1, 0.3, 0.5, 0.9])::DOUBLE AS threshold), p AS (SELECT threshold, count(*) FILTER (score >= threshold AND label = 1) AS tp, count(*) FILTER (score >= threshold AND label = 0) AS fp,
