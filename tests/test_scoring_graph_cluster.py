@@ -226,6 +226,22 @@ def test_alerts_without_items_stay_alone(spark):
     assert got == {"a1": "a1", "a2": "a2", "a3": "a3", "a4": "a3"}
 
 
+def test_components_of_a_crowd_need_few_links(spark):
+    """Alerts that all share an item: links grow with the alerts, not with their pairs."""
+    rows = [("t", i, i // 100, ["all", f"own{i}"], (i // 100) * cluster.WINDOW, (i // 100) * cluster.WINDOW) for i in range(300)]
+    sigs = spark.createDataFrame(rows, "tenant_id string, sig long, bucket long, items array<string>, lo long, hi long")
+    owners, links = cluster.spanning_links(sigs)
+    assert owners.count() == 300 and links.count() < 900
+    comp = cluster.components(owners.select(F.col("node").alias("id")), links)
+    assert [r[0] for r in comp.select("component").distinct().collect()] == [0]
+
+
+def test_pairs_of_overlap_links_are_not_shuffled(spark):
+    import __spark_entry__ as entry
+    plan = entry.queries()["cluster_overlap_links"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("Join")]
+
+
 def test_overlap_links_of_many_items_against_all_pairs(spark):
     rng = random.Random(9)
     rows = [("t", f"s{i}", 0, sorted(rng.sample([f"i{k}" for k in range(60)], rng.randrange(15, 26)) + ["everywhere"]), 0, 0) for i in range(60)]

@@ -8,7 +8,7 @@ streams sorted alerts through a small open-cluster state, without loading a grou
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -34,33 +34,85 @@ def signatures(alerts: DataFrame, t: str = "ts_us") -> DataFrame:
     return base
 
 
-def overlap_links(sigs: DataFrame, threshold: float = fixed.OVERLAP_THRESHOLD) -> DataFrame:
+def _sized(sigs: DataFrame, *more: str) -> DataFrame:
+    return sigs.select("tenant_id", "sig", "bucket", "items", "lo", "hi", *more, F.size("items").alias("size")).where("size > 0")
+
+
+def overlap_links(sigs: DataFrame, threshold: float = fixed.OVERLAP_THRESHOLD, keep: Sequence[str] = (),
+                  sizes: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(a, b, jaccard): overlapping signature rows of one bucket, or of two neighboring ones within the window.
 
     Items are ordered rarest first; two sets that reach the threshold share an item among the first
     n - ceil(threshold * n) + 1 of each, so only these are joined on.  An item that most alerts carry
-    comes last and is hardly ever a key.  Sizes and times are compared before the items are.
+    comes last and is hardly ever a key.  Sizes and times are compared before the items are.  A pair comes out at the
+    first item the two sets share and nowhere else, so pairs are never shuffled, however many there are.
 
-    ``sigs``: tenant_id, sig, bucket, items, lo, hi (first and last time).
+    ``sigs``: tenant_id, sig (any unique orderable value), bucket, items, lo, hi (first and last time).  Columns named in
+    ``keep`` come along as ``<name>_a`` and ``<name>_b``; ``sizes`` limits the pairs to some set sizes.
     """
-    sized = sigs.select("tenant_id", "sig", "bucket", "items", "lo", "hi", F.size("items").alias("size")).where("size > 0")
+    sized = _sized(sigs, *keep)
     each = sized.select("tenant_id", "sig", F.explode("items").alias("item"))
-    ranked = each.join(each.groupBy("tenant_id", "item").agg(F.count("*").alias("n")), ["tenant_id", "item"])
-    order = ranked.groupBy("tenant_id", "sig").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("o"))  # the items of one row
-    keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
-    keyed = sized.join(order, ["tenant_id", "sig"]).withColumn(
-        "key", F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["item"]))).drop("o")
+    named = cut_lineage(each.groupBy("tenant_id", "item").agg(F.count("*").alias("n")).withColumn("no", F.monotonically_increasing_id()))
+    ranked = each.join(named, ["tenant_id", "item"])
+    order = ranked.groupBy("tenant_id", "sig").agg(F.array_sort(F.collect_list(F.struct("n", "no"))).alias("o"))  # the items of one row
+    first = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
+    keyed = sized.drop("items").join(order, ["tenant_id", "sig"]).withColumn("o", F.transform("o", lambda x: x["no"])).withColumn(
+        "key", F.explode(F.slice("o", F.lit(1), first)))
     early = keyed.withColumn("slot", F.explode(F.array("bucket", F.col("bucket") + 1))).select(
-        "tenant_id", "key", "slot", *[F.col(c).alias(f"{c}_a") for c in ("sig", "bucket", "items", "hi", "size")])
-    late = keyed.select("tenant_id", "key", F.col("bucket").alias("slot"), *[F.col(c).alias(f"{c}_b") for c in ("sig", "items", "lo", "size")])
+        "tenant_id", "key", "slot", *[F.col(c).alias(f"{c}_a") for c in dict.fromkeys(("sig", "bucket", "o", "hi", "size", *keep))])
+    late = keyed.select("tenant_id", "key", F.col("bucket").alias("slot"), *[F.col(c).alias(f"{c}_b") for c in dict.fromkeys(("sig", "o", "lo", "size", *keep))])
     same = (F.col("bucket_a") == F.col("slot")) & (F.col("sig_a") < F.col("sig_b"))
     next_ = (F.col("bucket_a") < F.col("slot")) & (F.col("lo_b") - F.col("hi_a") <= WINDOW)
     fits = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9
-    common = F.size(F.array_intersect("items_a", "items_b"))
+    if sizes is not None:
+        fits = fits & sizes(F.col("size_a"), F.col("size_b"))
+    pairs = early.join(late, ["tenant_id", "key", "slot"]).where((same | next_) & fits).withColumn("both", F.array_intersect("o_a", "o_b"))
+    pairs = pairs.where(F.element_at("both", 1) == F.col("key"))
+    common = F.size("both")
     jaccard = common / (F.col("size_a") + F.col("size_b") - common)
-    pairs = early.join(late, ["tenant_id", "key", "slot"]).where((same | next_) & fits)
-    return pairs.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"), jaccard.alias("jaccard")).where(
-        F.col("jaccard") >= threshold).distinct()
+    out = pairs.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"), jaccard.alias("jaccard"), *[f"{c}{x}" for c in keep for x in ("_a", "_b")])
+    return out.where(F.col("jaccard") >= threshold)
+
+
+def _enough(x: Column, y: Column, threshold: float) -> Column:
+    """Whether one shared item makes sets of these sizes overlap."""
+    return 1 / (x + y - 1) >= threshold
+
+
+def spanning_links(sigs: DataFrame, threshold: float = fixed.OVERLAP_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(owners, links): few links with the components of :func:`overlap_links`; their number grows with the items of ``sigs``.
+
+    Where one shared item makes sets of a size overlap, all that share it in a bucket are one group and its
+    smallest ``sig`` stands for them; ``owners`` (sig, node) names what stands for each row.  Groups of one item meet
+    in their bucket, and in the next one when the last time of one and the first of the other lie within the window.
+    Only pairs of sizes that need two shared items or more are looked for one by one.
+    """
+    members = _sized(sigs).select("tenant_id", "bucket", "sig", "size", "lo", "hi", F.explode("items").alias("item"))
+    size = F.col("size")
+    alone = _enough(size, size, threshold)
+    group = ["tenant_id", "bucket", "item", "size"]
+    groups = cut_lineage(members.where(alone).groupBy(*group).agg(F.min("sig").alias("node"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    nodes = members.where(alone).select(*group, "sig").join(groups.select(*group, "node"), group).groupBy("sig").agg(
+        F.min("node").alias("node"), F.collect_set("node").alias("all"))  # the items of one row
+    nodes = cut_lineage(nodes)
+    owners = sigs.select("sig").join(nodes.select("sig", "node"), "sig", "left").withColumn("node", F.coalesce("node", "sig"))
+    links = nodes.select(F.explode("all").alias("a"), F.col("node").alias("b"))
+    units = groups.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).unionByName(
+        members.where(~alone).withColumnRenamed("sig", "node").withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))))
+    hubs = groups.select("tenant_id", "item", F.col("bucket").alias("slot"), *[F.col(c).alias(f"{c}_h") for c in ("size", "node", "lo", "hi")])
+    near = (F.col("step") == 0) | ((F.col("step") == 1) & (F.col("lo_h") - F.col("hi") <= WINDOW)) | (
+        (F.col("step") == -1) & (F.col("lo") - F.col("hi_h") <= WINDOW))
+    links = links.unionByName(units.withColumn("slot", F.col("bucket") + F.col("step")).join(hubs, ["tenant_id", "item", "slot"]).where(
+        near & _enough(size, F.col("size_h"), threshold)).select(F.col("node").alias("a"), F.col("node_h").alias("b")))
+    links = links.where("a <> b")
+
+    found = [r[0] for r in members.select("size").distinct().collect()]  # sizes of sets, not sets
+    more = [x for x in found if any(1 / (x + y - 1) < threshold and min(x, y) >= max(x, y) * threshold - 1e-9 for y in found)]
+    if more:
+        rest = overlap_links(sigs.where(F.size("items").isin(more)), threshold, sizes=lambda x, y: ~_enough(x, y, threshold))
+        rest = rest.join(owners.toDF("a", "node_a"), "a").join(owners.toDF("b", "node_b"), "b")
+        links = links.unionByName(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    return owners, links
 
 
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -93,14 +145,17 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 40) -> Data
 
 def overlap_components(alerts: DataFrame, t: str = "ts_us", threshold: float = fixed.OVERLAP_THRESHOLD) -> DataFrame:
     """Alerts with ``cluster_id``: the smallest alert id they reach over overlapping alerts in time."""
-    tagged = signatures(alerts, t)
-    sigs = cut_lineage(tagged.groupBy("tenant_id", "sig", "bucket").agg(
-        F.first("items").alias("items"), F.min(t).alias("lo"), F.max(t).alias("hi"), F.min("alert_id").alias("first_alert")))
-    comp = components(sigs.select(F.col("sig").alias("id")), overlap_links(sigs, threshold))
-    named = sigs.join(comp, sigs["sig"] == comp["id"])
+    tagged = signatures(alerts, t).withColumnRenamed("sig", "of")
+    sigs = tagged.groupBy("tenant_id", "of", "bucket").agg(
+        F.first("items").alias("items"), F.min(t).alias("lo"), F.max(t).alias("hi"), F.min("alert_id").alias("first_alert"))
+    sigs = cut_lineage(sigs.withColumn("sig", F.monotonically_increasing_id()))  # numbers for the many rounds
+    owners, links = spanning_links(sigs, threshold)
+    owners = cut_lineage(owners)
+    comp = components(owners.select(F.col("node").alias("id")), links)
+    named = sigs.select("of", "sig", "first_alert").join(owners, "sig").join(comp, F.col("node") == F.col("id"))
     label = named.groupBy("component").agg(F.min("first_alert").alias("cluster_id"))
-    member = named.select("sig", "component").join(label, "component").select("sig", "cluster_id")
-    return tagged.join(member, "sig").drop("sig", "bucket")
+    member = named.select("of", "component").join(label, "component").select("of", "cluster_id")
+    return tagged.join(member, "of").drop("of", "bucket")
 
 
 def fold_clusters(clustered: DataFrame, t: str = "ts_us") -> DataFrame:
