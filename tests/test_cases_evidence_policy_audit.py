@@ -202,6 +202,19 @@ def test_audit_chain_detects_whole_blocks(spark):
     assert audit.verify(edited, 64).first().first_broken_sequence == 270
 
 
+def test_records_of_one_segment_do_not_meet_in_one_task(spark):
+    import re
+    rows = spark.range(1, 301).select(F.col("id").alias("sequence"), F.col("id").cast("string").alias("content"))
+    chain = cut_lineage(audit.append_events(rows, block=16))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a segment that is large
+    try:
+        plan = audit.broken_records(chain, 16)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"SortMergeJoin[^\[]*\[segment#\d+\], \[(head_segment|of)#\d+\]", plan)
+    assert audit.broken_records(chain, 16).count() == 0
+
+
 def test_linear_chain_written_elsewhere(spark):
     import hashlib
     prev, out = fixed.GENESIS_HASH, []

@@ -110,7 +110,8 @@ def broken_records(chain: DataFrame, block: int | None = BLOCK) -> DataFrame:
         F.col("segment").alias("head_segment"), F.col("sequence").alias("number"), "content", "prev_hash", "record_hash",
         *(F.split("content", "[|]")[i].alias(c) for i, c in enumerate(("first", "count", "root"))))
     heads = heads.withColumn("first", F.col("first").cast("long")).withColumn("count", F.col("count").cast("long"))
-    known = heads.select("head_segment", "first")
+    # one row per append; broadcast, because joined by key all records of a segment would meet in one task
+    known = F.broadcast(heads.select("head_segment", "first"))
     rows = chain.where(F.col("level") >= 0).join(known, F.col("segment") == F.col("head_segment"), "left").drop("head_segment")
     # place inside the segment and level: 0, 1, 2, ...
     rows = rows.withColumn("place", F.col("sequence") - F.when(F.col("level") == 0, F.coalesce("first", F.lit(1))).otherwise(F.lit(1)))
@@ -131,7 +132,7 @@ def broken_records(chain: DataFrame, block: int | None = BLOCK) -> DataFrame:
         F.max_by("record_hash", "place").alias("tail"), F.max("sequence").alias("at"))
     ups = rows.where("level > 0").select("segment", (F.col("level") - 1).alias("level"), F.col("place").alias("up"), F.col("content").alias("said"))
     tops = rows.groupBy("segment").agg(F.max("level").alias("top"))
-    ties = tails.join(ups, ["segment", "level", "up"], "full").join(tops, "segment").join(known, F.col("segment") == F.col("head_segment"), "left")
+    ties = tails.join(ups, ["segment", "level", "up"], "full").join(F.broadcast(tops), "segment").join(known, F.col("segment") == F.col("head_segment"), "left")
     start = F.col("up") * block + F.when(F.col("level") == 0, F.coalesce("first", F.lit(1))).otherwise(F.lit(1))
     under = F.coalesce("first", F.lit(1)) + F.col("up") * F.pow(F.lit(block), F.col("level") + 1).cast("long")
     ties = ties.where("level < top").select("level", F.coalesce("at", start).alias("sequence"), F.when(
@@ -140,7 +141,7 @@ def broken_records(chain: DataFrame, block: int | None = BLOCK) -> DataFrame:
 
     # heads: hash, link to the head before, numbers, counts and roots of their segments
     sizes = rows.where("level = 0").groupBy("segment").agg(F.count("*").alias("have"))
-    roots = rows.join(tops.withColumnRenamed("segment", "of"), (F.col("segment") == F.col("of")) & (F.col("level") == F.col("top"))).groupBy("segment").agg(
+    roots = rows.join(F.broadcast(tops.withColumnRenamed("segment", "of")), (F.col("segment") == F.col("of")) & (F.col("level") == F.col("top"))).groupBy("segment").agg(
         F.max("record_hash").alias("have_root"))
     facts = tops.join(sizes, "segment", "left").join(roots, "segment", "left")
     order = Window.orderBy("number")  # one row per append
