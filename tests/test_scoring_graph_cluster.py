@@ -242,6 +242,21 @@ def test_pairs_of_overlap_links_are_not_shuffled(spark):
     assert "Exchange" not in plan[:plan.index("Join")]
 
 
+def test_entities_are_worked_out_once(spark):
+    """No filter below the explode repeats what the projection computes."""
+    from watchtide.plans import stages
+    ev = stages.enriched(spark, "/root/testdata/sf0.001")
+    for rows in (graph_build.node_rows(ev), graph_build.edge_rows(ev)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "sha2(" in plan and not [line for line in plan.splitlines() if "Filter" in line and "sha2(" in line]
+
+
+def test_spread_bounds_the_size_of_a_task(spark):
+    from watchtide.session import spread
+    rows = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")  # 11 MB in one row group
+    assert spread(rows, task_mb=1).rdd.getNumPartitions() >= 8 and spread(rows, task_mb=100).rdd.getNumPartitions() == 4
+
+
 def test_overlap_links_of_many_items_against_all_pairs(spark):
     rng = random.Random(9)
     rows = [("t", f"s{i}", 0, sorted(rng.sample([f"i{k}" for k in range(60)], rng.randrange(15, 26)) + ["everywhere"]), 0, 0) for i in range(60)]
