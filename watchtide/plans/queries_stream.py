@@ -103,10 +103,13 @@ def stream_correlation_late(spark, sf):
 
 
 def _stream_envelopes(spark, sf) -> DataFrame:
-    """Batch envelopes written once as a topic folder of five files in no order, then read back file by file."""
-    topic = _folder(spark, "topic")
-    tel.envelopes(spark, sf).repartition(5, F.xxhash64("event_id")).write.parquet(topic)
-    return sinks.topic_source(spark, topic, spark.read.parquet(topic).schema, files_per_trigger=1)
+    """Batch envelopes written once as a topic folder in no order, then read back in five micro-batches.
+
+    A micro-batch takes a file for each core, because a file of one row group is the work of one task.
+    """
+    topic, cores = _folder(spark, "topic"), spark.sparkContext.defaultParallelism
+    tel.envelopes(spark, sf).repartition(5 * cores, F.xxhash64("event_id")).write.parquet(topic)
+    return sinks.topic_source(spark, topic, spark.read.parquet(topic).schema, files_per_trigger=cores)
 
 
 @query("stream_detect", f"WITH {stages.sql_enriched()}, {stages.sql_gated()} SELECT event_id, array_to_string(rule_ids, ',') AS rule_ids, array_to_string(techs, ',') AS techniques FROM gat WHERE len(rule_ids) > 0")
