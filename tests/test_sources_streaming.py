@@ -192,3 +192,9 @@ def test_the_latest_catalog_names_a_vulnerability(spark, tmp_path):
         (tmp_path / f"{version}.json").write_text(json.dumps({"catalog_version": version, "vulnerabilities": found}))
     row = readers.exploited_vulnerabilities(spark, str(tmp_path)).collect()
     assert [(r.cve_id, r.catalog_version, r["product"]) for r in row] == [("CVE-1", "2024.02", "newest")]
+
+
+def test_scenarios_do_not_take_a_file_each(spark):
+    from watchtide.plans import queries_sources
+    docs = queries_sources._scenario_files(spark, "/root/testdata/sf0.01")
+    assert docs.count() == 157 and len(docs.inputFiles()) == 1  # 10,000 events

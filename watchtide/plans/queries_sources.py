@@ -20,10 +20,16 @@ def _folder(spark, name: str) -> str:
     return f"{checkpoint_root(spark)}/source-{name}-{uuid.uuid4().hex}"
 
 
-def _written(rows: DataFrame, name: str, block: str, doc: Column) -> str:
-    """Folder with one document for each value of ``block``; blocks bound the rows of a document."""
+def _written(rows: DataFrame, name: str, block: str, doc: Column, per_file: int | None = None) -> str:
+    """Folder with one document for each value of ``block``; blocks bound the rows of a document.
+
+    A file holds one document, or with ``per_file`` an array of the documents of so many blocks.
+    """
     folder = _folder(rows.sparkSession, name)
     docs = rows.groupBy(F.expr(block).alias("block")).agg(doc.alias("value"))
+    if per_file:
+        docs = docs.groupBy(F.floor(F.col("block") / per_file).alias("block")).agg(
+            F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
     docs.write.partitionBy("block").text(folder)
     return folder
 
@@ -46,14 +52,14 @@ def source_raw_lines(spark, sf):
 
 
 def _scenario_files(spark, sf) -> DataFrame:
-    """One scenario for each 64 events; every third has no title, every fourth no description."""
+    """One scenario for each 64 events, 500 to a file; every third has no title, every fourth no description."""
     events = F.transform(_listed("event_id", "event_type AS source", "cast(unix_micros(ts) AS string) AS timestamp", "struct(k) AS raw"),
                          lambda e: F.struct(e["source"].alias("source"), e["timestamp"].alias("timestamp"), e["raw"].alias("raw")))
     number = F.min(F.expr("event_id div 64"))
     doc = F.to_json(F.struct(
         F.concat(F.lit("s"), number).alias("scenario_id"), F.when(number % 3 > 0, F.concat(F.lit("Scenario "), number)).alias("title"),
         F.when(number % 4 > 0, F.lit("of 64 events")).alias("description"), F.lit("case").alias("expected_outcome"), events.alias("events")))
-    return readers.scenarios(spark, _written(tel.event_rows(spark, sf), "scenarios", "event_id div 64", doc))
+    return readers.scenarios(spark, _written(tel.event_rows(spark, sf), "scenarios", "event_id div 64", doc, per_file=500))
 
 
 @query("source_scenario_events", f"WITH {_EVENTS} SELECT concat('s', event_id // 64) AS scenario_id, row_number() OVER (PARTITION BY event_id // 64 ORDER BY event_id) - 1 AS position, event_type AS source, ts_us::VARCHAR AS timestamp, k FROM base")

@@ -24,7 +24,7 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled scenario documents, one row per file."""
+    """Labelled scenario documents, one row each; a file holds one document or an array of them."""
     return spark.read.schema(schema.SCENARIO).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_name"))
 
 
