@@ -251,6 +251,14 @@ def test_entities_are_worked_out_once(spark):
         assert "sha2(" in plan and not [line for line in plan.splitlines() if "Filter" in line and "sha2(" in line]
 
 
+def test_enrichment_reads_each_text_once_and_in_generated_code(spark):
+    """The text of an event is not put together for every keyword, nor are arrays argued about row by row."""
+    from watchtide.plans import stages
+    plan = stages.enriched(spark, "/root/testdata/sf0.001").select("event_id", "entities")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(concat_ws( , event_type") == 1 and "filter(array(" not in plan
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
 def test_spread_bounds_the_size_of_a_task(spark):
     from watchtide.session import spread
     rows = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")  # 11 MB in one row group
