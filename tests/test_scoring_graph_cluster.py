@@ -178,6 +178,20 @@ def test_greedy_clusters_match_a_replay(spark):
     assert {r.alert_id: r.cluster_id for r in cluster.greedy_clusters(df).collect()} == greedy_replay(alerts)
 
 
+def test_greedy_decision_is_kept_while_nothing_changes(monkeypatch):
+    """Alerts with the items of earlier ones are not compared with the open clusters again, unless one of these changed."""
+    looked = []
+    best = cluster.OpenClusters._best
+    monkeypatch.setattr(cluster.OpenClusters, "_best", lambda self, mine: looked.append(mine) or best(self, mine))
+    open_ = cluster.OpenClusters(0.15, 100)
+    sets = [["a", "b"], ["c", "d"], ["e"]]
+    got = [open_.assign(f"x{t}", t, sets[t % 3]) for t in range(300)]
+    assert got == ["x0", "x1", "x2"] * 100 and len(looked) == 3
+    assert open_.assign("y", 401, ["a", "b"]) == "y" and len(looked) == 4  # the others were idle and closed
+    # times may go back between the files of a stream: a cluster closes by the time of its last alert
+    assert open_.assign("z", 350, ["a", "b"]) == "y" and open_.assign("w", 451, ["a", "b"]) == "w"
+
+
 def test_greedy_stream_equals_batch(spark, tmp_path):
     from watchtide.streaming import flows
     alerts = sorted(random_alerts(120, [2, 3], 8, 30, 100_000), key=lambda x: (x[2], x[1]))

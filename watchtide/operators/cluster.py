@@ -7,6 +7,7 @@ streams sorted alerts through a small open-cluster state, without loading a grou
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Callable, Iterator, Sequence
 
@@ -180,14 +181,24 @@ def cluster_items(clustered: DataFrame) -> DataFrame:
 
 # --- order-dependent clustering -----------------------------------------------------------------
 
+MEMO = 100_000  # item sets whose last decision is kept at a time
+
+
 class OpenClusters:
-    """Open clusters of one tenant; an item index finds candidates, idle clusters are evicted."""
+    """Open clusters of one tenant; an item index finds candidates, idle clusters are evicted.
+
+    An alert costs the same however many clusters are open: idle ones come off a heap, and the decision for an item set is
+    kept until a cluster with one of its items is opened, grows or closes (``changes`` counts that for each item).
+    """
 
     def __init__(self, threshold: float, window: int):
         self.threshold, self.window = threshold, window
         self.clusters: dict[str, list] = {}      # id -> [created order, last time, item set]
         self.by_item: dict[str, set[str]] = {}
         self.order = 0
+        self.idle: list[tuple[int, str]] = []    # heap: for each cluster an entry no later than its last time
+        self.changes: dict[str, int] = {}
+        self.decided: dict[tuple, tuple[int, list, str]] = {}  # items -> changes of its items then, cluster, its id
 
     def to_json(self) -> str:
         return json.dumps({"order": self.order, "clusters": {c: [v[0], v[1], sorted(v[2])] for c, v in self.clusters.items()}})
@@ -199,34 +210,85 @@ class OpenClusters:
         out.order = data["order"]
         for cid, (order, last, items) in data["clusters"].items():
             out.clusters[cid] = [order, last, set(items)]
+            out.idle.append((last, cid))
             for item in items:
                 out.by_item.setdefault(item, set()).add(cid)
+        heapq.heapify(out.idle)
         return out
 
+    def _changed(self, items: set[str]) -> None:
+        for item in items:
+            self.changes[item] = self.changes.get(item, 0) + 1
+
+    def _drop(self, cid: str) -> None:
+        gone = self.clusters.pop(cid)[2]
+        self._changed(gone)
+        for item in gone:
+            self.by_item[item].discard(cid)
+            if not self.by_item[item]:
+                del self.by_item[item]
+
+    def _close(self, before: int) -> None:
+        while self.idle and self.idle[0][0] < before:
+            cid = heapq.heappop(self.idle)[1]
+            entry = self.clusters.get(cid)
+            if entry is not None and entry[1] < before:
+                self._drop(cid)
+            elif entry is not None:
+                heapq.heappush(self.idle, (entry[1], cid))
+
+    def _best(self, mine: set[str]) -> str | None:
+        """The cluster with the highest overlap, of equal ones the oldest."""
+        shared: dict[str, int] = {}
+        for item in mine:
+            for cid in self.by_item.get(item, ()):
+                shared[cid] = shared.get(cid, 0) + 1
+        best, best_score, best_order = None, 0.0, 0
+        for cid, common in shared.items():
+            order, _, have = self.clusters[cid]
+            score = common / (len(have) + len(mine) - common)
+            if score >= self.threshold and (score > best_score or (score == best_score and order < best_order)):
+                best, best_score, best_order = cid, score, order
+        return best
+
     def assign(self, alert_id: str, t: int, items: list[str]) -> str:
-        for cid in [c for c, v in self.clusters.items() if t - v[1] > self.window]:
-            for item in self.clusters.pop(cid)[2]:
-                self.by_item[item].discard(cid)
-                if not self.by_item[item]:
-                    del self.by_item[item]
+        if self.idle and self.idle[0][0] < t - self.window:
+            self._close(t - self.window)
+        key = tuple(items)
+        changes = self.changes
+        known = self.decided.get(key)
+        if known is not None:
+            now = 0
+            for item in key:
+                now += changes.get(item, 0)
+            if now == known[0]:  # its cluster holds all of its items since then
+                entry = known[1]
+                if t < entry[1]:
+                    heapq.heappush(self.idle, (t, known[2]))
+                entry[1] = t
+                return known[2]
         mine = set(items)
-        best, best_score = None, 0.0
-        touched = set().union(*(self.by_item.get(i, ()) for i in mine)) if mine else set()
-        for cid in sorted(touched, key=lambda c: self.clusters[c][0]):
-            have = self.clusters[cid][2]
-            common = len(have & mine)
-            score = common / (len(have) + len(mine) - common)
-            if score >= self.threshold and score > best_score:
-                best, best_score = cid, score
+        best = self._best(mine)
         if best is None:
             best = alert_id
+            if best in self.clusters:
+                self._drop(best)
             self.clusters[best] = [self.order, t, set()]
+            heapq.heappush(self.idle, (t, best))
             self.order += 1
         entry = self.clusters[best]
+        if t < entry[1]:
+            heapq.heappush(self.idle, (t, best))
         entry[1] = t
-        entry[2] |= mine
-        for item in mine:
-            self.by_item.setdefault(item, set()).add(best)
+        if not mine <= entry[2]:
+            entry[2] |= mine
+            self._changed(entry[2])
+            for item in mine:
+                self.by_item.setdefault(item, set()).add(best)
+        if key:  # alerts without items open a cluster each
+            if len(self.decided) >= MEMO:
+                self.decided.clear()
+            self.decided[key] = (sum(changes.get(item, 0) for item in key), entry, best)
         return best
 
 
