@@ -273,6 +273,15 @@ def test_enrichment_reads_each_text_once_and_in_generated_code(spark):
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
 
 
+def test_rules_and_edges_are_chosen_in_generated_code(spark):
+    from watchtide.operators import rules
+    from watchtide.plans import stages
+    ev = stages.enriched(spark, "/root/testdata/sf0.001")
+    for rows in (graph_build.edge_rows(ev), rules.gate(ev, rules.shipped_rules()), scoring.heuristic(ev).select("heuristic_reasons")):
+        assert "filter(array(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rules.gate(ev, []).dtypes[-1][0] == "matches"
+
+
 def test_spread_bounds_the_size_of_a_task(spark):
     from watchtide.session import spread
     rows = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")  # 11 MB in one row group
