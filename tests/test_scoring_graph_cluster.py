@@ -204,6 +204,22 @@ def test_greedy_stream_equals_batch(spark, tmp_path):
     assert got == greedy_replay(alerts)
 
 
+def test_greedy_stream_takes_a_table_in_bounded_parts_in_order(spark, tmp_path, monkeypatch):
+    """One large file is no longer one micro-batch, and the parts give what the whole gives."""
+    from watchtide.plans import queries_cases, queries_stream
+    start = 1_704_067_200_000_000
+    rows = [(i, start + (i * 7919 % 300 // 3) * 400_000_000, i % 7, "click" if i % 4 else "view", 1.0, f'{{"k": {i % 90}}}') for i in range(300)]  # equal times
+    spark.createDataFrame(rows, "event_id long, us long, user_id long, event_type string, value double, props string").withColumn(
+        "ts", F.timestamp_micros("us")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(queries_stream, "IN_ORDER_ROWS", 60, raising=False)
+    out = queries_stream.stream_greedy_clusters(spark, str(tmp_path))
+    batches = out.groupBy(F.regexp_extract(F.input_file_name(), r"batch_id=(\d+)", 1)).count().collect()
+    assert len(batches) == 5 and max(r["count"] for r in batches) < 150
+    want = {(r.tenant_id, r.alert_id): r.cluster_id for r in queries_cases.cluster_greedy(spark, str(tmp_path)).collect()}
+    assert {(r.tenant_id, r.alert_id): r.cluster_id for r in out.collect()} == want and len(want) == 300
+    assert len(set(want.values())) > 5
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(f"{i:04d}", f"{i + 1:04d}") for i in range(300)], "a string, b string")
     nodes = spark.createDataFrame([(f"{i:04d}",) for i in range(302)], "id string")

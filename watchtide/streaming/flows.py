@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -162,20 +164,29 @@ def correlated(spark: SparkSession, folder: str, key: list[str]) -> DataFrame:
     return latest_by_key(spark.read.parquet(f"{folder}/result"), key, "batch_id").drop("batch_id")
 
 
+def _in_columns(batches: Iterator[pd.DataFrame]) -> tuple[pa.Table, list[tuple]]:
+    """(t, alert_id, place of the item set) in the order of t and alert_id, and the distinct item sets, which come as JSON."""
+    sets: dict[str, int] = {}
+    parts = [pa.table({"t": pa.array(pdf["t"], pa.int64()), "alert_id": pa.array(pdf["alert_id"], pa.large_string()),
+                       "items": pa.array([sets.setdefault(i, len(sets)) for i in pdf["items"]], pa.int32())}) for pdf in batches]
+    return pa.concat_tables(parts).sort_by([("t", "ascending"), ("alert_id", "ascending")]), [tuple(json.loads(i)) for i in sets]
+
+
 def cluster_stream(alerts: DataFrame, threshold: float = fixed.OVERLAP_THRESHOLD) -> DataFrame:
     """Greedy clustering of an alert stream (tenant_id, alert_id, t, items).
 
     State per tenant is its open clusters only; idle ones leave it.  Alerts are ordered inside a
-    micro-batch, whose size the source bounds.
+    micro-batch, whose size the source bounds; of a tenant's part a task holds columns and each item set once.
     """
     def assign(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         open_ = OpenClusters.from_json(state.get[0], threshold, WINDOW) if state.exists else OpenClusters(threshold, WINDOW)
-        pdf = pd.concat(list(batches)).sort_values(["t", "alert_id"])
-        ids = [open_.assign(a, int(t), list(i)) for a, t, i in zip(pdf["alert_id"], pdf["t"], pdf["items"])]
+        rows, sets = _in_columns(batches)
+        for part in rows.to_batches(max_chunksize=20_000):
+            ids = [open_.assign(a, t, sets[n]) for t, a, n in zip(*(c.to_pylist() for c in part.columns))]
+            yield pd.DataFrame({"tenant_id": [key[0]] * len(ids), "alert_id": part.column("alert_id").to_pandas(), "cluster_id": ids})
         state.update((open_.to_json(),))
-        yield pd.DataFrame({"tenant_id": [key[0]] * len(ids), "alert_id": pdf["alert_id"].to_numpy(), "cluster_id": ids})
 
-    return alerts.groupBy("tenant_id").applyInPandasWithState(
+    return alerts.select("tenant_id", "alert_id", "t", F.to_json("items").alias("items")).groupBy("tenant_id").applyInPandasWithState(
         assign, "tenant_id string, alert_id string, cluster_id string", "doc string", "append", GroupStateTimeout.NoTimeout)
 
 
