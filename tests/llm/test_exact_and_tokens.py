@@ -133,6 +133,33 @@ def test_word_ids_equal_whole_text_ids(library):
     assert 50256 in library.encode("a <|endoftext|> b", add_special_tokens=False).ids or library.token_to_id("<|endoftext|>") != 50256
 
 
+def test_plain_texts_are_cut_into_pieces_that_are_encoded_once(library, monkeypatch):
+    encode = token_planes.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(9)
+    alphabet = ["a", "The", " ", " ", "  ", "\n", "'s", "'", "'ll", "'RE", "'t", "2024", "é", "ÀB", "ÿ", "!!", "-", "~", "don't", ", ", "x" * 70]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 25))) for _ in range(3000)]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    whole = []
+    monkeypatch.setattr(encode, "_whole", lambda t: whole.append(t) or token_planes.Encoder._whole(encode, t))
+    assert encode(texts) == want and not whole
+    monkeypatch.setattr(token_planes, "KNOWN_WORDS", 5)  # words leave the memory and come back
+    assert encode(texts) == want and not whole
+    assert max(map(len, encode.known), default=0) <= token_planes.KNOWN_LETTERS
+
+
+def test_ids_stay_where_files_are_read(spark):
+    texts = corpus()
+    path = common.shared_path(spark, "tokens")
+    token_planes.write(frame(spark, texts), path, public_tokenizers.path("byte_bpe_50k.json"), file_bytes=2000)
+    found = token_planes.read(spark, path, F.crc32("ids").alias("crc"))
+    assert found.columns == ["doc_id", "start", "n_tokens", "crc"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("MapInArrow")]
+    assert "Join" in above and "ids#" not in above[:above.rindex("Exchange")]
+    whole = {r["doc_id"]: (r["start"], r["n_tokens"], zlib.crc32(r["ids"])) for r in token_planes.read(spark, path).collect()}
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == whole and len(whole) == len(texts)
+
+
 def test_bpe_against_the_library(spark):
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     texts = corpus() + ["x" * 5000, "word " * 3000, " \n" * 400 + "end"]
