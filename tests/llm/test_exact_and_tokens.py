@@ -172,6 +172,16 @@ def test_bpe_against_the_library(spark):
     assert bpe.decode(bpe.encode(frame(spark, []), ranks, pattern), ranks, pattern).collect() == []
 
 
+def test_round_trip_is_encode_and_decode(spark):
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = frame(spark, [*corpus(), "word " * 3000, None, ""])
+    want = bpe.decode(bpe.encode(docs, ranks, pattern, piece_chars=50, keep=("lang", "text")), ranks, pattern)
+    found = bpe.round_trip(docs, ranks, pattern, piece_chars=50, keep=("lang", "text"))
+    assert found.dtypes == want.dtypes
+    assert sorted(found.collect(), key=str) == sorted(want.collect(), key=str)
+    assert bpe.round_trip(docs.where("false"), ranks, pattern).collect() == []
+
+
 def test_safe_pieces_random():
     enc = bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     rng = random.Random(4)

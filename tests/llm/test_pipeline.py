@@ -74,3 +74,8 @@ def test_rows_that_share_an_id_have_their_own_fate(spark, folder):
         assert left - set(near) == {*clean, leak} and len(left & set(near)) == 1 and left & set(near) <= set(same)
         left = [r["text"] for r in corpus_pipeline.drop_benchmark_text(spark, docs, folder[0]).collect()]
         assert sorted(left) == sorted([*near, *clean])
+
+
+def test_a_task_that_encodes_holds_one_python_worker(spark, folder):
+    found = corpus_pipeline.encode(spark, spark.read.parquet(f"{folder[0]}/documents.parquet"), folder[0])
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1

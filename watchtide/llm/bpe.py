@@ -41,14 +41,8 @@ def pieces(text: str, size: int) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str, piece_chars: int = 1 << 15, id_col: str = "doc_id",
-           text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, ids array<int>, and the columns ``keep``) per row.
-
-    A null or empty text has no ids; special tokens are ordinary text; an empty table gives an empty result.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    names = ["doc_id", *keep, "ids"]
+def _encoder(rank_path: str, pattern: str, piece_chars: int, names: list[str]):
+    """A task's function from batches with ``_text`` to the columns ``names``, the last of which are the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_path, pattern)
@@ -65,12 +59,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, piece_chars: int = 1 <
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in names[:-1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))], names=names)
 
-    return texts.mapInArrow(run, "".join(f"{c} {texts.schema[c].dataType.simpleString()}, " for c in names[:-1]) + "ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """``encoded``, which has ``ids``, with ``decoded``: the raw bytes of the ids, which need not be valid UTF-8."""
-    names = encoded.columns
+def _decoder(rank_path: str, pattern: str, names: list[str]):
+    """A task's function from batches with the columns ``names`` to the same with ``decoded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_path, pattern)
@@ -82,5 +75,38 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
                 raw = [enc.decode_bytes(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(raw, pa.binary())], names=[*names, "decoded"])
 
+    return run
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> tuple[DataFrame, list[str], str]:
+    """The id, the columns ``keep`` and ``_text``; the names and the schema of what encoding makes of them."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    names = ["doc_id", *keep, "ids"]
+    return texts, names, "".join(f"{c} {texts.schema[c].dataType.simpleString()}, " for c in names[:-1]) + "ids array<int>"
+
+
+def encode(docs: DataFrame, rank_path: str, pattern: str, piece_chars: int = 1 << 15, id_col: str = "doc_id",
+           text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids array<int>, and the columns ``keep``) per row.
+
+    A null or empty text has no ids; special tokens are ordinary text; an empty table gives an empty result.
+    """
+    texts, names, schema = _texts(docs, id_col, text_col, keep)
+    return texts.mapInArrow(_encoder(rank_path, pattern, piece_chars, names), schema)
+
+
+def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """``encoded``, which has ``ids``, with ``decoded``: the raw bytes of the ids, which need not be valid UTF-8."""
     kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, kept + "decoded binary")
+    return encoded.mapInArrow(_decoder(rank_path, pattern, encoded.columns), kept + "decoded binary")
+
+
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, piece_chars: int = 1 << 15, id_col: str = "doc_id",
+               text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``decode`` of ``encode`` in one Python worker for each task; as two steps of a stage they would hold two.
+
+    Spark keeps its Python workers, so the second ones would also lie beside all later stages, with all they remember.
+    """
+    texts, names, schema = _texts(docs, id_col, text_col, keep)
+    encoder, decoder = _encoder(rank_path, pattern, piece_chars, names), _decoder(rank_path, pattern, names)
+    return texts.mapInArrow(lambda batches: decoder(encoder(batches)), f"{schema}, decoded binary")
