@@ -165,13 +165,12 @@ def degree_as_of(reads: DataFrame, edges: DataFrame, t: str = "ts_us") -> DataFr
     ``reads`` needs ``node_id`` and ``t``; ``edges`` needs ``first_us``.  Both lie on one time line for each node, and
     the counts run along it; a hub's day is spread over as many slices as its rows need.
     """
-    ends = edges.select(F.explode(F.array_distinct(F.array("src_id", "dst_id"))).alias("node_id"), F.col("first_us").alias("_t"))
-    adds = ends.groupBy("node_id", "_t").agg(F.count("*").alias("_d")).withColumn("_o", F.lit(0).cast("long"))
-    # reads after the edges of their time; the hash only spreads reads of one moment
-    asks = reads.withColumn("_t", F.col(t)).withColumn("_o", F.lit(1) + F.pmod(F.xxhash64(*reads.columns), F.lit(1 << 40))).withColumn("_read", F.lit(True))
-    rows = asks.unionByName(adds, allowMissingColumns=True)
-    out = running(rows, ["node_id"], [F.col("_t"), F.col("_o")], {"degree_as_of": F.col("_d")})
-    return out.where("_read").drop("_t", "_o", "_d", "_read")
+    ends = edges.select(F.explode(F.array_distinct(F.array("src_id", "dst_id"))).alias("node_id"), F.col("first_us").alias(t))
+    # an edge has order 0; reads come after the edges of their time, and the hash only spreads reads of one moment
+    asks = reads.withColumn("_o", (F.lit(1) + F.pmod(F.xxhash64(*reads.columns), F.lit(1 << 14))).cast("int"))
+    rows = asks.unionByName(ends.withColumn("_o", F.lit(0)), allowMissingColumns=True)
+    out = running(rows, ["node_id"], [F.col(t), F.col("_o")], {"degree_as_of": F.when(F.col("_o") == 0, 1)})
+    return out.where("_o > 0").drop("_o")
 
 
 def indicator_pairs(keyed: DataFrame) -> DataFrame:

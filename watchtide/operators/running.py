@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from watchtide.session import cut_lineage
+from watchtide.session import cut_lineage, stored
 
 
 def running(df: DataFrame, group: Sequence[str], order: Sequence[Column], sums: dict[str, Column] | None = None,
@@ -20,30 +20,28 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[Column], sums:
 
     ``number`` names a dense 1-based number of the row in its group; ``sums`` maps new names to summed columns, nulls
     counting as 0.  ``order`` should end with something unique: rows that tie are put in any order, and stay in one
-    slice.  The quantiles are drawn once, because the sorted rows are checkpointed with the slice they fell in.
+    slice.  The quantiles are drawn once, because the rows are stored with the slice they fell in.  Only a group that began
+    in an earlier slice carries sums on, and a slice begins inside one group at most, so what is carried is a small table.
     """
     sums = {name: F.coalesce(c, F.lit(0)) for name, c in (sums or {}).items()}
-    keys = [F.col(g) for g in group]
     kept = df.columns
-    ranged = df.select("*", *[c.alias(f"_v{i}") for i, c in enumerate(sums.values())],
-                       *[c.alias(f"_k{i}") for i, c in enumerate(keys)])
-    ranged = cut_lineage(ranged.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()))
-    same = [f"_k{i}" for i in range(len(keys))]
+    sliced = stored(df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_slice", F.spark_partition_id()), "slices")
+    summed = [c.alias(f"_v{i}") for i, c in enumerate(sums.values())]  # worked out after each exchange, not sent
     values = [f"_v{i}" for i in range(len(sums))]
-    totals = ranged.groupBy("_slice", *same).agg(F.count("*").alias("_n"), *[F.sum(v).alias(v) for v in values])
-    upto = Window.partitionBy(*same).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0)
-    carried = totals.select(F.col("_slice").alias("_s"), *[F.col(k).alias(f"{k}c") for k in same],
-                            F.coalesce(F.sum("_n").over(upto), zero).alias("_before"),
-                            *[F.coalesce(F.sum(v).over(upto), zero).alias(f"{v}c") for v in values])
-    inside = Window.partitionBy("_slice", *same).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.select("*", F.count(F.lit(1)).over(inside).alias("_i"), *[F.sum(v).over(inside).alias(f"{v}i") for v in values])
+    totals = sliced.select("_slice", *group, *summed).groupBy("_slice", *group).agg(F.count("*").alias("_n"), *[F.sum(v).alias(v) for v in values])
+    upto = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = stored(totals.select(F.col("_slice").alias("_s"), *[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)],
+                                   F.sum("_n").over(upto).alias("_before"), *[F.sum(v).over(upto).alias(f"{v}c") for v in values]).where("_before > 0"), "carried")
+    inside = Window.partitionBy("_slice", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = sliced.repartition("_slice", *group).select("*", *summed)
+    out = out.select("*", F.count(F.lit(1)).over(inside).alias("_i"), *[F.sum(v).over(inside).alias(f"{v}i") for v in values])
     meet = F.col("_slice") == F.col("_s")
-    for k in same:
-        meet = meet & F.col(k).eqNullSafe(F.col(f"{k}c"))
-    out = out.join(carried, meet)
-    numbered = [(F.col("_before") + F.col("_i")).alias(number)] if number else []
-    return out.select(*kept, *numbered, *[(F.col(f"_v{i}c") + F.col(f"_v{i}i")).alias(name) for i, name in enumerate(sums)])
+    for i, g in enumerate(group):
+        meet = meet & F.col(g).eqNullSafe(F.col(f"_k{i}"))
+    out = out.join(carried, meet, "left")
+    zero = F.lit(0)
+    numbered = [(F.coalesce("_before", zero) + F.col("_i")).alias(number)] if number else []
+    return out.select(*kept, *numbered, *[(F.coalesce(f"_v{i}c", zero) + F.col(f"_v{i}i")).alias(name) for i, name in enumerate(sums)])
 
 
 def as_of(rows: DataFrame, versions: DataFrame, keys: Sequence[str], t: str, since: str, value: str) -> DataFrame:
