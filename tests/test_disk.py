@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from watchtide.operators import graph_query
+from watchtide.operators import graph_query, landmarks
 from watchtide.operators.running import running
 from watchtide.session import stored
 
@@ -53,3 +53,36 @@ def test_degree_as_of_sorts_edges_without_counting_them_first(spark):
     left, out = left_by(spark, lambda: graph_query.degree_as_of(reads, edges))
     assert not left and out.columns == ["no", "node_id", "ts_us", "degree_as_of"]
     assert {r.no: r.degree_as_of for r in out.collect()} == {0: 0, 1: 1, 2: 3, 3: 3, 4: 2, 5: 0, 6: 0}
+
+
+def graph_of(spark):
+    edges = [("a|x|b", "x", "a", "b", 10), ("b|x|c", "x", "b", "c", 20), ("c|y|d", "y", "c", "d", 30), ("c|y|c", "y", "c", "c", 30), ("e|x|f", "x", "e", "f", 5)]
+    return spark.createDataFrame(edges, "edge_id string, edge_type string, src_id string, dst_id string, first_us long")
+
+
+def test_an_index_without_edge_ids_has_the_same_distances(spark):
+    edges = graph_of(spark)
+    names, links = graph_query.numbered(edges)
+    assert names.count() == 6 and names.select("no").distinct().count() == 6 and links.count() == 5
+    index = landmarks.build(graph_query.adjacency(links, []), 4)
+    assert not {"edge_id", "step"} & {*index.labels.columns, *index.leaves.columns}
+    pairs = spark.createDataFrame([("a", "d"), ("d", "b"), ("a", "e"), ("f", "e"), ("a", "nowhere")], "src string, dst string")
+    asked = graph_query.numbered_pairs(pairs, names, [])
+    no = {r.no: r.node_id for r in names.collect()}
+    got = {(no[r.src], no[r.dst]): r.length for r in landmarks.distances(index, asked).collect()}
+    assert got == {("a", "d"): 3, ("d", "b"): 2, ("f", "e"): 1}
+
+
+def test_graph_features_leave_no_shuffle(spark):
+    from watchtide.functions.core import entity_id
+    host, domain = (spark.range(1).select(entity_id(k, F.lit(v), F.lit("t0"))).first()[0] for k, v in (("Host", "h"), ("Domain", "bad.example")))
+    edges = spark.createDataFrame([(f"{host}|x|n", "x", host, "n", 10), (f"n|x|{domain}", "x", "n", domain, 20), ("n|y|m", "y", "n", "m", 30)],
+                                  "edge_id string, edge_type string, src_id string, dst_id string, first_us long")
+    rows = [(i, "t0", intel, t, [("Host", node, node, {})] if node else []) for i, intel, t, node in [
+        ("e1", ["bad.example"], 15, host), ("e2", ["bad.example", "BAD.example"], 25, host), ("e2", ["bad.example"], 25, host),
+        ("e3", [], 40, "n"), ("e4", ["bad.example"], 40, domain), ("e5", ["bad.example"], 40, "outside"), ("e6", [], 40, None)]]
+    events = spark.createDataFrame(rows, f"event_id string, tenant_id string, intel_matches array<string>, ts_us long, entities {ENTITY}")
+    left, out = left_by(spark, lambda: graph_query.snapshot_features(events, edges))
+    assert not left
+    got = sorted((r.event_id, r.degree, r.neighbor_count, r.path_length) for r in out.collect())
+    assert got == [("e1", 1, 2, 2), ("e2", 1, 2, 2), ("e2", 1, 2, 2), ("e3", 3, 4, None), ("e4", 1, 2, 0), ("e5", 0, None, None), ("e6", 0, None, None)]

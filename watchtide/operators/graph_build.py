@@ -119,10 +119,12 @@ def _fold_properties(rows: DataFrame, key: list[str], entries: Column, at: Colum
 
 def _upsert(rows: DataFrame, key: list[str], props: str) -> DataFrame:
     order = F.struct("ts", "event_id")
-    entries = F.transform(F.map_entries(F.coalesce(props, F.create_map().cast("map<string,string>"))), lambda e: F.struct(
-        e["key"].alias("name"), F.struct(order.alias("at"), e["value"].alias("value")).alias("latest")))
     whole = {"first_seen": F.min("ts"), "last_seen": F.max("ts"), "count": F.count("*"), "confidence": F.min_by("source_confidence", order),
              "sources": F.array_sort(F.collect_set("source"))}
+    if props not in rows.columns:
+        return rows.groupBy(*key).agg(*[c.alias(n) for n, c in whole.items()])
+    entries = F.transform(F.map_entries(F.coalesce(props, F.create_map().cast("map<string,string>"))), lambda e: F.struct(
+        e["key"].alias("name"), F.struct(order.alias("at"), e["value"].alias("value")).alias("latest")))
     return _fold_properties(rows, key, entries, order, whole, {n: F.max for n in whole})
 
 
@@ -132,6 +134,7 @@ def upsert_nodes(rows: DataFrame) -> DataFrame:
 
 
 def upsert_edges(rows: DataFrame) -> DataFrame:
+    """Current edge table like :func:`upsert_nodes`; rows without ``edge_props`` give edges without properties."""
     return _upsert(rows, ["edge_id", "src_id", "edge_type", "dst_id", "tenant_id"], "edge_props")
 
 

@@ -8,24 +8,37 @@ and distances between given nodes come from landmark labels.
 from __future__ import annotations
 
 import functools
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from watchtide.functions.core import entity_id
+from watchtide.functions.core import entity_id, lookup
 from watchtide.operators import landmarks
 from watchtide.operators.graph_build import primary_entity
 from watchtide.operators.running import running
-from watchtide.session import cut_lineage
+from watchtide.session import cut_lineage, stored
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """Undirected view: every stored edge in both directions, self-loops once."""
-    fwd = edges.select("edge_id", "edge_type", F.col("src_id").alias("node"), F.col("dst_id").alias("other"))
-    back = edges.where("src_id <> dst_id").select(
-        "edge_id", "edge_type", F.col("dst_id").alias("node"), F.col("src_id").alias("other"))
+def adjacency(edges: DataFrame, columns: Sequence[str] = ("edge_id", "edge_type")) -> DataFrame:
+    """Undirected view: every stored edge in both directions, self-loops once, with ``columns`` of the edge."""
+    fwd = edges.select(*columns, F.col("src_id").alias("node"), F.col("dst_id").alias("other"))
+    back = edges.where("src_id <> dst_id").select(*columns, F.col("dst_id").alias("node"), F.col("src_id").alias("other"))
     return fwd.unionByName(back)
 
 
+def numbered(edges: DataFrame, columns: Sequence[str] = ("edge_type",)) -> tuple[DataFrame, DataFrame]:
+    """(names, links): a number for each node (node_id, no), and the edges between numbers, with ``columns`` of them.
+
+    Ids are long hashes that do not compress; searches pass nodes on many times, so they pass on numbers.
+    """
+    ends = edges.select(F.explode(F.array("src_id", "dst_id")).alias("node_id")).where("node_id IS NOT NULL").distinct()
+    names = stored(ends.withColumn("no", F.monotonically_increasing_id()), "names")
+    links = edges.select("src_id", "dst_id", *columns)
+    for end in ("src_id", "dst_id"):
+        links = links.join(names.select(F.col("node_id").alias(end), F.col("no").alias(f"_{end}")), end, "left").drop(end)
+    return names, stored(links.withColumnsRenamed({"_src_id": "src_id", "_dst_id": "dst_id"}), "links")
+
+
 def node_lookup(nodes: DataFrame, node_id: str | Column) -> DataFrame:
     return nodes.where(F.col("node_id") == node_id)
 
@@ -125,11 +138,11 @@ def entity_timeline(node_obs: DataFrame, edge_obs: DataFrame, limit: int | None
 
 def incident_rarity(edges: DataFrame, adj: DataFrame | None = None) -> DataFrame:
     """Per node: mean rarity over all its edges and the number of nodes in its neighborhood, itself included."""
-    by_type = (adjacency(edges) if adj is None else adj).groupBy("node", "edge_type", "other").agg(F.count("*").alias("n"))
-    scored = by_type.join(edge_rarity(edges).select("edge_type", "rare_edge_score"), "edge_type")
+    rarity = {r.edge_type: r.rare_edge_score for r in edge_rarity(edges).collect() if r.edge_type is not None}  # one for each type
     # scores have three decimals: the mean is rounded in whole thousandths, half up, whatever the order of the sum
-    thousandths = F.round(F.col("rare_edge_score") * 1000).cast("long")
-    ends = scored.groupBy("node", "other").agg(F.sum(thousandths * F.col("n")).alias("s"), F.sum("n").alias("n"))
+    thousandths = F.round((lookup(rarity, F.col("edge_type")) if rarity else F.lit(0.0)) * 1000).cast("long")
+    both = (adjacency(edges) if adj is None else adj).where("edge_type IS NOT NULL")
+    ends = both.groupBy("node", "other").agg(F.sum(thousandths).alias("s"), F.count("*").alias("n"))
     return ends.groupBy(F.col("node").alias("node_id")).agg(
         (F.expr("(2 * sum(s) + sum(n)) div (2 * sum(n))") / 1000.0).alias("rare_edge_score"),
         (F.count_if(F.col("other") != F.col("node")) + 1).alias("neighbor_count"))
@@ -141,14 +154,17 @@ def snapshot_features(events: DataFrame, edges: DataFrame, max_depth: int = 4) -
     ``path_length`` is filled for events with intel matches: the distance from the primary entity to
     the nearest node that one of the event's own indicators points at, within ``max_depth``.
     """
-    edges = cut_lineage(edges.select("edge_id", "edge_type", "src_id", "dst_id"))
-    adj = cut_lineage(adjacency(edges))
+    names, links = numbered(stored(edges.select("src_id", "dst_id", "edge_type"), "edges"))
+    adj = adjacency(links, ["edge_type"])
     keyed = events.withColumn("node_id", primary_entity())
     # one row per node, so that the hot ones are joined once
-    facts = degrees(edges).join(incident_rarity(edges, adj), "node_id", "left")
-    wanted = indicator_pairs(keyed)
+    facts = degrees(links).join(incident_rarity(links, adj), "node_id", "left")
+    facts = stored(names.join(facts.withColumnRenamed("node_id", "no"), "no").drop("no"), "facts")
+    wanted = numbered_pairs(indicator_pairs(keyed), names, ["event_id"])
     lengths = path_lengths(adj, wanted.select("src", "dst").distinct(), max_depth)
-    own = wanted.join(lengths, ["src", "dst"]).groupBy("event_id").agg(F.min("length").alias("path_length"))
+    found = wanted.join(lengths, ["src", "dst"]).select("event_id", "length").unionByName(
+        indicator_pairs(keyed).where("src = dst").select("event_id", F.lit(0).alias("length")))
+    own = stored(found.groupBy("event_id").agg(F.min("length").alias("path_length")), "lengths")
     out = keyed.join(facts, "node_id", "left").join(own, "event_id", "left")
     return (out.withColumn("degree", F.coalesce("degree", F.lit(0)))
             .withColumn("rare_edge_score", F.coalesce("rare_edge_score", F.lit(0.5))))
@@ -173,10 +189,18 @@ def degree_as_of(reads: DataFrame, edges: DataFrame, t: str = "ts_us") -> DataFr
     return out.where("_o > 0").drop("_o")
 
 
-def indicator_pairs(keyed: DataFrame) -> DataFrame:
-    """(event_id, src, dst): primary entity of each event and the nodes its own indicators point at."""
-    return keyed.where("node_id IS NOT NULL").select("event_id", "node_id", "tenant_id", F.explode("intel_matches").alias("v")).select(
-        "event_id", F.col("node_id").alias("src"), indicator_node(F.col("v"), F.col("tenant_id")).alias("dst")).distinct()
+def indicator_pairs(keyed: DataFrame, columns: Sequence[str] = ("event_id",)) -> DataFrame:
+    """(event_id, src, dst): primary entity of each event and the nodes its own indicators point at; ``columns`` come along."""
+    return keyed.where("node_id IS NOT NULL").select(*columns, "node_id", "tenant_id", F.explode(F.array_distinct("intel_matches")).alias("v")).select(
+        *columns, F.col("node_id").alias("src"), indicator_node(F.col("v"), F.col("tenant_id")).alias("dst"))
+
+
+def numbered_pairs(pairs: DataFrame, names: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pairs of different nodes of the graph with the nodes' numbers; a pair with a node outside has no way and is left out."""
+    out = pairs.where("src <> dst")
+    for end in ("src", "dst"):
+        out = out.join(names.select(F.col("node_id").alias(end), F.col("no").alias(f"_{end}")), end).drop(end)
+    return stored(out.select(*columns, F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct(), "pairs")
 
 
 def features_as_of(events: DataFrame, edges: DataFrame, max_depth: int = 4, t: str = "ts_us") -> DataFrame:
@@ -211,7 +235,7 @@ def features_as_of(events: DataFrame, edges: DataFrame, max_depth: int = 4, t: s
     s = added([F.when(F.col(c) > 0, F.col(c) * r).otherwise(0) for c, r in zip(counts, rare)])
     facts = facts.select("event_id", degree.alias("degree"), (F.col("neighbors") + 1).alias("neighbor_count"), s.alias("s")).where("degree > 0").select(
         "event_id", "degree", (F.expr("(2 * s + degree) div (2 * degree)") / 1000.0).alias("rare_edge_score"), "neighbor_count")
-    wanted = cut_lineage(indicator_pairs(keyed).join(keyed.select("event_id", "_t"), "event_id"))
+    wanted = cut_lineage(indicator_pairs(keyed).distinct().join(keyed.select("event_id", "_t"), "event_id"))
     index = landmarks.build(adjacency(edges).join(edges.select("edge_id", "_t"), "edge_id"), max_depth, since="_t")
     ways = landmarks.distances_over_time(index, wanted.select("src", "dst").distinct())
     own = wanted.join(ways, ["src", "dst"]).where(F.col("since").isNull() | (F.col("since") <= F.col("_t"))).groupBy("event_id").agg(

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchtide.session import cut_lineage
+from watchtide.session import cut_lineage, stored
 
 
 def _better(degree: str, node: str, than_degree: str, than_node: str) -> Column:
@@ -29,7 +29,8 @@ class Landmarks:
     """``labels`` (node, landmark, hops, since, edge_id, step) of the core; ``leaves`` (node, anchor, since, edge_id) beside it.
 
     A leaf is a node with one neighbor, its anchor, that has others; no way between other nodes leads over it.  ``edge_id``
-    and ``step`` are the first edge and node of the way to the landmark, whose own label of the landmark continues it.
+    and ``step`` are the first edge and node of the way to the landmark, whose own label of the landmark continues it; an
+    index of edges without ids has neither and serves distances only.
     """
 
     labels: DataFrame
@@ -38,38 +39,40 @@ class Landmarks:
 
 
 def build(adj: DataFrame, depth: int, since: str | None = None) -> Landmarks:
-    """Index of the undirected graph ``adj`` (node, other, edge_id) for ways of up to ``depth`` hops.
+    """Index of the undirected graph ``adj`` (node, other, edge_id) for ways of up to ``depth`` hops; without edge_id, of distances.
 
     ``adj`` holds both directions; of parallel edges the earliest counts, then the smallest id.  Without ``since``, the
     name of the edges' time column, all times are 0.  Every core node is its own landmark at 0 hops; its time is null.
     """
     time = F.col(since) if since else F.lit(0).cast("long")
-    links = adj.where("node <> other").groupBy("node", "other").agg(F.min(F.struct(time.alias("since"), "edge_id")).alias("e"))
-    links = cut_lineage(links.select("node", "other", "e.since", "e.edge_id"))
+    ids = [c for c in ("edge_id",) if c in adj.columns]
+    steps = ["step"] if ids else []
+    links = adj.where("node <> other").groupBy("node", "other").agg(F.min(F.struct(time.alias("since"), *ids)).alias("e"))
+    links = stored(links.select("node", "other", "e.since", *[f"e.{c}" for c in ids]), "links")
     degree = links.groupBy("node").agg(F.count("*").alias("degree"))
-    links = cut_lineage(links.join(degree.withColumnRenamed("degree", "node_degree"), "node").join(
-        degree.select(F.col("node").alias("other"), F.col("degree").alias("other_degree")), "other"))
+    links = stored(links.join(degree.withColumnRenamed("degree", "node_degree"), "node").join(
+        degree.select(F.col("node").alias("other"), F.col("degree").alias("other_degree")), "other"), "links")
     leaf = (F.col("node_degree") == 1) & (F.col("other_degree") > 1)
-    leaves = links.where(leaf).select("node", F.col("other").alias("anchor"), "since", "edge_id")
+    leaves = links.where(leaf).select("node", F.col("other").alias("anchor"), "since", *ids)
     links = links.where(~leaf & ~((F.col("other_degree") == 1) & (F.col("node_degree") > 1)))
-    none = F.lit(None).cast("string")
     # anchors whose neighbors are all leaves have no links left, but are still ends of ways
     core = degree.where("degree > 1").unionByName(links.where("node_degree = 1").select("node", F.col("node_degree").alias("degree")))
     own = core.select("node", F.col("node").alias("landmark"), "degree", F.lit(0).alias("hops"),
-                      F.lit(None).cast(links.schema["since"].dataType).alias("since"), none.alias("edge_id"), none.alias("step"))
-    ring = cut_lineage(links.where(_better("other_degree", "other", "node_degree", "node")).select(
-        "node", F.col("other").alias("landmark"), F.col("other_degree").alias("degree"), F.lit(1).alias("hops"), "since", "edge_id",
-        F.col("other").alias("step")))
-    labels = cut_lineage(own).unionByName(ring)
+                      F.lit(None).cast(links.schema["since"].dataType).alias("since"),
+                      *[F.lit(None).cast("string").alias(c) for c in ids], *[F.lit(None).cast(links.schema["node"].dataType).alias(c) for c in steps])
+    ring = stored(links.where(_better("other_degree", "other", "node_degree", "node")).select(
+        "node", F.col("other").alias("landmark"), F.col("other_degree").alias("degree"), F.lit(1).alias("hops"), "since", *ids,
+        *[F.col("other").alias(c) for c in steps]), "labels")
+    labels = stored(own, "labels").unionByName(ring)
     onward = links.select(F.col("other").alias("to"), F.col("node").alias("step"), F.col("other_degree").alias("to_degree"),
-                          F.col("since").alias("edge_since"), F.col("edge_id").alias("via"))
+                          F.col("since").alias("edge_since"), *[F.col(c).alias("via") for c in ids])
     for hops in range(2, depth + 1):
         if ring.isEmpty():
             break
         reached = ring.select(F.col("node").alias("step"), "landmark", "degree", "since").join(onward, "step")
         reached = reached.where(_better("degree", "landmark", "to_degree", "to")).groupBy("to", "landmark", "degree").agg(
-            F.min(F.struct(F.greatest("since", "edge_since").alias("since"), F.col("via").alias("edge_id"), "step")).alias("way"))
-        reached = cut_lineage(reached.select(F.col("to").alias("node"), "landmark", "degree", F.lit(hops).alias("hops"), "way.*"))
+            F.min(F.struct(F.greatest("since", "edge_since").alias("since"), *[F.col("via").alias(c) for c in ids], *steps)).alias("way"))
+        reached = stored(reached.select(F.col("to").alias("node"), "landmark", "degree", F.lit(hops).alias("hops"), "way.*"), "reached")
         # a way over a landmark of both that is no longer and exists no later makes the label needless
         mine = labels.select("node", F.col("landmark").alias("over"), F.col("degree").alias("over_degree"), F.col("hops").alias("h1"), F.col("since").alias("s1"))
         its = labels.select(F.col("node").alias("landmark"), F.col("landmark").alias("over"), F.col("hops").alias("h2"), F.col("since").alias("s2"))
@@ -77,7 +80,7 @@ def build(adj: DataFrame, depth: int, since: str | None = None) -> Landmarks:
             (F.col("over") == F.col("landmark")) | _better("over_degree", "over", "degree", "landmark"))
         known = known.where(F.coalesce(F.col("s1") <= F.col("since"), F.lit(True))).join(its, ["landmark", "over"]).where(
             (F.col("h1") + F.col("h2") <= hops) & F.coalesce(F.col("s2") <= F.col("since"), F.lit(True)))
-        ring = cut_lineage(reached.join(known.select("node", "landmark").distinct(), ["node", "landmark"], "left_anti"))
+        ring = stored(reached.join(known.select("node", "landmark").distinct(), ["node", "landmark"], "left_anti"), "labels")
         labels = labels.unionByName(ring)
     return Landmarks(labels.drop("degree"), leaves, depth)
 
@@ -85,12 +88,13 @@ def build(adj: DataFrame, depth: int, since: str | None = None) -> Landmarks:
 def _anchored(index: Landmarks, pairs: DataFrame) -> DataFrame:
     """(src, dst, a, b, ...): pairs of different nodes with the core nodes next to them, and the hops and edges up to there."""
     ends = pairs.where("src <> dst").select("src", "dst").distinct()
+    ids = [c for c in ("edge_id",) if c in index.leaves.columns]
     for end, core in (("src", "a"), ("dst", "b")):
         mine = index.leaves.select(F.col("node").alias(end), F.col("anchor").alias(f"{core}_anchor"), F.col("since").alias(f"{core}_since"),
-                                   F.col("edge_id").alias(f"{core}_edge"))
-        ends = ends.join(mine, end, "left").withColumn(core, F.coalesce(f"{core}_anchor", end)).drop(f"{core}_anchor")
-    extra = F.when(F.col("a_edge").isNull(), 0).otherwise(1) + F.when(F.col("b_edge").isNull(), 0).otherwise(1)
-    return ends.withColumn("extra", extra)
+                                   *[F.col(c).alias(f"{core}_edge") for c in ids])
+        ends = ends.join(mine, end, "left").withColumn(core, F.coalesce(f"{core}_anchor", end))
+    extra = F.when(F.col("a_anchor").isNull(), 0).otherwise(1) + F.when(F.col("b_anchor").isNull(), 0).otherwise(1)
+    return ends.withColumn("extra", extra).drop("a_anchor", "b_anchor")
 
 
 def _met(index: Landmarks, anchored: DataFrame) -> DataFrame:

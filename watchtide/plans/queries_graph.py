@@ -10,7 +10,7 @@ from watchtide.operators import graph_build, graph_query
 from watchtide.plans import stages, telemetry as tel
 from watchtide.plans.queries_detect import SQL_FEATURES, SQL_PRIMARY, sql_edges
 from watchtide.plans.registry import query
-from watchtide.session import cut_lineage
+from watchtide.session import cut_lineage, stored
 
 _ENR = stages.sql_enriched()
 _ENT = stages.sql_entities()
@@ -50,10 +50,15 @@ def graph_observations(spark, sf):
     return graph_build.recent_observations(rows, "node_id", fixed.MAX_OBSERVATIONS).select("node_id", "event_id", "rank")
 
 
+# what edges and the features of an event's entity are made of; properties of edges are no feature
+_GRAPH_COLUMNS = ["event_id", "tenant_id", "ts", "event_type", "source", "severity", "source_confidence", "command_line", "dst_port",
+                  "entities", "intel_matches"]
+
+
 @query("graph_primary_features", f"WITH {_G}, {SQL_FEATURES} SELECT event_id, node_id, degree, rare AS rare_edge_score, neighbors AS neighbor_count, path AS path_length FROM feat")
 def graph_primary_features(spark, sf):
-    ev = cut_lineage(stages.enriched(spark, sf).drop("enrichment", "provenance", "body"))
-    edges = graph_build.upsert_edges(graph_build.edge_rows(ev))
+    ev = stored(stages.enriched(spark, sf).select(*_GRAPH_COLUMNS), "events")
+    edges = graph_build.upsert_edges(graph_build.edge_rows(ev).drop("edge_props"))
     return graph_query.snapshot_features(ev, edges).select("event_id", "node_id", "degree", "rare_edge_score", "neighbor_count", "path_length")
 
 
