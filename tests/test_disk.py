@@ -86,3 +86,7 @@ def test_graph_features_leave_no_shuffle(spark):
     assert not left
     got = sorted((r.event_id, r.degree, r.neighbor_count, r.path_length) for r in out.collect())
     assert got == [("e1", 1, 2, 2), ("e2", 1, 2, 2), ("e2", 1, 2, 2), ("e3", 3, 4, None), ("e4", 1, 2, 0), ("e5", 0, None, None), ("e6", 0, None, None)]
+    left, out = left_by(spark, lambda: graph_query.features_as_of(events.where("event_id <> 'e2'"), edges))
+    assert not left
+    got = sorted((r.event_id, r.degree, r.neighbor_count, r.path_length) for r in out.collect())
+    assert got == [("e1", 1, 2, None), ("e3", 3, 4, None), ("e4", 1, 2, 0), ("e5", 0, None, None), ("e6", 0, None, None)]

@@ -211,21 +211,24 @@ def features_as_of(events: DataFrame, edges: DataFrame, max_depth: int = 4, t: s
     edge type run along the time line of the node and that of the whole graph; a path counts from the time its last edge
     is there.  Events without an entity get the defaults.
     """
-    keyed = cut_lineage(events.select("event_id", "tenant_id", "intel_matches", F.col(t).alias("_t"), primary_entity().alias("node_id")))
-    edges = cut_lineage(edges.select("edge_id", "edge_type", "src_id", "dst_id", F.col("first_us").alias("_t")))
-    types = sorted(r[0] for r in edges.select("edge_type").distinct().collect())  # a checked domain of fifteen
-    asks = keyed.select("event_id", "node_id", "_t", F.lit(1).alias("_o"), F.xxhash64("event_id").alias("_h"))
-    ends = adjacency(edges).join(edges.select("edge_id", "_t"), "edge_id").select(F.col("node").alias("node_id"), "other", "edge_type", "_t")
+    keyed = stored(events.select("event_id", "tenant_id", "intel_matches", F.col(t).alias("_t"), primary_entity().alias("node_id")), "keyed")
+    names, links = numbered(stored(edges.select("edge_type", "src_id", "dst_id", F.col("first_us").alias("_t")), "edges"), ["edge_type", "_t"])
+    types = sorted(r[0] for r in links.select("edge_type").distinct().collect())  # a checked domain of fifteen
+    # the hash only spreads events of one moment
+    placed = keyed.join(names, "node_id").select("event_id", F.col("no").alias("node_id"), "_t", F.lit(1).alias("_o"),
+                                                 F.pmod(F.xxhash64("event_id"), F.lit(1 << 14)).cast("int").alias("_h"))
+    ends = adjacency(links, ["edge_type", "_t"]).withColumnRenamed("node", "node_id")
     near = ends.where("other <> node_id").groupBy("node_id", "other").agg(F.min("_t").alias("_t")).select("node_id", "_t", F.lit(1).alias("near"))
     at = ends.groupBy("node_id", "edge_type", "_t").agg(F.count("*").alias("n")).select("node_id", "edge_type", "_t", "n", F.lit(0).alias("near"))
     counts = {f"_n{i}": F.when(F.col("edge_type") == ty, F.col("n")) for i, ty in enumerate(types)}
-    line = at.unionByName(near, allowMissingColumns=True).withColumn("_o", F.lit(0))
-    line = line.unionByName(asks.where("node_id IS NOT NULL"), allowMissingColumns=True)
+    line = at.unionByName(near, allowMissingColumns=True).withColumn("_o", F.lit(0)).unionByName(placed, allowMissingColumns=True)
     local = running(line, ["node_id"], [F.col("_t"), F.col("_o"), F.col("_h")], {**counts, "neighbors": F.col("near")}).where("_o = 1")
-    whole = edges.groupBy("edge_type", "_t").agg(F.count("*").alias("n")).withColumn("_o", F.lit(0)).unionByName(
-        asks.select("_t", "_o").distinct(), allowMissingColumns=True)
+    local = stored(local.select("event_id", "_t", "neighbors", *counts), "local")
+    whole = links.groupBy("edge_type", "_t").agg(F.count("*").alias("n")).withColumn("_o", F.lit(0)).unionByName(
+        keyed.select("_t", F.lit(1).alias("_o")).distinct(), allowMissingColumns=True)
     world = running(whole, [], [F.col("_t"), F.col("_o"), F.col("edge_type")], {f"_w{i}": c for i, c in enumerate(counts.values())}).where("_o = 1")
-    facts = local.select("event_id", "_t", "neighbors", *counts).join(world.select("_t", *[f"_w{i}" for i in range(len(types))]), "_t")
+    world = stored(world.select("_t", *[f"_w{i}" for i in range(len(types))]), "world")
+    facts = local.join(world, "_t")
 
     def added(cols: list[Column]) -> Column:
         return functools.reduce(lambda a, b: a + b, cols, F.lit(0).cast("long"))
@@ -235,11 +238,14 @@ def features_as_of(events: DataFrame, edges: DataFrame, max_depth: int = 4, t: s
     s = added([F.when(F.col(c) > 0, F.col(c) * r).otherwise(0) for c, r in zip(counts, rare)])
     facts = facts.select("event_id", degree.alias("degree"), (F.col("neighbors") + 1).alias("neighbor_count"), s.alias("s")).where("degree > 0").select(
         "event_id", "degree", (F.expr("(2 * s + degree) div (2 * degree)") / 1000.0).alias("rare_edge_score"), "neighbor_count")
-    wanted = cut_lineage(indicator_pairs(keyed).distinct().join(keyed.select("event_id", "_t"), "event_id"))
-    index = landmarks.build(adjacency(edges).join(edges.select("edge_id", "_t"), "edge_id"), max_depth, since="_t")
+    facts = stored(facts, "facts")
+    pairs = indicator_pairs(keyed, ["event_id", "_t"])
+    wanted = numbered_pairs(pairs, names, ["event_id", "_t"])
+    index = landmarks.build(adjacency(links, ["_t"]), max_depth, since="_t")
     ways = landmarks.distances_over_time(index, wanted.select("src", "dst").distinct())
-    own = wanted.join(ways, ["src", "dst"]).where(F.col("since").isNull() | (F.col("since") <= F.col("_t"))).groupBy("event_id").agg(
-        F.min("length").alias("path_length"))
+    found = wanted.join(ways, ["src", "dst"]).where(F.col("since").isNull() | (F.col("since") <= F.col("_t"))).select("event_id", "length").unionByName(
+        pairs.where("src = dst").select("event_id", F.lit(0).alias("length")))
+    own = stored(found.groupBy("event_id").agg(F.min("length").alias("path_length")), "lengths")
     out = keyed.select("event_id", "node_id").join(facts, "event_id", "left").join(own, "event_id", "left")
     return out.select("event_id", "node_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("rare_edge_score", F.lit(0.5)).alias("rare_edge_score"),
                       "neighbor_count", "path_length")

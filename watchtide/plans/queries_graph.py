@@ -105,8 +105,8 @@ own AS (SELECT event_id, min(len) AS path FROM want JOIN way USING (src, dst) WH
 @query("graph_features_as_of", f"""WITH {_G}, {_AS_OF} SELECT ask.event_id, ask.node AS node_id, coalesce(degree, 0) AS degree, coalesce(rare, 0.5) AS rare_edge_score,
  neighbors AS neighbor_count, path AS path_length FROM ask LEFT JOIN mean USING (event_id) LEFT JOIN nbr USING (event_id) LEFT JOIN own USING (event_id)""")
 def graph_features_as_of(spark, sf):
-    ev = cut_lineage(stages.enriched(spark, sf).withColumn("ts_us", micros(F.col("ts"))).drop("enrichment", "provenance", "body"))
-    edges = graph_build.upsert_edges(graph_build.edge_rows(ev)).withColumn("first_us", micros(F.col("first_seen")))
+    ev = stored(stages.enriched(spark, sf).select(*_GRAPH_COLUMNS).withColumn("ts_us", micros(F.col("ts"))), "events")
+    edges = graph_build.upsert_edges(graph_build.edge_rows(ev).drop("edge_props")).withColumn("first_us", micros(F.col("first_seen")))
     return graph_query.features_as_of(ev, edges)
 
 
