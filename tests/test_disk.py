@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from watchtide.operators import graph_query, landmarks
+from watchtide.operators import graph_query, landmarks, windows
 from watchtide.operators.running import running
 from watchtide.session import stored
 
@@ -90,3 +90,17 @@ def test_graph_features_leave_no_shuffle(spark):
     assert not left
     got = sorted((r.event_id, r.degree, r.neighbor_count, r.path_length) for r in out.collect())
     assert got == [("e1", 1, 2, None), ("e3", 3, 4, None), ("e4", 1, 2, 0), ("e5", 0, None, None), ("e6", 0, None, None)]
+
+
+def test_distinct_values_are_dealt_out_twice_only(spark):
+    rows = spark.range(100).select("id", (F.col("id") % 2).alias("g"), (F.col("id") % 7).alias("v"), (F.col("id") * windows.SECOND).alias("ts_us"))
+    out = windows.sliding_distinct(rows, ["g"], "v", "ts_us", 5)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    got = {r.id: r.n_distinct for r in out.collect()}
+    assert got == {i: len({j % 7 for j in range(max(0, i - 5), i + 1) if j % 2 == i % 2}) for i in range(100)}
+    left, out = left_by(spark, lambda: windows.temporal_features(rows.select(
+        "id", "ts_us", F.col("g").cast("string").alias("host"), F.lit(None).cast("string").alias("user"), F.col("v").cast("string").alias("event_type"),
+        F.array(F.col("v").cast("string")).alias("technique_ids")), seconds=5))
+    assert not left
+    assert {r.id: (r.event_count_window, r.distinct_event_types_window, r.distinct_techniques_window) for r in out.collect()} == {
+        i: (min(i // 2, 2) + 1, n, n) for i, n in got.items()}
