@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from watchtide.operators import graph_query, landmarks, windows
+from watchtide.operators import detect, graph_query, landmarks, rules, windows
 from watchtide.operators.running import running
 from watchtide.session import stored
 
@@ -104,3 +104,24 @@ def test_distinct_values_are_dealt_out_twice_only(spark):
     assert not left
     assert {r.id: (r.event_count_window, r.distinct_event_types_window, r.distinct_techniques_window) for r in out.collect()} == {
         i: (min(i // 2, 2) + 1, n, n) for i, n in got.items()}
+
+
+def test_detection_reads_only_the_columns_it_needs(spark):
+    """Raw texts stay in the stored events, nothing shuffled is left, and rows that come twice stay two."""
+    rows = [(f"e{i % 30}", f"t{i % 2}", i, "logon" if i % 3 else "process_create") for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id string, tenant_id string, i int, event_type string").select(
+        "event_id", "tenant_id", "event_type", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs="i")).alias("ts"), F.lit("s").alias("source"),
+        F.lit("high").alias("severity"), F.lit(0.9).alias("source_confidence"), F.lit("powershell -enc x").alias("command_line"), F.lit(1).alias("dst_port"),
+        F.concat(F.lit("H"), F.col("i") % 4).alias("host"), F.lit("u").alias("user"), F.lit("C:\\powershell.exe").alias("process"),
+        *[F.lit(None).cast("string").alias(c) for c in ("parent_process", "file_path", "url", "domain")],
+        F.array().cast("array<string>").alias("tags"), F.array(F.lit("T1")).alias("technique_ids"), F.lit(0.9).alias("asset_criticality"),
+        F.array(F.lit("bad.example")).alias("intel_matches"), F.array(F.struct(F.lit("bad.example").alias("matched_value"), F.lit(0.7).alias("confidence"))).alias("intel_hits"),
+        F.array(*[F.struct(F.lit(k).alias("type"), F.concat(F.lit(k), F.col("i") % 4).alias("id"), F.lit(k).alias("display_name"),
+                           F.create_map().cast("map<string,string>").alias("attributes")) for k in ("Host", "User")]).alias("entities"),
+        F.lit('{"note": "x"}').alias("raw"), F.lit(1).alias("enrichment"), F.lit(1).alias("provenance")).withColumn("body", F.parse_json("raw"))
+    left, (scored, _, alerts) = left_by(spark, lambda: detect.detect(events, rules.shipped_rules()))
+    assert not left
+    plan = scored.select("event_id", "calibrated_score")._jdf.queryExecution().executedPlan().toString()
+    assert "raw#" not in plan and "entities#" not in plan
+    assert scored.count() == 40 and alerts.count() == 40 and {"raw", "body", "entities", "matches", "degree", "heuristic_score"} <= {*scored.columns}
+    assert "_row" not in scored.columns and scored.where("body IS NULL").count() == 0
