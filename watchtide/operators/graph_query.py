@@ -138,7 +138,7 @@ def entity_timeline(node_obs: DataFrame, edge_obs: DataFrame, limit: int | None
 
 def incident_rarity(edges: DataFrame, adj: DataFrame | None = None) -> DataFrame:
     """Per node: mean rarity over all its edges and the number of nodes in its neighborhood, itself included."""
-    rarity = {r.edge_type: r.rare_edge_score for r in edge_rarity(edges).collect() if r.edge_type is not None}  # one for each type
+    rarity = {r.edge_type: r.rare_edge_score for r in stored(edge_rarity(edges), "rarity").collect() if r.edge_type is not None}  # one for each type
     # scores have three decimals: the mean is rounded in whole thousandths, half up, whatever the order of the sum
     thousandths = F.round((lookup(rarity, F.col("edge_type")) if rarity else F.lit(0.0)) * 1000).cast("long")
     both = (adjacency(edges) if adj is None else adj).where("edge_type IS NOT NULL")
@@ -213,7 +213,7 @@ def features_as_of(events: DataFrame, edges: DataFrame, max_depth: int = 4, t: s
     """
     keyed = stored(events.select("event_id", "tenant_id", "intel_matches", F.col(t).alias("_t"), primary_entity().alias("node_id")), "keyed")
     names, links = numbered(stored(edges.select("edge_type", "src_id", "dst_id", F.col("first_us").alias("_t")), "edges"), ["edge_type", "_t"])
-    types = sorted(r[0] for r in links.select("edge_type").distinct().collect())  # a checked domain of fifteen
+    types = sorted(r[0] for r in stored(links.select("edge_type").distinct(), "types").collect())  # a checked domain of fifteen
     # the hash only spreads events of one moment
     placed = keyed.join(names, "node_id").select("event_id", F.col("no").alias("node_id"), "_t", F.lit(1).alias("_o"),
                                                  F.pmod(F.xxhash64("event_id"), F.lit(1 << 14)).cast("int").alias("_h"))
